@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
-from quern.llm.decontaminate import contamination
+from quern.llm.decontaminate import drop_contaminated
 from quern.llm.exact_dedup import drop_exact_duplicates
 
 
@@ -14,8 +14,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("size(ranges) > 0").select("doc_id"), "doc_id", "left_anti")
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 STAGES = [("exact_dedup", exact), ("decontaminate", decontaminated)]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup
+from quern.llm import decontaminate, exact_dedup, packing, secrets, token_files
 
-MODULES = (decontaminate, exact_dedup)
+MODULES = (decontaminate, secrets, exact_dedup, token_files, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import id_type, table
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text as it came: A-Z belong to them.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A-Z to a-z, what separates words to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Words of items in one automaton.
@@ -116,7 +117,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     return [[(r["item"], r["text"].encode()) for r in numbered.filter(F.col("block") == k).orderBy("item", "text").collect()] for k in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, ranges (of words), spans (of code points), items (ids of matched items, sorted as strings)."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {id_type(docs, id_col)}, {_COLUMNS}"
@@ -133,6 +134,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return joined.select("doc_id.doc_id", "n_words", _merged("ranges", "lo", "hi").alias("ranges"), _merged("spans", "start", "end").alias("spans"), "items")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item's window occurs. No row is moved."""
+    place = docs.columns.index(text_col)
+
+    def keeper(items: list[tuple[str, bytes]]):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, automaton = build(items, window)
+            number = numbers.get
+            for batch in batches:
+                texts = (x.as_py() or b"" for x in batch.column(place).cast(pa.binary()))
+                yield batch.filter(pa.array([not (automaton and (ids := tuple([number(w, 0) for w in split_words(text)])) and hits(ids, automaton)[1]) for text in texts], pa.bool_()))
+
+        return keep
+
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(keeper(block), docs.schema)
+    return docs
+
+
 def _merged(column: str, lo: str, hi: str):
     """Ranges as a sorted union; ranges that only touch are joined too."""
     kind = f"array<struct<{lo}:bigint,{hi}:bigint>>"
