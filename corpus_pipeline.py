@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import table
 from quern.llm.decontaminate import drop_contaminated
 from quern.llm.exact_dedup import drop_exact_duplicates
+from quern.llm.packing import best_fit
+from quern.llm.quality import drop_low_quality, sample, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_low_quality(docs, train(*sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +23,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("decontaminate", decontaminated)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("decontaminate", decontaminated), ("packing", packed)]
 ORACLE_SQL = None
 
 
