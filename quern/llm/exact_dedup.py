@@ -1,8 +1,8 @@
 """Exact dedup by content sort, with DataFrame functions only.
 
-White space is normalised, sampled splitters range-partition the normalised bytes, an external sort
-places equal texts next to each other, and a window that compares neighbouring texts in full keeps the
-smallest identifier of each run. A text with so many copies that one range would be too large is dealt
+White space is normalised, sampled splitters range-partition the texts by their first characters and a
+hash (so that splitters are small, and equal texts still meet), an external sort places equal texts next
+to each other, and a window that compares neighbouring texts in full keeps the smallest identifier of each run. A text with so many copies that one range would be too large is dealt
 over several slices of that range; slices of such texts are few, and their heads meet in a last small step.
 
 Defined cases: null text is the empty text, a null id ranks after all others, of rows that agree in
@@ -18,6 +18,8 @@ from quern.llm.common import table, written
 
 #: A text with more copies than this, and than one in LEAST_SHARE of all rows, is dealt over slices.
 LEAST_COPIES, LEAST_SHARE = 1_000, 100_000
+#: Characters of a text that take part in the splitters.
+PREFIX = 32
 
 
 def normalised(text: Column) -> Column:
@@ -31,11 +33,12 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, carry: list[Column], limi
     # At most one row for each limit rows of the table: small enough to send to all executors.
     frequent = docs.select(F.xxhash64(normalised(F.col(text_col))).alias("h")).groupBy("h").count().filter(F.col("count") > limit)
     frequent = frequent.select("h", F.ceil(F.col("count") / limit).alias("slices"))
-    rows = rows.join(F.broadcast(frequent), "h", "left").drop("h")
+    rows = rows.join(F.broadcast(frequent), "h", "left").withColumn("prefix", F.substring("norm", 1, PREFIX))
     rows = rows.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slices")), F.lit(0)))
-    run = Window.partitionBy("norm", "slice")
+    # The first three decide the range; the window needs no further exchange, as they follow from what it groups by.
+    run = Window.partitionBy("prefix", "h", "slice", "norm")
     return (
-        rows.repartitionByRange("norm", "slice")
+        rows.repartitionByRange("prefix", "h", "slice")
         .withColumn("place", F.row_number().over(run.orderBy(F.col("doc_id").asc_nulls_last())))
         .withColumn("keep_id", F.min("doc_id").over(run))
         .withColumn("size", F.count(F.lit(1)).over(run))
