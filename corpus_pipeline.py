@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import table
 from quern.llm.decontaminate import drop_contaminated
 from quern.llm.exact_dedup import drop_exact_duplicates
+from quern.llm.near_dedup import drop_near_duplicates
 from quern.llm.packing import best_fit
 from quern.llm.quality import drop_low_quality, sample, train
 
@@ -19,6 +20,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit(docs)
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact), ("decontaminate", decontaminated), ("packing", packed)]
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminated), ("packing", packed)]
 ORACLE_SQL = None
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, packing, quality, secrets, token_files
+from quern.llm import decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, token_files
 
-MODULES = (decontaminate, secrets, exact_dedup, token_files, quality, packing)
+MODULES = (pii, decontaminate, secrets, exact_dedup, token_files, quality, packing, near_dedup)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
