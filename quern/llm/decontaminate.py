@@ -15,7 +15,6 @@ an empty table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
