@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quern.plans import measures, sets
+
+QUERIES = sets.QUERIES | measures.QUERIES
+ORACLES = sets.ORACLES | measures.ORACLES
