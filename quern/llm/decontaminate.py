@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_type, table
+from quern.llm.common import id_type, lean, table
 
 #: Words of a text as it came: A-Z belong to them.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -122,12 +122,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"doc_id {id_type(docs, id_col)}, {_COLUMNS}"
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     if len(blocks) == 1:
-        return given.mapInArrow(_scanner(blocks[0], window), schema)
+        return given.mapInArrow(lean(_scanner(blocks[0], window)), schema)
     # Rows may agree in everything, so each gets a number of its own; it depends on the text only through its place.
     given = given.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")))
     each = None
     for block in blocks:
-        one = given.select(F.struct("doc_id", "copy", F.xxhash64("text").alias("h")).alias("doc_id"), "text").mapInArrow(_scanner(block, window), f"doc_id struct<doc_id:{id_type(docs, id_col)},copy:int,h:long>, {_COLUMNS}")
+        one = given.select(F.struct("doc_id", "copy", F.xxhash64("text").alias("h")).alias("doc_id"), "text").mapInArrow(lean(_scanner(block, window)), f"doc_id struct<doc_id:{id_type(docs, id_col)},copy:int,h:long>, {_COLUMNS}")
         each = one if each is None else each.unionByName(one)
     joined = each.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return joined.select("doc_id.doc_id", "n_words", _merged("ranges", "lo", "hi").alias("ranges"), _merged("spans", "start", "end").alias("spans"), "items")
@@ -148,7 +148,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return keep
 
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        docs = docs.mapInArrow(keeper(block), docs.schema)
+        docs = docs.mapInArrow(lean(keeper(block)), docs.schema)
     return docs
 
 

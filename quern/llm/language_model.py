@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import LOWER, id_and_text, id_type, mix, table, text_pieces, word_hashes, written
+from quern.llm.common import LOWER, id_and_text, id_type, lean, mix, table, text_pieces, word_hashes, written
 
 #: Bytes of text in a block and, about, behind the values of a shard.
 BLOCK, SHARD = 12 << 20, 20 << 20
@@ -251,11 +251,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     total = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "fit", "v")]).first()
     n, v = total["n"], total["v"]
     rows = counts.filter("doc_id IS NOT NULL")
-    seen = rows.filter("hw IS NOT NULL").mapInArrow(_histogram(n - total["fit"], v), "b long, q2 long, q1 long, many long")
+    seen = rows.filter("hw IS NOT NULL").mapInArrow(lean(_histogram(n - total["fit"], v)), "b long, q2 long, q1 long, many long")
     # Buckets times steps of the two estimates: a bound that does not grow with the corpus.
     histogram = seen.groupBy("b", "q2", "q1").agg(F.sum("many").alias("many")).collect()
     id_arrow = to_arrow_type(docs.schema[id_col].dataType)
-    return rows.mapInArrow(_scorer(n, v, weights([tuple(r) for r in histogram], v), id_arrow), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(lean(_scorer(n, v, weights([tuple(r) for r in histogram], v), id_arrow)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_and_text, id_type, table
+from quern.llm.common import id_and_text, id_type, lean, table
 from quern.llm.encoder import encoder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -33,16 +34,19 @@ GROUP = 20_000
 def _counter(tokenizer_path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in batches:
-            n = [len(encode.ids(text.as_py())) // 4 + 1 for text in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        try:
+            for batch in batches:
+                n = np.concatenate([np.zeros(0, np.int64), *encode.lengths(batch.column("text"))]) + 1
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
+        finally:
+            encode.forget()  # later stages need the room
 
     return count
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = "") -> DataFrame:
     """doc_id, n_tokens: ids of the text and an end id."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_counter(tokenizer_path), f"doc_id {id_type(docs, id_col)}, n_tokens long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(_counter(tokenizer_path)), f"doc_id {id_type(docs, id_col)}, n_tokens long")
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, fixed: int = 64, scale: int = 32_768) -> tuple[list[int], list[int], list[int]]:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_and_text, id_type, table
+from quern.llm.common import id_and_text, id_type, lean, table
 
 ROWS, LONGEST = 2_000, 65_536
 CHUNK, DICTIONARY, LEVEL = 4_096, 65_536, 3
@@ -157,7 +157,7 @@ def _score_batches(model: Model):
 
 def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: the probability that label 1 is right."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_score_batches(model), f"doc_id {id_type(docs, id_col)}, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(_score_batches(model)), f"doc_id {id_type(docs, id_col)}, score double")
 
 
 def drop_low_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -169,7 +169,7 @@ def drop_low_quality(docs: DataFrame, model: Model, text_col: str = "text", thre
         for batch in batches:
             yield batch.filter(pa.array([of(t.as_py() or b"") >= threshold for t in batch.column(place).cast(pa.binary())], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

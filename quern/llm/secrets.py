@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_and_text, id_type, table
+from quern.llm.common import id_and_text, id_type, lean, table
 
 _DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -133,7 +133,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, secrets: array of kind, start, end (code points, end exclusive), base."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_scan_batches, f"doc_id {id_type(docs, id_col)}, secrets array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(_scan_batches), f"doc_id {id_type(docs, id_col)}, secrets array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import PLAIN, id_and_text, id_type, ngrams, table, text_pieces, word_hashes, written
+from quern.llm.common import PLAIN, id_and_text, id_type, lean, ngrams, table, text_pieces, word_hashes, written
 from quern.llm.fm_index import FMIndex, matched_windows
 
 WIDTH, GRAM = 50, 8
@@ -148,7 +148,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         raise ValueError("width must exceed gram")
     kind, arrow = id_type(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
     given = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    cuts = written(given.mapInArrow(_finder(width, gram), f"doc_id {kind}, th long, anchor array<long>, a array<int>, b array<int>"), "cuts")
+    cuts = written(given.mapInArrow(lean(_finder(width, gram)), f"doc_id {kind}, th long, anchor array<long>, a array<int>, b array<int>"), "cuts")
     each = cuts.select("doc_id", "th", F.explode(F.arrays_zip("anchor", "a", "b")).alias("s")).select("doc_id", "th", "s.*")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     met = written(each.groupBy("anchor").agg(F.min(order).alias("x"), F.max(order).alias("y"), F.count(F.lit(1)).alias("many"), F.sum(F.col("b") - F.col("a") + width).alias("words")).filter("x != y").select("anchor", "many", "words"), "anchors")
@@ -159,7 +159,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         own = each.join(anchors.select("anchor"), "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "a", "b")).alias("segments"))
         same = given["doc_id"].eqNullSafe(own["doc_id"]) & (given["th"] == own["th"])
         rows = given.join(own, same).select(given["doc_id"], given["th"], "text", "segments")
-        return rows.mapInArrow(_cutter(width, arrow, single), f"doc_id {kind}, th long, a long, anchor long, words binary")
+        return rows.mapInArrow(lean(_cutter(width, arrow, single)), f"doc_id {kind}, th long, a long, anchor long, words binary")
 
     dealt = cut(met.filter(F.col("many") <= frequent), False).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = dealt.groupBy("shard").applyInArrow(_searcher(width, arrow), f"doc_id {kind}, th long, lo long, hi long")
@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given, found = repeated(docs, id_col, text_col, width, gram, frequent, shard_words)
     same = given["doc_id"].eqNullSafe(found["doc_id"]) & (given["th"] == found["th"])
     rows = given.join(found, same, "left").select(given["doc_id"], "text", "ranges")
-    return rows.mapInArrow(_remove, f"doc_id {id_type(docs, id_col)}, n_words long, n_removed long, kept_text string")
+    return rows.mapInArrow(lean(_remove), f"doc_id {id_type(docs, id_col)}, n_words long, n_removed long, kept_text string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

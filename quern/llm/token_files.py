@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_and_text, table, working_path, written
+from quern.llm.common import id_and_text, lean, table, working_path, written
 from quern.llm.encoder import encoder
 
 MAGIC = b"QTF1"
@@ -136,12 +136,15 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, file_bytes: int):
             return row
 
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
-                keys.append(key)
-                ids.append(encode.ids(text.as_py()) + end)
-                size += len(ids[-1]) * width // 4
-                if size >= file_bytes:
-                    yield close()
+            all_keys, row = batch.column("doc_id").to_pylist(), 0
+            for flat, n in encode.encoded(batch.column("text")):
+                at = 0
+                for count in n.tolist():
+                    keys.append(all_keys[row])
+                    ids.append(flat[at : at + count].tobytes() + end)
+                    row, at, size = row + 1, at + count, size + (count + 1) * width
+                    if size >= file_bytes:
+                        yield close()
         if keys:
             yield close()
 
@@ -152,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """Writes the files; returns the manifest: part, seq, name, n_docs, n_ids, first (ids in all files before)."""
     given = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = given.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(_writer(folder, tokenizer_path, end_id, file_bytes), "part long, seq long, name string, n_docs long, n_ids long"), "manifest")
+    manifest = written(ordered.mapInArrow(lean(_writer(folder, tokenizer_path, end_id, file_bytes)), "part long, seq long, name string, n_docs long, n_ids long"), "manifest")
     # A row for each file: few, in one task.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -173,7 +176,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files that the manifest names."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    rows = files.mapInArrow(_read_batches, "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(_read_batches), "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(manifest.select("name", "first"), "name").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
