@@ -209,7 +209,9 @@ class Blocked:
     def places(self, key: Column) -> tuple[Column, Column]:
         """Block, and bits in it."""
         a, b = lanes(key_hash(key, self.policy))
-        bits = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(self.k - 1).cast("bigint")), lambda i: (b + i * a) % 512)
+        # The block takes the low bits of one lane, the first bit its upper ones; the odd step comes from the other lane.
+        first = F.shiftright(a, self.blocks.bit_length() - 1)
+        bits = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(self.k - 1).cast("bigint")), lambda i: (first + i * b) % 512)
         return a % self.blocks, F.array_distinct(bits)
 
     def state(self, df: DataFrame, key: Column | str) -> DataFrame:

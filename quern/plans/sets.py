@@ -191,7 +191,7 @@ SELECT count(*)::BIGINT AS used, sum(n)::BIGINT AS total, max(n)::BIGINT AS larg
 u AS (SELECT user_id, row_number() OVER (ORDER BY f.ts, f.event_id, user_id) AS n FROM (SELECT user_id, min(struct_pack(ts := ts, event_id := event_id)) AS f FROM events GROUP BY user_id)),
 p AS (SELECT stage, m, k, {sql_hash('user_id')} AS h FROM u JOIN s ON n > lo AND n <= hi)
 SELECT stage, count(DISTINCT bit) AS bits_set FROM (SELECT stage, ((h % 1073741824) + i * ((h >> 30) | 1)) % m AS bit FROM (SELECT *, unnest(range(0, k)) AS i FROM p)) GROUP BY stage""",
-    "blocked_bloom_blocks": f"""SELECT block, count(DISTINCT bit) AS bits_set FROM (SELECT (h % 1073741824) % {BLOCKED.blocks} AS block, (((h >> 30) | 1) + i * (h % 1073741824)) % 512 AS bit
+    "blocked_bloom_blocks": f"""SELECT block, count(DISTINCT bit) AS bits_set FROM (SELECT (h % 1073741824) % {BLOCKED.blocks} AS block, ((h % 1073741824) // {BLOCKED.blocks} + i * ((h >> 30) | 1)) % 512 AS bit
 FROM (SELECT {sql_hash('c_custkey')} AS h FROM customer), (SELECT unnest(range(0, {BLOCKED.k})) AS i)) GROUP BY block""",
     "quotient_pairs": f"SELECT count(*) AS pairs, count(DISTINCT q) AS quotients, round(count(*) / {QUOTIENT.slots}.0, 6) AS load FROM ({_pairs('lineitem', 'l_orderkey')})",
     "quotient_set_ops": "WITH a AS ({a}), b AS ({b}) SELECT (SELECT count(*) FROM (FROM a UNION FROM b)) AS union_pairs, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS intersection_pairs, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS rest_pairs".format(
