@@ -358,7 +358,7 @@ def _dd(source: str, value: str, probabilities: list[float], group: str = "", na
     ln = repr(math.log(DD.gamma))
     return f"""WITH s AS (SELECT {g}sign({value})::INT AS sg, CASE WHEN {value} = 0 THEN 0 ELSE ceil(ln(abs({value})) / {ln})::INT END AS b, count(*) AS c FROM {source} GROUP BY ALL),
 r AS (SELECT *, sum(c) OVER ({part} ORDER BY sg, sg * b) AS up, sum(c) OVER ({part}) AS n FROM s),
-q AS (SELECT unnest({probabilities}) AS q),
+q AS (SELECT unnest({probabilities}::DOUBLE[]) AS q),
 f AS (SELECT {g}q, arg_min(CASE WHEN sg = 0 THEN 0.0 ELSE sg * 2 * pow({DD.gamma!r}, b) / {DD.gamma + 1!r} END, up) AS value FROM r, q WHERE up >= q * n GROUP BY {g}q)
 SELECT {g}q, round(value, 6) AS {name} FROM f"""
 
@@ -418,8 +418,8 @@ SELECT r::VARCHAR AS row, f2 FROM f UNION ALL SELECT 'median', median(f2) FROM f
     "approx_top_k_native": "SELECT event_type AS item, count(*) AS count FROM events GROUP BY event_type",
     "dd_quantiles": _dd("lineitem", "l_extendedprice", PROBABILITIES, "l_returnflag, l_linestatus"),
     "dd_state_merge": _dd("customer", "c_acctbal", PROBABILITIES),
-    "kll_quantiles_bound": f"SELECT event_type, q, count(*) AS n, true AS within_bound FROM events, (SELECT unnest({PROBABILITIES}) AS q) GROUP BY event_type, q",
-    "tdigest_quantiles": f"SELECT event_type, q, true AS within_bound FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest({PROBABILITIES}) AS q)",
+    "kll_quantiles_bound": f"SELECT event_type, q, count(*) AS n, true AS within_bound FROM events, (SELECT unnest({PROBABILITIES}::DOUBLE[]) AS q) GROUP BY event_type, q",
+    "tdigest_quantiles": f"SELECT event_type, q, true AS within_bound FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest({PROBABILITIES}::DOUBLE[]) AS q)",
     "tdigest_cdf": "SELECT event_type, count(*) AS n, true AS within_bound FROM events GROUP BY event_type",
     "minhash_signatures": _signature(),
     "minhash_jaccard": f"WITH m AS ({_signature()}) SELECT a, b, round(count(*) FILTER (x.value = y.value) / {MINHASH.k}.0, 6) AS jaccard FROM {_PAIRS} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
