@@ -58,12 +58,12 @@ def build(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, int]
 
 
 def hits(ids: tuple[int, ...], automaton: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged word ranges inside any match, and the items that match."""
+    """Word ranges inside any match, joined where they overlap, and the items that match."""
     ranges: list[tuple[int, int]] = []
     items: set[int] = set()
     for end, (length, own) in automaton.iter(ids):
         lo = end - length + 1
-        while ranges and ranges[-1][1] >= lo:
+        while ranges and ranges[-1][1] > lo:
             lo = min(lo, ranges.pop()[0])
         ranges.append((lo, end + 1))
         items.update(own)
@@ -153,13 +153,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def _merged(column: str, lo: str, hi: str):
-    """Ranges as a sorted union; ranges that only touch are joined too."""
+    """Ranges by place, joined where they overlap."""
     kind = f"array<struct<{lo}:bigint,{hi}:bigint>>"
 
     def step(acc, x):
         last = F.element_at(acc, -1)
         longer = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last[lo].alias(lo), F.greatest(last[hi], x[hi]).alias(hi)))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))[hi] >= x[lo]), longer).otherwise(F.array_append(acc, x))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))[hi] > x[lo]), longer).otherwise(F.array_append(acc, x))
 
     return F.aggregate(F.array_sort(F.col(column)), F.array().cast(kind), step)
 

@@ -1,0 +1,442 @@
+"""Each operator against a plain version in Python, on odd inputs and on generated ones."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quern.llm import decontaminate, exact_dedup, language_model, near_dedup, packing, pii, quality, secrets, substring_dedup, token_files
+from quern.llm.common import working_path
+from quern.llm.encoder import Encoder, encoder
+
+LONG = "lorem ipsum dolor " * 20_000
+#: Nulls, empty and very long texts, repeated rows, equal ids with different texts.
+ODD = [(1, None), (2, ""), (3, "   \t\n"), (4, LONG), (5, "one"), (5, "two words"), (6, "same text here"), (6, "same text here"), (7, "same  text\nhere"), (8, LONG), (None, "same text here"), (None, None), (9, "é" * 50 + " 日本 \U0001f600")]
+SCHEMA = "doc_id long, text string"
+CLASH = "doc_id long, text string, key string, n long, th string, slice int, h int, row string, shard int, block long, count long"
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def split(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    return spark.createDataFrame([(*r, "k", 1, "t", 2, 3, "r", 4, 5, 6) for r in ODD], CLASH)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, "same text here"), (2, None), (3, ""), (4, "lorem ipsum dolor lorem ipsum dolor lorem ipsum dolor lorem ipsum"), (None, "two words")], "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def applied(spark, name, docs, benchmark, labels):
+    if name == "pii":
+        return pii.find_pii(docs)
+    if name == "decontaminate":
+        return decontaminate.digest(decontaminate.contamination(docs, benchmark))
+    if name == "secrets":
+        return secrets.find_secrets(docs)
+    if name == "exact":
+        return exact_dedup.exact_duplicates(docs)
+    if name == "tokens":
+        folder = working_path(spark, "token_files")
+        manifest = token_files.write_token_files(docs, folder)
+        return spark.createDataFrame([], "doc_id long") if manifest.isEmpty() else token_files.read_token_files(spark, folder, manifest)
+    if name == "model":
+        return language_model.scores(docs)
+    if name == "quality":
+        return quality.quality_scores(docs, quality.train(*quality.sample(docs, labels)))
+    if name == "substring":
+        return substring_dedup.remove_repeats(docs)
+    if name == "packing":
+        return packing.best_fit(docs)
+    return near_dedup.near_duplicates(docs)
+
+
+NAMES = ["pii", "decontaminate", "secrets", "exact", "tokens", "model", "quality", "substring", "packing", "near"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_rows_empty_tables_and_clashing_columns(spark, name, docs, clashing, empty, benchmark, labels):
+    own = applied(spark, name, docs, benchmark, labels)
+    got = rows(own)
+    if name != "packing":
+        assert len(got) == len(ODD)
+    assert rows(applied(spark, name, clashing, benchmark, labels)) == got
+    assert rows(applied(spark, name, empty, benchmark, labels)) == []
+
+
+@pytest.mark.parametrize("name", ["exact", "near", "quality", "decontaminate"])
+def test_filters_keep_columns(spark, name, docs, clashing, empty, benchmark, labels):
+    def kept(d):
+        return {
+            "exact": lambda: exact_dedup.drop_exact_duplicates(d),
+            "near": lambda: near_dedup.drop_near_duplicates(d),
+            "quality": lambda: quality.drop_low_quality(d, quality.train(*quality.sample(d, labels))),
+            "decontaminate": lambda: decontaminate.drop_contaminated(d, benchmark),
+        }[name]()
+
+    out = kept(clashing)
+    assert out.columns == clashing.columns
+    assert rows(kept(docs)) == sorted([tuple(r[:2]) for r in out.collect()], key=str)
+    assert rows(kept(empty)) == []
+
+
+# Personal data.
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(int(c) for c in reversed(d))) % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def test_pii_base_spans_equal_plain_matching(spark):
+    random.seed(3)
+    texts = ["a@b.c_d@e.f", "x..y@z.com, 1.2.3.4.5.6.7.8 300.1.1.1 000255.1.2.3", "é" * 10 + "4111 1111 1111 1111 ü 4111-1111-1111-1111x", "1" * 9000, "1 " * 9000, "a" * 9000 + "@", "a@b.c" * 500, "+1 " + " " * 9000]
+    for alphabet in ("ab1.@+ -()0459é_%", "01 .-+()@a", "4142 -"):
+        texts += ["".join(random.choices(alphabet, k=random.randint(0, 60))) for _ in range(400)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in BASE] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(k, *m.span()) for k, (p, ok) in BASE.items() for m in re.finditer(p, t) if ok(m[0])], t[:80]
+
+
+def test_pii_added_spans(spark):
+    (r,) = pii.find_pii(spark.createDataFrame([(1, "contact: Dr. John Smith 415-555-2671 ssn 123-45-6788")], SCHEMA)).collect()
+    assert [(s.kind, s.start, s.end) for s in r.spans] == [("name", 9, 23), ("local_phone", 24, 36), ("national_id", 41, 52)]
+
+
+def test_expectation_maximisation_finds_the_reliable_labeler():
+    random.seed(1)
+    counts = Counter()
+    for _ in range(20_000):
+        truth = random.random() < 0.4
+        counts[tuple(int(truth if random.random() < good else not truth) for good in (0.95, 0.8, 0.6))] += 1
+    p = pii.expectation_maximisation(counts)
+    assert p[1, 1, 0] > 0.9 > 0.1 > p[0, 0, 1] and p[1, 0, 0] > p[0, 1, 1]
+
+
+# Benchmark items.
+
+
+def test_contamination_equals_plain_search(spark):
+    random.seed(5)
+    vocabulary = ["Alpha", "beta", "GAMMA", "d1", "é"]
+    make = lambda n: random.choice([" ", ", ", "-"]).join(random.choices(vocabulary, k=n))
+    items = [(i, make(random.choice([0, 1, 3, 6, 9]))) for i in range(12)]
+    texts = [(i, make(random.randint(0, 40))) for i in range(150)]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    for block in (10**6, 30):
+        found = decontaminate.contamination(spark.createDataFrame(texts, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), window=4, block_words=block)
+        got = {r.doc_id: r for r in found.collect()}
+        assert {r.doc_id: r.n_hit for r in decontaminate.digest(found).collect()} == {i: sum(x.hi - x.lo for x in got[i].ranges) for i, _ in texts}
+        for i, t in texts:
+            w, hit, which = words(t), set(), set()
+            for k, item in items:
+                v = words(item)
+                for a in range(max(1, len(v) - 3) if v else 0):
+                    p = v[a : a + 4]
+                    for b in range(len(w) - len(p) + 1):
+                        if w[b : b + len(p)] == p:
+                            hit.update(range(b, b + len(p)))
+                            which.add(str(k))
+            assert {p for x in got[i].ranges for p in range(x.lo, x.hi)} == hit
+            assert got[i]["items"] == sorted(which)
+            assert [words(t[s.start : s.end]) for s in got[i].spans] == [w[x.lo : x.hi] for x in got[i].ranges]
+
+
+# Secrets.
+
+
+def test_secret_base_spans_equal_plain_matching(spark):
+    random.seed(7)
+    tokens = ["password", "Passwd", "SECRET", "token", "api_key", "apiKEY", "=", ": ", '"', "'", " ", "abcdefgh", "0123abcd" * 4, "AKIA", "ABCDEFGHIJKL", "é", "\n", "akia", "f" * 40, "F" * 40, "x"]
+    texts = ["".join(random.choices(tokens, k=random.randint(0, 14))) for _ in range(1500)] + ["a" * 50_000]
+    rules = {
+        "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    }
+    order = list(rules)
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.secrets if s.base] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sorted([(*m.span(), k) for k, (p, ok) in rules.items() for m in re.finditer(p, t) if ok(m)], key=lambda x: (x[0], order.index(x[2]))), t[:80]
+
+
+def test_secret_checksums():
+    words, body = secrets.automaton(), b"abcdefghijABCDEFGHIJ0123456789"
+    right = b"ghp_" + body + secrets.base62_crc(body)
+    assert [k for *_, k in secrets.scan(b"x " + right + b" y", words)] == ["github"]
+    assert secrets.scan(b"x " + right[:-1] + b"!", words) == []
+    assert [k for *_, k in secrets.scan(b"eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln", words)] == ["jwt"]
+
+
+# Exact duplicates.
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_exact_duplicates_equal_plain_grouping(spark, limit):
+    random.seed(9)
+    texts = [(i, random.choice(["a b", "a  b", "a\nb", "c", "", None, "hot text", "hot  text", f"own {i}"])) for i in range(300)]
+    random.shuffle(texts)
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    df = spark.createDataFrame(texts, SCHEMA).repartition(3)
+    want = {i: (min(own), len(own), i == min(own), hashlib.sha256(k.encode()).hexdigest()) for k, own in groups.items() for i in own}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_duplicates(df, limit=limit).collect()} == want
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(df, limit=limit).collect()) == sorted(min(own) for own in groups.values())
+
+
+def test_exact_duplicates_sort_once_without_python(spark, docs):
+    plan = exact_dedup._runs(docs, "doc_id", "text", [], 100)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Python" not in plan and plan.count("hashpartitioning") <= 1
+
+
+# Token files.
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 0), (5, 100), (1000, 10**7), (1000, 3), (130, 0), (64, 64)):
+        v = np.sort(rng.integers(0, top + 1, n))
+        e = token_files.EliasFano.encode(v)
+        assert e.all().tolist() == v.tolist() and [e.select(i) for i in range(n)] == v.tolist()
+
+
+@pytest.mark.parametrize("size", [1 << 20, 50])
+def test_token_files_round_trip(spark, size):
+    texts = [(i * 7 % 101, f"Doc {i} don't STOP <|endoftext|> {'é' * (i % 5)} x" * (i % 9)) for i in range(101)]
+    folder = working_path(spark, "files")
+    manifest = token_files.write_token_files(spark.createDataFrame(texts, SCHEMA).repartition(5), folder, file_bytes=size)
+    got = {r.doc_id: r for r in token_files.read_token_files(spark, folder, manifest).collect()}
+    start = 0
+    for i, t in sorted(texts):
+        ids = [*encoder().tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_encoder_equals_the_library():
+    e, random_ = encoder(), random.Random(1)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xA0, 0x180), 0x300, 0x301, 0x3A3, 0x130, 0x2019, 0x4E2D, 0x1F600]] + [" "] * 20 + ["'s", "'ll", "<|endoftext|>", "\x1c", "\x85"]
+    texts = ["".join(random_.choices(letters, k=random_.randint(0, 25))) for _ in range(3000)]
+    got = [x.tolist() for ids, n in e.encoded(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert np.concatenate(list(e.lengths(pa.array(texts)))).tolist() == list(map(len, got))
+
+
+def test_encoder_takes_other_tokenizers():
+    import public_tokenizers
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.by_word and e.ids("Hello  world") == e.tokenizer.encode("Hello  world", add_special_tokens=False).ids
+
+
+# Language model.
+
+
+def test_language_model_counts_and_weights(spark):
+    random.seed(11)
+    vocabulary = [f"W{k}" for k in range(30)]
+    texts = [(i, " ".join(random.choices(vocabulary, weights=range(30, 0, -1), k=random.randint(0, 40)))) for i in range(400)]
+    got = {r.doc_id: r for r in language_model.scores(spark.createDataFrame(texts, SCHEMA), block=4000, shard=3000).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in texts}
+    tokens = {i: [*split(lower(t)), None] for i, t in texts}
+    c, c2, h, h2 = Counter(), Counter(), Counter(), Counter()
+    for i, w in tokens.items():
+        if fold[i]:
+            c.update(w)
+            c2.update(zip([None, *w[:-1]], w))
+        if fold[i] == 1:
+            h.update(w)
+            h2.update(zip([None, *w[:-1]], w))
+    n, v = sum(c.values()), len(c)
+    log = lambda x: round(language_model.FINE * math.log2(x)) if x > 0 else language_model.NONE
+    bucket = lambda x: x.bit_length()
+    histogram = Counter()
+    for i, w in tokens.items():
+        if fold[i] == 1:
+            for a, b in zip([None, *w[:-1]], w):
+                left = c[a] - h[a]
+                histogram[bucket(left), log((c2[a, b] - h2[a, b]) / left if left else 0), log((c[b] - h[b]) / (n - sum(h.values())))] += 1
+    weights = language_model.weights([(*k, x) for k, x in histogram.items()], v)
+    for i, w in tokens.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold[i] == 0, len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+        want = 0.0
+        for a, b in zip([None, *w[:-1]], w):
+            x, y, z = weights[bucket(c[a])]
+            want += math.log10(x * c2[a, b] / max(c[a], 1) + y * c[b] / n + z / (v + 1))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+# Quality.
+
+
+def test_quality_tells_prose_from_noise(spark):
+    random.seed(13)
+    stems = ["".join(random.choices("etaoinshrdlu", k=random.randint(2, 6))) for _ in range(300)]
+    good = lambda: " ".join(random.choices(stems, k=80)) + "."
+    bad = lambda: " ".join(random.choice(stems).upper() + "!!" for _ in range(60))
+    texts = [(i, bad() if i % 5 == 0 else good()) for i in range(900)]
+    docs, labels = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(900)], "doc_id long, quality int")
+    rows_, totals = quality.sample(docs, labels, rows=100)
+    assert len(rows_) == 200 and totals[1] > 3 * totals[0]
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, quality.train(rows_, totals)).collect()}
+    held = [i for i in scores if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((scores[i] >= 0.5) == (i % 5 != 0) for i in held) > 0.97 * len(held) and all(0 <= s <= 1 for s in scores.values())
+
+
+def test_quality_with_one_class_or_none():
+    assert quality.train([]).scorer()(b"x") == 0.5
+    assert quality.train([(b"x", 1)]).scorer()(b"x") > 0.99 > 0.01 > quality.train([(b"x", 0)]).scorer()(b"")
+
+
+# Repeated passages.
+
+
+@pytest.mark.parametrize("width,gram,frequent,shard", [(6, 3, 10**9, 10**6), (6, 3, 3, 500), (12, 4, 10**9, 700), (5, 1, 10**9, 10**4)])
+def test_substring_dedup_equals_plain_windows(spark, width, gram, frequent, shard):
+    random.seed(5)
+    source = [random.choice(["a", "b", "c", *(f"d{i}" for i in range(20))]) for _ in range(400)]
+    texts = []
+    for i in range(200):
+        w = []
+        for _ in range(random.randint(0, 6)):
+            if random.random() < 0.6:
+                a = random.randint(0, 380)
+                w += source[a : a + random.randint(1, 60)]
+            else:
+                w += random.choices("abc", k=random.randint(1, 15))
+        texts.append((i, random.choice([" ", "  ", "\n"]).join(w)))
+    texts += [(1000, None), (1001, ""), (1002, "x " * 100), (1003, "x " * 60), (1004, "x " * 200)]
+    first = {}
+    for i, t in texts:
+        w = split(t)
+        for k in range(len(w) - width + 1):
+            first[tuple(w[k : k + width])] = min(first.get(tuple(w[k : k + width]), 10**9), i)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark.createDataFrame(texts, SCHEMA), width=width, gram=gram, frequent=frequent, shard_words=shard).collect()}
+    for i, t in texts:
+        w, gone = split(t), set()
+        for k in range(len(w) - width + 1):
+            if first[tuple(w[k : k + width])] < i:
+                gone.update(range(k, k + width))
+        assert got[i] == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+
+
+def test_fm_index_counts():
+    from quern.llm.fm_index import FMIndex
+
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 6, 500), 0)
+    index = FMIndex(text, 7, np.arange(501))
+    for n in (1, 2, 3, 5):
+        for a in range(0, 490, 37):
+            lo, hi = np.array([0]), np.array([501])
+            for c in reversed(text[a : a + n].tolist()):
+                lo, hi = index.extend(np.array([c]), lo, hi)
+            at = [i for i in range(500 - n + 1) if (text[i : i + n] == text[a : a + n]).all()]
+            assert hi[0] - lo[0] == len(at) and index.least_owner(lo, hi)[0] == at[0]
+
+
+# Packing.
+
+
+def test_packing_places_all_without_overlap(spark):
+    texts = [(i, "word " * (i * 37 % 3000)) for i in range(200)] + [(999, "word " * 30_000)]
+    lengths = (512, 1024, 2048, 4096, 8192)
+    counts = {r.doc_id: r.n_tokens for r in packing.token_counts(spark.createDataFrame(texts, SCHEMA)).collect()}
+    parts, bins = Counter(), {}
+    for r in packing.best_fit(spark.createDataFrame(texts, SCHEMA), group=60).collect():
+        parts[r.doc_id] += r.n_tokens
+        bins.setdefault((r.bin_id, r.bin_length), []).append((r.bin_offset, r.n_tokens))
+    assert parts == counts and len({b for b, _ in bins}) == len(bins)
+    for (_, length), own in bins.items():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert length == min(x for x in lengths if x >= at)
+
+
+def test_packing_takes_the_tightest_bin():
+    bins, offsets, final = packing.pack([900, 600, 400, 100], (1024,), fixed=0)
+    assert bins == [0, 1, 1, 0] and offsets == [0, 0, 600, 900] and final == [1024, 1024]
+
+
+# Near duplicates.
+
+
+@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_all_pairs(spark, n, percent):
+    random.seed(17)
+    vocabulary = [f"v{k}" for k in range(400)]
+    texts, sources = [], [random.choices(vocabulary, k=random.choice([4, 30, 120, 400])) for _ in range(40)]
+    for _ in range(450):
+        w = list(random.choice(sources))
+        for _ in range(random.choice([0, 0, 1, 2, 5, len(w) // 12])):
+            w[random.randrange(len(w))] = random.choice(vocabulary)
+        texts.append((len(texts), " ".join(x.upper() if random.random() < 0.05 else x for x in w)))
+    texts += [(len(texts) + k, t) for k, t in enumerate(["", None, "a", "A", "a b", "a b"])]
+    sets = []
+    for _, t in texts:
+        w = split(lower(t))
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if both and 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(texts, SCHEMA), n=n, percent=percent).collect()}
+    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i, _ in texts}
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {r.key: r.root for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
