@@ -186,6 +186,28 @@ class Scalable:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def maybe(self, df: DataFrame, key: str, state: DataFrame, stages: int, flag: str = "maybe") -> DataFrame:
+        """True where any stage has the key, newest first."""
+        out, flags = df, []
+        for i in reversed(range(stages)):
+            out = self.filter(i).maybe(out, key, state.filter(F.col("stage") == i).select("bit"), f"_stage{i}")
+            flags.append(f"_stage{i}")
+        hit = F.lit(False)
+        for f in flags:
+            hit = hit | F.col(f)
+        return out.withColumn(flag, hit).drop(*flags)
+
+    def combine(self, a: DataFrame, b: DataFrame, how: str = "union") -> DataFrame:
+        """Union or intersection stage by stage, of states with as many stages."""
+        if {r[0] for r in a.select("stage").distinct().collect()} != {r[0] for r in b.select("stage").distinct().collect()}:
+            raise ValueError("states differ in their stages")
+        return union(a, b) if how == "union" else intersection(a, b)
+
+    def fill_ratio(self, state: DataFrame) -> DataFrame:
+        """The mean over the stages."""
+        sizes = {r["stage"]: r["n"] / self.filter(r["stage"]).m for r in state.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return state.sparkSession.createDataFrame([(sum(sizes.values()) / max(1, len(sizes)),)], "fill_ratio double")
+
     def expected_fpr(self, stages: int) -> float:
         miss = 1.0
         for i in range(stages):

@@ -51,11 +51,32 @@ class DDSketch:
         return reached.groupBy(*group, "q").agg(F.min_by(F.when(F.col("sign") == 0, 0.0).otherwise(value), F.struct(F.col("sign"), order[0])).alias("value"))
 
 
-def kll_quantiles(df: DataFrame, value: Column | str, probabilities: list[float], group: list[str] | None = None, k: int = 200) -> DataFrame:
-    """group, q, value and n from Spark's KLL sketch."""
+def kll_state(df: DataFrame, value: Column | str, group: list[str] | None = None, k: int = 200) -> DataFrame:
+    """group and Spark's KLL sketch as a binary."""
     if k < 8:
         raise ValueError("k must be at least 8")
-    sketch = df.groupBy(*(group or [])).agg(F.kll_sketch_agg_double(column(value).cast("double"), F.lit(k)).alias("_s"))
+    return df.groupBy(*(group or [])).agg(F.kll_sketch_agg_double(column(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def kll_merge(*states: DataFrame, group: list[str] | None = None) -> DataFrame:
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out.groupBy(*(group or [])).agg(F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+
+
+def kll_rank(value: float) -> Column:
+    """Of a KLL state's row the share of values up to the given one."""
+    return F.kll_sketch_get_rank_double("sketch", F.lit(float(value)))
+
+
+def kll_quantile(q: float) -> Column:
+    return F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))
+
+
+def kll_quantiles(df: DataFrame, value: Column | str, probabilities: list[float], group: list[str] | None = None, k: int = 200) -> DataFrame:
+    """group, q, value and n from Spark's KLL sketch."""
+    sketch = kll_state(df, value, group, k).withColumnRenamed("sketch", "_s")
     # The rank must be a literal, so each quantile is an expression of its own over the one sketch.
     each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("q"), F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias("value")) for p in probabilities])).alias("x")
     return sketch.select(*(group or []), F.kll_sketch_get_n_double("_s").alias("n"), each).select(*(group or []), "x.q", "x.value", "n")

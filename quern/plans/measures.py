@@ -20,7 +20,7 @@ from quern.operators.quantiles import DDSketch, TDigest, cdf, kll_quantiles, qua
 from quern.operators.sampling import Reservoir
 from quern.operators.similarity import PRIME, BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash, coefficients
 from quern.operators.windowed import sliding_counts
-from quern.plans.sets import P, sql_hash
+from quern.plans.sets import ORDERS, P, sql_hash
 from quern.sources import state as states
 from quern.sources.tables import table
 from quern.streaming import sketches as S
@@ -298,6 +298,24 @@ def stream_eh(spark: SparkSession, d: str) -> DataFrame:
     return got.join(_last_ones(table(spark, d, "events")).drop("ticks"), "user_id").select("user_id", "ticks", "exact", _close("estimate").alias("within_bound"))
 
 
+def partition_invariance(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded: states built by many parallel tasks equal those of one task, register by register and cell by cell."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    spread, alone = lines.repartition(16), lines.coalesce(1)
+    builds = {
+        "bloom": lambda df: ORDERS.bits(df, "l_orderkey"),
+        "hyperloglog": lambda df: HLL.state(df, "l_orderkey"),
+        "count_min": lambda df: CMS.state(df, "l_partkey"),
+        "dd_sketch": lambda df: DD.state(df, "l_extendedprice"),
+    }
+    out = None
+    for name, build in builds.items():
+        a, b = build(spread), build(alone)
+        one = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(name).alias("sketch"), (F.count(F.lit(1)) == 0).alias("within_bound"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 GRID = [(1_000, 0.01), (10_000, 0.01), (10_000, 0.05), (1_000_000, 0.001)]
 BUDGETS = [(10_000, 0.01, 20_000), (10_000, 0.05, 9_000), (100_000, 0.001, 50_000_000), (100_000, 0.001, 10)]
 
@@ -333,7 +351,7 @@ QUERIES = {
         count_sketch_estimates, ams_f2, mg_heavy_hitters, lossy_heavy_hitters, space_saving_topk, space_saving_bounds, heavy_keeper_topk, approx_top_k_native,
         dd_quantiles, dd_state_merge, kll_quantiles_bound, tdigest_quantiles, tdigest_cdf, minhash_signatures, minhash_jaccard, bbit_minhash_jaccard,
         weighted_minhash_jaccard, odd_symmetric_difference, simhash_fingerprints, simhash_similarity, reservoir_sample, reservoir_by_group, eh_sliding_count,
-        stream_hll_windows, stream_cms_windows, stream_dd_windows, stream_eh, sizing_params, recommend_filter, sketch_roundtrip,
+        stream_hll_windows, stream_cms_windows, stream_dd_windows, stream_eh, partition_invariance, sizing_params, recommend_filter, sketch_roundtrip,
     )
 }
 
@@ -435,6 +453,7 @@ SELECT a, b, odd, round(CASE WHEN odd >= {ODD.m // 2} THEN 'inf'::DOUBLE ELSE ln
     "reservoir_by_group": f"""SELECT event_id, event_type, priority FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY priority, event_id) AS n FROM (SELECT event_id, event_type, {sql_hash("event_id::VARCHAR || '#7'")} AS priority FROM events)) WHERE n <= {RESERVOIR.k}""",
     "eh_sliding_count": _LAST,
     "stream_eh": _LAST,
+    "partition_invariance": "SELECT unnest(['bloom', 'hyperloglog', 'count_min', 'dd_sketch']) AS sketch, true AS within_bound",
     "stream_hll_windows": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events) " + _hll("e", "user_id", "day"),
     "stream_cms_windows": f"SELECT r::INT AS row, {_cells('event_type', CMS.depth, CMS.width)} AS cell, count(*) AS count FROM events, (SELECT unnest(range(0, {CMS.depth})) AS r) GROUP BY ALL",
     "stream_dd_windows": "SELECT day, median FROM (" + _dd("(SELECT strftime(ts, '%Y-%m-%d') AS day, value FROM events)", "value", [0.5], "day", "median") + ")",

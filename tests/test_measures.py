@@ -10,7 +10,7 @@ from quern.functions import sizing
 from quern.operators import heavy
 from quern.operators.cardinality import HyperLogLog, native_distinct
 from quern.operators.frequency import AMS, CountMin, CountMinLog, CountSketch, merge
-from quern.operators.quantiles import DDSketch, TDigest, cdf, compress, digest_cdf, digest_quantile, kll_quantiles, quantile
+from quern.operators.quantiles import DDSketch, TDigest, cdf, compress, digest_cdf, digest_quantile, kll_merge, kll_quantile, kll_quantiles, kll_rank, kll_state, quantile
 from quern.operators.sampling import Reservoir
 from quern.operators.similarity import BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash
 from quern.operators.windowed import ExponentialHistogram, sliding_counts
@@ -160,6 +160,14 @@ def test_kll(spark):
     assert all(abs(v - q * 10_000) < 300 for q, v in got.items())
 
 
+def test_kll_states_merge(spark):
+    parts = kll_merge(kll_state(spark.range(5000), "id"), kll_state(spark.range(5000, 10_000), "id"))
+    r = parts.select(kll_quantile(0.5).alias("m"), kll_rank(2500).alias("r")).collect()[0]
+    assert abs(r.m - 5000) < 300 and abs(r.r - 0.25) < 0.03
+    with pytest.raises(ValueError):
+        kll_state(spark.range(1), "id", k=4)
+
+
 def overlap(spark, *ranges):
     return spark.createDataFrame([(s, f"item_{i}") for s, r in enumerate(ranges) for i in r], "s long, item string")
 
@@ -251,3 +259,10 @@ def test_states_are_checked_on_load(spark, tmp_path):
     for kind, params in (("bloom", None), ("hll", {"precision": 12})):
         with pytest.raises(states.StateError):
             states.load(spark, path, kind, params)
+
+
+def test_protocols():
+    from quern.functions.protocols import MergeableSketch, Sketch
+
+    assert all(isinstance(x, MergeableSketch) for x in (HyperLogLog(), DDSketch(), MinHash(), OddSketch(), SimHash(), TDigest(), WeightedMinHash()))
+    assert all(isinstance(x, Sketch) for x in (CountMin(64, 2), CountSketch(64, 2), AMS(2, 64)))

@@ -75,6 +75,10 @@ def test_scalable_stages(spark):
     found = 0
     for i, (lo, hi) in enumerate(((0, 20), (20, 60), (60, 100))):
         found += passed(s.filter(i).maybe(spark.range(lo, hi).select(F.col("id").alias("k")), "k", state.filter(F.col("stage") == i).select("bit")))
+    assert passed(s.maybe(spark.range(100).select(F.col("id").alias("k")), "k", state, 3)) == 100
+    assert s.combine(state, state).exceptAll(state).isEmpty() and 0 < s.fill_ratio(state).collect()[0][0] < 1
+    with pytest.raises(ValueError):
+        s.combine(state, state.filter("stage = 0"))
     assert found == 100 and 0 < s.expected_fpr(3) < 0.01
 
 
@@ -158,3 +162,12 @@ def test_hash_policies(spark):
     assert df.select(key_hash("id", lambda c: c * 2).alias("h")).collect()[1].h == 2
     with pytest.raises(ValueError):
         key_hash("id", "nothing")
+
+
+def test_bit_vectors(spark):
+    from quern.functions import bits
+
+    a, b = (bits.packed(spark.createDataFrame([(x,) for x in xs], "p long"), "p") for xs in ((0, 63, 64, 200), (63, 64, 7)))
+    at = lambda w: {r.position for r in bits.positions(w).collect()}
+    assert at(a) == {0, 63, 64, 200} and at(bits.either(a, b)) == {0, 7, 63, 64, 200} and at(bits.both(a, b)) == {63, 64}
+    assert bits.count(a).collect()[0].ones == 4
