@@ -8,11 +8,15 @@ sets are one class and stand for all their documents. Classes meet in inverted l
   So it is enough to list, of each sketch, its k - m + 1 values that are rarest in the table: the rarest
   shared value is among them for both. Values that no other sketch has come first and need no list,
   which leaves out every document that is unlike all others and every value that is frequent in the corpus.
-* In each list the first class is compared with all others: one pair for each place in a list. Lists whose
-  classes are then all connected are done. In other lists every class outside the largest component is
-  compared with all those of other components, so no link between components is missed and no group of
-  copies is expanded into all its pairs.
-* The sketch of the union of two sets estimates their similarity; pairs that may reach the threshold are
+* In each list one class, the one whose values are most frequent and so most likely the text that the
+  others are copies of, is the hub, and all others are compared with it: one pair for each place in a list.
+  Classes that are in its component then are done with each other.
+* For each x that is not, and each other y of the same hub, what they share is at most the lesser share with
+  the hub, min(|x & hub|, |y & hub|), and the values outside the hub that both have. So y matters only if that
+  lesser share is enough by itself, which is decided by numbers, or if x and y share values outside the
+  hub: inverted lists of these, again only the rarest of each class, find such pairs. Copies of one text with
+  changes of their own share none, so a large group of copies never expands into its pairs.
+* The sketch of the union of two sets estimates the similarity of such pairs; pairs that may reach the threshold are
   compared on their full sets. Links become components by alternating large and small stars.
 
 Nothing but ids of a counted, bounded number goes to the driver or to all executors.
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, buffer, id_and_text, id_type, ngrams, pieces, table, text_pieces, word_hashes, words, written
+from quern.llm.common import LOWER, buffer, id_and_text, id_type, lean, ngrams, pieces, table, text_pieces, word_hashes, words, written
 
 K, MARGIN = 48, 0.25
 #: So many ids at most are sent to all executors; beyond that their texts are found by a shuffle.
@@ -76,13 +80,23 @@ def _need(size, threshold: float):
     return F.floor(size * (threshold - MARGIN))
 
 
+def _rarest(rows: DataFrame, owner: list[str], take) -> DataFrame:
+    """Of rows (owner, size, v) those of each owner's rarest values; rows of values that only one owner of the same list has count, but go.
+
+    take: from size to how many of the values, the rarest first, are listed.
+    """
+    scope = owner[:-1]
+    shared = rows.groupBy(*scope, "v").count().filter("count > 1")
+    held = rows.join(shared, [*scope, "v"]).groupBy(*owner).agg(F.first("size").alias("size"), F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("count", "v"))).alias("vs"))
+    left = (take - (F.col("size") - F.size("vs"))).cast("int")
+    heavy = F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    return held.filter(left > 0).select(*owner, heavy.alias("heavy"), F.size("vs").alias("common"), F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("x.v", *owner, "heavy", "common")
+
+
 def _lists(classes: DataFrame, threshold: float) -> DataFrame:
-    """v, key, n: the rarest values of each sketch that other sketches have too."""
-    places = classes.select("key", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    shared = places.groupBy("v").count().filter("count > 1")
-    rows = places.join(shared, "v").groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("count", "v"))).alias("vs"))
-    take = (F.col("s") - _need(F.col("s"), threshold) + 1 - (F.col("s") - F.size("vs"))).cast("int")
-    return rows.filter(take > 0).select("key", "n", F.explode(F.slice("vs", F.lit(1), take)).alias("x")).select("x.v", "key", "n")
+    """v, key, heavy, common: the rarest values of each sketch that other sketches have too."""
+    places = classes.select("key", F.size("sketch").alias("size"), _need(F.size("sketch"), threshold).alias("need"), F.explode("sketch").alias("v"))
+    return _rarest(places, ["key"], F.col("size") - F.col("need") + 1)
 
 
 def _apart(pairs: DataFrame) -> DataFrame:
@@ -105,8 +119,10 @@ def _estimator(threshold: float, k: int):
     return keep
 
 
-def _verifier(n: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(n: int):
+    """Full comparison: sizes, shared values, and the values of a that b has not."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
 
         def sets(column: pa.Array):
@@ -120,36 +136,36 @@ def _verifier(n: int, percent: int):
 
         for batch in batches:
             a, b, text_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_b")
-            linked = []
-            for i, y in enumerate(sets(batch.column("text_a"))):
+            right, rows, outside = [], [], []
+            for i, x in enumerate(sets(batch.column("text_a"))):
                 if b[i] != last[0]:
                     last = (b[i], next(sets(text_b.slice(i, 1))))
-                x, y = y, last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                y = last[1]
+                only = np.setdiff1d(x, y, assume_unique=True)
                 # A text that only shares its id with the class is not the class.
-                linked.append(_key(x) == a[i] and _key(y) == b[i] and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
-
-    return verify
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int, k: int, percent: int) -> DataFrame:
-    """Those of the pairs that are linked, by full sets."""
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("rep").alias(f"rep_{x}"))
-    near = pairs.join(side("a").drop("rep_a"), "a").join(side("b").drop("rep_b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    near = written(near.mapInArrow(_estimator(percent / 100, k), "a long, b long"), "pairs")
-    ends = near.select(F.col("a").alias("key")).union(near.select("b")).distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
-    count = near.count()
-    if not count:
-        return near
-    few = 2 * count <= SENT
+                right.append(_key(x) == a[i] and _key(y) == b[i])
+                rows.append((len(x), len(y), len(x) - len(only)))
+                outside.append(only)
+            offsets = np.cumsum([0, *map(len, outside)]).astype(np.int32)
+            flat = np.concatenate([*outside, np.zeros(0, np.uint64)]).view(np.int64)
+            na, nb, both = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), na, nb, both, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["a", "b", "na", "nb", "both", "outside"])
+            yield out.filter(pa.array(right, pa.bool_()))
+
+    return compare
+
+
+def _comparison(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int) -> DataFrame:
+    """a, b, na, nb, both, outside for pairs a, b of keys. A text goes with each pair only on the side of a."""
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
+    few = ends.count() <= SENT
     ends = F.broadcast(ends) if few else ends
     texts = given.join(ends, given["doc_id"].eqNullSafe(ends["doc_id"])).select("key", "text")
     if few:
         texts = written(texts, "texts")
     text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
-    both = near.join(text("a"), "a").join(text("b"), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, percent), "a long, b long").distinct(), "links")
+    both = pairs.join(text("a"), "a").join(text("b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_compared(n)), "a long, b long, na long, nb long, both long, outside array<long>").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,27 +191,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, th (hash of the text), n_shingles, component_id, kept."""
     given = id_and_text(docs, id_col, text_col)
     kind, threshold = id_type(docs, id_col), percent / 100
-    rows = written(given.withColumn("th", F.xxhash64("text")).mapInArrow(_sketcher(n, k), f"doc_id {kind}, th long, n long, key long, sketch array<long>"), "sketches")
+    rows = written(given.withColumn("th", F.xxhash64("text")).mapInArrow(lean(_sketcher(n, k)), f"doc_id {kind}, th long, n long, key long, sketch array<long>"), "sketches")
     filled = rows.filter("key IS NOT NULL")
     grouped = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     lists = written(_lists(grouped, threshold), "lists")
     classes = written(grouped.join(lists.select("key").distinct(), "key", "left_semi"), "classes")
+    linked = f"100 * both >= {percent} * (na + nb - both)"
 
-    first = lists.groupBy("v").agg(F.min("key").alias("x"), F.count(F.lit(1)).alias("many")).filter("many > 1").join(lists.select("key", "n"), F.col("x") == F.col("key")).select("v", "x", F.col("n").alias("nx")).distinct()
-    pairs = written(_apart(lists.join(first, "v").filter(f"key != x AND 100 * least(n, nx) >= {percent} * greatest(n, nx)").select("x", F.col("key").alias("y"))), "first_pairs")
-    links = _linked(pairs, classes, given, n, k, percent)
+    hubs = lists.groupBy("v").agg(F.max_by("key", F.struct("heavy", "key")).alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("v", "b")
+    stars = written(lists.join(hubs, "v").filter("key != b").select(F.col("key").alias("a"), "b").distinct(), "stars")
+    tested = written(_comparison(stars, classes, given, n), "tested")
+    links = tested.filter(linked).select("a", "b")
     roots = components(links)
 
-    placed = written(lists.join(roots, "key", "left").select("v", "key", "n", F.coalesce("root", "key").alias("root")), "placed")
-    parts = placed.groupBy("v", "root").count()
-    largest = parts.groupBy("v").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    here = placed.join(largest, "v")
-    rest = here.filter("root != most").select("v", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    across = rest.join(here.select("v", "key", "n", "root", "most"), "v").filter(f"root != rx AND (root = most OR x < key) AND 100 * least(n, nx) >= {percent} * greatest(n, nx)")
-    pairs = _apart(across.select("x", F.col("key").alias("y"))).join(pairs, ["a", "b"], "left_anti")
-    more = _linked(pairs, classes, given, n, k, percent)
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    def rooted(df: DataFrame) -> DataFrame:
+        """With the component of key, and whether it is another one than that of the hub."""
+        root = lambda x: roots.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}"))
+        both = df.join(root("key"), "key", "left").join(root("b"), "b", "left").withColumn("root", F.coalesce("root_key", "key"))
+        return both.withColumn("apart", F.col("root") != F.coalesce("root_b", "b")).drop("root_key", "root_b")
+
+    placed = rooted(tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside"))
+    placed = written(placed.join(placed.filter("apart").select("b").distinct(), "b", "left_semi").drop("root", "apart"), "placed")
+    facts = placed.drop("outside")
+    # A link takes a share of both sizes; the other one's is at least that of the smallest class of the hub, and percent of this one's.
+    other_size = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
+    need = F.greatest(F.lit(1), F.ceil((F.col("size") + other_size) * percent / (100 + percent)) - F.col("both"))
+    outside = placed.join(facts.groupBy("b").agg(F.min("size").alias("smallest")), "b")
+    outside = outside.select("b", "key", F.size("outside").alias("size"), need.alias("need"), F.explode("outside").alias("v"))
+    outside = written(_rarest(outside, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy").join(facts, ["b", "key"]), "outside")
+    met = stars.select(F.col("a").alias("x"), F.col("b").alias("y"))
+
+    # Again one class of each list against the others: the one whose values most others share may be a better hub.
+    found = rooted(outside)
+    hubs = found.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
+    second = found.filter("apart").join(hubs, ["b", "v"]).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
+    second = written(second.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "second")
+    if not second.isEmpty():
+        links = links.union(written(_comparison(second, classes, given, n).filter(linked).select("a", "b"), "links"))
+        roots = components(links)
+        met = met.union(second.select("a", "b"))
+
+    facts, found = rooted(facts), rooted(outside)
+    other = [F.col(c).alias(f"{c}_y") for c in ("key", "size", "both", "root", "apart")]
+    differ = "apart AND root != root_y AND (NOT apart_y OR key < key_y)"
+    near = f"100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
+    # Enough in common with the hub by itself.
+    enough = facts.filter("apart").join(facts.select("b", *other), "b").filter(f"{differ} AND {near} AND {100 + percent} * least(both, both_y) >= {percent} * (size + size_y)")
+    # Or something in common that the hub has not; values that a class alone has are in no intersection, so the rest bounds it.
+    most = f"{100 + percent} * (least(both, both_y) + least(common, common_y)) >= {percent} * (size + size_y)"
+    shared = found.filter("apart").join(found.select("b", "v", F.col("common").alias("common_y"), *other), ["b", "v"]).filter(f"{differ} AND {near} AND {most}")
+    pairs = _apart(enough.select(F.col("key").alias("x"), F.col("key_y").alias("y")).union(shared.select("key", "key_y")))
+    pairs = pairs.join(_apart(met), ["a", "b"], "left_anti")
+    sketch = lambda x: classes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    pairs = written(pairs.mapInArrow(lean(_estimator(threshold, k)), "a long, b long"), "pairs")
+    if not pairs.isEmpty():
+        more = written(_comparison(pairs, classes, given, n).filter(linked).select("a", "b"), "links")
+        if not more.isEmpty():
+            roots = components(links.union(more))
 
     # The least id of each component, by class.
     reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -217,5 +270,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85).drop("th")
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * c >= 85 * (zx.n + zy.n - c)
+), both_ AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, y FROM r JOIN both_ ON x = r.c
+), m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d JOIN m USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
 QUERIES = {"op10_near_dedup": op10_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_near_dedup": ORACLE}
