@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from quern.llm.common import PLAIN, buffer, pieces, word_hashes, words
 
 #: Places in the table, words and ids in it at most.
-PLACES, WORDS, IDS = 1 << 22, 2_500_000, 12_000_000
+PLACES, WORDS, IDS = 1 << 20, 600_000, 3_000_000
 DEFAULT = "word_bpe_49k.json"
 
 #: How a tokenizer must prepare text for words to be encoded one by one.
