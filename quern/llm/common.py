@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at a time in a Python worker.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _MADE: list[tuple[SparkSession, str]] = []
 
