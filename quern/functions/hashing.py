@@ -49,6 +49,8 @@ def key_hash(key: Column | str, policy: Policy = "xxhash64") -> Column:
 def row_hash(key: Column | str, row: Column | int, policy: Policy = "xxhash64") -> Column:
     """Independent hashes of one key, one for each row number."""
     row = F.lit(row) if isinstance(row, int) else row
+    if policy == "xxhash64":  # takes several columns without making one text of them
+        return F.xxhash64(column(key).cast("string"), row.cast("bigint")).bitwiseAND(F.lit((1 << BITS) - 1))
     return resolve(policy)(F.concat(column(key).cast("string"), F.lit("#"), row.cast("string")))
 
 

@@ -92,7 +92,8 @@ class WeightedMinHash:
     def state(self, df: DataFrame, set_col: str, item: str, weight: str) -> DataFrame:
         given = df.filter(F.col(item).isNotNull() & (F.col(weight) > 0)).groupBy(set_col, item).agg(F.sum(F.col(weight).cast("double")).alias("_w"))
         each = given.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))).alias("slot"))
-        uniform = lambda n: (row_hash(F.concat_ws("|", F.col(item).cast("string"), F.col("slot").cast("string")), n, self.policy) + 1) / F.lit(float(1 << 60) + 2)
+        # One number for each slot and draw.
+        uniform = lambda n: (row_hash(item, F.col("slot") * 8 + n, self.policy) + 1) / F.lit(float(1 << 60) + 2)
         r = -F.log(uniform(1) * uniform(2))
         c = -F.log(uniform(3) * uniform(4))
         each = each.withColumn("_r", r).withColumn("_c", c).withColumn("_b", uniform(5))
