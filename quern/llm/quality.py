@@ -13,7 +13,7 @@ covers all rows and whole texts, in one pass without a shuffle.
 
 Defined cases: null text is empty; the empty text gets the curve's value at (0, 0); without rows of either
 class the score is the other class's constant, without any label 0.5; several labels for an id count each;
-null labels and null ids teach nothing; an empty table gives an empty result; other columns are never inputs.
+null labels teach nothing, null ids count as held out; an empty table gives an empty result; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -126,12 +126,12 @@ def train(rows: list[tuple[bytes, int]], totals: dict[int, int] | None = None) -
 
 
 def held_out(doc_id) -> F.Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", rows: int = ROWS, longest: int = LONGEST) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
     """At most rows texts of each class, none of a row that is held out; and how many labels each class has."""
-    known = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
     # Ids first, then their texts: at most 2 * rows ids are sent to the scan of the texts.
     ids = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
     totals = {r["y"]: r["count"] for r in known.filter(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
