@@ -27,6 +27,12 @@ def _slots(k: int) -> None:
         raise ValueError("the number of slots must be positive")
 
 
+def together(rows: DataFrame, set_col: str, on: list[str], a: str = "a", b: str = "b", name: str = "n") -> DataFrame:
+    """All pairs a < b of sets that have a row in common, and how many: sets meet by value, so others cost nothing."""
+    sides = [rows.select(F.col(set_col).alias(x), *on) for x in (a, b)]
+    return sides[0].join(sides[1], on).filter(F.col(a) < F.col(b)).groupBy(a, b).agg(F.count(F.lit(1)).alias(name))
+
+
 @dataclass(frozen=True)
 class MinHash:
     """State: set, slot, value."""
@@ -54,6 +60,11 @@ class MinHash:
         both = pairs.select(a, b).join(x, a).join(y, [b, "slot"])
         return both.groupBy(a, b).agg((F.sum((F.col("_va") == F.col("_vb")).cast("int")) / self.k).alias("jaccard"))
 
+    def jaccard_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
+        """As jaccard, for pairs a < b; sets meet by slot and value, and pairs that never meet have 0."""
+        equal = together(state, set_col, ["slot", "value"], a, b, "_n")
+        return pairs.select(a, b).join(equal, [a, b], "left").select(a, b, (F.coalesce("_n", F.lit(0)) / self.k).alias("jaccard"))
+
 
 @dataclass(frozen=True)
 class BBitMinHash:
@@ -74,8 +85,13 @@ class BBitMinHash:
 
     def jaccard(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
         """Chance agreement of the low bits is taken out."""
+        return self._corrected(MinHash(self.k, self.policy).jaccard(state, pairs, set_col, a, b))
+
+    def jaccard_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
+        return self._corrected(MinHash(self.k, self.policy).jaccard_of_many(state, pairs, set_col, a, b))
+
+    def _corrected(self, raw: DataFrame) -> DataFrame:
         chance = 2.0**-self.bits
-        raw = MinHash(self.k, self.policy).jaccard(state, pairs, set_col, a, b)
         return raw.withColumn("jaccard", F.greatest(F.lit(0.0), (F.col("jaccard") - chance) / (1 - chance)))
 
 
@@ -110,6 +126,11 @@ class WeightedMinHash:
         both = pairs.select(a, b).join(x, a).join(y, [b, "slot"])
         return both.groupBy(a, b).agg((F.sum((F.col("_va") == F.col("_vb")).cast("int")) / self.k).alias("jaccard"))
 
+    def jaccard_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
+        """As jaccard, for pairs a < b; sets meet by their slots' samples, and pairs that never meet have 0."""
+        equal = together(state, set_col, ["slot", "item", "t"], a, b, "_n")
+        return pairs.select(a, b).join(equal, [a, b], "left").select(a, b, (F.coalesce("_n", F.lit(0)) / self.k).alias("jaccard"))
+
 
 @dataclass(frozen=True)
 class OddSketch:
@@ -146,6 +167,16 @@ class OddSketch:
         words = sides[0].unionByName(sides[1]).join(state.withColumnRenamed(set_col, "_set"), "_set").groupBy(a, b, "word").agg(F.bit_xor("value").alias("value"))
         return words.groupBy(a, b).agg(F.sum(F.bit_count("value")).alias("odd")).withColumn("estimate", self.size(F.col("odd")))
 
+    def difference_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
+        """As difference, for pairs a < b: the odd bits of both sets, less twice those in common, by which sets meet."""
+        bits = state.select(set_col, "word", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_i")).filter("shiftright(value, _i) & 1 = 1")
+        both = together(bits, set_col, ["word", "_i"], a, b, "_n")
+        own = state.groupBy(set_col).agg(F.sum(F.bit_count("value")).alias("_o"))
+        sides = [own.select(F.col(set_col).alias(x), F.col("_o").alias(f"_o{x}")) for x in (a, b)]
+        odd = F.col(f"_o{a}") + F.col(f"_o{b}") - 2 * F.coalesce("_n", F.lit(0))
+        rows = pairs.select(a, b).join(both, [a, b], "left").join(sides[0], a).join(sides[1], b).select(a, b, odd.alias("odd"))
+        return rows.withColumn("estimate", self.size(F.col("odd")))
+
 
 @dataclass(frozen=True)
 class SimHash:

@@ -18,7 +18,7 @@ from quern.operators.frequency import AMS, CountMin, CountMinLog, CountSketch
 from quern.operators.frequency import merge as merge_counts
 from quern.operators.quantiles import DDSketch, TDigest, cdf, kll_quantiles, quantile
 from quern.operators.sampling import Reservoir
-from quern.operators.similarity import PRIME, BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash, coefficients
+from quern.operators.similarity import PRIME, BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash, coefficients, together
 from quern.operators.windowed import sliding_counts
 from quern.plans.sets import ORDERS, P, sql_hash
 from quern.sources import state as states
@@ -240,6 +240,54 @@ def simhash_similarity(spark: SparkSession, d: str) -> DataFrame:
     return both.select("a", "b", SIM.distance(F.col("fa"), F.col("fb")).cast("long").alias("distance"), F.round(SIM.similarity(F.col("fa"), F.col("fb")), 6).alias("similarity"))
 
 
+def _supplier_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey", "l_quantity")
+
+
+def _pairs_by_part(rows: DataFrame) -> DataFrame:
+    """All pairs of suppliers that have a part in common; any other pair has similarity 0."""
+    return together(rows.select("s", "l_partkey").distinct(), "s", ["l_partkey"])
+
+
+def minhash_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: all pairs of suppliers with a part in common."""
+    rows = _supplier_parts(spark, d)
+    return MINHASH.jaccard_of_many(MINHASH.state(rows, "s", "l_partkey"), _pairs_by_part(rows), "s").withColumn("jaccard", F.round("jaccard", 6))
+
+
+def bbit_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: all pairs of suppliers with a part in common."""
+    rows = _supplier_parts(spark, d)
+    return BBIT.jaccard_of_many(BBIT.state(rows, "s", "l_partkey"), _pairs_by_part(rows), "s").withColumn("jaccard", F.round("jaccard", 6))
+
+
+def weighted_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded: all pairs of suppliers with a part in common, within 0.15 of the exact weighted similarity."""
+    sketch, rows = WeightedMinHash(256), _supplier_parts(spark, d)
+    w = rows.groupBy("s", "l_partkey").agg(F.sum("l_quantity").alias("w"))
+    sides = [w.select(F.col("s").alias(x), "l_partkey", F.col("w").alias(f"w{x}")) for x in "ab"]
+    common = sides[0].join(sides[1], "l_partkey").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("m"))
+    whole = [w.groupBy(F.col("s").alias(x)).agg(F.sum("w").alias(f"w{x}")) for x in "ab"]
+    exact = common.join(whole[0], "a").join(whole[1], "b").select("a", "b", (F.col("m") / (F.col("wa") + F.col("wb") - F.col("m"))).alias("e"))
+    got = sketch.jaccard_of_many(sketch.state(rows, "s", "l_partkey", "l_quantity"), exact, "s")
+    return got.join(exact, ["a", "b"]).select("a", "b", (F.abs(F.col("jaccard") - F.col("e")) <= 0.15).alias("within_bound"))
+
+
+def odd_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: all pairs of suppliers with a part in common."""
+    rows = _supplier_parts(spark, d)
+    return ODD.difference_of_many(ODD.state(rows, "s", "l_partkey"), _pairs_by_part(rows), "s").withColumn("estimate", F.round("estimate", 4))
+
+
+def simhash_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: all pairs of suppliers with a part in common."""
+    rows = _supplier_parts(spark, d)
+    prints = SIM.fingerprint(SIM.state(rows, "s", "l_partkey"))
+    sides = [prints.select(F.col("s").alias(x), F.col("fingerprint").alias(f"f{x}")) for x in "ab"]
+    both = _pairs_by_part(rows).join(sides[0], "a").join(sides[1], "b")
+    return both.select("a", "b", SIM.distance(F.col("fa"), F.col("fb")).cast("long").alias("distance"), F.round(SIM.similarity(F.col("fa"), F.col("fb")), 6).alias("similarity"))
+
+
 def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     """Exact."""
     return RESERVOIR.sample(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", "priority")
@@ -350,7 +398,8 @@ QUERIES = {
         event_profile, hll_distinct_by_group, hll_rollup, hll_merge, native_distinct_bound, cms_point_estimates, cms_never_under, cml_estimates,
         count_sketch_estimates, ams_f2, mg_heavy_hitters, lossy_heavy_hitters, space_saving_topk, space_saving_bounds, heavy_keeper_topk, approx_top_k_native,
         dd_quantiles, dd_state_merge, kll_quantiles_bound, tdigest_quantiles, tdigest_cdf, minhash_signatures, minhash_jaccard, bbit_minhash_jaccard,
-        weighted_minhash_jaccard, odd_symmetric_difference, simhash_fingerprints, simhash_similarity, reservoir_sample, reservoir_by_group, eh_sliding_count,
+        weighted_minhash_jaccard, odd_symmetric_difference, simhash_fingerprints, simhash_similarity, minhash_supplier_pairs, bbit_supplier_pairs,
+        weighted_supplier_pairs, odd_supplier_pairs, simhash_supplier_pairs, reservoir_sample, reservoir_by_group, eh_sliding_count,
         stream_hll_windows, stream_cms_windows, stream_dd_windows, stream_eh, partition_invariance, sizing_params, recommend_filter, sketch_roundtrip,
     )
 }
@@ -361,6 +410,8 @@ QUERIES = {
 _W = 60 - HLL.precision
 _PAIRS = "(SELECT a, b FROM range(0, 4) x(a), range(1, 5) y(b) WHERE a < b)"
 _PARTS = "(SELECT DISTINCT l_suppkey % 10 AS s, l_partkey FROM lineitem)"
+_SUPPLIERS = "(SELECT DISTINCT l_suppkey AS s, l_partkey FROM lineitem)"
+_MEETING = f"(SELECT DISTINCT x.s AS a, y.s AS b FROM {_SUPPLIERS} x JOIN {_SUPPLIERS} y USING (l_partkey) WHERE x.s < y.s)"
 
 
 def _hll(source: str, key: str, group: str = "") -> str:
@@ -390,9 +441,9 @@ def _signed(source: str, depth: int, width: int) -> str:
     return f"SELECT k, w, r, (h >> 1) % {width} AS cell, CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END AS s FROM (SELECT k, w, r, {sql_hash('k::VARCHAR || chr(35) || r')} AS h FROM ({source}), (SELECT unnest(range(0, {depth})) AS r))"
 
 
-def _signature() -> str:
+def _signature(parts: str = _PARTS) -> str:
     ab = ", ".join("({}, {}, {})".format(i, *coefficients(i)) for i in range(MINHASH.k))
-    return f"SELECT s, slot, min((ka * x + kb) % {PRIME}) AS value FROM (SELECT s, {sql_hash('l_partkey')} % {PRIME} AS x FROM {_PARTS}), (VALUES {ab}) c(slot, ka, kb) GROUP BY s, slot"
+    return f"SELECT s, slot, min((ka * x + kb) % {PRIME}) AS value FROM (SELECT s, {sql_hash('l_partkey')} % {PRIME} AS x FROM {parts}), (VALUES {ab}) c(slot, ka, kb) GROUP BY s, slot"
 
 
 def _levels() -> str:
@@ -400,6 +451,7 @@ def _levels() -> str:
 
 
 _SIM = f"SELECT s, sum(CASE WHEN t > 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS fingerprint FROM (SELECT s, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN w ELSE -w END) AS t FROM (SELECT l_suppkey % 10 AS s, {sql_hash('l_partkey')} AS h, count(*) AS w FROM lineitem GROUP BY ALL), (SELECT unnest(range(0, 60))::INT AS i) GROUP BY s, i) GROUP BY s"
+_SIM_SUPPLIERS = f"SELECT s, sum(CASE WHEN t > 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS fingerprint FROM (SELECT s, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN w ELSE -w END) AS t FROM (SELECT l_suppkey AS s, {sql_hash('l_partkey')} AS h, count(*) AS w FROM lineitem GROUP BY ALL), (SELECT unnest(range(0, 60))::INT AS i) GROUP BY s, i) GROUP BY s"
 _LAST = f"SELECT user_id, max(n)::BIGINT AS ticks, arg_max(x, n)::BIGINT AS exact, true AS within_bound FROM (SELECT user_id, row_number() OVER w AS n, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id"
 _PROFILE_Q = _dd("events", "value", [0.5, 0.95, 0.99], "event_type")
 
@@ -449,6 +501,14 @@ o AS (SELECT a, b, sum(bit_count(v))::BIGINT AS odd FROM x GROUP BY a, b)
 SELECT a, b, odd, round(CASE WHEN odd >= {ODD.m // 2} THEN 'inf'::DOUBLE ELSE ln(1 - 2 * odd / {ODD.m}::DOUBLE) / ln(1 - 2 / {ODD.m}::DOUBLE) END, 4) AS estimate FROM o""",
     "simhash_fingerprints": _SIM,
     "simhash_similarity": f"WITH f AS ({_SIM}) SELECT a, b, bit_count(xor(x.fingerprint, y.fingerprint))::BIGINT AS distance, round(cos(3.141592653589793::DOUBLE * bit_count(xor(x.fingerprint, y.fingerprint)) / 60), 6) AS similarity FROM {_PAIRS} JOIN f x ON x.s = a JOIN f y ON y.s = b",
+    "minhash_supplier_pairs": f"WITH m AS ({_signature(_SUPPLIERS)}) SELECT a, b, round(count(*) FILTER (x.value = y.value) / {MINHASH.k}.0, 6) AS jaccard FROM {_MEETING} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
+    "bbit_supplier_pairs": f"WITH m AS ({_signature(_SUPPLIERS)}) SELECT a, b, round(greatest(0.0, (count(*) FILTER (x.value % {1 << BBIT.bits} = y.value % {1 << BBIT.bits}) / {BBIT.k}::DOUBLE - {2.0**-BBIT.bits}) / {1 - 2.0**-BBIT.bits}), 6) AS jaccard FROM {_MEETING} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
+    "weighted_supplier_pairs": f"SELECT a, b, true AS within_bound FROM {_MEETING}",
+    "odd_supplier_pairs": f"""WITH p AS (SELECT s, p // 32 AS word, bit_xor(1::BIGINT << (p % 32)::INT) AS v FROM (SELECT s, {sql_hash('l_partkey')} % {ODD.m} AS p FROM {_SUPPLIERS}) GROUP BY s, p // 32),
+x AS (SELECT a, b, word, bit_xor(v) AS v FROM {_MEETING} JOIN p ON s IN (a, b) GROUP BY a, b, word),
+o AS (SELECT a, b, sum(bit_count(v))::BIGINT AS odd FROM x GROUP BY a, b)
+SELECT a, b, odd, round(CASE WHEN odd >= {ODD.m // 2} THEN 'inf'::DOUBLE ELSE ln(1 - 2 * odd / {ODD.m}::DOUBLE) / ln(1 - 2 / {ODD.m}::DOUBLE) END, 4) AS estimate FROM o""",
+    "simhash_supplier_pairs": f"WITH f AS ({_SIM_SUPPLIERS}) SELECT a, b, bit_count(xor(x.fingerprint, y.fingerprint))::BIGINT AS distance, round(cos(3.141592653589793::DOUBLE * bit_count(xor(x.fingerprint, y.fingerprint)) / 60), 6) AS similarity FROM {_MEETING} JOIN f x ON x.s = a JOIN f y ON y.s = b",
     "reservoir_sample": f"""SELECT o_orderkey, {sql_hash("o_orderkey::VARCHAR || '#7'")} AS priority FROM orders ORDER BY priority, o_orderkey LIMIT {RESERVOIR.k}""",
     "reservoir_by_group": f"""SELECT event_id, event_type, priority FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY priority, event_id) AS n FROM (SELECT event_id, event_type, {sql_hash("event_id::VARCHAR || '#7'")} AS priority FROM events)) WHERE n <= {RESERVOIR.k}""",
     "eh_sliding_count": _LAST,

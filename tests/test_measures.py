@@ -212,6 +212,32 @@ def test_simhash(spark):
     assert h.fingerprint(h.merge(state, state, "s")).exceptAll(h.fingerprint(state)).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["minhash", "bbit", "weighted", "odd", "simhash"])
+def test_supplier_queries_compare_every_pair_with_a_common_part(spark, name):
+    from quern.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    parts = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
+        parts.setdefault(r.l_suppkey, set()).add(r.l_partkey)
+    want = {(a, b) for a in parts for b in parts if a < b and parts[a] & parts[b]}
+    got = [(r.a, r.b) for r in catalog.QUERIES[f"{name}_supplier_pairs"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_many_pairs_as_single_ones(spark):
+    df = overlap(spark, range(100), range(50, 150), range(200, 300), range(90, 210)).withColumn("w", F.col("s") + 1)
+    ab = pairs(spark, *[(a, b) for a in range(4) for b in range(a + 1, 4)])
+    for sketch in (MinHash(64), BBitMinHash(64, 4)):
+        state = sketch.state(df, "s", "item")
+        assert set(sketch.jaccard_of_many(state, ab, "s").collect()) == set(sketch.jaccard(state, ab, "s").collect())
+    m, o = WeightedMinHash(64), OddSketch(256)
+    state = m.state(df, "s", "item", "w")
+    assert set(m.jaccard_of_many(state, ab, "s").collect()) == set(m.jaccard(state, ab, "s").collect())
+    state = o.state(df, "s", "item")
+    assert set(o.difference_of_many(state, ab, "s").collect()) == set(o.difference(state, ab, "s").collect())
+
+
 def test_reservoir(spark):
     r = Reservoir(10, 3)
     hits = sum(Reservoir(10, seed).sample(spark.range(100), "id").filter("id < 50").count() for seed in range(30))
