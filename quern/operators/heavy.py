@@ -167,11 +167,27 @@ class SpaceSaving:
         # Of the parts that hold an item the least counts are not known here, so all are added: a bound that still holds.
         sums = rows.filter("item IS NOT NULL").groupBy("item").agg(F.sum("count").alias("count"), F.sum("error").alias("error"))
         bound = sums.join(F.broadcast(head)).select("item", (F.col("count") + F.col("least")).alias("count"), (F.col("error") + F.col("least")).alias("error"), F.lit(0).cast("long").alias("seen"))
-        return bound.orderBy(F.desc(F.col("count") - F.col("error")), "item").limit(self.k).unionByName(head.select(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count"), F.col("least").alias("error"), F.col("all").alias("seen")))
+        top = bound.orderBy(F.desc(F.col("count") - F.col("error")), "item").limit(self.k)
+        # Items beyond the k kept ones may have had more than those that no part holds.
+        cut = bound.join(F.broadcast(top.select("item")), "item", "left_anti").agg(F.max("count").alias("cut"))
+        return top.unionByName(head.join(F.broadcast(cut)).select(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count"), F.greatest("least", "cut").alias("error"), F.col("all").alias("seen")))
 
     def top(self, df: DataFrame, key: str, n: int) -> DataFrame:
-        """The n items with the largest exact counts among the candidates."""
-        return exact(df, key, self.summary(df, key).filter("item IS NOT NULL")).orderBy(F.desc("count"), "item").limit(n)
+        """The n items with the largest exact counts.
+
+        The candidates decide where the n-th of them has more than any item that is not held may have, or where no
+        item is missing; else all items are counted.
+        """
+        found = self.summary(df, key).collect()  # once, so that bound and candidates belong together
+        bound = max(r["error"] for r in found if r["item"] is None)
+        held = df.sparkSession.createDataFrame([(r["item"],) for r in found if r["item"] is not None], "item string")
+        counts = exact(df, key, held).orderBy(F.desc("count"), "item").limit(n)
+        if not bound:
+            return counts
+        rows = [(r["item"], r["count"]) for r in counts.collect()]
+        if len(rows) == n and rows[-1][1] > bound:
+            return counts
+        return _items(df, key, None).groupBy("item").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "item").limit(n)
 
 
 class LossyCounter:

