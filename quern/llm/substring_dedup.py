@@ -87,7 +87,6 @@ def _cutter(width: int, kind: pa.DataType, single: bool):
                 rows: dict[str, list] = {f.name: [] for f in schema}
                 for k in range(len(begins) - 1):
                     own = h[begins[k] : begins[k + 1]]
-                    one = own.astype("<u4")
                     key, th = batch.column("doc_id")[lo + k].as_py(), batch.column("th")[lo + k].as_py()
                     whole = ngrams(own, width).view(np.int64).tolist() if single else ()
                     for s in batch.column("segments")[lo + k].as_py():
@@ -96,7 +95,7 @@ def _cutter(width: int, kind: pa.DataType, single: bool):
                             rows["th"].append(th)
                             rows["a"].append(a)
                             rows["anchor"].append(anchor)
-                            rows["words"].append(b"" if single else one[a : b + width].tobytes())
+                            rows["words"].append(b"" if single else own[a : b + width].astype("<u8").tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema)
 
     return cut
@@ -121,11 +120,11 @@ def _searcher(width: int, kind: pa.DataType):
             else:  # all of a copy of an earlier segment
                 rows.append(k)
                 lo.append(first[k])
-                hi.append(first[k] + len(w) // 4)
+                hi.append(first[k] + len(w) // 8)
         kept = list(equal)
-        lengths = np.array([len(words[k]) // 4 for k in kept])
+        lengths = np.array([len(words[k]) // 8 for k in kept])
         start = np.cumsum(np.append(0, lengths + 1))[:-1]
-        values, symbols = np.unique(np.frombuffer(b"".join([words[k] for k in kept]), "<u4"), return_inverse=True)
+        values, symbols = np.unique(np.frombuffer(b"".join([words[k] for k in kept]), "<u8"), return_inverse=True)
         text = np.zeros(int(lengths.sum()) + len(kept), np.int64)  # a 0 ends each segment
         text[np.arange(len(symbols)) + np.repeat(np.arange(len(kept)), lengths)] = symbols + 1
         owner = np.array([rank[k] for k in kept])

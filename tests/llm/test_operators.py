@@ -333,6 +333,20 @@ def test_quality_with_one_class_or_none():
 # Repeated passages.
 
 
+def test_substring_dedup_tells_words_with_equal_low_bits_apart(spark):
+    from quern.llm.common import PLAIN, word_hashes
+
+    names = [f"n{k:06}" for k in range(300_000)]
+    starts = np.arange(len(names)) * 8
+    low = word_hashes(np.frombuffer(" ".join(names).encode(), np.uint8), starts, starts + 7, PLAIN).astype(np.uint32)
+    order = np.argsort(low, kind="stable")
+    twins = [(names[order[k]], names[order[k + 1]]) for k in np.flatnonzero(low[order][1:] == low[order][:-1])]
+    assert twins
+    texts = [(2 * k + s, " ".join([*(f"t{k}w{j}" for j in range(45)), own, *(f"t{k}v{j}" for j in range(45))])) for k, pair in enumerate(twins) for s, own in enumerate(pair)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(texts, SCHEMA)).collect()
+    assert len(got) == len(texts) and not sum(r.n_removed for r in got)
+
+
 @pytest.mark.parametrize("width,gram,frequent,shard", [(6, 3, 10**9, 10**6), (6, 3, 3, 500), (12, 4, 10**9, 700), (5, 1, 10**9, 10**4)])
 def test_substring_dedup_equals_plain_windows(spark, width, gram, frequent, shard):
     random.seed(5)
