@@ -32,14 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or a folder of this session's own where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset the context's checkpoint folder, on a cluster the warehouse, else a folder of this session's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.sparkContext.setCheckpointDir(base)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get()
+        if spark.sparkContext.master.split("[")[0] == "local":
+            base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+            spark.sparkContext.setCheckpointDir(base)
+        else:  # a folder of one machine would not do
+            base = spark.conf.get("spark.sql.warehouse.dir")
     return base.rstrip("/")
 
 
@@ -51,16 +54,27 @@ def working_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def made() -> int:
+    """How many working tables there are."""
+    return len(_MADE)
+
+
+def released(since: int, keep: int = 0) -> None:
+    """Deletes the working tables made after the first ``since`` ones, but for the last ``keep``; results that still read them must be written before."""
+    gone = _MADE[since : len(_MADE) - keep]
+    del _MADE[since : len(_MADE) - keep]
+    for spark, path in gone:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def release() -> None:
-    """Deletes the working tables written so far; results that still read them must be written before."""
-    while _MADE:
-        spark, path = _MADE.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-        except Exception:  # the session has ended; its folder goes with the cluster's own clean-up
-            return
+    """Deletes all working tables written so far, as happens at exit; a long session may call it between results."""
+    try:
+        released(0)
+    except Exception:  # the session has ended; its folder goes with the cluster's own clean-up
+        _MADE.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
