@@ -55,21 +55,47 @@ KINDS: dict[str, tuple[str, str, str]] = {
 BASE = ("email", "ip", "card", "phone")
 ADDED = tuple(k for k in KINDS if k not in BASE)
 LABELERS = ("form", "lists", "context")
-_SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,value:string,near:string>>"
 _VOTED = "array<struct<kind:string,start:bigint,end:bigint,form:int,lists:int,context:int>>"
-#: Characters before a span that the context labeler reads.
+#: Characters before a span, back to the span of its kind before it, that the context labeler reads.
 NEAR = 24
+#: Matches whose places are added up at a time.
+BLOCK = 256
 
 
 def _places(text: Column, test: str, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with their places in code points."""
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, value: F.struct(F.length(gap).cast("long").alias("gap"), value.alias("value")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value"))).alias("out"),
-    )
+    """All leftmost non-overlapping matches with their places in code points, and the characters just before each.
+
+    Lengths of gaps and matches are added up in blocks of BLOCK matches, first within each block, then over the
+    blocks' sums, so that no array grows match by match: the work is in proportion to the text and its matches.
+    """
     none = F.array().cast(_SPAN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, value: F.struct(F.length(gap).cast("long").alias("gap"), F.right(gap, F.lit(NEAR)).alias("near"), value.alias("value")))
+    # The text behind the last match has no match of its own; what it came with goes.
+    pairs = F.filter(pieces, lambda x: x["value"].isNotNull())
+
+    def within(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK))
+        return F.transform(F.when(F.size(pairs) > 0, starts).otherwise(F.array().cast("array<int>")), lambda i: F.slice(pairs, i, F.lit(BLOCK)))
+
+    length = lambda x: x["gap"] + F.length(x["value"])
+
+    def placed(block: Column, first: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + F.length(x["value"])
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["near"].alias("near"))).alias("out"))
+
+        return F.aggregate(block, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def all_placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + length(x)))
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        firsts = F.aggregate(sums, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, firsts, placed))
+
+    # A transform over one element gives the blocks a name, so that they are made once.
+    found = F.flatten(F.transform(F.array(pairs), lambda p: F.flatten(F.transform(F.array(within(p)), all_placed))))
     return F.when(F.contains(text, F.lit(test)) if test == "@" else text.rlike(test), found).otherwise(none)
 
 
@@ -143,7 +169,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def of_kind(kind: str, test: str, pattern: str, near: str) -> Column:
         def voted(x: Column) -> Column:
-            before = F.lower(F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(NEAR)).cast("int")))
+            before = F.lower(x["near"])
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _form(kind, x["value"]).alias("form"), _lists(kind, x["value"]).alias("lists"), _vote(before.rlike(rf"\b(?:{near})"), F.lit(False)).alias("context"))
 
         spans = _places(text, test, pattern)
