@@ -3,28 +3,33 @@
 A document's set is its distinct word shingles as 64-bit values; its sketch is the k least of them. Equal
 sets are one class and stand for all their documents. Classes meet in inverted lists of retained values:
 
-* Two sets as similar as asked share at least m = (threshold - MARGIN) * k of their k retained values (for
-  k = 48 and 0.85 all but about one pair in a million at the threshold itself, and ever fewer above it).
-  So it is enough to list, of each sketch, its k - m + 1 values that are rarest in the table: the rarest
-  shared value is among them for both. Values that no other sketch has come first and need no list,
-  which leaves out every document that is unlike all others and every value that is frequent in the corpus.
+* Two sets as similar as asked share at least m of their k retained values, but for a chance of RISK at the very
+  threshold and ever less above it: m is that quantile of the binomial distribution. Where a sketch holds its whole
+  set, and that of any set similar to it, m is exact. So it is enough to list, of each sketch, its k - m + 1 values
+  that are rarest in the table: the rarest shared value is among them for both. Values that no other sketch has come
+  first and need no list, which leaves out every document that is unlike all others and every value that is frequent in the corpus.
 * In each list one class, the one whose values are most frequent and so most likely the text that the
   others are copies of, is the hub, and all others are compared with it: one pair for each place in a list.
   Classes that are in its component then are done with each other.
 * For each x that is not, and each other y of the same hub, what they share is at most the lesser share with
-  the hub, min(|x & hub|, |y & hub|), and the values outside the hub that both have. So y matters only if that
-  lesser share is enough by itself, which is decided by numbers, or if x and y share values outside the
-  hub: inverted lists of these, again only the rarest of each class, find such pairs. Copies of one text with
-  changes of their own share none, so a large group of copies never expands into its pairs.
-* The sketch of the union of two sets estimates the similarity of such pairs; pairs that may reach the threshold are
-  compared on their full sets. Links become components by alternating large and small stars.
+  the hub, min(|x & hub|, |y & hub|), and the values outside the hub that both have. So y matters only if x and y
+  share values outside the hub: inverted lists of these, again only the rarest of each class, find such pairs; or
+  if that lesser share may be enough by itself: the few classes for which it may be meet in inverted lists of their
+  retained values, ranked among themselves. Copies of one text with changes of their own share no values outside it, and pairs
+  within a component are never formed, so a large group of copies never expands into its pairs.
+* The sketch of the union of two sets estimates their similarity; pairs that may reach the threshold are compared on
+  their full sets. A pair of class and hub is estimated first where the hub has no other class; where it has others, the
+  full comparison also gives the shares by which those are ruled out. Links become components by alternating large and small stars.
+
+All classes of one hub are dealt over slices of at most about SLICE rows, so that no hub is one task's work.
+Classes are known by 128 bits of their sets, so that different sets do not meet by chance on any corpus.
 
 Nothing but ids of a counted, bounded number goes to the driver or to all executors.
 
 Defined cases: null text, empty text or text without words has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; rows with equal ids are judged by
 their own texts; a null id counts as larger than any other; an empty table gives an empty result; other
-columns are never looked at.
+columns are never looked at; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -40,7 +45,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import LOWER, buffer, id_and_text, id_type, lean, ngrams, pieces, table, text_pieces, word_hashes, words, written
 
-K, MARGIN = 48, 0.25
+#: Retained values; the chance that a pair at the threshold shares fewer of them than is asked for.
+K, RISK = 48, 2e-6
+#: Rows of a hub in one task, about; a list of larger hubs is sent to all executors, a row for each HUBS rows at most.
+SLICE, HUBS = 200, 100_000
 #: So many ids at most are sent to all executors; beyond that their texts are found by a shuffle.
 SENT = 200_000
 
@@ -50,8 +58,22 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(hashes, min(n, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
 
 
-def _key(values: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+def _key(values: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(values.tobytes())
+
+
+def needs(k: int, percent: int) -> list[int]:
+    """For each size of a sketch how many of its values a set as similar as asked shares at least."""
+    t, out = percent / 100, []
+    for n in range(k + 1):
+        if 100 * n <= k * percent:  # it holds its set, and so does that of a similar one
+            out.append(-(-percent * n // 100))
+            continue
+        below, m = 0.0, 0
+        while (below := below + math.comb(n, m) * t**m * (1 - t) ** (n - m)) <= RISK:
+            m += 1
+        out.append(m)
+    return out
 
 
 def _sketcher(n: int, k: int):
@@ -68,16 +90,16 @@ def _sketcher(n: int, k: int):
             offsets = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
             flat = np.concatenate([*sketches, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["doc_id", "th", "n", "key", "sketch"],
             )
 
     return sketch
 
 
-def _need(size, threshold: float):
+def _need(size, k: int, percent: int):
     """Values that two sketches of about this size share at least."""
-    return F.floor(size * (threshold - MARGIN))
+    return F.get(F.array(*map(F.lit, needs(k, percent))), size)
 
 
 def _rarest(rows: DataFrame, owner: list[str], take) -> DataFrame:
@@ -93,9 +115,9 @@ def _rarest(rows: DataFrame, owner: list[str], take) -> DataFrame:
     return held.filter(left > 0).select(*owner, heavy.alias("heavy"), F.size("vs").alias("common"), F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("x.v", *owner, "heavy", "common")
 
 
-def _lists(classes: DataFrame, threshold: float) -> DataFrame:
+def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """v, key, heavy, common: the rarest values of each sketch that other sketches have too."""
-    places = classes.select("key", F.size("sketch").alias("size"), _need(F.size("sketch"), threshold).alias("need"), F.explode("sketch").alias("v"))
+    places = classes.select("key", F.size("sketch").alias("size"), _need(F.size("sketch"), k, percent).alias("need"), F.explode("sketch").alias("v"))
     return _rarest(places, ["key"], F.col("size") - F.col("need") + 1)
 
 
@@ -104,7 +126,9 @@ def _apart(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _estimator(threshold: float, k: int):
+def _estimator(k: int, percent: int):
+    least = needs(k, percent)[k]
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take = []
@@ -112,13 +136,41 @@ def _estimator(threshold: float, k: int):
                 x, y = (np.asarray(s.values).view(np.uint64) for s in (x, y))
                 union = np.union1d(x, y)[:k]
                 both = np.intersect1d(x, y, assume_unique=True)
-                take.append(np.isin(both, union, assume_unique=True).sum() >= math.floor((threshold - MARGIN) * len(union)))
+                need = least if len(union) == k else -(-percent * len(union) // 100)  # a shorter one is the union itself
+                take.append(np.isin(both, union, assume_unique=True).sum() >= need)
             batch = batch.filter(pa.array(take, pa.bool_()))
             yield batch.select(["a", "b"])
 
     return keep
 
 
+def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that may be as similar as asked, by the sketches of their unions."""
+    sketch = lambda x: classes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    return both.mapInArrow(lean(_estimator(k, percent)), "a binary, b binary")
+
+
+class _Hubs:
+    """Deals the rows of large hubs over slices. rows: with the hub in column b."""
+
+    def __init__(self, rows: DataFrame):
+        limit = max(SLICE, rows.count() // HUBS)
+        self.large = rows.groupBy("b").count().filter(F.col("count") > limit).select("b", F.ceil(F.col("count") / limit).alias("_n"))
+
+    def dealt(self, rows: DataFrame, by: str) -> DataFrame:
+        out = rows.join(F.broadcast(self.large), "b", "left")
+        return out.withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_n")), F.lit(0))).drop("_n")
+
+    def in_each_slice(self, hubs: DataFrame) -> DataFrame:
+        """hubs, a row for each, once for each slice."""
+        out = hubs.join(F.broadcast(self.large), "b", "left")
+        return out.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_n"), F.lit(1)) - 1))).drop("_n")
+
+    def join(self, rows: DataFrame, hubs: DataFrame, by: str = "key") -> DataFrame:
+        return self.dealt(rows, by).join(self.in_each_slice(hubs), ["b", "_s"]).drop("_s")
+
+
 def _compared(n: int):
     """Full comparison: sizes, shared values, and the values of a that b has not."""
 
@@ -164,8 +216,9 @@ def _comparison(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int)
     if few:
         texts = written(texts, "texts")
     text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_compared(n)), "a long, b long, na long, nb long, both long, outside array<long>").dropDuplicates(["a", "b"])
+    # Rows of one hub come one after another, so its set is made once for each slice.
+    both = _Hubs(pairs).join(pairs.join(text("a"), "a"), text("b"), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_compared(n)), "a binary, b binary, na long, nb long, both long, outside array<long>").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,68 +240,83 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("key"), F.col("v").alias("root")).union(links.select("v", "v")).distinct()
 
 
+def _across(rows: DataFrame, condition: str) -> DataFrame:
+    """x, y: rows (b, v, key, root, ...) of one list and of different components that meet the condition.
+
+    Of each list the component with most rows is left out on one side, so a component never meets itself.
+    """
+    roots = rows.groupBy("b", "v", "root").agg(F.count(F.lit(1)).alias("many"))
+    major = roots.groupBy("b", "v").agg(F.max_by("root", F.struct("many", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    held = rows.join(major, ["b", "v"])
+    names = ("key", "size", "both", "common", "root")
+    other = held.select("b", "v", *[F.col(c).alias(f"{c}_y") for c in names])
+    return held.filter("root != major").join(other, ["b", "v"]).filter(f"root != root_y AND {condition}").select(F.col("key").alias("x"), F.col("key_y").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, kept."""
     given = id_and_text(docs, id_col, text_col)
-    kind, threshold = id_type(docs, id_col), percent / 100
-    rows = written(given.withColumn("th", F.xxhash64("text")).mapInArrow(lean(_sketcher(n, k)), f"doc_id {kind}, th long, n long, key long, sketch array<long>"), "sketches")
+    kind = id_type(docs, id_col)
+    rows = written(given.withColumn("th", F.xxhash64("text")).mapInArrow(lean(_sketcher(n, k)), f"doc_id {kind}, th long, n long, key binary, sketch array<long>"), "sketches")
     filled = rows.filter("key IS NOT NULL")
     grouped = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    lists = written(_lists(grouped, threshold), "lists")
+    lists = written(_lists(grouped, k, percent), "lists")
     classes = written(grouped.join(lists.select("key").distinct(), "key", "left_semi"), "classes")
     linked = f"100 * both >= {percent} * (na + nb - both)"
 
-    hubs = lists.groupBy("v").agg(F.max_by("key", F.struct("heavy", "key")).alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("v", "b")
-    stars = written(lists.join(hubs, "v").filter("key != b").select(F.col("key").alias("a"), "b").distinct(), "stars")
-    tested = written(_comparison(stars, classes, given, n), "tested")
-    links = tested.filter(linked).select("a", "b")
-    roots = components(links)
+    first = lists.groupBy("v").agg(F.max_by("key", F.struct("heavy", "key")).alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("v", "b")
+    stars = written(lists.join(first, "v").filter("key != b").select(F.col("key").alias("a"), "b").distinct(), "stars")
+    # What a hub's only class has in common with it rules out no other, so there the estimate decides whether to compare.
+    alone = stars.groupBy("b").agg(F.first("a").alias("a"), F.count(F.lit(1)).alias("many"))
+    others = stars.join(alone.filter("many > 1").select("b"), "b", "left_semi")
+    tested = written(_comparison(written(_estimated(alone.filter("many = 1").select("a", "b"), classes, k, percent).union(others.select("a", "b")), "likely"), classes, given, n), "tested")
+    roots = components(tested.filter(linked).select("a", "b"))
+
+    # Of hubs that some class is apart from: all classes, with what they share with the hub.
+    each = tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside")
+    hubs = _Hubs(tested)
 
     def rooted(df: DataFrame) -> DataFrame:
         """With the component of key, and whether it is another one than that of the hub."""
-        root = lambda x: roots.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}"))
-        both = df.join(root("key"), "key", "left").join(root("b"), "b", "left").withColumn("root", F.coalesce("root_key", "key"))
-        return both.withColumn("apart", F.col("root") != F.coalesce("root_b", "b")).drop("root_key", "root_b")
-
-    placed = rooted(tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside"))
-    placed = written(placed.join(placed.filter("apart").select("b").distinct(), "b", "left_semi").drop("root", "apart"), "placed")
+        root = lambda x, name: roots.select(F.col("key").alias(x), F.col("root").alias(name))
+        own = df.join(root("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        of_hubs = df.select("b").distinct().join(root("b", "root_b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
+        return hubs.join(own, of_hubs).withColumn("apart", F.col("root") != F.col("root_b")).drop("root_b")
+
+    placed = rooted(each)
+    wanted = placed.groupBy("b").agg(F.max("apart").alias("any"), F.min("size").alias("smallest")).filter("any").drop("any")
+    placed = written(hubs.join(placed.drop("root", "apart"), wanted), "placed")
     facts = placed.drop("outside")
     # A link takes a share of both sizes; the other one's is at least that of the smallest class of the hub, and percent of this one's.
     other_size = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
-    need = F.greatest(F.lit(1), F.ceil((F.col("size") + other_size) * percent / (100 + percent)) - F.col("both"))
-    outside = placed.join(facts.groupBy("b").agg(F.min("size").alias("smallest")), "b")
-    outside = outside.select("b", "key", F.size("outside").alias("size"), need.alias("need"), F.explode("outside").alias("v"))
+    total = F.ceil((F.col("size") + other_size) * percent / (100 + percent))
+    outside = placed.select("b", "key", F.size("outside").alias("size"), F.greatest(F.lit(1), total - F.col("both")).alias("need"), F.explode("outside").alias("v"))
     outside = written(_rarest(outside, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy").join(facts, ["b", "key"]), "outside")
-    met = stars.select(F.col("a").alias("x"), F.col("b").alias("y"))
 
     # Again one class of each list against the others: the one whose values most others share may be a better hub.
     found = rooted(outside)
-    hubs = found.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
-    second = found.filter("apart").join(hubs, ["b", "v"]).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
-    second = written(second.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "second")
+    better = found.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
+    second = found.filter("apart").join(better, ["b", "v"]).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
+    second = written(_estimated(second, classes, k, percent), "second")
     if not second.isEmpty():
-        links = links.union(written(_comparison(second, classes, given, n).filter(linked).select("a", "b"), "links"))
-        roots = components(links)
-        met = met.union(second.select("a", "b"))
+        more = written(_comparison(second, classes, given, n).filter(linked).select("a", "b"), "links")
+        roots = components(roots.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))
 
-    facts, found = rooted(facts), rooted(outside)
-    other = [F.col(c).alias(f"{c}_y") for c in ("key", "size", "both", "root", "apart")]
-    differ = "apart AND root != root_y AND (NOT apart_y OR key < key_y)"
+    # The few whose share with the hub may be enough by itself meet by their retained values.
+    enough = facts.filter(F.col("both") >= total).join(classes.select("key", "sketch"), "key")
+    enough = enough.select("b", "key", F.size("sketch").alias("size"), _need(F.size("sketch"), k, percent).alias("need"), F.explode("sketch").alias("v"))
+    enough = _rarest(enough, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy", "common").join(facts, ["b", "key"])
     near = f"100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
-    # Enough in common with the hub by itself.
-    enough = facts.filter("apart").join(facts.select("b", *other), "b").filter(f"{differ} AND {near} AND {100 + percent} * least(both, both_y) >= {percent} * (size + size_y)")
-    # Or something in common that the hub has not; values that a class alone has are in no intersection, so the rest bounds it.
+    by_itself = f"{100 + percent} * least(both, both_y) >= {percent} * (size + size_y)"
+    # Values that a class alone has are in no intersection, so the rest bounds it.
     most = f"{100 + percent} * (least(both, both_y) + least(common, common_y)) >= {percent} * (size + size_y)"
-    shared = found.filter("apart").join(found.select("b", "v", F.col("common").alias("common_y"), *other), ["b", "v"]).filter(f"{differ} AND {near} AND {most}")
-    pairs = _apart(enough.select(F.col("key").alias("x"), F.col("key_y").alias("y")).union(shared.select("key", "key_y")))
+    pairs = _apart(_across(rooted(outside), f"{near} AND {most}").union(_across(rooted(enough.withColumn("common", F.lit(0))), f"{near} AND {by_itself}")))
+    met = stars.select(F.col("a").alias("x"), F.col("b").alias("y")).union(second.select("a", "b"))
     pairs = pairs.join(_apart(met), ["a", "b"], "left_anti")
-    sketch = lambda x: classes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    pairs = written(pairs.mapInArrow(lean(_estimator(threshold, k)), "a long, b long"), "pairs")
+    pairs = written(_estimated(pairs, classes, k, percent), "pairs")
     if not pairs.isEmpty():
         more = written(_comparison(pairs, classes, given, n).filter(linked).select("a", "b"), "links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+        roots = components(roots.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))
 
     # The least id of each component, by class.
     reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
