@@ -167,7 +167,8 @@ _RANDOM = np.random.default_rng(20240229).integers(0, 1 << 63, 257, dtype=np.uin
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse, from the power 0 on: n of them at least."""
     if len(_POWERS[0]) < n:
         n = max(n, PIECE + 1)
         for k, b in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
@@ -188,7 +189,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: n
     """A 64-bit value for each word: a polynomial over random byte values, from running sums."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.cumsum(_RANDOM[kinds[data]] * up[: len(data)], dtype=np.uint64)
     value = sums[ends - 1].copy()
     later = starts > 0

@@ -4,12 +4,14 @@ Items and documents are lower-cased (A-Z) and cut into words; an item's patterns
 ``window`` words, or its whole sequence if it is shorter. The automaton reads each document's word
 sequence once; matched word ranges are mapped back to offsets in the document as it came.
 
-The items are read in blocks of at most ``block_words`` words, so that neither the driver nor an
-executor ever holds more than one bounded automaton; with several blocks each is applied to all
-documents and the matched ranges of a document are joined.
+Items are written to the shared folder in blocks of about ``block_words`` words; an item with more is cut into parts that
+overlap by one word less than a window, so that no window is lost. Each task reads the blocks from there and builds their
+automatons one after another: it never holds more than one, and neither the driver nor a closure holds any. There is
+one automaton for all items unless they have more words than a block; where there are several, a task gathers
+``GATHERED`` bytes of text and takes them through all automatons in turn. Either way documents are read once and nothing is shuffled.
 
 Defined cases: null text has no words, an item without words has no pattern, a null item id is the
-empty string in the digest and counts as an item, repeated rows are judged each on their own,
+empty string in the digest and counts as an item, repeated rows are judged each on their own, very long texts and items are read whole,
 an empty table gives an empty result; other columns are never looked at.
 """
 
@@ -19,31 +21,34 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_type, lean, table
+from quern.llm.common import id_type, lean, table, working_path
 
 #: Words of a text as it came: A-Z belong to them.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A-Z to a-z, what separates words to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Words of items in one automaton.
-BLOCK_WORDS = 1_000_000
+#: Words of items in one automaton, about; it takes some hundred bytes for each place of a window.
+BLOCK_WORDS = 200_000
+#: Bytes of text that pass through one automaton before the next is built.
+GATHERED = 64 << 20
 
 
 def split_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def build(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
+def build(items: list[tuple[str, list[bytes]]], window: int) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
     """Word numbers, and the automaton over sequences of them; a pattern's value is (its length, its items)."""
     numbers: dict[bytes, int] = {}
     patterns: dict[tuple[int, ...], list[int]] = {}
-    for k, (_, text) in enumerate(items):
-        ids = [numbers.setdefault(w, len(numbers) + 1) for w in split_words(text)]
+    for k, (_, words) in enumerate(items):
+        ids = [numbers.setdefault(w, len(numbers) + 1) for w in words]
         for i in range(max(1, len(ids) - window + 1) if ids else 0):
             own = patterns.setdefault(tuple(ids[i : i + window]), [])
             if not own or own[-1] != k:
@@ -76,92 +81,125 @@ def offsets_of(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _scanner(items: list[tuple[str, bytes]], window: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, automaton = build(items, window)
-        number = numbers.get
-        names = [k for k, _ in items]
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            n_words, ranges, spans, found = [], [], [], []
-            for text in texts:
-                text = text.as_py() or b""
-                ws = split_words(text)
-                n_words.append(len(ws))
-                own, which = hits(tuple([number(w, 0) for w in ws]), automaton) if automaton and ws else ([], ())
-                ranges.append([{"lo": a, "hi": b} for a, b in own])
-                spans.append([{"start": a, "end": b} for a, b in offsets_of(text.decode(), own)] if own else [])
-                found.append(sorted({names[k] for k in which}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(ranges, _RANGES), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "ranges", "spans", "items"],
-            )
-
-    return scan
-
-
 _RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _COLUMNS = "n_words long, ranges array<struct<lo:long,hi:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """Distinct items in blocks. An item belongs to the block in which a running count of words puts it."""
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size <= block_words:  # a word has a character at least, so this is one block
-        return [[(r["item"], r["text"].encode()) for r in rows.orderBy("item", "text").collect()]]
-    n = -(-2 * size // block_words)
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r["item"], r["text"].encode()) for r in numbered.filter(F.col("block") == k).orderBy("item", "text").collect()] for k in range(n)]
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges by place, joined where they overlap."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and out[-1][1] > lo:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _parter(window: int, limit: int):
+    """Words of items, in parts of at most limit words and what the next part's first window needs besides."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {"item": [], "words": []}
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.binary())):
+                words = split_words(text.as_py() or b"")
+                for a in range(0, max(1, len(words) - window + 1) if words else 0, limit):
+                    rows["item"].append(item)
+                    rows["words"].append(b" ".join(words[a : a + limit + window - 1]))
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("item", pa.string()), ("words", pa.binary())]))
+
+    return cut
+
+
+class Blocks:
+    """The benchmark in the shared folder, and how a task reads it."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
+        rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        parts = rows.mapInArrow(lean(_parter(window, block_words)), "item string, words binary").distinct()
+        size = F.size(F.split(F.col("words").cast("string"), " "))
+        # Items may share their texts, so it is the words of all of them that count.
+        self.count = max(1, -(-(parts.agg(F.sum(size)).first()[0] or 0) // block_words))
+        self.folder, self.window = working_path(benchmark.sparkSession, "items"), window
+        parts = parts.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(self.count)).cast("int").alias("block"))
+        parts.repartition(self.count, "block").write.partitionBy("block").parquet(self.folder)
+
+    def __getstate__(self) -> dict:
+        return {"count": self.count, "folder": self.folder, "window": self.window}
+
+    def load(self, block: int) -> tuple[list[str], dict[bytes, int], ahocorasick.Automaton | None]:
+        """Names of the block's items, word numbers, and its automaton."""
+        fs, base = pafs.FileSystem.from_uri(self.folder)
+        found = fs.get_file_info(pafs.FileSelector(f"{base}/block={block}", allow_not_found=True))
+        files = sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet"))
+        items: list[tuple[str, list[bytes]]] = []
+        for path in files:
+            with fs.open_input_file(path) as source:
+                t = pq.ParquetFile(source).read(columns=["item", "words"])
+            items += [(item, words.split(b" ")) for item, words in zip(t.column("item").to_pylist(), t.column("words").to_pylist())]
+        items.sort()
+        return [k for k, _ in items], *build(items, self.window)
+
+    def search(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, list[tuple[int, int]], list[str]]]]]:
+        """Each batch, and for each of its texts (in that column): the text, its number of words, ranges inside matches, items."""
+        held: list[pa.RecordBatch] = []
+        size, one = 0, self.load(0) if self.count == 1 else None
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if one or size >= GATHERED:
+                yield from self._all(held, column, one)
+                held, size = [], 0
+        if held:
+            yield from self._all(held, column, one)
+
+    def _all(self, held: list[pa.RecordBatch], column: int, one):
+        texts = [[x.as_py() or b"" for x in batch.column(column).cast(pa.binary())] for batch in held]
+        out = [[[text, 0, [], set()] for text in own] for own in texts]
+        for k in range(self.count):
+            names, numbers, automaton = one or self.load(k)
+            number = numbers.get
+            for own in out:
+                for row in own:
+                    words = split_words(row[0])
+                    row[1] = len(words)
+                    if automaton and words:
+                        ranges, which = hits(tuple([number(w, 0) for w in words]), automaton)
+                        row[2] += ranges
+                        row[3].update(names[i] for i in which)
+        for batch, own in zip(held, out):
+            yield batch, [(text, n, merged(ranges), sorted(items)) for text, n, ranges, items in own]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, ranges (of words), spans (of code points), items (ids of matched items, sorted as strings)."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {id_type(docs, id_col)}, {_COLUMNS}"
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    if len(blocks) == 1:
-        return given.mapInArrow(lean(_scanner(blocks[0], window)), schema)
-    # Rows may agree in everything, so each gets a number of its own; it depends on the text only through its place.
-    given = given.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")))
-    each = None
-    for block in blocks:
-        one = given.select(F.struct("doc_id", "copy", F.xxhash64("text").alias("h")).alias("doc_id"), "text").mapInArrow(lean(_scanner(block, window)), f"doc_id struct<doc_id:{id_type(docs, id_col)},copy:int,h:long>, {_COLUMNS}")
-        each = one if each is None else each.unionByName(one)
-    joined = each.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.select("doc_id.doc_id", "n_words", _merged("ranges", "lo", "hi").alias("ranges"), _merged("spans", "start", "end").alias("spans"), "items")
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in blocks.search(batches, 1):
+            ranges = [[{"lo": a, "hi": b} for a, b in own] for _, _, own, _ in rows]
+            spans = [[{"start": a, "end": b} for a, b in offsets_of(text.decode(), own)] if own else [] for text, _, own, _ in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array(ranges, _RANGES), pa.array(spans, _SPANS), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
+                ["doc_id", "n_words", "ranges", "spans", "items"],
+            )
+
+    return given.mapInArrow(lean(scan), f"doc_id {id_type(docs, id_col)}, {_COLUMNS}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, in which no item's window occurs. No row is moved."""
     place = docs.columns.index(text_col)
+    blocks = Blocks(benchmark, item_col, item_text_col, window, block_words)
 
-    def keeper(items: list[tuple[str, bytes]]):
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, automaton = build(items, window)
-            number = numbers.get
-            for batch in batches:
-                texts = (x.as_py() or b"" for x in batch.column(place).cast(pa.binary()))
-                yield batch.filter(pa.array([not (automaton and (ids := tuple([number(w, 0) for w in split_words(text)])) and hits(ids, automaton)[1]) for text in texts], pa.bool_()))
-
-        return keep
-
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        docs = docs.mapInArrow(lean(keeper(block)), docs.schema)
-    return docs
-
-
-def _merged(column: str, lo: str, hi: str):
-    """Ranges by place, joined where they overlap."""
-    kind = f"array<struct<{lo}:bigint,{hi}:bigint>>"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        longer = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last[lo].alias(lo), F.greatest(last[hi], x[hi]).alias(hi)))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))[hi] > x[lo]), longer).otherwise(F.array_append(acc, x))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in blocks.search(batches, place):
+            yield batch.filter(pa.array([not r[2] for r in rows], pa.bool_()))
 
-    return F.aggregate(F.array_sort(F.col(column)), F.array().cast(kind), step)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,16 +7,19 @@ is taken out of the counts, and the tokens of that part are predicted from what
 
 Counts are kept by 64-bit values of words and word pairs and are never in one place:
 
-1. Documents are dealt over blocks of a bounded size by a hash. A block sends its distinct values with
-   its own counts to the shards of the range of values, already summed, so a frequent word costs a
-   shard one entry for each block.
-2. A shard adds up and answers each block with the totals of the values that it sent.
+1. Neighbouring documents are packed into compressed pieces, and pieces are dealt over blocks of a bounded size. A
+   block sends its distinct values with its own counts to the ranges of values that it fills, already summed, so a
+   frequent word costs a range one entry for each block.
+2. Where a range is small enough for one task it adds up and answers each block with the totals of the values that
+   it sent. Where it isn't, as on large corpora, bundles of blocks are added up first and sent on to narrower ranges in the
+   same way, and the answers come back through the bundles. A block sends ``FAN`` messages at most, and so does a bundle,
+   so messages grow with the corpus and not with its square.
 3. A block looks its tokens up in its answers and writes, for each token, the counts that its
    probability needs. The weights are then learned from a small histogram of these, and scores follow
    from them without another shuffle.
 
 Defined cases: null text is empty and has the end token alone; a null id counts as held out; repeated rows
-are scored each on their own and all count; an empty table gives an empty result; without rows
+are scored each on their own and all count, and fall into blocks by their place in the table; a very long text is a piece of its own; an empty table gives an empty result; without rows
 to learn from every token has probability 1 / (V + 1) = 1; other columns are never looked at.
 """
 
@@ -27,14 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import LOWER, id_and_text, id_type, lean, mix, table, text_pieces, word_hashes, written
+from quern.llm.common import LOWER, buffer, id_and_text, id_type, lean, mix, table, text_pieces, word_hashes, written
 
-#: Bytes of text in a block and, about, behind the values of a shard.
-BLOCK, SHARD = 12 << 20, 20 << 20
+#: Bytes of text in a block and, about, behind the values of the narrowest ranges; bytes of text in a piece.
+BLOCK, SHARD, PACKED = 12 << 20, 20 << 20, 1 << 20
+#: Ranges to which a block or a bundle sends at most.
+FAN = 1024
 #: Documents whose tokens' counts are stored together.
 STORED = 512
 END = np.uint64(0xF1357AEA2E62A9C5)
@@ -53,6 +59,77 @@ def expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
+def squeeze_repeated(values: np.ndarray) -> bytes:
+    """Integers of which many are equal: the distinct ones, the most frequent first, and for each its number there."""
+    distinct, place, many = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-many, kind="stable")
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    table_ = squeeze(distinct[order])
+    numbers = np.ascontiguousarray(number[place.ravel()].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(table_).to_bytes(4, "little") + table_ + zstandard.ZstdCompressor(level=3).compress(numbers)
+
+
+def expand_repeated(data: bytes) -> np.ndarray:
+    at = 4 + int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at:]), np.uint8)
+    return expand(data[4:at])[np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()]
+
+
+def _packer(blocks: int, kind: pa.DataType, limit: int):
+    """Pieces of neighbouring documents: block, ids, folds, sizes of the texts and their compressed bytes."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(kind)), ("folds", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        squeezer = zstandard.ZstdCompressor(level=3)
+        ids: list = []
+        folds: list[int] = []
+        sizes: list[int] = []
+        blobs: list[bytes] = []
+        held = 0
+
+        def piece() -> pa.RecordBatch:
+            nonlocal seq, held
+            block = int(mix(np.array([part << 32 | seq], np.uint64))[0] % np.uint64(blocks))
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, ids, folds, sizes, squeezer.compress(b"".join(blobs))), schema.types)], schema=schema)
+            for x in (ids, folds, sizes, blobs):
+                x.clear()
+            seq, held = seq + 1, 0
+            return out
+
+        for batch in batches:
+            data, offsets = buffer(batch.column("text"))
+            keys, own = batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist()
+            lo = 0
+            while lo < len(keys):  # rows up to the piece's limit, one at least
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit - held, "right")) - 1)
+                ids += keys[lo:hi]
+                folds += own[lo:hi]
+                sizes += np.diff(offsets[lo : hi + 1]).tolist()
+                blobs.append(data[offsets[lo] : offsets[hi]].tobytes())
+                held += len(blobs[-1])
+                lo = hi
+                if held >= limit or lo < len(keys):
+                    yield piece()
+        if ids:
+            yield piece()
+
+    return pack
+
+
+def _block_tokens(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of all texts of a block's pieces."""
+    values, counts = [], []
+    for sizes, blob in zip(block.column("sizes").to_pylist(), block.column("blob")):
+        offsets = np.cumsum([0, *sizes], dtype=np.int64)
+        data = zstandard.ZstdDecompressor().decompress(blob.as_py()) if offsets[-1] else b""
+        v, n = tokens(pa.Array.from_buffers(pa.large_utf8(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        values.append(v)
+        counts.append(n)
+    return np.concatenate(values), np.concatenate(counts)
+
+
 def tokens(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of all words, each document's followed by the end token, and the number of tokens of each document."""
     values, counts = [], []
@@ -71,45 +148,105 @@ def pairs(values: np.ndarray) -> np.ndarray:
     return mix((before ^ (before >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) + values)
 
 
-def _sender(shards: int):
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-
+_PARTS = [f"{a}{b}" for a in "ub" for b in "kch"]
+_TOTALS = ("uc", "uh", "bc", "bh")
+_SENT = pa.schema([("src", pa.int64()), ("rng", pa.int64()), *[(x, pa.binary()) for x in _PARTS]])
+_ANSWER = pa.schema([("src", pa.int64()), ("rng", pa.int64()), *[(x, pa.binary()) for x in _TOTALS], ("n", pa.int64()), ("fit", pa.int64()), ("v", pa.int64())])
+_SENT_SQL = ", ".join(["src long, rng long", *[f"{x} binary" for x in _PARTS]])
+_ANSWER_SQL = ", ".join(["src long, rng long", *[f"{x} binary" for x in _TOTALS], "n long, fit long, v long"])
+
+
+def _messages(src: int, first: int, ranges: int, of: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A row for each range from number first on, of so many, into which some key falls. ``of``: ranges of all values."""
+    edges = np.array([(k << 64) // of for k in range(first + 1, first + ranges)], np.uint64)
+    cut = {x: [0, *np.searchsorted(columns[x + "k"], edges).tolist(), len(columns[x + "k"])] for x in "ub"}
+    filled = [k for k in range(ranges) if any(cut[x][k] < cut[x][k + 1] for x in "ub")]
+    out: dict[str, list] = {"src": [src] * len(filled), "rng": [first + k for k in filled]}
+    for name in _PARTS:
+        at = cut[name[0]]
+        out[name] = [squeeze(columns[name][at[k] : at[k + 1]]) for k in filled]
+    return pa.table(out, _SENT)
+
+
+def _sender(ranges: int):
     def send(block: pa.Table) -> pa.Table:
-        values, n = tokens(block.column("text"))
-        fold = np.repeat(block.column("fold").to_numpy(), n)
+        values, n = _block_tokens(block)
+        fold = np.repeat(np.concatenate([np.array(x, np.int32) for x in block.column("folds").to_pylist()]), n)
         learn, fit = fold != 0, fold == 1
-        columns: dict[str, list] = {"shard": list(range(shards)), "block": [block.column("block")[0].as_py()] * shards}
+        columns: dict[str, np.ndarray] = {}
         for name, keys in (("u", values), ("b", pairs(values))):
-            keys, place = np.unique(keys, return_inverse=True)
-            cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            for what, own in (("k", keys), ("c", np.bincount(place[learn], minlength=len(keys))), ("h", np.bincount(place[fit], minlength=len(keys)))):
-                columns[name + what] = [squeeze(own[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-        return pa.table(columns, _SENT)
+            columns[name + "k"], place = np.unique(keys, return_inverse=True)
+            for what, which in (("c", learn), ("h", fit)):
+                columns[name + what] = np.bincount(place[which], minlength=len(columns[name + "k"]))
+        return _messages(block.column("block")[0].as_py(), 0, ranges, ranges, columns)
 
     return send
 
 
-_PARTS = [f"{a}{b}" for a in "ub" for b in "kch"]
-_SENT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *[(x, pa.binary()) for x in _PARTS]])
-_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), *[(x, pa.binary()) for x in ("uc", "uh", "bc", "bh")], ("n", pa.int64()), ("fit", pa.int64()), ("v", pa.int64())])
+def _added(sent: pa.Table, name: str) -> tuple[np.ndarray, dict[str, np.ndarray], list[np.ndarray]]:
+    """Of messages of one range the distinct keys, their sums, and the place of each message's keys among them."""
+    parts = [[expand(x.as_py()) for x in sent.column(name + what)] for what in "kch"]
+    keys, place = np.unique(np.concatenate(parts[0]), return_inverse=True)
+    sums = {what: np.bincount(place, np.concatenate(own), len(keys)).astype(np.int64) for what, own in zip("ch", parts[1:])}  # exact up to 2^53
+    return keys, sums, np.split(place, np.cumsum([len(x) for x in parts[0]])[:-1])
+
+
+def _replies(sent: pa.Table, totals: dict[str, np.ndarray], places: dict[str, list[np.ndarray]]) -> pa.Table:
+    """For each message the totals of its keys."""
+    none = pa.nulls(sent.num_rows, pa.int64())
+    own = {x: pa.array([squeeze(totals[x][at]) for at in places[x[0]]], pa.binary()) for x in _TOTALS}
+    return pa.table({"src": sent.column("src"), "rng": sent.column("rng")} | own | {"n": none, "fit": none, "v": none}, _ANSWER)
 
 
-def _answer(shard: pa.Table) -> pa.Table:
-    """The totals for each block that asked, and a row of the shard's own sums for no block."""
-    rows, which = shard.num_rows, shard.column("shard")[0].as_py()
-    columns: dict[str, list] = {"block": [*shard.column("block").to_pylist(), -1 - which], "shard": [which] * (rows + 1)}
+def _answer(sent: pa.Table) -> pa.Table:
+    """The totals for each source that asked, and a row of the range's own sums for no source."""
+    which = sent.column("rng")[0].as_py()
+    totals, places = {}, {}
     for name in "ub":
-        sent = [[expand(x.as_py()) for x in shard.column(name + what)] for what in "kch"]
-        cut = np.cumsum([0, *map(len, sent[0])]).tolist()
-        keys, place = np.unique(np.concatenate(sent[0]), return_inverse=True)
-        for what, own in zip("ch", sent[1:]):
-            total = np.bincount(place, np.concatenate(own), len(keys)).astype(np.int64)  # exact up to 2^53
-            columns[name + what] = [*[squeeze(total[place[a:b]]) for a, b in zip(cut[:-1], cut[1:])], None]
-            if name == "u":
-                columns["n" if what == "c" else "fit"] = [None] * rows + [int(total.sum())]
-                if what == "c":
-                    columns["v"] = [None] * rows + [int((total > 0).sum())]
-    return pa.table({f.name: pa.array(columns[f.name], f.type) for f in _ANSWER})
+        _, sums, places[name] = _added(sent, name)
+        totals |= {name + what: x for what, x in sums.items()}
+    c = totals["uc"]
+    sums = pa.table({"src": [-1 - which], "rng": [which]} | {x: pa.nulls(1, pa.binary()) for x in _TOTALS} | {"n": [int(c.sum())], "fit": [int(totals["uh"].sum())], "v": [int((c > 0).sum())]}, _ANSWER)
+    return pa.concat_tables([_replies(sent, totals, places), sums])
+
+
+def _bundler(ranges: int, of: int):
+    """Sums of a bundle's messages of one range, sent on to the narrower ranges in it."""
+
+    def bundle(sent: pa.Table) -> pa.Table:
+        columns = {}
+        for name in "ub":
+            columns[name + "k"], sums, _ = _added(sent, name)
+            columns |= {name + what: x for what, x in sums.items()}
+        return _messages(sent.column("bundle")[0].as_py(), sent.column("rng")[0].as_py() * ranges, ranges, of, columns)
+
+    return bundle
+
+
+def _relay(sent: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to a bundle's sums, for each source in it."""
+    if not sent.num_rows:  # sums of a range, for no source
+        return answers.select(_ANSWER.names)
+    answers = answers.sort_by("part")
+    totals, places = {}, {}
+    for name in "ub":
+        _, _, places[name] = _added(sent, name)
+    for x in _TOTALS:
+        totals[x] = np.concatenate([expand(y.as_py()) for y in answers.column(x)])
+    return _replies(sent, totals, places)
+
+
+def exchange(sent: DataFrame, ranges: int, narrowest: int, fan: int = FAN) -> DataFrame:
+    """The totals for all messages, in ranges of which there are so many; ``narrowest``: how many there must be for one to fit a task."""
+    if ranges >= narrowest:
+        return sent.groupBy("rng").applyInArrow(_answer, _ANSWER_SQL)
+    within = min(fan, -(-narrowest // ranges))
+    # As many bundles as a range would need tasks.
+    sent = sent.withColumn("bundle", F.pmod(F.xxhash64("src"), F.lit(-(-narrowest // ranges))))
+    on = sent.groupBy("rng", "bundle").applyInArrow(_bundler(within, ranges * within), _SENT_SQL)
+    back = exchange(on, ranges * within, narrowest, fan)
+    back = back.select(*[x for x in _ANSWER.names if x != "rng"], F.col("rng").alias("part"), F.expr(f"rng div {within}").alias("rng"), F.col("src").alias("bundle"))
+    return sent.groupBy("rng", "bundle").cogroup(back.groupBy("rng", "bundle")).applyInArrow(_relay, _ANSWER_SQL)
 
 
 def _looker(kind: pa.DataType):
@@ -119,8 +256,8 @@ def _looker(kind: pa.DataType):
         if not block.num_rows:  # a shard's sums
             none = {f.name: pa.nulls(answers.num_rows, f.type) for f in schema}
             return pa.table(none | {x: answers.column(x) for x in ("n", "fit", "v")}, schema)
-        answers = answers.sort_by("shard")
-        values, n = tokens(block.column("text"))
+        answers = answers.sort_by("rng")
+        values, n = _block_tokens(block)
         found = {}
         for name, keys in (("u", values), ("b", pairs(values))):
             place = np.unique(keys, return_inverse=True)[1]
@@ -128,7 +265,7 @@ def _looker(kind: pa.DataType):
                 found[name + what] = np.concatenate([expand(x.as_py()) for x in answers.column(name + what)])[place]
         ends = np.cumsum([0, *n])
         rows: dict[str, list] = {f.name: [] for f in schema}
-        ids, folds = block.column("doc_id").to_pylist(), block.column("fold").to_pylist()
+        ids, folds = ([x for own in block.column(c).to_pylist() for x in own] for c in ("ids", "folds"))
         # The count of the context is that of the token before; an end token stands before the first.
         before = {what: np.concatenate([found["u" + what][n[0] - 1 : n[0]], found["u" + what][:-1]]) for what in "ch"}
         order = sorted(range(len(ids)), key=lambda i: folds[i] == 1)
@@ -141,13 +278,13 @@ def _looker(kind: pa.DataType):
             rows["doc_id"].append([ids[i] for i in chunk])
             rows["fold"].append([folds[i] for i in chunk])
             rows["tokens"].append([int(n[i]) for i in chunk])
-            rows["cw"].append(squeeze(found["uc"][at]))
-            rows["c2"].append(squeeze(found["bc"][at]))
-            rows["cv"].append(squeeze(before["c"][at[np.cumsum([0, *[int(n[i]) for i in chunk[:-1]]])]]))
+            rows["cw"].append(squeeze_repeated(found["uc"][at]))
+            rows["c2"].append(squeeze_repeated(found["bc"][at]))
+            rows["cv"].append(squeeze_repeated(before["c"][at[np.cumsum([0, *[int(n[i]) for i in chunk[:-1]]])]]))
             fit = folds[chunk[0]] == 1
-            rows["hw"].append(squeeze(found["uh"][at]) if fit else None)
-            rows["h2"].append(squeeze(found["bh"][at]) if fit else None)
-            rows["hv"].append(squeeze(before["h"][at[np.cumsum([0, *[int(n[i]) for i in chunk[:-1]]])]]) if fit else None)
+            rows["hw"].append(squeeze_repeated(found["uh"][at]) if fit else None)
+            rows["h2"].append(squeeze_repeated(found["bh"][at]) if fit else None)
+            rows["hv"].append(squeeze_repeated(before["h"][at[np.cumsum([0, *[int(n[i]) for i in chunk[:-1]]])]]) if fit else None)
             for x in ("n", "fit", "v"):
                 rows[x].append(None)
         return pa.table({f.name: pa.array(rows[f.name], f.type) for f in schema})
@@ -163,18 +300,19 @@ def _contexts(first: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray
     return out
 
 
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """The counts behind each token of each document, and rows of the shards' sums (n, fit, v)."""
-    kind = id_type(docs, id_col)
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD, fan: int = FAN, packed: int = PACKED) -> DataFrame:
+    """The counts behind each token of each document, and rows of the ranges' sums (n, fit, v)."""
+    kind, arrow = id_type(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
     given = id_and_text(docs, id_col, text_col)
     size = given.agg(F.sum(F.octet_length("text") + 8).alias("s")).first()["s"] or 0
-    blocks, shards = max(1, -(-size // block)), max(1, -(-size // shard))
+    blocks, narrowest = max(1, -(-size // block)), max(1, -(-size // shard))
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)), F.lit(0)).cast("int")
-    dealt = given.select("doc_id", "text", fold.alias("fold"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    sent = dealt.groupBy("block").applyInArrow(_sender(shards), ", ".join(["shard long", "block long", *[f"{x} binary" for x in _PARTS]]))
-    answers = sent.groupBy("shard").applyInArrow(_answer, "block long, shard long, uc binary, uh binary, bc binary, bh binary, n long, fit long, v long")
+    pieces = given.select("doc_id", "text", fold.alias("fold")).mapInArrow(lean(_packer(blocks, arrow, packed)), f"block long, ids array<{kind}>, folds array<int>, sizes array<long>, blob binary")
+    ranges = min(fan, narrowest)
+    sent = pieces.groupBy("block").applyInArrow(_sender(ranges), _SENT_SQL)
+    answers = exchange(sent, ranges, narrowest, fan).withColumnRenamed("src", "block")
     out = f"doc_id array<{kind}>, fold array<int>, tokens array<long>, cw binary, cv binary, c2 binary, hw binary, hv binary, h2 binary, n long, fit long, v long"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_looker(to_arrow_type(docs.schema[id_col].dataType)), out)
+    return pieces.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_looker(arrow), out)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -186,7 +324,7 @@ def _histogram(n: int, v: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                take = lambda x: expand(batch.column(x)[k].as_py()).astype(np.int64)  # noqa: B023, E731
+                take = lambda x: expand_repeated(batch.column(x)[k].as_py()).astype(np.int64)  # noqa: B023, E731
                 length = np.array(batch.column("tokens")[k].as_py())
                 cw, hw = take("cw"), take("hw")
                 cv, hv = _contexts(take("cv"), cw, length), _contexts(take("hv"), hw, length)
@@ -228,7 +366,7 @@ def _scorer(n: int, v: int, mixture: dict[int, tuple[float, float, float]], kind
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                take = lambda x: expand(batch.column(x)[k].as_py()).astype(np.int64)  # noqa: B023, E731
+                take = lambda x: expand_repeated(batch.column(x)[k].as_py()).astype(np.int64)  # noqa: B023, E731
                 length = np.array(batch.column("tokens")[k].as_py())
                 cw, c2 = take("cw"), take("c2")
                 cv = _contexts(take("cv"), cw, length)
@@ -244,10 +382,10 @@ def _scorer(n: int, v: int, mixture: dict[int, tuple[float, float, float]], kind
     return score
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD, fan: int = FAN, packed: int = PACKED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = id_type(docs, id_col)
-    counts = written(counted(docs, id_col, text_col, block, shard), "counts")
+    counts = written(counted(docs, id_col, text_col, block, shard, fan, packed), "counts")
     total = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "fit", "v")]).first()
     n, v = total["n"], total["v"]
     rows = counts.filter("doc_id IS NOT NULL")

@@ -155,7 +155,8 @@ class _Hubs:
     """Deals the rows of large hubs over slices. rows: with the hub in column b."""
 
     def __init__(self, rows: DataFrame):
-        limit = max(SLICE, rows.count() // HUBS)
+        self.rows = rows.count()
+        limit = max(SLICE, self.rows // HUBS)
         self.large = rows.groupBy("b").count().filter(F.col("count") > limit).select("b", F.ceil(F.col("count") / limit).alias("_n"))
 
     def dealt(self, rows: DataFrame, by: str) -> DataFrame:
@@ -210,14 +211,15 @@ def _compared(n: int):
 def _comparison(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int) -> DataFrame:
     """a, b, na, nb, both, outside for pairs a, b of keys. A text goes with each pair only on the side of a."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
-    few = ends.count() <= SENT
+    hubs = _Hubs(pairs)
+    few = 2 * hubs.rows <= SENT
     ends = F.broadcast(ends) if few else ends
     texts = given.join(ends, given["doc_id"].eqNullSafe(ends["doc_id"])).select("key", "text")
     if few:
         texts = written(texts, "texts")
     text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
     # Rows of one hub come one after another, so its set is made once for each slice.
-    both = _Hubs(pairs).join(pairs.join(text("a"), "a"), text("b"), "a")
+    both = hubs.join(pairs.join(text("a"), "a"), text("b"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_compared(n)), "a binary, b binary, na long, nb long, both long, outside array<long>").dropDuplicates(["a", "b"])
 
 
@@ -228,11 +230,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "large")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        links = written(small, "stars")
+        small = down.join(least, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("x"))
+        links = written(small.select("x.*").distinct(), "stars")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -240,6 +242,21 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("key"), F.col("v").alias("root")).union(links.select("v", "v")).distinct()
 
 
+def _merged(roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components after some more links (a, b), and of each former root that changes, or node that was alone, the new one."""
+    root = lambda x: roots.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}"))
+    ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    changed = written(components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b").distinct()), "changed")
+    return written(_renamed(roots, changed).union(changed).distinct(), "roots"), changed
+
+
+def _renamed(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """rows with their column root as it is now."""
+    names = rows.columns
+    now = rows.join(changed.select(F.col("key").alias("root"), F.col("root").alias("_now")), "root", "left")
+    return now.withColumn("root", F.coalesce("_now", "root")).select(*names)
+
+
 def _across(rows: DataFrame, condition: str) -> DataFrame:
     """x, y: rows (b, v, key, root, ...) of one list and of different components that meet the condition.
 
@@ -270,22 +287,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = stars.groupBy("b").agg(F.first("a").alias("a"), F.count(F.lit(1)).alias("many"))
     others = stars.join(alone.filter("many > 1").select("b"), "b", "left_semi")
     tested = written(_comparison(written(_estimated(alone.filter("many = 1").select("a", "b"), classes, k, percent).union(others.select("a", "b")), "likely"), classes, given, n), "tested")
-    roots = components(tested.filter(linked).select("a", "b"))
+    roots = written(components(tested.filter(linked).select("a", "b")), "roots")
 
     # Of hubs that some class is apart from: all classes, with what they share with the hub.
-    each = tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside")
     hubs = _Hubs(tested)
-
-    def rooted(df: DataFrame) -> DataFrame:
-        """With the component of key, and whether it is another one than that of the hub."""
-        root = lambda x, name: roots.select(F.col("key").alias(x), F.col("root").alias(name))
-        own = df.join(root("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        of_hubs = df.select("b").distinct().join(root("b", "root_b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
-        return hubs.join(own, of_hubs).withColumn("apart", F.col("root") != F.col("root_b")).drop("root_b")
-
-    placed = rooted(each)
+    root = lambda x, name: roots.select(F.col("key").alias(x), F.col("root").alias(name))
+    each = tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside").join(root("key", "root"), "key", "left")
+    of_hubs = tested.select("b").distinct().join(root("b", "root_b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
+    placed = hubs.join(each.withColumn("root", F.coalesce("root", "key")), of_hubs).withColumn("apart", F.col("root") != F.col("root_b")).drop("root_b")
+    placed = written(placed, "rooted")
     wanted = placed.groupBy("b").agg(F.max("apart").alias("any"), F.min("size").alias("smallest")).filter("any").drop("any")
-    placed = written(hubs.join(placed.drop("root", "apart"), wanted), "placed")
+    placed = written(hubs.join(placed, wanted), "placed")
     facts = placed.drop("outside")
     # A link takes a share of both sizes; the other one's is at least that of the smallest class of the hub, and percent of this one's.
     other_size = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
@@ -294,13 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = written(_rarest(outside, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy").join(facts, ["b", "key"]), "outside")
 
     # Again one class of each list against the others: the one whose values most others share may be a better hub.
-    found = rooted(outside)
-    better = found.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
-    second = found.filter("apart").join(better, ["b", "v"]).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
+    better = outside.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
+    second = outside.filter("apart").join(better, ["b", "v"]).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
     second = written(_estimated(second, classes, k, percent), "second")
     if not second.isEmpty():
         more = written(_comparison(second, classes, given, n).filter(linked).select("a", "b"), "links")
-        roots = components(roots.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))
+        roots, changed = _merged(roots, more)
+        facts, outside = _renamed(facts, changed), _renamed(outside, changed)
 
     # The few whose share with the hub may be enough by itself meet by their retained values.
     enough = facts.filter(F.col("both") >= total).join(classes.select("key", "sketch"), "key")
@@ -310,13 +322,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_itself = f"{100 + percent} * least(both, both_y) >= {percent} * (size + size_y)"
     # Values that a class alone has are in no intersection, so the rest bounds it.
     most = f"{100 + percent} * (least(both, both_y) + least(common, common_y)) >= {percent} * (size + size_y)"
-    pairs = _apart(_across(rooted(outside), f"{near} AND {most}").union(_across(rooted(enough.withColumn("common", F.lit(0))), f"{near} AND {by_itself}")))
+    pairs = _apart(_across(outside, f"{near} AND {most}").union(_across(enough.withColumn("common", F.lit(0)), f"{near} AND {by_itself}")))
     met = stars.select(F.col("a").alias("x"), F.col("b").alias("y")).union(second.select("a", "b"))
     pairs = pairs.join(_apart(met), ["a", "b"], "left_anti")
     pairs = written(_estimated(pairs, classes, k, percent), "pairs")
     if not pairs.isEmpty():
         more = written(_comparison(pairs, classes, given, n).filter(linked).select("a", "b"), "links")
-        roots = components(roots.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))
+        roots, _ = _merged(roots, more)
 
     # The least id of each component, by class.
     reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -1,38 +1,44 @@
 """Substring dedup: an FM-index per shard finds the word windows that an earlier document has too.
 
-A window is ``width`` consecutive words. Each is assigned the least value among its runs of ``GRAM`` words,
+A window is ``width`` consecutive words. Each is assigned the least value among its runs of ``gram`` words,
 its anchor; windows with equal words have equal anchors, and neighbours mostly share theirs. So:
 
-1. Runs of windows with one anchor become segments; anchors that only one document has are left out,
-   and with them nearly all text that repeats nowhere.
-2. The segments of an anchor meet in one shard. Equal segments are kept once, for their least document. A
+1. Runs of windows with one anchor become segments, of a bounded length, each known by 128 bits of its words. Segments
+   with equal words are one class, which its least document stands for: in all later documents all of it goes, as the
+   index would say of a text that it holds. Anchors that only one document has are left out, and with them nearly
+   all text that repeats nowhere.
+2. Where an anchor has several classes, these meet in one shard, with the words of their least documents. A
    compressed FM-index over the shard's segments is searched backwards with each of them in turn, which tells
    for every word whether it lies in a window that occurs in a document with a lesser id.
 3. The words so found are joined by document and taken out of it.
 
-An anchor with more than ``frequent`` segments would make one shard too large. Its windows are dealt by
-their own hash instead, partially aggregated to their least document, and joined back: exact as well.
+An anchor whose classes have more than ``anchor_words`` words, such as a phrase that stands in very many contexts, would make
+a shard too large. The windows of such classes get finer anchors, from runs of twice as many words, and go through the
+same steps; contexts that are their own then have anchors of their own and drop out. The last anchor is the whole
+window, which has one class. So shards are bounded by their words on any corpus, and no step sees all copies of a passage.
 
 Defined cases: null, empty or short text has no window and loses nothing; of rows with equal ids none is
-earlier; a null id is later than all others; an empty table gives an empty result; other columns are never looked at.
+earlier; a null id is later than all others; very long and repetitive texts are read whole; an empty table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import PLAIN, id_and_text, id_type, lean, ngrams, table, text_pieces, word_hashes, written
+from quern.llm.common import PLAIN, id_and_text, id_type, lean, mix, ngrams, powers, table, text_pieces, word_hashes, written
 from quern.llm.fm_index import FMIndex, matched_windows
 
 WIDTH, GRAM = 50, 8
-#: Segments of one anchor in a shard; words of segments in a shard, about.
-FREQUENT, SHARD_WORDS = 20_000, 1_000_000
+#: Words of one anchor's classes in a shard at most; words in a shard, about; windows in a segment at most.
+ANCHOR_WORDS, SHARD_WORDS, LONGEST = 250_000, 1_000_000, 2_000
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -44,7 +50,7 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(values) - n + 1], out[n - width :]) if len(values) >= n else values[:0]
 
 
-def segments(h: np.ndarray, begins: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(h: np.ndarray, begins: np.ndarray, width: int, gram: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of word values of documents that begin at begins: document, first window, last window (in the document), anchor."""
     none = np.zeros(0, np.int64)
     count = np.maximum(np.diff(begins) - width + 1, 0)
@@ -58,27 +64,91 @@ def segments(h: np.ndarray, begins: np.ndarray, width: int, gram: int) -> tuple[
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
     at = np.flatnonzero(new)
+    many = -(-np.diff(np.append(at, len(doc))) // longest)  # parts of each run
+    if many.max() > 1:
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(at, many) + nth * longest
     end = np.append(at[1:], len(doc)) - 1
     return doc[at], window[at], window[end], anchor[at]
 
 
-def _finder(width: int, gram: int):
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(values))[0][: len(values)], dtype=np.uint64)])
+
+
+def contents(h: np.ndarray, first: np.ndarray, n: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit values of the n words from each first on: polynomials over words, and over runs of gram words."""
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    down = powers(len(h))[1][first]
+    words, runs = _sums(h), _sums(ngrams(h, gram))
+    one = (words[first + n] - words[first]) * down
+    two = (runs[first + n - gram + 1] - runs[first]) * down
+    return mix(one + n.astype(np.uint64)), mix(two ^ n.astype(np.uint64))
+
+
+_LISTS = "anchor array<long>, n array<int>, k1 array<long>, k2 array<long>, at array<array<int>>"
+
+
+def _grouped(doc: np.ndarray, a: np.ndarray, n: np.ndarray, anchor: np.ndarray, k1: np.ndarray, k2: np.ndarray, rows: int) -> list[pa.Array]:
+    """Lists for each document of its different segments, each with all its places."""
+    order = np.lexsort((a, k2, k1, doc))
+    doc, a, n, anchor, k1, k2 = (x[order] for x in (doc, a, n, anchor, k1, k2))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    at = np.flatnonzero(new)
+    cut = pa.array(np.searchsorted(doc[at], np.arange(rows + 1)).astype(np.int32))
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(a.astype(np.int32)))
+    return [pa.ListArray.from_arrays(cut, x) for x in (pa.array(anchor[at].view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), places)]
+
+
+_NAMES = ["doc_id", "th", "anchor", "n", "k1", "k2", "at"]
+
+
+def _finder(width: int, gram: int, longest: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, data, starts, ends, begins in text_pieces(batch, PLAIN):
-                doc, a, b, anchor = segments(word_hashes(data, starts, ends, PLAIN), begins, width, gram)
-                n = len(begins) - 1
-                cut = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (anchor.view(np.int64), a.astype(np.int32), b.astype(np.int32))]
-                own = batch.slice(lo, n)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), *lists], ["doc_id", "th", "anchor", "a", "b"])
+                h = word_hashes(data, starts, ends, PLAIN)
+                doc, a, b, anchor = segments(h, begins, width, gram, longest)
+                n = b - a + width
+                lists = _grouped(doc, a, n, anchor, *contents(h, begins[doc] + a, n, gram), len(begins) - 1)
+                own = batch.slice(lo, len(begins) - 1)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), *lists], _NAMES)
 
     return find
 
 
-def _cutter(width: int, kind: pa.DataType, single: bool):
-    """Segments with the values of their words; where single, a row for each window with its own hash instead."""
-    schema = pa.schema([("doc_id", kind), ("th", pa.int64()), ("a", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary())])
+def _refiner(width: int, gram: int, longest: int, least: int):
+    """Finer segments, by runs of gram words, of the segments that come with each text."""
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, data, starts, ends, begins in text_pieces(batch, PLAIN):
+                h = word_hashes(data, starts, ends, PLAIN)
+                held, firsts, doc_of = [], [], []
+                for k in range(len(begins) - 1):
+                    for s in batch.column("segments")[lo + k].as_py():
+                        for place in s["at"]:
+                            first = int(begins[k]) + place
+                            held.append(h[first : first + s["n"]])
+                            firsts.append(place)
+                            doc_of.append(k)
+                own = np.concatenate([*held, np.zeros(0, np.uint64)])
+                at = np.cumsum([0, *map(len, held)])
+                part, a, b, anchor = segments(own, at, width, gram, longest)
+                n = b - a + width
+                doc = np.array(doc_of, np.int64)[part]
+                lists = _grouped(doc, np.array(firsts, np.int64)[part] + a, n, anchor, *contents(own, at[part] + a, n, least), len(begins) - 1)
+                rows = batch.slice(lo, len(begins) - 1)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), *lists], _NAMES)
+
+    return refine
+
+
+def _cutter(kind: pa.DataType):
+    """Segments with their places and the values of their words."""
+    schema = pa.schema([("doc_id", kind), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("anchor", pa.int64()), ("words", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,14 +158,12 @@ def _cutter(width: int, kind: pa.DataType, single: bool):
                 for k in range(len(begins) - 1):
                     own = h[begins[k] : begins[k + 1]]
                     key, th = batch.column("doc_id")[lo + k].as_py(), batch.column("th")[lo + k].as_py()
-                    whole = ngrams(own, width).view(np.int64).tolist() if single else ()
                     for s in batch.column("segments")[lo + k].as_py():
-                        for a, b, anchor in [(a, a, whole[a]) for a in range(s["a"], s["b"] + 1)] if single else [(s["a"], s["b"], s["anchor"])]:
-                            rows["doc_id"].append(key)
-                            rows["th"].append(th)
-                            rows["a"].append(a)
-                            rows["anchor"].append(anchor)
-                            rows["words"].append(b"" if single else own[a : b + width].astype("<u8").tobytes())
+                        rows["doc_id"].append(key)
+                        rows["th"].append(th)
+                        rows["at"].append(s["at"])
+                        rows["anchor"].append(s["anchor"])
+                        rows["words"].append(own[s["at"][0] : s["at"][0] + s["n"]].astype("<u8").tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema)
 
     return cut
@@ -108,20 +176,11 @@ def _searcher(width: int, kind: pa.DataType):
         ids = shard.column("doc_id").to_pylist()
         ranks = {x: k for k, x in enumerate(sorted({x for x in ids if x is not None}))}
         rank = [ranks.get(x, len(ranks)) for x in ids]
-        words, first = shard.column("words").to_pylist(), shard.column("a").to_pylist()
-        lead: dict[bytes, int] = {}
-        for k in sorted(range(len(ids)), key=rank.__getitem__):
-            lead.setdefault(words[k], k)
-        rows, lo, hi = [], [], []
-        equal: dict[int, list[int]] = {k: [] for k in lead.values()}  # where the least document has the segment
+        words, places = shard.column("words").to_pylist(), shard.column("at").to_pylist()
+        equal: dict[bytes, list[int]] = {}  # rows of one class: one document, or rows that share its id
         for k, w in enumerate(words):
-            if rank[k] == rank[lead[w]]:
-                equal[lead[w]].append(k)
-            else:  # all of a copy of an earlier segment
-                rows.append(k)
-                lo.append(first[k])
-                hi.append(first[k] + len(w) // 8)
-        kept = list(equal)
+            equal.setdefault(w, []).append(k)
+        kept = [own[0] for own in equal.values()]
         lengths = np.array([len(words[k]) // 8 for k in kept])
         start = np.cumsum(np.append(0, lengths + 1))[:-1]
         values, symbols = np.unique(np.frombuffer(b"".join([words[k] for k in kept]), "<u8"), return_inverse=True)
@@ -130,43 +189,60 @@ def _searcher(width: int, kind: pa.DataType):
         owner = np.array([rank[k] for k in kept])
         index = FMIndex(text, len(values) + 1, np.repeat(owner, lengths + 1))
         q, at = matched_windows(index, text, start, lengths - width + 1, owner, width)
+        rows, lo = [], []
         for k, a in zip(np.array(kept)[q].tolist(), at.tolist()):
-            for same in equal[k]:
-                rows.append(same)
-                lo.append(first[same] + a)
-                hi.append(first[same] + a + width)
+            for same in equal[words[k]]:
+                for place in places[same]:
+                    rows.append(same)
+                    lo.append(place + a)
         take = pa.array(rows, pa.int64())
-        return pa.table([shard.column("doc_id").take(take), shard.column("th").take(take), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], schema)
+        lo = pa.array(lo, pa.int64())
+        return pa.table([shard.column("doc_id").take(take), shard.column("th").take(take), lo, pc.add(lo, width)], schema)
 
     return search
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, frequent: int = FREQUENT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, th, text) and their ranges of words to remove (doc_id, th, ranges: arrays of lo, hi, unmerged)."""
     if width <= gram:
         raise ValueError("width must exceed gram")
     kind, arrow = id_type(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
     given = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    cuts = written(given.mapInArrow(lean(_finder(width, gram)), f"doc_id {kind}, th long, anchor array<long>, a array<int>, b array<int>"), "cuts")
-    each = cuts.select("doc_id", "th", F.explode(F.arrays_zip("anchor", "a", "b")).alias("s")).select("doc_id", "th", "s.*")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    met = written(each.groupBy("anchor").agg(F.min(order).alias("x"), F.max(order).alias("y"), F.count(F.lit(1)).alias("many"), F.sum(F.col("b") - F.col("a") + width).alias("words")).filter("x != y").select("anchor", "many", "words"), "anchors")
-    total = met.agg(F.sum(F.when(F.col("many") <= frequent, F.col("words"))).alias("w"), F.max("many").alias("most")).first()
-    shards = max(1, -(-(total["w"] or 0) // shard_words))
+    lists = f"doc_id {kind}, th long, {_LISTS}"
+    cuts = given.mapInArrow(lean(_finder(width, gram, longest)), lists)
+    gone: list[DataFrame] = []
+    finer = gram
 
-    def cut(anchors: DataFrame, single: bool) -> DataFrame:
-        own = each.join(anchors.select("anchor"), "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "a", "b")).alias("segments"))
+    def with_text(rows: DataFrame) -> DataFrame:
+        own = rows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "n", "at")).alias("segments"))
         same = given["doc_id"].eqNullSafe(own["doc_id"]) & (given["th"] == own["th"])
-        rows = given.join(own, same).select(given["doc_id"], given["th"], "text", "segments")
-        return rows.mapInArrow(lean(_cutter(width, arrow, single)), f"doc_id {kind}, th long, a long, anchor long, words binary")
-
-    dealt = cut(met.filter(F.col("many") <= frequent), False).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInArrow(_searcher(width, arrow), f"doc_id {kind}, th long, lo long, hi long")
-    if (total["most"] or 0) > frequent:
-        windows = cut(met.filter(F.col("many") > frequent), True).select("doc_id", "th", "a", F.col("anchor").alias("window"))
-        earliest = windows.groupBy("window").agg(F.min(order).alias("x"), F.max(order).alias("y")).filter("x != y").select("window", "x")
-        later = windows.join(earliest, "window").filter(order > F.col("x"))
-        found = found.unionByName(later.select("doc_id", "th", F.col("a").alias("lo"), (F.col("a") + width).alias("hi")))
+        return given.join(own, same).select(given["doc_id"], given["th"], "text", "segments")
+
+    while True:
+        cuts = written(cuts, "cuts")
+        each = cuts.select("doc_id", "th", F.explode(F.arrays_zip("anchor", "n", "k1", "k2", "at")).alias("s")).select("doc_id", "th", "s.*")
+        same = ["anchor", "k1", "k2", "n"]
+        # Anchors of one document go first: nearly all.
+        met = each.groupBy("anchor").agg(F.min(order).alias("x"), F.max(order).alias("y")).filter("x != y").select("anchor")
+        classes = written(each.join(met, "anchor").groupBy(*same).agg(F.min(order).alias("x"), F.max(order).alias("y")), "classes")
+        mixed = classes.groupBy("anchor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("words")).filter("lo != hi").select("anchor", "words")
+        marked = classes.join(mixed, "anchor", "left").filter("x != y OR words IS NOT NULL")
+        rows = written(each.join(marked.drop("y"), same).select("doc_id", "th", "anchor", "n", "at", "words", (order > F.col("x")).alias("later")).filter("later OR words IS NOT NULL"), "segments")
+        gone.append(rows.filter("later").select("doc_id", "th", "n", F.explode("at").alias("a")).select("doc_id", "th", F.col("a").cast("long").alias("lo"), (F.col("a") + F.col("n")).cast("long").alias("hi")))
+        first = rows.filter("NOT later")
+        calm = F.col("words") <= anchor_words
+        total = first.agg(F.sum(F.when(calm, F.col("n"))).alias("calm"), F.sum(F.when(~calm, F.col("n"))).alias("large")).first()
+        if total["calm"]:
+            shards = max(1, -(-total["calm"] // shard_words))
+            dealt = with_text(first.filter(calm)).mapInArrow(lean(_cutter(arrow)), f"doc_id {kind}, th long, at array<int>, anchor long, words binary")
+            dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+            gone.append(dealt.groupBy("shard").applyInArrow(_searcher(width, arrow), f"doc_id {kind}, th long, lo long, hi long"))
+        if not total["large"]:
+            break
+        finer = min(2 * finer, width)
+        cuts = with_text(first.filter(~calm)).mapInArrow(lean(_refiner(width, finer, longest, gram)), lists)
+    found = functools.reduce(DataFrame.unionByName, gone)
     return given, found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
@@ -193,9 +269,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, frequent: int = FREQUENT, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text."""
-    given, found = repeated(docs, id_col, text_col, width, gram, frequent, shard_words)
+    given, found = repeated(docs, id_col, text_col, width, gram, anchor_words, shard_words, longest)
     same = given["doc_id"].eqNullSafe(found["doc_id"]) & (given["th"] == found["th"])
     rows = given.join(found, same, "left").select(given["doc_id"], "text", "ranges")
     return rows.mapInArrow(lean(_remove), f"doc_id {id_type(docs, id_col)}, n_words long, n_removed long, kept_text string")

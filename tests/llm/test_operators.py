@@ -162,7 +162,9 @@ def test_contamination_equals_plain_search(spark):
     items = [(i, make(random.choice([0, 1, 3, 6, 9]))) for i in range(12)]
     texts = [(i, make(random.randint(0, 40))) for i in range(150)]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-    for block in (10**6, 30):
+    items.append((99, " ".join(random.choices(vocabulary, k=100))))  # longer than a block
+    texts.append((999, items[-1][1][20:90]))
+    for block in (10**6, 30, 7):
         found = decontaminate.contamination(spark.createDataFrame(texts, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), window=4, block_words=block)
         got = {r.doc_id: r for r in found.collect()}
         assert {r.doc_id: r.n_hit for r in decontaminate.digest(found).collect()} == {i: sum(x.hi - x.lo for x in got[i].ranges) for i, _ in texts}
@@ -237,7 +239,19 @@ def test_elias_fano_round_trip():
     for n, top in ((1, 0), (5, 100), (1000, 10**7), (1000, 3), (130, 0), (64, 64)):
         v = np.sort(rng.integers(0, top + 1, n))
         e = token_files.EliasFano.encode(v)
-        assert e.all().tolist() == v.tolist() and [e.select(i) for i in range(n)] == v.tolist()
+        assert e.selected(0, n).tolist() == v.tolist() and [e.select(i) for i in range(n)] == v.tolist()
+        for first in range(0, n, 37):
+            assert e.selected(first, min(100, n - first)).tolist() == v[first : first + 100].tolist()
+
+
+def test_token_file_ids_take_few_bits_and_any_value():
+    ids = [b"\x01\0\0\0" * (k % 7 + 1) for k in range(5000)]
+    content, index = token_files.pack([10**6 + 3 * k for k in range(5000)], ids, 2)
+    f = token_files.TokenFile(content)
+    assert index < 5000 * 1.5 and f.doc_ids(130, 3).to_pylist() == [10**6 + 3 * k for k in (130, 131, 132)] and len(f.document(5)) == 6
+    keys = [None, None, -(2**63), -5, -5, 0, 7, 2**63 - 1]
+    f = token_files.TokenFile(token_files.pack(keys, ids[:8], 4)[0])
+    assert f.doc_ids(0, 8).to_pylist() == keys and f.doc_ids(1, 2).to_pylist() == keys[1:3] and f.doc_ids(3, 5).to_pylist() == keys[3:]
 
 
 @pytest.mark.parametrize("size", [1 << 20, 50])
@@ -272,11 +286,12 @@ def test_encoder_takes_other_tokenizers():
 # Language model.
 
 
-def test_language_model_counts_and_weights(spark):
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_language_model_counts_and_weights(spark, fan):
     random.seed(11)
     vocabulary = [f"W{k}" for k in range(30)]
     texts = [(i, " ".join(random.choices(vocabulary, weights=range(30, 0, -1), k=random.randint(0, 40)))) for i in range(400)]
-    got = {r.doc_id: r for r in language_model.scores(spark.createDataFrame(texts, SCHEMA), block=4000, shard=3000).collect()}
+    got = {r.doc_id: r for r in language_model.scores(spark.createDataFrame(texts, SCHEMA).repartition(3), block=4000, shard=3000, fan=fan, packed=900).collect()}
     fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in texts}
     tokens = {i: [*split(lower(t)), None] for i, t in texts}
     c, c2, h, h2 = Counter(), Counter(), Counter(), Counter()
@@ -347,8 +362,8 @@ def test_substring_dedup_tells_words_with_equal_low_bits_apart(spark):
     assert len(got) == len(texts) and not sum(r.n_removed for r in got)
 
 
-@pytest.mark.parametrize("width,gram,frequent,shard", [(6, 3, 10**9, 10**6), (6, 3, 3, 500), (12, 4, 10**9, 700), (5, 1, 10**9, 10**4)])
-def test_substring_dedup_equals_plain_windows(spark, width, gram, frequent, shard):
+@pytest.mark.parametrize("width,gram,anchor,shard,longest", [(6, 3, 10**9, 10**6, 2000), (6, 3, 30, 500, 2), (12, 4, 10**9, 700, 7), (12, 1, 100, 10**4, 3)])
+def test_substring_dedup_equals_plain_windows(spark, width, gram, anchor, shard, longest):
     random.seed(5)
     source = [random.choice(["a", "b", "c", *(f"d{i}" for i in range(20))]) for _ in range(400)]
     texts = []
@@ -367,7 +382,7 @@ def test_substring_dedup_equals_plain_windows(spark, width, gram, frequent, shar
         w = split(t)
         for k in range(len(w) - width + 1):
             first[tuple(w[k : k + width])] = min(first.get(tuple(w[k : k + width]), 10**9), i)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark.createDataFrame(texts, SCHEMA), width=width, gram=gram, frequent=frequent, shard_words=shard).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark.createDataFrame(texts, SCHEMA), width=width, gram=gram, anchor_words=anchor, shard_words=shard, longest=longest).collect()}
     for i, t in texts:
         w, gone = split(t), set()
         for k in range(len(w) - width + 1):
