@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import params
 from quern.functions.hashing import BITS, Policy, column, key_hash
 
 
@@ -39,10 +40,12 @@ class HyperLogLog:
         low = h % (1 << width)
         # Zeros before the first one of the low bits: the width less the length of their binary form.
         rho = F.when(low == 0, width + 1).otherwise(width - F.length(F.bin(low)) + 1)
-        given = df.filter(column(key).isNotNull()).select(*(group or []), F.shiftright(h, width).cast("int").alias("reg"), rho.cast("int").alias("rho"))
+        given = df.filter(column(key).isNotNull()).select(*(group or []), params.tagged(F.shiftright(h, width).cast("int"), "reg", self), rho.cast("int").alias("rho"))
         return given.groupBy(*(group or []), "reg").agg(F.max("rho").alias("rho"))
 
     def merge(self, *states: DataFrame) -> DataFrame:
+        """Raises MismatchError where the states differ in precision or policy."""
+        params.same(states, "reg", self)
         out = states[0]
         for s in states[1:]:
             out = out.unionByName(s)

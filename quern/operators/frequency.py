@@ -6,11 +6,14 @@ Keys are counted before they are multiplied by the number of rows: the sketches
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import params
 from quern.functions.hashing import Policy, column, row_hash
 from quern.functions.sizing import cms_params, power_of_two
 
@@ -26,6 +29,8 @@ def _rows(depth: int) -> Column:
 
 
 def merge(*states: DataFrame) -> DataFrame:
+    """Raises MismatchError where the states differ in kind, size or policy."""
+    params.same(states, "cell")
     out = states[0]
     for s in states[1:]:
         out = out.unionByName(s)
@@ -44,7 +49,7 @@ class CountMin:
         return cls(p.width, p.depth, policy)
 
     def _cells(self, keys: DataFrame) -> DataFrame:
-        return keys.select("*", _rows(self.depth)).withColumn("cell", row_hash("_key", F.col("row"), self.policy) % self.width)
+        return keys.select("*", _rows(self.depth)).withColumn("cell", params.tagged(row_hash("_key", F.col("row"), self.policy) % self.width, "cell", self))
 
     def state(self, df: DataFrame, key: Column | str, weight: Column | str | None = None, group: list[str] | None = None) -> DataFrame:
         group = group or []
@@ -98,6 +103,8 @@ class CountMinLog:
         return cells.groupBy("row", "cell").agg(F.max("_w").alias("_w")).select("row", "cell", self.encode(F.col("_w")).alias("level"))
 
     def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """An upper bound: where the parts' different keys share a cell, the level is that of the sum of their counts."""
+        params.same([a, b], "cell")
         sums = a.unionByName(b).groupBy("row", "cell").agg(F.sum(self.decode(F.col("level"))).alias("_w"))
         return sums.select("row", "cell", self.encode(F.col("_w")).alias("level"))
 
@@ -107,6 +114,50 @@ class CountMinLog:
         return found.select(key, self.decode(F.col("_level")).alias(name))
 
 
+class CountMinLogSketch:
+    """The sketch in one place, item by item: of a key's cells only those at its least level rise, each unit with probability base^-level."""
+
+    def __init__(self, spec: CountMinLog, seed: int = 0):
+        self.spec, self.random = spec, np.random.default_rng(seed)
+        self.levels = np.zeros((spec.depth, spec.width), np.uint8)
+
+    def _at(self, key: str) -> tuple[np.ndarray, np.ndarray]:
+        raw = key.encode()
+        return np.arange(self.spec.depth), np.array([zlib.crc32(raw, 0x9E3779B9 * (r + 1) & 0xFFFFFFFF) % self.spec.width for r in range(self.spec.depth)])
+
+    def insert(self, key: str, count: int = 1) -> None:
+        at = self._at(key)
+        level = int(self.levels[at].min())
+        while count > 0 and level < self.spec.levels:
+            units = int(self.random.geometric(self.spec.base**-level))  # until the level rises
+            if units > count:
+                break
+            count, level = count - units, level + 1
+        self.levels[at] = np.maximum(self.levels[at], level)
+
+    def estimate(self, key: str) -> int:
+        return self.spec.value(int(self.levels[self._at(key)].min()))
+
+    def packed(self) -> bytes:
+        """Cells row by row, two to a byte where levels fit into four bits."""
+        flat = self.levels.ravel()
+        if self.spec.levels > 15:
+            return flat.tobytes()
+        flat = np.append(flat, np.zeros(len(flat) % 2, np.uint8))
+        return (flat[::2] | flat[1::2] << 4).tobytes()
+
+    @classmethod
+    def unpacked(cls, spec: CountMinLog, data: bytes) -> CountMinLogSketch:
+        out, n = cls(spec), spec.depth * spec.width
+        flat = np.frombuffer(data, np.uint8)
+        if len(flat) != (n if spec.levels > 15 else -(-n // 2)):
+            raise ValueError("bytes of a sketch of another size")
+        if spec.levels <= 15:
+            flat = np.column_stack([flat & 15, flat >> 4]).ravel()[:n]
+        out.levels = flat.reshape(spec.depth, spec.width).copy()
+        return out
+
+
 @dataclass(frozen=True)
 class CountSketch:
     """Signed rows: estimates are unbiased, weights may be negative."""
@@ -122,7 +173,7 @@ class CountSketch:
 
     def _cells(self, keys: DataFrame) -> DataFrame:
         out = keys.select("*", _rows(self.depth)).withColumn("_h", row_hash("_key", F.col("row"), self.policy))
-        return out.withColumn("cell", F.shiftright("_h", 1) % self.width).withColumn("sign", F.when(F.col("_h") % 2 == 1, 1).otherwise(-1).cast("bigint")).drop("_h")
+        return out.withColumn("cell", params.tagged(F.shiftright("_h", 1) % self.width, "cell", self)).withColumn("sign", F.when(F.col("_h") % 2 == 1, 1).otherwise(-1).cast("bigint")).drop("_h")
 
     def state(self, df: DataFrame, key: Column | str, weight: Column | str | None = None, group: list[str] | None = None) -> DataFrame:
         group = group or []

@@ -7,8 +7,10 @@ Misra-Gries: count <= true <= count + error. Space-Saving: count - error <= true
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,23 @@ def _items(df: DataFrame, key: Column | str, weight: Column | str | None) -> Dat
     return df.select(column(key).cast("string").alias("item"), w.cast("bigint").alias("count")).filter("item IS NOT NULL AND count > 0")
 
 
+def entries(summary: DataFrame) -> DataFrame:
+    """item, count, error of what a summary holds."""
+    return summary.filter("item IS NOT NULL").select("item", "count", "error")
+
+
+def top(summary: DataFrame, n: int) -> DataFrame:
+    """The n entries with the largest counts."""
+    return entries(summary).orderBy(F.desc("count"), "item").limit(n)
+
+
+def _asked(summary: DataFrame, items: DataFrame) -> DataFrame:
+    """items (a column item) with count and error where the summary holds them, and the totals row's error as off."""
+    head = summary.filter("item IS NULL").agg(F.coalesce(F.max("error"), F.lit(0)).alias("off"))
+    given = items.select(F.col("item").cast("string").alias("item")).distinct()
+    return given.join(F.broadcast(entries(summary)), "item", "left").join(F.broadcast(head))
+
+
 def misra_gries(counts: dict, capacity: int) -> tuple[dict, int]:
     """The capacity largest counts, each less the next one; and how much was taken off."""
     if len(counts) <= capacity:
@@ -94,6 +113,15 @@ class MisraGries:
         kept = top.join(F.broadcast(head)).filter("count > cut").select("item", (F.col("count") - F.col("cut")).alias("count"), (F.col("off") + F.col("cut")).alias("error"), F.lit(0).cast("long").alias("seen"))
         return kept.unionByName(head.select(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count"), (F.col("off") + F.col("cut")).alias("error"), F.col("all").alias("seen")))
 
+    def estimates(self, summary: DataFrame, items: DataFrame) -> DataFrame:
+        """item, estimate (never above the truth, 0 if it isn't held) and most (never below it)."""
+        n = F.coalesce("count", F.lit(0))
+        return _asked(summary, items).select("item", n.alias("estimate"), (n + F.col("off")).alias("most"))
+
+    def over(self, summary: DataFrame, threshold: int) -> DataFrame:
+        """Entries that count threshold or more."""
+        return entries(summary).filter(F.col("count") >= threshold)
+
     def heavy_hitters(self, df: DataFrame, key: str, weight: Column | str | None = None) -> DataFrame:
         """item and exact count of all items that are more than one in k: candidates, then a second pass."""
         found = self.summary(df, key, weight)
@@ -106,33 +134,50 @@ def exact(df: DataFrame, key: str, candidates: DataFrame, weight: Column | str |
 
 
 class SpaceSavingSketch:
-    """k counters: a new item takes the place, and the count, of a least one."""
+    """k counters: a new item takes the place, and the count, of a least one, which a heap finds."""
 
     def __init__(self, k: int):
         if k < 1:
             raise ValueError("k must be positive")
         self.k, self.counts, self.errors, self.seen = k, {}, {}, 0
+        self.heap: list[tuple[int, str]] = []  # counts as they were when an item was put in; put right when it comes up
+
+    def _least(self) -> tuple[int, str]:
+        while True:
+            c, item = self.heap[0]
+            now = self.counts.get(item)
+            if now == c:
+                return c, item
+            heapq.heapreplace(self.heap, (now, item)) if now is not None else heapq.heappop(self.heap)
 
     def insert(self, item: str, c: int = 1) -> None:
         self.seen += c
         if item in self.counts:
             self.counts[item] += c
-        elif len(self.counts) < self.k:
-            self.counts[item], self.errors[item] = c, 0
-        else:
-            old = min(self.counts, key=self.counts.__getitem__)
-            low = self.counts.pop(old)
-            del self.errors[old]
-            self.counts[item], self.errors[item] = low + c, low
+            return
+        low = 0
+        if len(self.counts) >= self.k:
+            low, old = self._least()
+            heapq.heappop(self.heap)
+            del self.counts[old], self.errors[old]
+        self.counts[item], self.errors[item] = low + c, low
+        heapq.heappush(self.heap, (low + c, item))
 
     @property
     def least(self) -> int:
         """What an item that is not held may have at most."""
-        return min(self.counts.values()) if len(self.counts) >= self.k else 0
+        return self._least()[0] if len(self.counts) >= self.k else 0
 
     def estimate(self, item: str) -> int:
         return self.counts.get(item, self.least)
 
+    def error(self, item: str) -> int:
+        return self.errors.get(item, self.least)
+
+    def entries(self) -> list[tuple[str, int, int]]:
+        """By count, the least first."""
+        return sorted(((i, c, self.errors[i]) for i, c in self.counts.items()), key=lambda x: (x[1], x[0]))
+
     def top(self, n: int) -> list[tuple[str, int, int]]:
         return sorted(((i, c, self.errors[i]) for i, c in self.counts.items()), key=lambda x: (-x[1], x[0]))[:n]
 
@@ -172,6 +217,10 @@ class SpaceSaving:
         cut = bound.join(F.broadcast(top.select("item")), "item", "left_anti").agg(F.max("count").alias("cut"))
         return top.unionByName(head.join(F.broadcast(cut)).select(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count"), F.greatest("least", "cut").alias("error"), F.col("all").alias("seen")))
 
+    def estimates(self, summary: DataFrame, items: DataFrame) -> DataFrame:
+        """item, estimate (never below the truth; the least count if it isn't held) and error (how far it may be above)."""
+        return _asked(summary, items).select("item", F.coalesce("count", "off").alias("estimate"), F.coalesce("error", "off").alias("error"))
+
     def top(self, df: DataFrame, key: str, n: int) -> DataFrame:
         """The n items with the largest exact counts.
 
@@ -203,9 +252,32 @@ class LossyCounter:
         self.seen += 1
         count, error = self.held.get(item, (0, bucket - 1))
         self.held[item] = (count + 1, error)
+        self._prune(bucket)
+
+    def _prune(self, bucket: int) -> None:
         if self.seen % self.window == 0:
             self.held = {i: (c, e) for i, (c, e) in self.held.items() if c + e > bucket}
 
+    def insert_all(self, items: list[str]) -> None:
+        """As one by one: within a window only how often each item comes counts."""
+        at = 0
+        while at < len(items):
+            bucket = self.seen // self.window + 1
+            part = items[at : at + self.window - self.seen % self.window]
+            for item, n in Counter(part).items():
+                count, error = self.held.get(item, (0, bucket - 1))
+                self.held[item] = (count + n, error)
+            at += len(part)
+            self.seen += len(part)
+            self._prune(bucket)
+
+    def estimate(self, item: str) -> int:
+        return self.held.get(item, (0, 0))[0]
+
+    def error(self, item: str) -> int:
+        """How far the truth may be above the estimate."""
+        return self.held[item][1] if item in self.held else self.seen // self.window
+
     def heavy_hitters(self, support: float) -> dict[str, int]:
         if support < self.epsilon:
             raise ValueError("support must not be below epsilon")
@@ -225,17 +297,26 @@ class LossyCounting:
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counter = LossyCounter(epsilon)
             for batch in batches:
-                for item in batch["item"]:
-                    counter.insert(item)
+                counter.insert_all(batch["item"].tolist())
             # An item that is not held may have had as many as there were full windows.
             yield pd.DataFrame([(None, 0, counter.seen // counter.window, counter.seen), *((i, c, e, 0) for i, (c, e) in counter.held.items())], columns=["item", "count", "error", "seen"])
 
-        rows = _items(df, key, None).mapInPandas(partial, SUMMARY)
+        return self.merge(_items(df, key, None).mapInPandas(partial, SUMMARY))
+
+    def merge(self, *parts: DataFrame) -> DataFrame:
+        """Counts add up; an item that a part doesn't hold may have had as many there as that part had full windows."""
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
         head = rows.filter("item IS NULL").agg(F.coalesce(F.sum("error"), F.lit(0)).alias("error"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"))
         sums = rows.filter("item IS NOT NULL").groupBy("item").agg(F.sum("count").alias("count"))
         kept = sums.join(F.broadcast(head)).filter("count + error > 0").select("item", "count", "error", F.lit(0).cast("long").alias("seen"))
         return kept.unionByName(head.select(F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count"), "error", "seen"))
 
+    def estimates(self, summary: DataFrame, items: DataFrame) -> DataFrame:
+        """item, estimate (never above the truth) and error (how far the truth may be above it)."""
+        return _asked(summary, items).select("item", F.coalesce("count", F.lit(0)).alias("estimate"), F.col("off").alias("error"))
+
     def heavy_hitters(self, df: DataFrame, key: str, support: float) -> DataFrame:
         """item and exact count of all items with at least support of the rows."""
         if support < self.epsilon:
@@ -264,14 +345,18 @@ class HeavyKeeperSketch:
         own, cells = self._cells(item)
         best = 0
         for r, x in enumerate(cells):
-            left = c
-            while left and self.prints[r, x] != own and self.counts[r, x]:
-                count = int(self.counts[r, x])
-                if count > 255:  # decays too rarely to matter
-                    left = 0
-                elif self.random.random() < 1.08**-count:
-                    self.counts[r, x] -= 1
-                left = max(0, left - 1)
+            left, count = c, int(self.counts[r, x])
+            if self.prints[r, x] != own and count:
+                # So many foreign units pass until one takes effect; beyond 255 too many to matter.
+                while left and count:
+                    units = int(self.random.geometric(1.08**-count)) if count <= 255 else left + 1
+                    if units > left:
+                        left = 0
+                    else:
+                        left, count = left - units, count - 1
+                if not count:  # the unit that empties a cell takes it over
+                    left += 1
+                self.counts[r, x] = count
             if left:
                 self.prints[r, x] = own
                 self.counts[r, x] += left
@@ -290,14 +375,19 @@ class HeavyKeeperSketch:
         return max([self.top.get(item, 0), *(int(self.counts[r, x]) for r, x in enumerate(cells) if self.prints[r, x] == own)])
 
 
+_KEEPER = "item string, row int, cell int, print long, count long"
+
+
 @dataclass(frozen=True)
 class HeavyKeeper:
+    """State: cells (row, cell, print, count) without item, and for each item of a summary its cells and prints."""
+
     depth: int = 4
     width: int = 1024
     k: int = 100
 
-    def candidates(self, df: DataFrame, key: Column | str) -> DataFrame:
-        """item, count: the partitions' summaries, added up and ranked anew. No guarantee that none is missed."""
+    def state(self, df: DataFrame, key: Column | str) -> DataFrame:
+        """The partitions' sketches, merged."""
         given = self
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,10 +395,32 @@ class HeavyKeeper:
             for batch in batches:
                 for item, c in batch.groupby("item")["count"].sum().items():
                     sketch.insert(item, int(c))
-            yield pd.DataFrame([(i, c, 0, 0) for i, c in sketch.top.items()], columns=["item", "count", "error", "seen"])
+            r, x = np.nonzero(sketch.counts)
+            yield pd.DataFrame({"item": [None] * len(r), "row": r, "cell": x, "print": sketch.prints[r, x], "count": sketch.counts[r, x]})
+            held = [(i, r, x, own, 0) for i in sketch.top for own, cells in [sketch._cells(i)] for r, x in enumerate(cells)]
+            yield pd.DataFrame(held, columns=["item", "row", "cell", "print", "count"])
 
-        rows = _items(df, key, None).mapInPandas(partial, SUMMARY)
-        return rows.groupBy("item").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "item").limit(self.k)
+        return self.merge(_items(df, key, None).mapInPandas(partial, _KEEPER))
+
+    def merge(self, *parts: DataFrame) -> DataFrame:
+        """In each cell counts of one print add up; of different prints the largest stays, less the next one."""
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        sums = rows.filter("item IS NULL").groupBy("row", "cell", "print").agg(F.sum("count").alias("count"))
+        ranked = sums.groupBy("row", "cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "print")), False), 1, 2).alias("x"))  # as many as parts
+        cells = ranked.select(F.lit(None).cast("string").alias("item"), "row", "cell", F.col("x")[0]["print"].alias("print"), (F.col("x")[0]["count"] - F.coalesce(F.get("x", F.lit(1))["count"], F.lit(0))).alias("count"))
+        return cells.unionByName(rows.filter("item IS NOT NULL").distinct())
+
+    def entries(self, state: DataFrame) -> DataFrame:
+        """item, count: of each item that a part's summary held the largest count in a cell with its print."""
+        cells = state.filter("item IS NULL").select("row", "cell", "print", "count")
+        held = state.filter("item IS NOT NULL").select("item", "row", "cell", "print")
+        return held.join(cells, ["row", "cell", "print"], "left").groupBy("item").agg(F.coalesce(F.max("count"), F.lit(0)).alias("count"))
+
+    def candidates(self, df: DataFrame, key: Column | str) -> DataFrame:
+        """item, count of the k that rank first in the merged state. No guarantee that none is missed."""
+        return self.entries(self.state(df, key)).orderBy(F.desc("count"), "item").limit(self.k)
 
     def top(self, df: DataFrame, key: str, n: int) -> DataFrame:
         return exact(df, key, self.candidates(df, key)).orderBy(F.desc("count"), "item").limit(n)

@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import params
 from quern.functions.hashing import Policy, column, key_hash, lanes, positions
 from quern.functions.sizing import blocked_bloom_params, bloom_params, power_of_two
+from quern.sources.working import written
 
 #: The largest bit array that is sent to all executors.
 SENT_BYTES = 64 << 20
@@ -37,7 +39,7 @@ class Bloom:
         """State: group, bit. Equal keys are dropped before they are multiplied by the number of hashes."""
         group = group or []
         keys = df.filter(column(key).isNotNull()).select(*group, column(key).alias("_key")).distinct()
-        return keys.select(*group, F.explode(positions(key_hash("_key", self.policy), self.k, self.m)).alias("bit")).distinct()
+        return keys.select(*group, F.explode(positions(key_hash("_key", self.policy), self.k, self.m)).alias("_bit")).select(*group, params.tagged(F.col("_bit"), "bit", self)).distinct()
 
     def words(self, bits: DataFrame, group: list[str] | None = None) -> DataFrame:
         """The same state in 64-bit words: group, word, value."""
@@ -56,9 +58,9 @@ class Bloom:
     def maybe(self, df: DataFrame, key: Column | str, bits: DataFrame, flag: str = "maybe") -> DataFrame:
         """df with a flag: False only for keys that were surely not inserted; null keys are False."""
         if self.m // 8 <= SENT_BYTES:
-            array = np.zeros(self.m // 64 or 1, np.int64)
-            for row in self.words(bits).collect():  # at most m / 64 rows
-                array[row["word"]] = row["value"]
+            params.same([bits], "bit", self)
+            array, words = np.zeros(self.m // 64 or 1, np.int64), self.words(bits).toArrow()  # at most m / 64 rows, in columns
+            array[words.column("word").to_numpy()] = words.column("value").to_numpy()
             sent = df.sparkSession.sparkContext.broadcast(array.view(np.uint64))
             k, m = self.k, self.m
 
@@ -88,11 +90,16 @@ class Bloom:
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of states of equal parameters, as for one filter over both inputs."""
+    """Of states of equal parameters, as for one filter over both inputs; raises MismatchError where they differ."""
+    params.same([a, b], "bit")
+    params.same([a, b], "q")
     return a.unionByName(b).distinct()
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of states of equal parameters; raises MismatchError where they differ."""
+    params.same([a, b], "bit")
+    params.same([a, b], "q")
     return a.intersect(b.select(*a.columns))
 
 
@@ -106,37 +113,72 @@ def counting(bloom: Bloom, df: DataFrame, key: Column | str, group: list[str] |
     sign = F.lit(1) if sign is None else sign
     keys = df.filter(column(key).isNotNull()).select(*group, column(key).alias("_key"), sign.alias("_sign"))
     keys = keys.groupBy(*group, "_key").agg(F.sum(F.greatest("_sign", F.lit(0))).alias("up"), F.sum(F.greatest(-F.col("_sign"), F.lit(0))).alias("down"))
-    cells = keys.select(*group, "up", "down", F.explode(positions(key_hash("_key", bloom.policy), bloom.k, bloom.m)).alias("pos"))
+    cells = keys.select(*group, "up", "down", F.explode(positions(key_hash("_key", bloom.policy), bloom.k, bloom.m)).alias("_pos"))
+    cells = cells.select(*group, "up", "down", params.tagged(F.col("_pos"), "pos", bloom))
     sums = cells.groupBy(*group, "pos").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
     count = F.when(F.col("up") >= LIMIT, LIMIT).otherwise(F.greatest(F.col("up") - F.col("down"), F.lit(0)))
     return sums.select(*group, "pos", count.cast("int").alias("count")).filter("count > 0")
 
 
+def counting_maybe(bloom: Bloom, df: DataFrame, key: str, state: DataFrame, flag: str = "maybe") -> DataFrame:
+    """df with a flag: True where all counters of the key are above 0, as after its insertion; null keys are False."""
+    params.same([state], "pos", bloom)
+    return bloom.maybe(df, key, state.select(params.untagged(F.col("pos"), "bit")), flag)
+
+
+def counting_remove(bloom: Bloom, state: DataFrame, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The state without keys of df that it may hold, and df with a flag ``removed``; keys that it surely lacks change nothing.
+
+    A key goes as often as df has it. Counters at LIMIT stay there.
+    """
+    rows = counting_maybe(bloom, df, key, state, "removed")
+    gone = rows.filter("removed").groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = gone.select("_n", F.explode(positions(key_hash("_key", bloom.policy), bloom.k, bloom.m)).alias("pos")).groupBy("pos").agg(F.sum("_n").alias("_n"))
+    left = state.join(cells, "pos", "left")
+    count = F.when(F.col("count") >= LIMIT, LIMIT).otherwise(F.greatest(F.col("count") - F.coalesce("_n", F.lit(0)), F.lit(0))).cast("int")
+    return left.withColumn("count", count).drop("_n").filter("count > 0").select(*state.columns), rows
+
+
+def counting_stats(bloom: Bloom, state: DataFrame) -> DataFrame:
+    """Counters in use and at LIMIT, their share of all, and false positives to expect."""
+    out = state.agg(F.count(F.lit(1)).alias("used"), F.sum((F.col("count") >= LIMIT).cast("long")).alias("at_limit"))
+    return out.withColumn("fill_ratio", F.col("used") / bloom.m).withColumn("expected_fpr", F.pow(F.col("fill_ratio"), bloom.k))
+
+
 def counting_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """As for one filter over both inputs: counters add up to LIMIT."""
+    params.same([a, b], "pos")
     keys = [c for c in a.columns if c != "count"]
     return a.unionByName(b).groupBy(*keys).agg(F.least(F.sum("count"), F.lit(LIMIT)).cast("int").alias("count"))
 
 
 def counting_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Element-wise maximum."""
+    params.same([a, b], "pos")
     keys = [c for c in a.columns if c != "count"]
     return a.unionByName(b).groupBy(*keys).agg(F.max("count").alias("count"))
 
 
 def counting_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     """Element-wise minimum."""
+    params.same([a, b], "pos")
     keys = [c for c in a.columns if c != "count"]
     return a.join(b.withColumnRenamed("count", "_other"), keys).select(*keys, F.least("count", "_other").alias("count"))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
-    """df with a number from 1 in the given order, without putting all rows into one task."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return own.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    """df with a number from 1 in the given order, without putting all rows into one task.
+
+    Rows are dealt over ranges once and written with their range and their place in it; sizes of the ranges are
+    counted from what was written, so they belong to the same ranges whatever the columns.
+    """
+    place = F.monotonically_increasing_id()  # the partition's number in the upper bits, the row's in the lower 33
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "numbered")
+    rows = rows.withColumn("_range", F.shiftright("_place", 33))
+    before = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row for each task
+    before = before.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    number = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("_before")
+    return rows.join(F.broadcast(before), "_range").withColumn(name, number).drop("_range", "_place", "_before")
 
 
 @dataclass(frozen=True)
@@ -182,7 +224,7 @@ class Scalable:
         placed = numbered(keys, [F.col("_first"), F.col("_key")]).withColumn("stage", self.stage_of(F.col("n"), max(1, n)))
         out = None
         for i in range(self.stages(max(1, n))):
-            part = self.filter(i).bits(placed.filter(F.col("stage") == i), "_key").select(F.lit(i).alias("stage"), "bit")
+            part = self.filter(i).bits(placed.filter(F.col("stage") == i), "_key").select(F.lit(i).alias("stage"), params.untagged(F.col("bit"), "bit"))
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -240,7 +282,21 @@ class Blocked:
         """block, bit."""
         keys = df.filter(column(key).isNotNull()).select(column(key).alias("_key")).distinct()
         block, bits = self.places(F.col("_key"))
-        return keys.select(block.alias("block"), F.explode(bits).alias("bit")).distinct()
+        return keys.select(params.tagged(block, "block", self), F.explode(bits).alias("bit")).distinct()
+
+    def stats(self, state: DataFrame) -> DataFrame:
+        """Blocks in use, bits set, their share of all, and false positives to expect from the blocks' own fills."""
+        each = state.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
+        out = each.agg(F.count(F.lit(1)).alias("blocks_used"), F.sum("_n").alias("bits_set"), F.sum(F.pow(F.col("_n") / 512, self.k)).alias("_p"))
+        return out.select("blocks_used", "bits_set", (F.col("bits_set") / (512 * self.blocks)).alias("fill_ratio"), (F.col("_p") / self.blocks).alias("expected_fpr"))
+
+    def union(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        params.same([a, b], "block", self)
+        return a.unionByName(b).distinct()
+
+    def intersection(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        params.same([a, b], "block", self)
+        return a.intersect(b.select(*a.columns))
 
     def maybe(self, df: DataFrame, key: str, state: DataFrame, flag: str = "maybe") -> DataFrame:
         """One row of bits for each block meets all keys of the block."""
@@ -275,7 +331,12 @@ class Quotient:
 
     def state(self, df: DataFrame, key: Column | str) -> DataFrame:
         q, r = self.pair(column(key))
-        return df.filter(column(key).isNotNull()).select(q.alias("q"), r.alias("r")).distinct()
+        return df.filter(column(key).isNotNull()).select(params.tagged(q, "q", self), r.alias("r")).distinct()
+
+    def stats(self, state: DataFrame) -> DataFrame:
+        """Pairs, their share of the slots, and false positives to expect at that load; above 0.95 a table of slots would be full."""
+        out = state.agg(F.count(F.lit(1)).alias("pairs")).withColumn("load", F.col("pairs") / self.slots)
+        return out.withColumn("expected_fpr", 1 - F.exp(-F.col("load") / (1 << self.r))).withColumn("full", F.col("load") > 0.95)
 
     def remove(self, state: DataFrame, df: DataFrame, key: str) -> DataFrame:
         return state.join(self.state(df, key), ["q", "r"], "left_anti")

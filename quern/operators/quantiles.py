@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quern.functions import params
 from quern.functions.hashing import column
 
 
@@ -34,9 +35,11 @@ class DDSketch:
         v = column(value).cast("double")
         bucket = F.when(v == 0, 0).otherwise(F.ceil(F.log(F.abs(v)) / math.log(self.gamma))).cast("int")
         given = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-        return given.groupBy(*(group or []), F.signum(v).cast("int").alias("sign"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+        return given.groupBy(*(group or []), F.signum(v).cast("int").alias("sign"), params.tagged(bucket, "bucket", self)).agg(F.count(F.lit(1)).alias("count"))
 
     def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Raises MismatchError where the states differ in alpha."""
+        params.same([a, b], "bucket", self)
         return a.unionByName(b).groupBy(*[c for c in a.columns if c != "count"]).agg(F.sum("count").alias("count"))
 
     def quantiles(self, state: DataFrame, probabilities: list[float], group: list[str] | None = None) -> DataFrame:
@@ -87,22 +90,26 @@ DIGEST = "means array<double>, weights array<double>, least double, largest doub
 
 
 def compress(means: np.ndarray, weights: np.ndarray, compression: float) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring centroids joined while their weight stays below 4 W q (1 - q) / compression."""
+    """Neighbouring centroids joined so that a joint one weighs about 4 W q (1 - q) / compression at most.
+
+    On the scale k(q) = compression / 4 * log(q / (1 - q)) that is a step of 1, so centroids with their middles in
+    one step are joined; single ones at the ends stay.
+    """
+    if not len(means):
+        return means, weights
     order = np.argsort(means, kind="stable")
     means, weights = means[order], weights[order]
     total = weights.sum()
-    out_m, out_w, done = [], [], 0.0
-    m, w = means[0], weights[0]
-    for x, u in zip(means[1:].tolist(), weights[1:].tolist()):
-        q = (done + (w + u) / 2) / total
-        if w + u <= max(1.0, 4 * total * q * (1 - q) / compression):
-            m, w = m + (x - m) * u / (w + u), w + u
-        else:
-            out_m.append(m)
-            out_w.append(w)
-            done += w
-            m, w = x, u
-    return np.array([*out_m, m]), np.array([*out_w, w])
+    q = np.clip((np.cumsum(weights) - weights / 2) / total, 1e-12, 1 - 1e-12)
+    step = np.floor(compression / 4 * np.log(q / (1 - q)))
+    first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+    joint = np.add.reduceat(weights, first)
+    return np.add.reduceat(means * weights, first) / joint, joint
+
+
+def _joined(rows: pd.DataFrame, compression: float) -> tuple[list[float], list[float], float, float]:
+    m, w = compress(np.concatenate(rows["means"].to_list()), np.concatenate(rows["weights"].to_list()), compression)
+    return m.tolist(), w.tolist(), rows["least"].min(), rows["largest"].max()
 
 
 @dataclass(frozen=True)
@@ -113,36 +120,48 @@ class TDigest:
         if self.compression <= 0:
             raise ValueError("compression must be positive")
 
-    def state(self, df: DataFrame, value: Column | str, group: str, weight: Column | str | None = None) -> DataFrame:
-        """group and digest. Each partition makes a small digest of its own for each group, and these are merged."""
+    def state(self, df: DataFrame, value: Column | str, group: str | list[str] | None = None, weight: Column | str | None = None) -> DataFrame:
+        """The group's columns and a digest. Each partition makes a small digest of its own for each group, and these are merged."""
+        group = [group] if isinstance(group, str) else group or []
         w = F.lit(1.0) if weight is None else column(weight).cast("double")
-        given = df.select(F.col(group).alias("g"), column(value).cast("double").alias("x"), w.alias("w")).filter("x IS NOT NULL AND NOT isnan(x) AND w > 0")
-        kind, compression = dict(df.dtypes)[group], self.compression
+        given = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], column(value).cast("double").alias("x"), w.alias("w")).filter("x IS NOT NULL AND NOT isnan(x) AND w > 0")
+        kinds, compression, names = dict(df.dtypes), self.compression, [f"g{i}" for i in range(len(group))]
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict = {}
             for batch in batches:
-                for g, rows in batch.groupby("g", dropna=False):
+                for g, rows in batch.groupby(names, dropna=False) if names else [((), batch)]:
                     x, u = rows["x"].to_numpy(), rows["w"].to_numpy()
-                    m, w, lo, hi = held.get(g, (np.zeros(0), np.zeros(0), np.inf, -np.inf))
-                    held[g] = (*compress(np.append(m, x), np.append(w, u), compression), min(lo, x.min()), max(hi, x.max()))
-            yield pd.DataFrame([(g, m.tolist(), w.tolist(), lo, hi) for g, (m, w, lo, hi) in held.items()], columns=["g", "means", "weights", "least", "largest"])
+                    if len(x):
+                        g = tuple(None if isinstance(v, float) and math.isnan(v) else v for v in g)
+                        m, w, lo, hi = held.get(g, (np.zeros(0), np.zeros(0), np.inf, -np.inf))
+                        held[g] = (*compress(np.append(m, x), np.append(w, u), compression), min(lo, x.min()), max(hi, x.max()))
+            yield pd.DataFrame([(*g, m.tolist(), w.tolist(), lo, hi) for g, (m, w, lo, hi) in held.items()], columns=[*names, "means", "weights", "least", "largest"])
+
+        parts = given.mapInPandas(partial, ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, group)), DIGEST]))
+        out = self._merged(parts, names)
+        for n, c in zip(names, group):
+            out = out.withColumnRenamed(n, c)
+        return out.select(*group, params.tagged(F.col("means"), "means", self), "weights", "least", "largest")
+
+    def _merged(self, parts: DataFrame, group: list[str]) -> DataFrame:
+        compression = self.compression
 
         def join(rows: pd.DataFrame) -> pd.DataFrame:
-            m, w = compress(np.concatenate(rows["means"].to_list()), np.concatenate(rows["weights"].to_list()), compression)
-            return pd.DataFrame([(rows["g"].iloc[0], m.tolist(), w.tolist(), rows["least"].min(), rows["largest"].max())], columns=["g", "means", "weights", "least", "largest"])
+            return pd.DataFrame([(*(rows[c].iloc[0] for c in group), *_joined(rows, compression))], columns=[*group, "means", "weights", "least", "largest"])
 
-        parts = given.mapInPandas(partial, f"g {kind}, {DIGEST}")
-        return parts.groupBy("g").applyInPandas(join, f"g {kind}, {DIGEST}").withColumnRenamed("g", group)
+        return parts.groupBy(*group).applyInPandas(join, parts.schema)
 
-    def merge(self, a: DataFrame, b: DataFrame, group: str) -> DataFrame:
-        compression = self.compression
+    def merge(self, a: DataFrame, b: DataFrame, group: str | list[str] | None = None) -> DataFrame:
+        params.same([a, b], "means", self)
+        return self._merged(a.unionByName(b), [group] if isinstance(group, str) else group or [])
 
-        def join(rows: pd.DataFrame) -> pd.DataFrame:
-            m, w = compress(np.concatenate(rows["means"].to_list()), np.concatenate(rows["weights"].to_list()), compression)
-            return pd.DataFrame([(rows[group].iloc[0], m.tolist(), w.tolist(), rows["least"].min(), rows["largest"].max())], columns=[group, "means", "weights", "least", "largest"])
 
-        return a.unionByName(b).groupBy(group).applyInPandas(join, a.schema)
+def digest_stats(state: DataFrame) -> DataFrame:
+    """The state's groups with centroids, total weight, least and largest value."""
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    rest = [c for c in state.columns if c not in ("means", "weights", "least", "largest")]
+    return state.select(*rest, F.size("means").alias("centroids"), total.alias("weight"), "least", "largest")
 
 
 def digest_quantile(means: np.ndarray, weights: np.ndarray, least: float, largest: float, q: float) -> float:

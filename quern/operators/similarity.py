@@ -5,11 +5,15 @@ Input: rows (set, item[, weight]). Items are hashed once and folded into slots b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import params
 from quern.functions.hashing import Policy, key_hash, row_hash
 from quern.functions.sizing import power_of_two
 
@@ -27,10 +31,36 @@ def _slots(k: int) -> None:
         raise ValueError("the number of slots must be positive")
 
 
-def together(rows: DataFrame, set_col: str, on: list[str], a: str = "a", b: str = "b", name: str = "n") -> DataFrame:
-    """All pairs a < b of sets that have a row in common, and how many: sets meet by value, so others cost nothing."""
-    sides = [rows.select(F.col(set_col).alias(x), *on) for x in (a, b)]
-    return sides[0].join(sides[1], on).filter(F.col(a) < F.col(b)).groupBy(a, b).agg(F.count(F.lit(1)).alias(name))
+def signatures(state: DataFrame, set_col: str, values: list[str], name: str = "_s", slot: str = "slot") -> DataFrame:
+    """set, and an array of its slots' values: a set moves as one row."""
+    value = F.col(values[0]) if len(values) == 1 else F.struct(*values)
+    rows = state.groupBy(set_col).agg(F.sort_array(F.collect_list(F.struct(F.col(slot).alias("slot"), value.alias("value")))).alias("_x"))
+    return rows.select(set_col, F.transform("_x", lambda x: x["value"]).alias(name))
+
+
+def beside(sets: DataFrame, pairs: DataFrame, set_col: str, name: str, a: str = "a", b: str = "b") -> DataFrame:
+    """pairs with a column of both sets, under its name and _a or _b."""
+    side = lambda x, end: sets.select(F.col(set_col).alias(x), F.col(name).alias(f"{name}_{end}"))
+    return pairs.select(a, b).join(side(a, "a"), a).join(side(b, "b"), b)
+
+
+def _equal_share(state: DataFrame, pairs: DataFrame, set_col: str, values: list[str], k: int, a: str, b: str) -> DataFrame:
+    both = beside(signatures(state, set_col, values), pairs, set_col, "_s", a, b)
+    same = F.aggregate(F.zip_with("_s_a", "_s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.select(a, b, (same / k).alias("jaccard"))
+
+
+def banded(state: DataFrame, set_col: str, rows: int, value: str = "value") -> DataFrame:
+    """set, band, bucket: sets whose slots of a band agree share its bucket. rows: slots to a band."""
+    parts = state.groupBy(set_col, F.floor(F.col("slot") / rows).cast("int").alias("band")).agg(F.sort_array(F.collect_list(F.struct("slot", value))).alias("_x"))
+    return parts.select(set_col, "band", F.xxhash64(F.transform("_x", lambda x: x[value])).alias("bucket"))
+
+
+def met(queries: DataFrame, buckets: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs of a query and another set that share a bucket. queries, buckets: rows (set, band, bucket)."""
+    x = queries.select(F.col(set_col).alias(a), "band", "bucket")
+    y = buckets.select(F.col(set_col).alias(b), "band", "bucket")
+    return x.join(y, ["band", "bucket"]).filter(F.col(a) != F.col(b)).select(a, b).distinct()
 
 
 @dataclass(frozen=True)
@@ -48,22 +78,16 @@ class MinHash:
         items = df.filter(F.col(item).isNotNull()).select(set_col, x.alias("_x")).distinct()
         least = [F.min((F.lit(a).cast("bigint") * F.col("_x") + F.lit(b).cast("bigint")) % PRIME).alias(f"_{i}") for i, (a, b) in enumerate(map(coefficients, range(self.k)))]
         signature = items.groupBy(set_col).agg(*least).select(set_col, F.array(*[f"_{i}" for i in range(self.k)]).alias("_s"))
-        return signature.select(set_col, F.posexplode("_s").alias("slot", "value"))
+        return signature.select(set_col, F.posexplode("_s").alias("_slot", "value")).select(set_col, params.tagged(F.col("_slot"), "slot", self), "value")
 
     def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Raises MismatchError where the states differ in size or policy."""
+        params.same([a, b], "slot", self)
         return a.unionByName(b).groupBy(*[c for c in a.columns if c != "value"]).agg(F.min("value").alias("value"))
 
     def jaccard(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
         """pairs with the share of equal slots."""
-        x = state.select(F.col(set_col).alias(a), "slot", F.col("value").alias("_va"))
-        y = state.select(F.col(set_col).alias(b), "slot", F.col("value").alias("_vb"))
-        both = pairs.select(a, b).join(x, a).join(y, [b, "slot"])
-        return both.groupBy(a, b).agg((F.sum((F.col("_va") == F.col("_vb")).cast("int")) / self.k).alias("jaccard"))
-
-    def jaccard_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
-        """As jaccard, for pairs a < b; sets meet by slot and value, and pairs that never meet have 0."""
-        equal = together(state, set_col, ["slot", "value"], a, b, "_n")
-        return pairs.select(a, b).join(equal, [a, b], "left").select(a, b, (F.coalesce("_n", F.lit(0)) / self.k).alias("jaccard"))
+        return _equal_share(state, pairs, set_col, ["value"], self.k, a, b)
 
 
 @dataclass(frozen=True)
@@ -87,8 +111,12 @@ class BBitMinHash:
         """Chance agreement of the low bits is taken out."""
         return self._corrected(MinHash(self.k, self.policy).jaccard(state, pairs, set_col, a, b))
 
-    def jaccard_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
-        return self._corrected(MinHash(self.k, self.policy).jaccard_of_many(state, pairs, set_col, a, b))
+    def packed(self, state: DataFrame, set_col: str) -> DataFrame:
+        """set, and its values as a binary of bits * k bits, the first slot's lowest bit first."""
+        digits = F.transform("_s", lambda v: F.reverse(F.lpad(F.bin(v), self.bits, "0")))
+        text = F.rpad(F.concat_ws("", digits), -(-self.k * self.bits // 8) * 8, "0")
+        octets = F.transform(F.sequence(F.lit(0), F.lit(-(-self.k * self.bits // 8) - 1)), lambda i: F.lpad(F.conv(F.reverse(F.substring(text, i * 8 + 1, F.lit(8))), 2, 16), 2, "0"))
+        return signatures(state, set_col, ["value"]).select(set_col, F.unhex(F.concat_ws("", octets)).alias("packed"))
 
     def _corrected(self, raw: DataFrame) -> DataFrame:
         chance = 2.0**-self.bits
@@ -106,30 +134,78 @@ class WeightedMinHash:
         _slots(self.k)
 
     def state(self, df: DataFrame, set_col: str, item: str, weight: str) -> DataFrame:
+        """Numbers of an item's slots are drawn once in a batch of rows; of each set only the least of each slot leave a task."""
         given = df.filter(F.col(item).isNotNull() & (F.col(weight) > 0)).groupBy(set_col, item).agg(F.sum(F.col(weight).cast("double")).alias("_w"))
-        each = given.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))).alias("slot"))
-        # One number for each slot and draw.
-        uniform = lambda n: (row_hash(item, F.col("slot") * 8 + n, self.policy) + 1) / F.lit(float(1 << 60) + 2)
-        r = -F.log(uniform(1) * uniform(2))
-        c = -F.log(uniform(3) * uniform(4))
-        each = each.withColumn("_r", r).withColumn("_c", c).withColumn("_b", uniform(5))
-        each = each.withColumn("t", F.floor(F.log("_w") / F.col("_r") + F.col("_b")))
-        a = F.log("_c") - F.col("_r") * (F.col("t") - F.col("_b") + 1)
-        return each.groupBy(set_col, "slot").agg(F.min(F.struct(a.alias("a"), F.col(item).cast("string").alias("item"), F.col("t").alias("t"))).alias("_m")).select(set_col, "slot", "_m.a", "_m.item", "_m.t")
+        rows = given.select(F.col(set_col).alias("set"), F.col(item).cast("string").alias("item"), key_hash(item, self.policy).alias("h"), F.log("_w").alias("w"))
+        kind = dict(df.dtypes)[set_col]
+        parts = rows.mapInArrow(_least_samples(self.k), f"set {kind}, slot array<int>, a array<double>, item array<string>, t array<long>")
+        each = parts.select("set", F.explode(F.arrays_zip("slot", "a", "item", "t")).alias("x")).select(F.col("set").alias(set_col), "x.*")
+        least = each.groupBy(set_col, "slot").agg(F.min(F.struct("a", "item", "t")).alias("_m"))
+        return least.select(set_col, params.tagged(F.col("slot"), "slot", self), "_m.a", "_m.item", "_m.t")
 
     def merge(self, a: DataFrame, b: DataFrame, set_col: str) -> DataFrame:
+        """Raises MismatchError where the states differ in size or policy."""
+        params.same([a, b], "slot", self)
         return a.unionByName(b).groupBy(set_col, "slot").agg(F.min(F.struct("a", "item", "t")).alias("_m")).select(set_col, "slot", "_m.a", "_m.item", "_m.t")
 
     def jaccard(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
-        x = state.select(F.col(set_col).alias(a), "slot", F.struct("item", "t").alias("_va"))
-        y = state.select(F.col(set_col).alias(b), "slot", F.struct("item", "t").alias("_vb"))
-        both = pairs.select(a, b).join(x, a).join(y, [b, "slot"])
-        return both.groupBy(a, b).agg((F.sum((F.col("_va") == F.col("_vb")).cast("int")) / self.k).alias("jaccard"))
-
-    def jaccard_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
-        """As jaccard, for pairs a < b; sets meet by their slots' samples, and pairs that never meet have 0."""
-        equal = together(state, set_col, ["slot", "item", "t"], a, b, "_n")
-        return pairs.select(a, b).join(equal, [a, b], "left").select(a, b, (F.coalesce("_n", F.lit(0)) / self.k).alias("jaccard"))
+        return _equal_share(state, pairs, set_col, ["item", "t"], self.k, a, b)
+
+
+#: Sets whose least samples a task holds at a time.
+HELD_SETS = 2_048
+_U = np.uint64
+
+
+def _uniform(h: np.ndarray, k: int, draw: int) -> np.ndarray:
+    """Numbers in (0, 1) of each hash and slot."""
+    x = h[:, None] + (np.arange(k, dtype=_U) * _U(8) + _U(draw))[None, :] * _U(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> _U(shift))) * _U(factor)
+    return ((x ^ (x >> _U(31))) >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+def _least_samples(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            sets, best = list(held), list(held.values())
+            held.clear()
+            columns = [pa.array(sets, kind), pa.array([list(range(k))] * len(sets), pa.list_(pa.int32()))]
+            columns += [pa.array([x[i].tolist() for x in best], pa.list_(t)) for i, t in enumerate((pa.float64(), pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["set", "slot", "a", "item", "t"])
+
+        for batch in batches:
+            kind = batch.schema.field("set").type
+            h, place = np.unique(batch.column("h").to_numpy(zero_copy_only=False).astype(_U), return_inverse=True)
+            r = -np.log(_uniform(h, k, 1) * _uniform(h, k, 2))
+            c, b = np.log(-np.log(_uniform(h, k, 3) * _uniform(h, k, 4))), _uniform(h, k, 5)
+            w, items = batch.column("w").to_numpy(zero_copy_only=False), np.array(batch.column("item").to_pylist(), object)
+            codes = batch.column("set").dictionary_encode()
+            names, code = codes.dictionary.to_pylist(), codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]])) if len(order) else []
+            for lo, hi in zip(first, [*first[1:], len(order)]):
+                own = order[lo:hi]
+                at = place[own]
+                t = np.floor(w[own, None] / r[at] + b[at])
+                a = c[at] - r[at] * (t - b[at] + 1)
+                least = a.argmin(0)
+                new = (a[least, np.arange(k)], items[own[least]], t[least, np.arange(k)].astype(np.int64))
+                key = names[code[own[0]]] if code[own[0]] < len(names) else None
+                old = held.get(key)
+                if old is None:
+                    held[key] = new
+                else:
+                    less = new[0] < old[0]
+                    held[key] = tuple(np.where(less, x, y) for x, y in zip(new, old))
+                if len(held) >= HELD_SETS:
+                    yield out()
+        if held:
+            yield out()
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -149,9 +225,11 @@ class OddSketch:
         pos = key_hash(item, self.policy) % self.m
         items = df.filter(F.col(item).isNotNull()).select(set_col, item).distinct().withColumn("_p", pos)
         bit = F.expr("shiftleft(1L, cast(_p % 32 as int))")
-        return items.groupBy(set_col, F.floor(F.col("_p") / 32).alias("word")).agg(F.bit_xor(bit).alias("value"))
+        return items.groupBy(set_col, params.tagged(F.floor(F.col("_p") / 32), "word", self)).agg(F.bit_xor(bit).alias("value"))
 
     def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Raises MismatchError where the states differ in size or policy."""
+        params.same([a, b], "word", self)
         return a.unionByName(b).groupBy(*[c for c in a.columns if c != "value"]).agg(F.bit_xor("value").alias("value"))
 
     def size(self, odd: Column) -> Column:
@@ -161,21 +239,16 @@ class OddSketch:
     def cardinality(self, state: DataFrame, set_col: str) -> DataFrame:
         return state.groupBy(set_col).agg(F.sum(F.bit_count("value")).alias("odd")).withColumn("estimate", self.size(F.col("odd")))
 
+    def dense(self, state: DataFrame, set_col: str) -> DataFrame:
+        """set, and an array of all its words."""
+        words = state.groupBy(set_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias("_m"))
+        return words.select(set_col, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(1, self.m // 32) - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("_s"))
+
     def difference(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
         """pairs with their odd bits and the size of their symmetric difference."""
-        sides = [pairs.select(a, b, F.col(x).alias("_set")) for x in (a, b)]
-        words = sides[0].unionByName(sides[1]).join(state.withColumnRenamed(set_col, "_set"), "_set").groupBy(a, b, "word").agg(F.bit_xor("value").alias("value"))
-        return words.groupBy(a, b).agg(F.sum(F.bit_count("value")).alias("odd")).withColumn("estimate", self.size(F.col("odd")))
-
-    def difference_of_many(self, state: DataFrame, pairs: DataFrame, set_col: str, a: str = "a", b: str = "b") -> DataFrame:
-        """As difference, for pairs a < b: the odd bits of both sets, less twice those in common, by which sets meet."""
-        bits = state.select(set_col, "word", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_i")).filter("shiftright(value, _i) & 1 = 1")
-        both = together(bits, set_col, ["word", "_i"], a, b, "_n")
-        own = state.groupBy(set_col).agg(F.sum(F.bit_count("value")).alias("_o"))
-        sides = [own.select(F.col(set_col).alias(x), F.col("_o").alias(f"_o{x}")) for x in (a, b)]
-        odd = F.col(f"_o{a}") + F.col(f"_o{b}") - 2 * F.coalesce("_n", F.lit(0))
-        rows = pairs.select(a, b).join(both, [a, b], "left").join(sides[0], a).join(sides[1], b).select(a, b, odd.alias("odd"))
-        return rows.withColumn("estimate", self.size(F.col("odd")))
+        both = beside(self.dense(state, set_col), pairs, set_col, "_s", a, b)
+        odd = F.aggregate(F.zip_with("_s_a", "_s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda n, x: n + x)
+        return both.select(a, b, odd.alias("odd")).withColumn("estimate", self.size(F.col("odd")))
 
 
 @dataclass(frozen=True)
@@ -196,6 +269,12 @@ class SimHash:
         both = a.unionByName(b)
         return both.groupBy(set_col).agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"_{i}") for i in range(self.bits)]).select(set_col, F.array(*[f"_{i}" for i in range(self.bits)]).alias("sums"))
 
+    def bands(self, prints: DataFrame, set_col: str, bands: int = 4, name: str = "fingerprint") -> DataFrame:
+        """set, band, bucket: of two fingerprints that differ in fewer bits than there are bands some band agrees."""
+        width = -(-self.bits // bands)
+        each = F.posexplode(F.array(*[F.shiftright(name, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for i in range(bands)])).alias("band", "bucket")
+        return prints.select(set_col, each)
+
     def fingerprint(self, state: DataFrame, name: str = "fingerprint") -> DataFrame:
         total = None
         for i in range(self.bits):

@@ -2,12 +2,16 @@
 
 Keys are dropped to distinct hashes and dealt over shards by hash, so a build is one bounded task; the state is a row for
 each shard. Builds and probes work on whole arrays of hashes.
+
+A saved state is bytes: a magic word, the length of a JSON header with the filter's kind, parameters and the kinds and lengths of its
+arrays, and these arrays, little-endian. Loading runs no code and refuses a state of another kind or other parameters.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +32,42 @@ class BuildError(RuntimeError):
     """No seed gave a solvable system."""
 
 
+class FormatError(ValueError):
+    """Bytes that are no state of this filter."""
+
+
+MAGIC = b"QSF1"
+
+
+def dump(filter_, state: dict) -> bytes:
+    """A state as bytes."""
+    arrays = {k: v for k, v in state.items() if isinstance(v, np.ndarray)}
+    head = {"filter": repr(filter_), "values": {k: v for k, v in state.items() if k not in arrays}, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}
+    raw = json.dumps(head).encode()
+    return b"".join((MAGIC, len(raw).to_bytes(4, "little"), raw, *(np.ascontiguousarray(v).tobytes() for v in arrays.values())))
+
+
+def load(filter_, data: bytes) -> dict:
+    """The state behind the bytes; raises FormatError where they are of another filter."""
+    data = bytes(data)
+    if data[:4] != MAGIC:
+        raise FormatError("not a filter's state")
+    at = 8 + int.from_bytes(data[4:8], "little")
+    try:
+        head = json.loads(data[8:at])
+    except ValueError as error:
+        raise FormatError("a broken header") from error
+    if head["filter"] != repr(filter_):
+        raise FormatError(f"a state of {head['filter']}, not of {filter_!r}")
+    out = {k: tuple(v) if isinstance(v, list) else v for k, v in head["values"].items()}
+    for name, kind, n in head["arrays"]:
+        if np.dtype(kind).kind not in "ui" or at + n * np.dtype(kind).itemsize > len(data):
+            raise FormatError("arrays do not fit")
+        out[name] = np.frombuffer(data, kind, n, at)
+        at += out[name].nbytes
+    return out
+
+
 def scramble(h: np.ndarray, seed: int) -> np.ndarray:
     """64 bits from a hash and a seed."""
     x = h.astype(U) + U((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -217,12 +257,15 @@ class Ribbon:
 
 @dataclass
 class Cuckoo:
-    """Buckets of four fingerprints; a key has two buckets. Fingerprints that find no place are kept aside, so none is lost."""
+    """Buckets of four fingerprints; a key has two buckets. Fingerprints that find no place are kept aside, so none is lost.
+
+    Equal keys take a place each, as often as they are inserted. ``full`` tells that some insertion found no place.
+    """
 
     buckets: int
     bits: int = 8
     kicks: int = 500
-    table: list[list[int]] = field(default_factory=list)
+    table: bytearray = field(default_factory=bytearray)
     aside: list[tuple[int, int]] = field(default_factory=list)
 
     @classmethod
@@ -233,47 +276,86 @@ class Cuckoo:
     def __post_init__(self) -> None:
         if self.buckets < 2 or self.buckets & (self.buckets - 1) or not 1 <= self.bits <= 8:
             raise ValueError("buckets must be a power of two, bits lie in 1..8")
-        self.table = self.table or [[] for _ in range(self.buckets)]
+        self.table = self.table or bytearray(4 * self.buckets)  # 0 is a free place
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each hash the fingerprint and the two buckets."""
+        x = scramble(np.asarray(h, U), 5)
+        own = (x & U((1 << self.bits) - 1)).astype(np.int64)
+        own[own == 0] = 1
+        first = ((x >> U(32)) & U(self.buckets - 1)).astype(np.int64)
+        return own, first, first ^ ((own * 0x5BD1E995 >> 3) & (self.buckets - 1))
 
     def _places(self, h: int) -> tuple[int, int, int]:
-        x = int(scramble(np.array([h], U), 5)[0])
-        own = x & ((1 << self.bits) - 1) or 1
-        first = (x >> 32) & (self.buckets - 1)
-        return own, first, self._other(first, own)
+        return tuple(int(x[0]) for x in self.places(np.array([h], U)))
 
     def _other(self, bucket: int, own: int) -> int:
         return bucket ^ (own * 0x5BD1E995 >> 3 & (self.buckets - 1))
 
-    def insert(self, h: int) -> bool:
-        """False if the filter is full; the key is found all the same."""
-        own, a, b = self._places(h)
-        for x in (a, b):
-            if len(self.table[x]) < 4:
-                self.table[x].append(own)
-                return True
+    def _put(self, bucket: int, own: int) -> bool:
+        at = self.table.find(0, 4 * bucket, 4 * bucket + 4)
+        if at < 0:
+            return False
+        self.table[at] = own
+        return True
+
+    def _insert(self, own: int, a: int, b: int) -> bool:
+        if self._put(a, own) or self._put(b, own):
+            return True
         at = a
         for k in range(self.kicks):
-            slot = (own + k) % 4
-            own, self.table[at][slot] = self.table[at][slot], own
+            slot = 4 * at + (own + k) % 4
+            own, self.table[slot] = self.table[slot], own
             at = self._other(at, own)
-            if len(self.table[at]) < 4:
-                self.table[at].append(own)
+            if self._put(at, own):
                 return True
         self.aside.append((at, own))
         return False
 
+    def insert(self, h: int) -> bool:
+        """False if the filter is full; the key is found all the same."""
+        return self._insert(*self._places(h))
+
+    def insert_all(self, h: np.ndarray) -> int:
+        """How many found a place. Whole arrays fill free places of first, then of second buckets; only what is left then kicks others out."""
+        own, a, b = self.places(h)
+        cells = np.frombuffer(self.table, np.uint8).reshape(-1, 4)
+        left = np.arange(len(own))
+        for bucket in (a, b):
+            at = bucket[left]
+            order = np.argsort(at, kind="stable")
+            at, rows = at[order], left[order]
+            nth = np.arange(len(at)) - np.searchsorted(at, at)  # among those for this bucket
+            used = (cells != 0).sum(1)  # places fill from the left unless some were removed
+            free = np.argsort(cells != 0, axis=1, kind="stable")
+            fits = nth < 4 - used[at]
+            cells[at[fits], free[at[fits], nth[fits]]] = own[rows[fits]]
+            left = np.sort(rows[~fits])
+        del cells
+        return len(own) - sum(not self._insert(*x) for x in zip(own[left].tolist(), a[left].tolist(), b[left].tolist()))
+
     def contains(self, h: int) -> bool:
-        own, a, b = self._places(h)
-        return own in self.table[a] or own in self.table[b] or any(x == own and at in (a, b) for at, x in self.aside)
+        return bool(self.contains_all(np.array([h], U))[0])
+
+    def contains_all(self, h: np.ndarray) -> np.ndarray:
+        own, a, b = self.places(h)
+        cells = np.frombuffer(self.table, np.uint8).reshape(-1, 4)
+        out = (cells[a] == own[:, None]).any(1) | (cells[b] == own[:, None]).any(1)
+        for at, x in self.aside:
+            out |= (own == x) & ((a == at) | (b == at))
+        return out
 
     def remove(self, h: int) -> bool:
-        own, a, b = self._places(h)
+        return self._remove(*self._places(h))
+
+    def _remove(self, own: int, a: int, b: int) -> bool:
         for x in (a, b):
-            if own in self.table[x]:
-                self.table[x].remove(own)
+            place = self.table.find(own, 4 * x, 4 * x + 4)
+            if place >= 0:
+                self.table[place] = 0
                 for k, (at, other) in enumerate(self.aside):  # one that waits may have room now
                     if x in (at, self._other(at, other)):
-                        self.table[x].append(self.aside.pop(k)[1])
+                        self._put(x, self.aside.pop(k)[1])
                         break
                 return True
         for k, (at, x) in enumerate(self.aside):
@@ -282,9 +364,13 @@ class Cuckoo:
                 return True
         return False
 
+    @property
+    def full(self) -> bool:
+        return bool(self.aside)
+
     @property
     def load(self) -> float:
-        return sum(map(len, self.table)) / (4 * self.buckets)
+        return (len(self.table) - self.table.count(0)) / len(self.table)
 
     @property
     def expected_fpr(self) -> float:
@@ -293,21 +379,25 @@ class Cuckoo:
 
 @dataclass(frozen=True)
 class CuckooFilter:
-    """The cuckoo filter in shards, with the calls of the other filters."""
+    """The cuckoo filter in shards, with the calls of the other filters. multiset: equal keys count as often as they come."""
 
     fpr: float = 0.01
+    multiset: bool = False
 
     def build(self, h: np.ndarray, removed: np.ndarray = np.zeros(0, np.int64)) -> dict:
-        h = np.asarray(h, U)
+        h = np.asarray(h, np.int64).view(U) if np.asarray(h).dtype == np.int64 else np.asarray(h, U)
         out = Cuckoo.sized(max(1, math.ceil(len(h) / 0.95)), self.fpr)
-        for x in h.tolist():
-            out.insert(x)
-        for x in np.asarray(removed, U).tolist():
-            out.remove(x)
-        return {"n": len(h) - len(removed), "filter": out}
+        out.insert_all(h)
+        for x in zip(*(x.tolist() for x in out.places(np.asarray(removed).astype(np.int64).view(U)))):
+            out._remove(*x)
+        aside = np.array(out.aside, np.int64).reshape(-1, 2)
+        return {"n": len(h) - len(removed), "buckets": out.buckets, "bits": out.bits, "table": np.frombuffer(bytes(out.table), np.uint8), "at": aside[:, 0].copy(), "own": aside[:, 1].copy()}
+
+    def filter(self, state: dict) -> Cuckoo:
+        return Cuckoo(state["buckets"], state["bits"], table=bytearray(state["table"].tobytes()), aside=list(zip(state["at"].tolist(), state["own"].tolist())))
 
     def probe(self, state: dict, h: np.ndarray) -> np.ndarray:
-        return np.array([state["filter"].contains(x) for x in np.asarray(h, U).tolist()], bool)
+        return self.filter(state).contains_all(np.asarray(h).astype(np.int64).view(U))
 
 
 @dataclass(frozen=True)
@@ -328,16 +418,18 @@ class Sharded:
 
     def state(self, df: DataFrame, key: str, removed: DataFrame | None = None) -> DataFrame:
         """shard, blob, n. removed: keys to delete again, for filters that can."""
-        keys = self._placed(df.select(key).filter(F.col(key).isNotNull()), key).select("shard", "_h").distinct().withColumn("_gone", F.lit(False))
+        once = (lambda d: d) if getattr(self.filter, "multiset", False) else DataFrame.distinct
+        placed = lambda d: once(self._placed(d.select(key).filter(F.col(key).isNotNull()), key).select("shard", "_h"))
+        keys = placed(df).withColumn("_gone", F.lit(False))
         if removed is not None:
-            keys = keys.unionByName(self._placed(removed.select(key).filter(F.col(key).isNotNull()), key).select("shard", "_h").distinct().withColumn("_gone", F.lit(True)))
+            keys = keys.unionByName(placed(removed).withColumn("_gone", F.lit(True)))
         filter_ = self.filter
 
         def build(rows: pd.DataFrame) -> pd.DataFrame:
             gone = rows["_gone"].to_numpy(bool)
             h = rows["_h"].to_numpy(np.int64)
             state = filter_.build(np.sort(h[~gone]), np.sort(h[gone])) if gone.any() else filter_.build(np.sort(h))
-            return pd.DataFrame([(rows["shard"].iloc[0], pickle.dumps(state), state["n"])], columns=["shard", "blob", "n"])
+            return pd.DataFrame([(rows["shard"].iloc[0], dump(filter_, state), state["n"])], columns=["shard", "blob", "n"])
 
         return keys.groupBy("shard").applyInPandas(build, "shard int, blob binary, n long")
 
@@ -350,13 +442,16 @@ class Sharded:
             sent = df.sparkSession.sparkContext.broadcast(blobs)
 
             @F.pandas_udf("boolean")
-            def probe(h: pd.Series, shard: pd.Series) -> pd.Series:
-                out = np.zeros(len(h), bool)
-                for k in shard.dropna().unique():
-                    if k in sent.value:
-                        at = np.flatnonzero(shard.to_numpy() == k)
-                        out[at] = filter_.probe(pickle.loads(sent.value[k]), h.to_numpy()[at].astype(np.int64))
-                return pd.Series(out)
+            def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+                states = {k: load(filter_, x) for k, x in sent.value.items()}  # once for each task
+                for h, shard in batches:
+                    out = np.zeros(len(h), bool)
+                    shard = shard.fillna(-1).to_numpy()
+                    for k in np.unique(shard).tolist():
+                        if k in states:
+                            at = np.flatnonzero(shard == k)
+                            out[at] = filter_.probe(states[k], h.to_numpy()[at].astype(np.int64))
+                    yield pd.Series(out)
 
             return placed.withColumn(flag, probe("_h", "shard")).drop("_h", "shard")
         salted = state.select("shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -366,11 +461,16 @@ class Sharded:
 
         def check(rows: pd.DataFrame, blob: pd.DataFrame) -> pd.DataFrame:
             out = rows[names].copy()
-            out[flag] = filter_.probe(pickle.loads(blob["blob"].iloc[0]), rows["_h"].to_numpy(np.int64)) if len(blob) and len(rows) else False
+            out[flag] = filter_.probe(load(filter_, blob["blob"].iloc[0]), rows["_h"].to_numpy(np.int64)) if len(blob) and len(rows) else False
             return out
 
         return rows.groupBy("shard", "_salt").cogroup(salted.groupBy("shard", "_salt")).applyInPandas(check, schema)
 
+    def stats(self, state: DataFrame) -> DataFrame:
+        """Shards, keys and bytes of a state, and bits for each key."""
+        out = state.agg(F.count(F.lit(1)).alias("shards"), F.coalesce(F.sum("n"), F.lit(0)).alias("keys"), F.coalesce(F.sum(F.length("blob")), F.lit(0)).cast("long").alias("bytes"))
+        return out.withColumn("bits_per_key", F.when(F.col("keys") > 0, 8 * F.col("bytes") / F.col("keys")))
+
     def semi_join(self, df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
         """Rows of df whose key is among the members, exactly."""
         state = self.state(members.select(F.col(member_key).alias(key)), key)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,23 +23,55 @@ class ExponentialHistogram:
             raise ValueError("window must be positive, epsilon in (0, 1]")
         self.window, self.epsilon, self.clock = window, epsilon, clock
         self.most = max(2, math.ceil(1 / epsilon) // 2 + 1)
-        self.sizes, self.ticks = sizes or [], ticks or []  # oldest first
+        self.levels: list[deque[int]] = []  # of each size 2^i the buckets' ticks, oldest first; larger buckets are older
+        for size, tick in zip(sizes or [], ticks or []):
+            self._level(size.bit_length() - 1).append(tick)
+
+    def _level(self, i: int) -> deque[int]:
+        while len(self.levels) <= i:
+            self.levels.append(deque())
+        return self.levels[i]
+
+    @property
+    def sizes(self) -> list[int]:
+        """Oldest first."""
+        return [1 << i for i in reversed(range(len(self.levels))) for _ in self.levels[i]]
+
+    @property
+    def ticks(self) -> list[int]:
+        return [t for level in reversed(self.levels) for t in level]
+
+    def skip(self, ticks: int) -> None:
+        """So many ticks without a one."""
+        self.clock += ticks
+        edge = self.clock - self.window
+        while self.levels:
+            while self.levels[-1] and self.levels[-1][0] <= edge:
+                self.levels[-1].popleft()
+            if self.levels[-1]:
+                return
+            self.levels.pop()
 
     def update(self, bit: bool) -> None:
-        self.clock += 1
-        while self.ticks and self.ticks[0] <= self.clock - self.window:
-            self.sizes.pop(0)
-            self.ticks.pop(0)
-        if not bit:
-            return
-        self.sizes.append(1)
-        self.ticks.append(self.clock)
-        size = 1
-        while self.sizes.count(size) > self.most:
-            k = self.sizes.index(size)  # the two oldest of this size are neighbours
-            self.sizes[k : k + 2] = [2 * size]
-            self.ticks[k : k + 2] = [self.ticks[k + 1]]
-            size *= 2
+        self.skip(1)
+        if bit:
+            self._level(0).append(self.clock)
+            i = 0
+            while len(self.levels[i]) > self.most:
+                self.levels[i].popleft()
+                self._level(i + 1).append(self.levels[i].popleft())  # the two oldest, by the tick of the newer one
+                i += 1
+
+    def update_all(self, bits: np.ndarray) -> None:
+        """As one by one; only ones cost work."""
+        at = 0
+        for k in np.flatnonzero(bits).tolist():
+            if k > at:
+                self.skip(k - at)
+            self.update(True)
+            at = k + 1
+        if len(bits) > at:
+            self.skip(len(bits) - at)
 
     def estimate(self, n: int) -> int:
         """Ones among the last n ticks; half of the bucket that reaches over the edge."""
@@ -50,24 +84,36 @@ class ExponentialHistogram:
         return sum(inside) if whole or inside[0] == 1 else sum(inside[1:]) + inside[0] // 2
 
 
-def sliding_counts(df: DataFrame, key: str, bit: str, order: list[str], window: int, epsilon: float) -> DataFrame:
-    """key, ticks, estimate after the last row of each key. Rows pass in order; only the current key's state is held."""
-    kind = dict(df.dtypes)[key]
+def sliding_counts(df: DataFrame, key: str, bit: str, order: list[str], window: int, epsilon: float, last: list[int] | None = None) -> DataFrame:
+    """key, ticks, estimate after the last row of each key. Rows pass in order; only the current key's state is held.
+
+    last: numbers of ticks, window at most; then there is a row for each of them, with n besides.
+    """
+    kind, asked = dict(df.dtypes)[key], last or [window]
+    if not all(0 < n <= window for n in asked):
+        raise ValueError("n must lie in 1..window")
+    names = ["k", "ticks", "n", "estimate"]
+
+    def rows_of(k, state: ExponentialHistogram) -> list[tuple]:
+        return [(k, state.clock, n, state.estimate(n)) for n in asked]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            done = []
-            for k, b in zip(batch["k"].tolist(), batch["b"].tolist()):
-                if state is None or k != current:
+            done: list[tuple] = []
+            keys, bits = batch["k"].to_numpy(), batch["b"].to_numpy(bool)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+            for a, b in zip(first, [*first[1:], len(keys)]):
+                if state is None or keys[a] != current:
                     if state is not None:
-                        done.append((current, state.clock, state.estimate(window)))
-                    current, state = k, ExponentialHistogram(window, epsilon)
-                state.update(b)
-            yield pd.DataFrame(done, columns=["k", "ticks", "estimate"])
+                        done += rows_of(current, state)
+                    current, state = keys[a], ExponentialHistogram(window, epsilon)
+                state.update_all(bits[a:b])
+            yield pd.DataFrame(done, columns=names)
         if state is not None:
-            yield pd.DataFrame([(current, state.clock, state.estimate(window))], columns=["k", "ticks", "estimate"])
+            yield pd.DataFrame(rows_of(current, state), columns=names)
 
     given = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(bit), F.lit(False)).alias("b"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     rows = given.repartition("k").sortWithinPartitions("k", *[f"o{i}" for i in range(len(order))]).select("k", "b")
-    return rows.mapInPandas(run, f"k {kind}, ticks long, estimate long").withColumnRenamed("k", key)
+    out = rows.mapInPandas(run, f"k {kind}, ticks long, n long, estimate long").withColumnRenamed("k", key)
+    return out if last else out.drop("n")

@@ -18,10 +18,11 @@ from quern.operators.frequency import AMS, CountMin, CountMinLog, CountSketch
 from quern.operators.frequency import merge as merge_counts
 from quern.operators.quantiles import DDSketch, TDigest, cdf, kll_quantiles, quantile
 from quern.operators.sampling import Reservoir
-from quern.operators.similarity import PRIME, BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash, coefficients, together
+from quern.operators.similarity import PRIME, BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash, banded, beside, coefficients, met
 from quern.operators.windowed import sliding_counts
-from quern.plans.sets import ORDERS, P, sql_hash
+from quern.plans.sets import ORDERS, P, sql_hash, sql_positions
 from quern.sources import state as states
+from quern.sources import working
 from quern.sources.tables import table
 from quern.streaming import sketches as S
 
@@ -122,7 +123,7 @@ def lossy_heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
 
 def space_saving_topk(spark: SparkSession, d: str) -> DataFrame:
     """Verified: candidates counted exactly; all users are, where the summary may have lost one of the top ten."""
-    return heavy.SpaceSaving(20_000).top(table(spark, d, "events"), "user_id", 10)
+    return heavy.SpaceSaving(100).top(table(spark, d, "events"), "user_id", 10)
 
 
 def space_saving_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -135,11 +136,12 @@ def space_saving_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heavy_keeper_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: eight of the ten most frequent nations of customers' orders are found, by exact count."""
-    orders = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    got = heavy.HeavyKeeper(4, 1024, 20).top(orders, "c_nationkey", 10)
-    exact = orders.groupBy(F.col("c_nationkey").cast("string").alias("item")).count().orderBy(F.desc("count"), "item").limit(10)
-    return got.select("item").intersect(exact.select("item")).agg((F.count(F.lit(1)) >= 8).alias("within_bound"))
+    """Bounded: the ten users with most events, counted exactly, and whether the sketch's hundred candidates hold eight of them."""
+    events = table(spark, d, "events")
+    found = heavy.HeavyKeeper(4, 1024, 100).candidates(events, "user_id").select("item", F.lit(1).alias("hit"))
+    exact = events.groupBy(F.col("user_id").cast("string").alias("item")).count().orderBy(F.desc("count"), "item").limit(10)
+    both = exact.join(F.broadcast(found), "item", "left")
+    return both.join(both.agg((F.count("hit") >= 8).alias("within_bound"))).select("item", "count", "within_bound")
 
 
 def approx_top_k_native(spark: SparkSession, d: str) -> DataFrame:
@@ -170,12 +172,14 @@ def kll_quantiles_bound(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tdigest_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: the rank of each value is within 2 % of what was asked."""
+    """Bounded: exact quantiles, and whether the rank of the digest's value is within 2 % of what was asked."""
     events = table(spark, d, "events")
     state = DIGEST.state(events, "value", "event_type")
     got = state.select("event_type", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), quantile(q).alias("v")) for q in PROBABILITIES])).alias("x")).select("event_type", "x.*")
     rank = events.join(got, "event_type").groupBy("event_type", "q").agg(F.avg((F.col("value") <= F.col("v")).cast("double")).alias("r"))
-    return rank.select("event_type", "q", (F.abs(F.col("r") - F.col("q")) <= 0.02).alias("within_bound"))
+    exact = events.groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, PROBABILITIES))).alias("e")).select("event_type", F.posexplode("e").alias("i", "exact"))
+    exact = exact.select("event_type", F.get(F.array(*map(F.lit, PROBABILITIES)), F.col("i")).alias("q"), F.round("exact", 6).alias("exact"))
+    return rank.join(exact, ["event_type", "q"]).select("event_type", "q", "exact", (F.abs(F.col("r") - F.col("q")) <= 0.02).alias("within_bound"))
 
 
 def tdigest_cdf(spark: SparkSession, d: str) -> DataFrame:
@@ -186,106 +190,95 @@ def tdigest_cdf(spark: SparkSession, d: str) -> DataFrame:
     return state.join(exact, "event_type").select("event_type", "n", (F.abs(F.col("c") - F.col("e")) <= 0.02).alias("within_bound"))
 
 
-def _parts_by_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("s"), "l_partkey", "l_quantity")
+#: Blocks over which queries are dealt; each set meets the queries of every block.
+BLOCKS = 16
+LSH_ROWS = 2
+
+
+def _supplier_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey", "l_quantity")
 
 
-def _supplier_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, b) for a in range(4) for b in range(a + 1, 5)], "a long, b long")
+def _searched(rows: DataFrame) -> DataFrame:
+    """The stated queries, suppliers whose number is divisible by 20, each with every other supplier, in blocks."""
+    sets = rows.select("s").distinct()
+    queries = sets.filter(F.col("s") % 20 == 0).select(F.col("s").alias("a"), F.pmod(F.xxhash64("s"), F.lit(BLOCKS)).alias("block"))
+    others = sets.select(F.col("s").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias("block"))
+    return queries.join(others, "block").filter("a != b").select("a", "b")
 
 
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """Exact."""
-    return MINHASH.state(_parts_by_supplier(spark, d), "s", "l_partkey")
+    """Exact: of every supplier's parts."""
+    return MINHASH.state(_supplier_parts(spark, d), "s", "l_partkey")
 
 
 def minhash_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Exact."""
-    return MINHASH.jaccard(minhash_signatures(spark, d), _supplier_pairs(spark), "s").withColumn("jaccard", F.round("jaccard", 6))
+    """Exact: suppliers divisible by 20 against all others."""
+    rows = _supplier_parts(spark, d)
+    return MINHASH.jaccard(MINHASH.state(rows, "s", "l_partkey"), _searched(rows), "s").withColumn("jaccard", F.round("jaccard", 6))
 
 
 def bbit_minhash_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Exact."""
-    return BBIT.jaccard(BBIT.state(_parts_by_supplier(spark, d), "s", "l_partkey"), _supplier_pairs(spark), "s").withColumn("jaccard", F.round("jaccard", 6))
+    """Exact: suppliers divisible by 20 against all others."""
+    rows = _supplier_parts(spark, d)
+    return BBIT.jaccard(BBIT.state(rows, "s", "l_partkey"), _searched(rows), "s").withColumn("jaccard", F.round("jaccard", 6))
 
 
 def weighted_minhash_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: within 0.15 of the exact weighted similarity."""
-    rows, pairs = _parts_by_supplier(spark, d), _supplier_pairs(spark)
-    sketch = WeightedMinHash(256)
+    """Bounded: suppliers divisible by 20 against all others, exact weighted similarity, and whether the estimate is within 0.15 of it."""
+    rows = _supplier_parts(spark, d)
+    pairs, sketch = _searched(rows), WeightedMinHash(256)
     got = sketch.jaccard(sketch.state(rows, "s", "l_partkey", "l_quantity"), pairs, "s")
     w = rows.groupBy("s", "l_partkey").agg(F.sum("l_quantity").alias("w"))
-    sides = [pairs.join(w.withColumnRenamed("s", x), x).select("a", "b", "l_partkey", F.col("w").alias(f"w{x}")) for x in "ab"]
-    both = sides[0].join(sides[1], ["a", "b", "l_partkey"], "full").na.fill(0.0, ["wa", "wb"])
-    exact = both.groupBy("a", "b").agg((F.sum(F.least("wa", "wb")) / F.sum(F.greatest("wa", "wb"))).alias("e"))
-    return got.join(exact, ["a", "b"]).select("a", "b", (F.abs(F.col("jaccard") - F.col("e")) <= 0.15).alias("within_bound"))
+    sides = [w.select(F.col("s").alias(x), "l_partkey", F.col("w").alias(f"w{x}")) for x in "ab"]
+    common = sides[0].filter("a % 20 = 0").join(sides[1], "l_partkey").filter("a != b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("m"))
+    whole = w.groupBy("s").agg(F.sum("w").alias("w"))
+    m = F.coalesce("m", F.lit(0.0))
+    exact = beside(whole, pairs, "s", "w").join(common, ["a", "b"], "left").select("a", "b", (m / (F.col("w_a") + F.col("w_b") - m)).alias("e"))
+    return got.join(exact, ["a", "b"]).select("a", "b", F.round("e", 6).alias("exact"), (F.abs(F.col("jaccard") - F.col("e")) <= 0.15).alias("within_bound"))
 
 
 def odd_symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
-    """Exact."""
-    state = ODD.state(_parts_by_supplier(spark, d), "s", "l_partkey")
-    return ODD.difference(state, _supplier_pairs(spark), "s").withColumn("estimate", F.round("estimate", 4))
-
-
-def simhash_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Exact."""
-    return SIM.fingerprint(SIM.state(_parts_by_supplier(spark, d), "s", "l_partkey"))
-
-
-def simhash_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Exact."""
-    prints = simhash_fingerprints(spark, d)
-    side = lambda x: prints.select(F.col("s").alias(x), F.col("fingerprint").alias(f"f{x}"))
-    both = _supplier_pairs(spark).join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", SIM.distance(F.col("fa"), F.col("fb")).cast("long").alias("distance"), F.round(SIM.similarity(F.col("fa"), F.col("fb")), 6).alias("similarity"))
-
-
-def _supplier_parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey", "l_quantity")
-
-
-def _pairs_by_part(rows: DataFrame) -> DataFrame:
-    """All pairs of suppliers that have a part in common; any other pair has similarity 0."""
-    return together(rows.select("s", "l_partkey").distinct(), "s", ["l_partkey"])
-
-
-def minhash_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: all pairs of suppliers with a part in common."""
+    """Exact: suppliers divisible by 20 against all others."""
     rows = _supplier_parts(spark, d)
-    return MINHASH.jaccard_of_many(MINHASH.state(rows, "s", "l_partkey"), _pairs_by_part(rows), "s").withColumn("jaccard", F.round("jaccard", 6))
+    return ODD.difference(ODD.state(rows, "s", "l_partkey"), _searched(rows), "s").withColumn("estimate", F.round("estimate", 4))
 
 
-def bbit_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: all pairs of suppliers with a part in common."""
-    rows = _supplier_parts(spark, d)
-    return BBIT.jaccard_of_many(BBIT.state(rows, "s", "l_partkey"), _pairs_by_part(rows), "s").withColumn("jaccard", F.round("jaccard", 6))
+def simhash_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: of every supplier's parts."""
+    return SIM.fingerprint(SIM.state(_supplier_parts(spark, d), "s", "l_partkey"))
 
 
-def weighted_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: all pairs of suppliers with a part in common, within 0.15 of the exact weighted similarity."""
-    sketch, rows = WeightedMinHash(256), _supplier_parts(spark, d)
-    w = rows.groupBy("s", "l_partkey").agg(F.sum("l_quantity").alias("w"))
-    sides = [w.select(F.col("s").alias(x), "l_partkey", F.col("w").alias(f"w{x}")) for x in "ab"]
-    common = sides[0].join(sides[1], "l_partkey").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("m"))
-    whole = [w.groupBy(F.col("s").alias(x)).agg(F.sum("w").alias(f"w{x}")) for x in "ab"]
-    exact = common.join(whole[0], "a").join(whole[1], "b").select("a", "b", (F.col("m") / (F.col("wa") + F.col("wb") - F.col("m"))).alias("e"))
-    got = sketch.jaccard_of_many(sketch.state(rows, "s", "l_partkey", "l_quantity"), exact, "s")
-    return got.join(exact, ["a", "b"]).select("a", "b", (F.abs(F.col("jaccard") - F.col("e")) <= 0.15).alias("within_bound"))
+def _distances(both: DataFrame) -> DataFrame:
+    a, b = F.col("fingerprint_a"), F.col("fingerprint_b")
+    return both.select("a", "b", SIM.distance(a, b).cast("long").alias("distance"), F.round(SIM.similarity(a, b), 6).alias("similarity"))
 
 
-def odd_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: all pairs of suppliers with a part in common."""
-    rows = _supplier_parts(spark, d)
-    return ODD.difference_of_many(ODD.state(rows, "s", "l_partkey"), _pairs_by_part(rows), "s").withColumn("estimate", F.round("estimate", 4))
+def simhash_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: suppliers divisible by 20 against all others."""
+    return _distances(beside(simhash_fingerprints(spark, d), _searched(_supplier_parts(spark, d)), "s", "fingerprint"))
 
 
-def simhash_supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: all pairs of suppliers with a part in common."""
+def minhash_lsh_search(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: suppliers divisible by 20 and those that agree with them in a band of slots, with the estimate and the exact similarity."""
     rows = _supplier_parts(spark, d)
-    prints = SIM.fingerprint(SIM.state(rows, "s", "l_partkey"))
-    sides = [prints.select(F.col("s").alias(x), F.col("fingerprint").alias(f"f{x}")) for x in "ab"]
-    both = _pairs_by_part(rows).join(sides[0], "a").join(sides[1], "b")
-    return both.select("a", "b", SIM.distance(F.col("fa"), F.col("fb")).cast("long").alias("distance"), F.round(SIM.similarity(F.col("fa"), F.col("fb")), 6).alias("similarity"))
+    state = MINHASH.state(rows, "s", "l_partkey")
+    buckets = banded(state, "s", LSH_ROWS)
+    pairs = met(buckets.filter(F.col("s") % 20 == 0), buckets, "s")
+    sets = rows.select("s", "l_partkey").distinct()
+    sides = [sets.select(F.col("s").alias(x), "l_partkey") for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], ["b", "l_partkey"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = beside(sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")), pairs, "s", "n")
+    n = F.coalesce("_n", F.lit(0))
+    exact = sizes.join(both, ["a", "b"], "left").select("a", "b", F.round(n / (F.col("n_a") + F.col("n_b") - n), 6).alias("exact"))
+    return MINHASH.jaccard(state, pairs, "s").withColumn("jaccard", F.round("jaccard", 6)).join(exact, ["a", "b"])
+
+
+def simhash_band_search(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: suppliers divisible by 20 and those whose fingerprints agree with theirs in one of six bands of ten bits."""
+    prints = simhash_fingerprints(spark, d)
+    bands = SIM.bands(prints, "s", 6)
+    return _distances(beside(prints, met(bands.filter(F.col("s") % 20 == 0), bands, "s"), "s", "fingerprint"))
 
 
 def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +340,7 @@ def stream_eh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partition_invariance(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: states built by many parallel tasks equal those of one task, register by register and cell by cell."""
+    """Bounded: rows of each state, and whether that built by many parallel tasks equals that of one task, row by row."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
     spread, alone = lines.repartition(16), lines.coalesce(1)
     builds = {
@@ -360,6 +353,7 @@ def partition_invariance(spark: SparkSession, d: str) -> DataFrame:
     for name, build in builds.items():
         a, b = build(spread), build(alone)
         one = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(name).alias("sketch"), (F.count(F.lit(1)) == 0).alias("within_bound"))
+        one = one.join(a.agg(F.count(F.lit(1)).alias("rows"))).select("sketch", "rows", "within_bound")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -382,12 +376,9 @@ def recommend_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def sketch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Bounded: a saved and loaded state gives the estimate of the original."""
-    import tempfile
-
     state = HLL.state(table(spark, d, "lineitem"), "l_partkey")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/quern-roundtrip-{spark.sparkContext.applicationId}"
-    states.save(state, path, "hll", {"precision": HLL.precision}, "overwrite")
+    path = working.path(spark, "state")
+    states.save(state, path, "hll", {"precision": HLL.precision})
     back = HLL.estimate(states.load(spark, path, "hll", {"precision": HLL.precision}), name="loaded")
     return HLL.estimate(state).join(back).select("estimate", (F.col("estimate") == F.col("loaded")).alias("within_bound"))
 
@@ -398,8 +389,7 @@ QUERIES = {
         event_profile, hll_distinct_by_group, hll_rollup, hll_merge, native_distinct_bound, cms_point_estimates, cms_never_under, cml_estimates,
         count_sketch_estimates, ams_f2, mg_heavy_hitters, lossy_heavy_hitters, space_saving_topk, space_saving_bounds, heavy_keeper_topk, approx_top_k_native,
         dd_quantiles, dd_state_merge, kll_quantiles_bound, tdigest_quantiles, tdigest_cdf, minhash_signatures, minhash_jaccard, bbit_minhash_jaccard,
-        weighted_minhash_jaccard, odd_symmetric_difference, simhash_fingerprints, simhash_similarity, minhash_supplier_pairs, bbit_supplier_pairs,
-        weighted_supplier_pairs, odd_supplier_pairs, simhash_supplier_pairs, reservoir_sample, reservoir_by_group, eh_sliding_count,
+        weighted_minhash_jaccard, odd_symmetric_difference, simhash_fingerprints, simhash_similarity, minhash_lsh_search, simhash_band_search, reservoir_sample, reservoir_by_group, eh_sliding_count,
         stream_hll_windows, stream_cms_windows, stream_dd_windows, stream_eh, partition_invariance, sizing_params, recommend_filter, sketch_roundtrip,
     )
 }
@@ -408,10 +398,8 @@ QUERIES = {
 # SQL.
 
 _W = 60 - HLL.precision
-_PAIRS = "(SELECT a, b FROM range(0, 4) x(a), range(1, 5) y(b) WHERE a < b)"
-_PARTS = "(SELECT DISTINCT l_suppkey % 10 AS s, l_partkey FROM lineitem)"
-_SUPPLIERS = "(SELECT DISTINCT l_suppkey AS s, l_partkey FROM lineitem)"
-_MEETING = f"(SELECT DISTINCT x.s AS a, y.s AS b FROM {_SUPPLIERS} x JOIN {_SUPPLIERS} y USING (l_partkey) WHERE x.s < y.s)"
+_PARTS = "(SELECT DISTINCT l_suppkey AS s, l_partkey FROM lineitem)"
+_PAIRS = "(SELECT a, b FROM (SELECT DISTINCT l_suppkey AS a FROM lineitem WHERE l_suppkey % 20 = 0) x_, (SELECT DISTINCT l_suppkey AS b FROM lineitem) y_ WHERE a <> b)"
 
 
 def _hll(source: str, key: str, group: str = "") -> str:
@@ -450,8 +438,7 @@ def _levels() -> str:
     return ", ".join(f"({v}, {CML.value(v)})" for v in range(CML.levels + 1))
 
 
-_SIM = f"SELECT s, sum(CASE WHEN t > 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS fingerprint FROM (SELECT s, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN w ELSE -w END) AS t FROM (SELECT l_suppkey % 10 AS s, {sql_hash('l_partkey')} AS h, count(*) AS w FROM lineitem GROUP BY ALL), (SELECT unnest(range(0, 60))::INT AS i) GROUP BY s, i) GROUP BY s"
-_SIM_SUPPLIERS = f"SELECT s, sum(CASE WHEN t > 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS fingerprint FROM (SELECT s, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN w ELSE -w END) AS t FROM (SELECT l_suppkey AS s, {sql_hash('l_partkey')} AS h, count(*) AS w FROM lineitem GROUP BY ALL), (SELECT unnest(range(0, 60))::INT AS i) GROUP BY s, i) GROUP BY s"
+_SIM = f"SELECT s, sum(CASE WHEN t > 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS fingerprint FROM (SELECT s, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN w ELSE -w END) AS t FROM (SELECT l_suppkey AS s, {sql_hash('l_partkey')} AS h, count(*) AS w FROM lineitem GROUP BY ALL), (SELECT unnest(range(0, 60))::INT AS i) GROUP BY s, i) GROUP BY s"
 _LAST = f"SELECT user_id, max(n)::BIGINT AS ticks, arg_max(x, n)::BIGINT AS exact, true AS within_bound FROM (SELECT user_id, row_number() OVER w AS n, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id"
 _PROFILE_Q = _dd("events", "value", [0.5, 0.95, 0.99], "event_type")
 
@@ -484,36 +471,42 @@ SELECT r::VARCHAR AS row, f2 FROM f UNION ALL SELECT 'median', median(f2) FROM f
     "lossy_heavy_hitters": "SELECT user_id::VARCHAR AS item, count(*) AS count FROM events GROUP BY user_id HAVING count(*) >= 0.008 * (SELECT count(*) FROM events)",
     "space_saving_topk": "SELECT user_id::VARCHAR AS item, count(*) AS count FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id::VARCHAR LIMIT 10",
     "space_saving_bounds": "SELECT least(64, count(DISTINCT l_suppkey)) AS counters, true AS within_bound FROM lineitem",
-    "heavy_keeper_topk": "SELECT true AS within_bound",
+    "heavy_keeper_topk": "SELECT user_id::VARCHAR AS item, count(*) AS count, true AS within_bound FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id::VARCHAR LIMIT 10",
     "approx_top_k_native": "SELECT event_type AS item, count(*) AS count FROM events GROUP BY event_type",
     "dd_quantiles": _dd("lineitem", "l_extendedprice", PROBABILITIES, "l_returnflag, l_linestatus"),
     "dd_state_merge": _dd("customer", "c_acctbal", PROBABILITIES),
     "kll_quantiles_bound": f"SELECT event_type, q, count(*) AS n, true AS within_bound FROM events, (SELECT unnest({PROBABILITIES}::DOUBLE[]) AS q) GROUP BY event_type, q",
-    "tdigest_quantiles": f"SELECT event_type, q, true AS within_bound FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest({PROBABILITIES}::DOUBLE[]) AS q)",
+    "tdigest_quantiles": f"SELECT event_type, unnest({PROBABILITIES}::DOUBLE[]) AS q, round(unnest(quantile_cont(value, {PROBABILITIES}::DOUBLE[])), 6) AS exact, true AS within_bound FROM events GROUP BY event_type",
     "tdigest_cdf": "SELECT event_type, count(*) AS n, true AS within_bound FROM events GROUP BY event_type",
     "minhash_signatures": _signature(),
     "minhash_jaccard": f"WITH m AS ({_signature()}) SELECT a, b, round(count(*) FILTER (x.value = y.value) / {MINHASH.k}.0, 6) AS jaccard FROM {_PAIRS} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
     "bbit_minhash_jaccard": f"WITH m AS ({_signature()}) SELECT a, b, round(greatest(0.0, (count(*) FILTER (x.value % {1 << BBIT.bits} = y.value % {1 << BBIT.bits}) / {BBIT.k}::DOUBLE - {2.0**-BBIT.bits}) / {1 - 2.0**-BBIT.bits}), 6) AS jaccard FROM {_PAIRS} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
-    "weighted_minhash_jaccard": f"SELECT a, b, true AS within_bound FROM {_PAIRS}",
+    "weighted_minhash_jaccard": f"""WITH w AS (SELECT l_suppkey AS s, l_partkey, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL), t AS (SELECT s, sum(w) AS t FROM w GROUP BY s),
+c AS (SELECT x.s AS a, y.s AS b, sum(least(x.w, y.w)) AS m FROM w x JOIN w y USING (l_partkey) WHERE x.s % 20 = 0 AND x.s <> y.s GROUP BY ALL)
+SELECT a, b, round(coalesce(m, 0) / (x.t + y.t - coalesce(m, 0)), 6) AS exact, true AS within_bound FROM {_PAIRS} LEFT JOIN c USING (a, b) JOIN t x ON x.s = a JOIN t y ON y.s = b""",
     "odd_symmetric_difference": f"""WITH p AS (SELECT s, p // 32 AS word, bit_xor(1::BIGINT << (p % 32)::INT) AS v FROM (SELECT s, {sql_hash('l_partkey')} % {ODD.m} AS p FROM {_PARTS}) GROUP BY s, p // 32),
 x AS (SELECT a, b, word, bit_xor(v) AS v FROM {_PAIRS} JOIN p ON s IN (a, b) GROUP BY a, b, word),
 o AS (SELECT a, b, sum(bit_count(v))::BIGINT AS odd FROM x GROUP BY a, b)
 SELECT a, b, odd, round(CASE WHEN odd >= {ODD.m // 2} THEN 'inf'::DOUBLE ELSE ln(1 - 2 * odd / {ODD.m}::DOUBLE) / ln(1 - 2 / {ODD.m}::DOUBLE) END, 4) AS estimate FROM o""",
     "simhash_fingerprints": _SIM,
     "simhash_similarity": f"WITH f AS ({_SIM}) SELECT a, b, bit_count(xor(x.fingerprint, y.fingerprint))::BIGINT AS distance, round(cos(3.141592653589793::DOUBLE * bit_count(xor(x.fingerprint, y.fingerprint)) / 60), 6) AS similarity FROM {_PAIRS} JOIN f x ON x.s = a JOIN f y ON y.s = b",
-    "minhash_supplier_pairs": f"WITH m AS ({_signature(_SUPPLIERS)}) SELECT a, b, round(count(*) FILTER (x.value = y.value) / {MINHASH.k}.0, 6) AS jaccard FROM {_MEETING} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
-    "bbit_supplier_pairs": f"WITH m AS ({_signature(_SUPPLIERS)}) SELECT a, b, round(greatest(0.0, (count(*) FILTER (x.value % {1 << BBIT.bits} = y.value % {1 << BBIT.bits}) / {BBIT.k}::DOUBLE - {2.0**-BBIT.bits}) / {1 - 2.0**-BBIT.bits}), 6) AS jaccard FROM {_MEETING} JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b",
-    "weighted_supplier_pairs": f"SELECT a, b, true AS within_bound FROM {_MEETING}",
-    "odd_supplier_pairs": f"""WITH p AS (SELECT s, p // 32 AS word, bit_xor(1::BIGINT << (p % 32)::INT) AS v FROM (SELECT s, {sql_hash('l_partkey')} % {ODD.m} AS p FROM {_SUPPLIERS}) GROUP BY s, p // 32),
-x AS (SELECT a, b, word, bit_xor(v) AS v FROM {_MEETING} JOIN p ON s IN (a, b) GROUP BY a, b, word),
-o AS (SELECT a, b, sum(bit_count(v))::BIGINT AS odd FROM x GROUP BY a, b)
-SELECT a, b, odd, round(CASE WHEN odd >= {ODD.m // 2} THEN 'inf'::DOUBLE ELSE ln(1 - 2 * odd / {ODD.m}::DOUBLE) / ln(1 - 2 / {ODD.m}::DOUBLE) END, 4) AS estimate FROM o""",
-    "simhash_supplier_pairs": f"WITH f AS ({_SIM_SUPPLIERS}) SELECT a, b, bit_count(xor(x.fingerprint, y.fingerprint))::BIGINT AS distance, round(cos(3.141592653589793::DOUBLE * bit_count(xor(x.fingerprint, y.fingerprint)) / 60), 6) AS similarity FROM {_MEETING} JOIN f x ON x.s = a JOIN f y ON y.s = b",
+    "minhash_lsh_search": f"""WITH m AS ({_signature()}), z AS (SELECT s, count(*) AS n FROM {_PARTS} GROUP BY s),
+k AS (SELECT s, slot // {LSH_ROWS} AS band, list(value ORDER BY slot) AS v FROM m GROUP BY s, slot // {LSH_ROWS}),
+p AS (SELECT DISTINCT x.s AS a, y.s AS b FROM k x JOIN k y USING (band, v) WHERE x.s % 20 = 0 AND x.s <> y.s),
+j AS (SELECT a, b, round(count(*) FILTER (x.value = y.value) / {MINHASH.k}.0, 6) AS jaccard FROM p JOIN m x ON x.s = a JOIN m y ON y.s = b AND x.slot = y.slot GROUP BY a, b),
+c AS (SELECT a, b, count(*) AS n FROM p JOIN {_PARTS} x ON x.s = a JOIN {_PARTS} y ON y.s = b AND x.l_partkey = y.l_partkey GROUP BY a, b)
+SELECT a, b, jaccard, round(coalesce(c.n, 0) / (zx.n + zy.n - coalesce(c.n, 0))::DOUBLE, 6) AS exact FROM j LEFT JOIN c USING (a, b) JOIN z zx ON zx.s = a JOIN z zy ON zy.s = b""",
+    "simhash_band_search": f"""WITH f AS ({_SIM}), k AS (SELECT s, fingerprint, i AS band, (fingerprint >> (10 * i)) & 1023 AS v FROM f, (SELECT unnest(range(0, 6))::INT AS i))
+SELECT DISTINCT x.s AS a, y.s AS b, bit_count(xor(x.fingerprint, y.fingerprint))::BIGINT AS distance, round(cos(3.141592653589793::DOUBLE * bit_count(xor(x.fingerprint, y.fingerprint)) / 60), 6) AS similarity FROM k x JOIN k y USING (band, v) WHERE x.s % 20 = 0 AND x.s <> y.s""",
     "reservoir_sample": f"""SELECT o_orderkey, {sql_hash("o_orderkey::VARCHAR || '#7'")} AS priority FROM orders ORDER BY priority, o_orderkey LIMIT {RESERVOIR.k}""",
     "reservoir_by_group": f"""SELECT event_id, event_type, priority FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY priority, event_id) AS n FROM (SELECT event_id, event_type, {sql_hash("event_id::VARCHAR || '#7'")} AS priority FROM events)) WHERE n <= {RESERVOIR.k}""",
     "eh_sliding_count": _LAST,
     "stream_eh": _LAST,
-    "partition_invariance": "SELECT unnest(['bloom', 'hyperloglog', 'count_min', 'dd_sketch']) AS sketch, true AS within_bound",
+    "partition_invariance": f"""SELECT sketch, n AS rows, true AS within_bound FROM (
+SELECT 'bloom' AS sketch, count(DISTINCT bit) AS n FROM ({sql_positions('lineitem', 'l_orderkey', ORDERS.k, ORDERS.m)})
+UNION ALL SELECT 'hyperloglog', count(DISTINCT {sql_hash('l_orderkey')} >> {_W}) FROM lineitem
+UNION ALL SELECT 'count_min', count(DISTINCT struct_pack(r := r, c := {_cells('l_partkey', CMS.depth, CMS.width)})) FROM (SELECT DISTINCT l_partkey FROM lineitem), (SELECT unnest(range(0, {CMS.depth})) AS r)
+UNION ALL SELECT 'dd_sketch', count(DISTINCT ceil(ln(l_extendedprice) / {math.log(DD.gamma)!r})) FROM lineitem)""",
     "stream_hll_windows": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events) " + _hll("e", "user_id", "day"),
     "stream_cms_windows": f"SELECT r::INT AS row, {_cells('event_type', CMS.depth, CMS.width)} AS cell, count(*) AS count FROM events, (SELECT unnest(range(0, {CMS.depth})) AS r) GROUP BY ALL",
     "stream_dd_windows": "SELECT day, median FROM (" + _dd("(SELECT strftime(ts, '%Y-%m-%d') AS day, value FROM events)", "value", [0.5], "day", "median") + ")",

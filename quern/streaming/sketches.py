@@ -52,8 +52,7 @@ def sliding_counts(df: DataFrame, key: str, bit: Column, order: list[str], windo
         clock, sizes, ticks = state.get if state.exists else (0, [], [])
         h = ExponentialHistogram(window, epsilon, clock, list(sizes), list(ticks))
         rows = pd.concat(list(batches)).sort_values([f"o{i}" for i in range(len(order))])
-        for b in rows["b"].tolist():
-            h.update(b)
+        h.update_all(rows["b"].to_numpy(bool))
         state.update((h.clock, h.sizes, h.ticks))
         yield pd.DataFrame([(keys[0], h.clock, h.estimate(window))], columns=[key, "ticks", "estimate"])
 

@@ -226,30 +226,193 @@ def test_simhash(spark):
     assert h.fingerprint(h.merge(state, state, "s")).exceptAll(h.fingerprint(state)).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["minhash", "bbit", "weighted", "odd", "simhash"])
-def test_supplier_queries_compare_every_pair_with_a_common_part(spark, name):
+@pytest.mark.parametrize("name", ["minhash_jaccard", "bbit_minhash_jaccard", "weighted_minhash_jaccard", "odd_symmetric_difference", "simhash_similarity"])
+def test_supplier_queries_compare_every_stated_query_with_all(spark, name):
     from quern.plans import catalog
 
-    sf = "/root/testdata/sf0.001"
-    parts = {}
-    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
-        parts.setdefault(r.l_suppkey, set()).add(r.l_partkey)
-    want = {(a, b) for a in parts for b in parts if a < b and parts[a] & parts[b]}
-    got = [(r.a, r.b) for r in catalog.QUERIES[f"{name}_supplier_pairs"](spark, sf).collect()]
-    assert len(got) == len(want) and set(got) == want
+    sf = "/root/testdata/sf0.01"
+    ids = [r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().collect()]
+    got = [(r.a, r.b) for r in catalog.QUERIES[name](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in ids if a % 20 == 0 for b in ids if a != b} and got
 
 
-def test_many_pairs_as_single_ones(spark):
+def test_pair_functions_equal_plain_counts(spark):
     df = overlap(spark, range(100), range(50, 150), range(200, 300), range(90, 210)).withColumn("w", F.col("s") + 1)
     ab = pairs(spark, *[(a, b) for a in range(4) for b in range(a + 1, 4)])
-    for sketch in (MinHash(64), BBitMinHash(64, 4)):
-        state = sketch.state(df, "s", "item")
-        assert set(sketch.jaccard_of_many(state, ab, "s").collect()) == set(sketch.jaccard(state, ab, "s").collect())
-    m, o = WeightedMinHash(64), OddSketch(256)
-    state = m.state(df, "s", "item", "w")
-    assert set(m.jaccard_of_many(state, ab, "s").collect()) == set(m.jaccard(state, ab, "s").collect())
+
+    def shares(state, k, *values):
+        held = {}
+        for r in state.collect():
+            held.setdefault(r.s, {})[r.slot] = tuple(r[v] for v in values)
+        return {(a, b): sum(held[a][i] == held[b][i] for i in range(k)) / k for a in range(4) for b in range(a + 1, 4)}
+
+    m = MinHash(64)
+    state = m.state(df, "s", "item")
+    assert {(r.a, r.b): r.jaccard for r in m.jaccard(state, ab, "s").collect()} == shares(state, 64, "value")
+    w = WeightedMinHash(64)
+    state = w.state(df, "s", "item", "w")
+    assert state.count() == 4 * 64 and {(r.a, r.b): r.jaccard for r in w.jaccard(state, ab, "s").collect()} == shares(state, 64, "item", "t")
+    halves = w.merge(w.state(df.filter("hash(item) % 2 = 0"), "s", "item", "w"), w.state(df.filter("hash(item) % 2 != 0"), "s", "item", "w"), "s")
+    assert halves.exceptAll(state).isEmpty() and state.exceptAll(halves).isEmpty()
+    o = OddSketch(256)
     state = o.state(df, "s", "item")
-    assert set(o.difference_of_many(state, ab, "s").collect()) == set(o.difference(state, ab, "s").collect())
+    words = {(r.s, r.word): r.value for r in state.collect()}
+    odd = {(a, b): sum((words.get((a, i), 0) ^ words.get((b, i), 0)).bit_count() for i in range(8)) for a in range(4) for b in range(a + 1, 4)}
+    assert {(r.a, r.b): r.odd for r in o.difference(state, ab, "s").collect()} == odd
+
+
+def test_bands_find_equal_slots_and_near_fingerprints(spark):
+    df = overlap(spark, range(100), range(2, 100), range(200, 300))
+    m = MinHash(64)
+    buckets = banded(m.state(df, "s", "item"), "s", 4)
+    assert {(r.a, r.b) for r in met(buckets.filter("s = 0"), buckets, "s").collect()} == {(0, 1)}
+    prints = spark.createDataFrame([(0, 0), (1, 0b1011), (2, (1 << 60) - 1)], "s long, fingerprint long")
+    bands = SimHash().bands(prints, "s", 4)
+    assert {(r.a, r.b) for r in met(bands.filter("s = 0"), bands, "s").collect()} == {(0, 1)}
+
+
+def test_packed_b_bit_signatures(spark):
+    b = BBitMinHash(10, 3)
+    state = b.state(overlap(spark, range(30)), "s", "item")
+    values = [r.value for r in state.orderBy("slot").collect()]
+    assert int.from_bytes(b.packed(state, "s").first().packed, "little") == sum(v << 3 * i for i, v in enumerate(values))
+
+
+def test_merges_of_different_sketches_are_refused(spark):
+    df = overlap(spark, range(20))
+    x = df.withColumn("v", F.col("s") + 1.0)
+    for a, b, how in (
+        (HyperLogLog(10).state(df, "item"), HyperLogLog(12).state(df, "item"), HyperLogLog(10).merge),
+        (DDSketch(0.01).state(x, "v"), DDSketch(0.02).state(x, "v"), DDSketch(0.01).merge),
+        (CountMin(64, 3).state(df, "item"), CountMin(128, 3).state(df, "item"), merge_counts),
+        (MinHash(8).state(df, "s", "item"), MinHash(16).state(df, "s", "item"), MinHash(8).merge),
+        (OddSketch(64).state(df, "s", "item"), OddSketch(128).state(df, "s", "item"), OddSketch(64).merge),
+        (TDigest(50).state(x, "v", "s"), TDigest(100).state(x, "v", "s"), lambda p, q: TDigest(50).merge(p, q, "s")),
+    ):
+        with pytest.raises(MismatchError):
+            how(a, b)
+        how(a, a).count()
+
+
+def test_a_saved_state_keeps_its_parameters(spark):
+    df, path = overlap(spark, range(20)), working.path(spark, "state")
+    state.save(HyperLogLog(10).state(df, "item"), path, "hll", {"precision": 10})
+    back = state.load(spark, path, "hll", {"precision": 10})
+    with pytest.raises(MismatchError):
+        HyperLogLog(12).merge(back, HyperLogLog(12).state(df, "item"))
+    assert HyperLogLog(10).merge(back, HyperLogLog(10).state(df, "item")).count() == back.count()
+
+
+def test_space_saving_heap_takes_a_least_counter():
+    random.seed(4)
+    s, plain = heavy.SpaceSavingSketch(5), {}
+    for _ in range(3000):
+        item = f"k{min(random.randrange(30), random.randrange(30))}"
+        if item in plain or len(plain) < 5:
+            plain[item] = plain.get(item, 0) + 1
+        else:
+            low = min(plain.values())
+            s_low = {i for i, c in plain.items() if c == low}
+            s.insert(item)
+            (gone,) = set(plain) - set(s.counts)
+            assert gone in s_low
+            del plain[gone]
+            plain[item] = low + 1
+            assert s.counts == plain
+            continue
+        s.insert(item)
+    assert s.counts == plain and s.least == min(plain.values()) == s.estimate("new") == s.error("new")
+    assert [c for _, c, _ in s.entries()] == sorted(plain.values())
+
+
+def test_lossy_counting_by_windows_equals_one_by_one():
+    random.seed(6)
+    items = [f"k{int(random.expovariate(0.2))}" for _ in range(997)]
+    a, b = heavy.LossyCounter(0.03), heavy.LossyCounter(0.03)
+    for i in items:
+        a.insert(i)
+    for k in range(0, len(items), 101):
+        b.insert_all(items[k : k + 101])
+    assert a.held == b.held and a.seen == b.seen and b.error("none") == 997 // b.window
+
+
+def test_summaries_bound_the_truth(spark):
+    random.seed(8)
+    rows = [f"k{min(random.randrange(40), random.randrange(40))}" for _ in range(2000)]
+    df, exact = spark.createDataFrame([(r,) for r in rows], "item string").repartition(3), Counter(rows)
+    asked = spark.createDataFrame([(f"k{i}",) for i in range(45)], "item string")
+    mg = heavy.MisraGries(12)
+    for r in mg.estimates(mg.summary(df, "item"), asked).collect():
+        assert r.estimate <= exact[r.item] <= r.most
+    ss = heavy.SpaceSaving(12)
+    summary = ss.summary(df, "item")
+    for r in ss.estimates(summary, asked).collect():
+        assert r.estimate - r.error <= exact[r.item] <= r.estimate
+    lc = heavy.LossyCounting(0.02)
+    for r in lc.estimates(lc.merge(lc.summary(df, "item"), lc.summary(df, "item")), asked).collect():
+        assert r.estimate <= 2 * exact[r.item] <= r.estimate + r.error
+    assert [r.item for r in heavy.top(mg.summary(df, "item"), 1).collect()] and heavy.entries(summary).count() == 12
+    hk = heavy.HeavyKeeper(4, 64, 20)
+    both = hk.merge(hk.state(df, "item"), hk.state(df, "item"))
+    found = {r.item: r["count"] for r in hk.entries(both).collect()}
+    top = [i for i, _ in exact.most_common(3)]
+    assert all(exact[i] <= found[i] <= 2.2 * exact[i] for i in top)
+
+
+def test_heavy_keeper_takes_an_emptied_cell_over():
+    h = heavy.HeavyKeeperSketch(1, 1, 2)
+    h.insert("a")
+    h.insert("b", 200)
+    assert h.prints[0, 0] == h._cells("b")[0] and h.counts[0, 0] > 150
+
+
+def test_histogram_by_arrays_equals_one_by_one():
+    random.seed(9)
+    bits = [random.random() < p for p in (0.9, 0.05, 0.5) for _ in range(700)]
+    a, b = ExponentialHistogram(300, 0.1), ExponentialHistogram(300, 0.1)
+    for k in range(0, len(bits), 123):
+        for x in bits[k : k + 123]:
+            a.update(x)
+        b.update_all(np.array(bits[k : k + 123]))
+        assert (a.sizes, a.ticks, a.clock) == (b.sizes, b.ticks, b.clock)
+        for n in (1, 50, 299, 300):
+            true = sum(bits[max(0, min(k + 123, len(bits)) - n) : k + 123])
+            assert abs(b.estimate(n) - true) <= max(1, 0.1 * true)
+    c = ExponentialHistogram(300, 0.1, b.clock, b.sizes, b.ticks)
+    assert (c.sizes, c.ticks) == (b.sizes, b.ticks)
+
+
+def test_sliding_counts_for_several_lengths(spark):
+    df = spark.createDataFrame([(k, i, (i * (k + 3)) % 7 < 3) for k in range(5) for i in range(400)], "k long, i long, b boolean")
+    got = {(r.k, r.n): r.estimate for r in sliding_counts(df, "k", "b", ["i"], 200, 0.1, last=[10, 100, 200]).collect()}
+    for k in range(5):
+        for n in (10, 100, 200):
+            true = sum((i * (k + 3)) % 7 < 3 for i in range(400 - n, 400))
+            assert abs(got[k, n] - true) <= max(1, 0.1 * true)
+    with pytest.raises(ValueError):
+        sliding_counts(df, "k", "b", ["i"], 200, 0.1, last=[201])
+
+
+def test_tdigest_with_no_group_and_several(spark):
+    df = spark.createDataFrame([(i % 3, None if i % 2 else "x", float(i)) for i in range(6000)], "a long, b string, v double").repartition(3)
+    t = TDigest(100)
+    assert abs(t.state(df, "v").select(quantile(0.5).alias("q")).first().q - 3000) <= 60
+    groups = t.state(df, "v", ["a", "b"])
+    assert groups.count() == 6 and {r.weight for r in digest_stats(groups).collect()} == {1000.0}
+    assert all(r.centroids < 600 for r in digest_stats(groups).collect())
+
+
+def test_count_min_log_item_by_item():
+    spec = CountMinLog.sized(0.01, 0.01, 4)
+    s = CountMinLogSketch(spec, 1)
+    for _ in range(300):
+        s.insert("often")
+    s.insert("once")
+    assert 100 <= s.estimate("often") <= 900 and s.estimate("once") == 1 and s.estimate("never") == 0
+    data = s.packed()
+    assert len(data) == -(-spec.width * spec.depth // 2) and CountMinLogSketch.unpacked(spec, data).estimate("often") == s.estimate("often")
+    with pytest.raises(ValueError):
+        CountMinLogSketch.unpacked(spec, data[:-1])
 
 
 def test_reservoir(spark):

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import key_hash
+from quern.functions.params import MismatchError
 from quern.operators import membership as M
-from quern.operators.static_filters import BinaryFuse, Cuckoo, CuckooFilter, Ribbon, Sharded, Xor
+from quern.operators.static_filters import BinaryFuse, Cuckoo, CuckooFilter, FormatError, Ribbon, Sharded, Xor, dump, load
 
 
 def keys(spark, lo, hi, prefix="member_"):
@@ -87,6 +88,42 @@ def test_numbered_is_a_global_order(spark):
     assert all(r.n == 1000 - r.id for r in got)
 
 
+def test_numbered_with_other_columns(spark):
+    n = 3_000_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("k"), F.col("id").alias("other"), F.lit("x" * 20).alias("payload"))
+    got = M.numbered(rows, [F.col("k")])
+    assert got.columns == ["k", "other", "payload", "n"]
+    r = got.agg(F.countDistinct("n").alias("d"), F.min("n").alias("a"), F.max("n").alias("b"), F.count(F.lit(1)).alias("c")).first()
+    assert (r.d, r.a, r.b, r.c) == (n, 1, n, n)
+    assert got.select("k", "n").filter("n <= 1000").agg(F.max("k")).first()[0] <= got.filter("n > 1000").agg(F.min("k")).first()[0]
+
+
+def test_merges_of_different_filters_are_refused(spark):
+    k = keys(spark, 0, 50)
+    a, b = M.Bloom.sized(100), M.Bloom.sized(100_000)
+    with pytest.raises(MismatchError):
+        M.union(a.bits(k, "k"), b.bits(k, "k"))
+    with pytest.raises(MismatchError):
+        b.maybe(k, "k", a.bits(k, "k"))
+    with pytest.raises(MismatchError):
+        M.counting_merge(M.counting(a, k, "k"), M.counting(b, k, "k"))
+    with pytest.raises(MismatchError):
+        M.union(M.Quotient(8).state(k, "k"), M.Quotient(9).state(k, "k"))
+    with pytest.raises(MismatchError):
+        M.Blocked(4, 3).union(M.Blocked(4, 3).state(k, "k"), M.Blocked(8, 3).state(k, "k"))
+    assert M.union(a.bits(k, "k"), a.bits(keys(spark, 50, 99), "k")).count() == a.bits(keys(spark, 0, 99), "k").count()
+
+
+def test_counting_filter_tells_and_removes_what_it_holds(spark):
+    b = M.Bloom.sized(1000)
+    state = M.counting(b, keys(spark, 0, 100), "k")
+    assert passed(M.counting_maybe(b, keys(spark, 0, 100), "k", state)) == 100
+    rest, rows = M.counting_remove(b, state, keys(spark, 50, 150), "k")
+    assert rows.filter("removed").count() in range(50, 54)
+    assert passed(M.counting_maybe(b, keys(spark, 0, 50), "k", rest)) == 50 and passed(M.counting_maybe(b, keys(spark, 50, 100), "k", rest)) <= 2
+    assert M.counting_stats(b, rest).first().used == rest.count()
+
+
 def test_blocked(spark):
     b = M.Blocked.sized(1000)
     state = b.state(keys(spark, 0, 1000), "k")
@@ -128,6 +165,29 @@ def test_tiny_static_filters(f, n):
         assert not f.probe(state, np.arange(9, dtype=np.uint64)).any()
 
 
+@pytest.mark.parametrize("f", [BinaryFuse(), BinaryFuse(16), Xor(), Ribbon(), Ribbon(16, 128), CuckooFilter()])
+def test_saved_filters_answer_alike_and_others_are_refused(f):
+    members = np.arange(0, 6000, 2, dtype=np.uint64)
+    data = dump(f, f.build(members))
+    assert f.probe(load(f, data), members).all()
+    for other in (Xor(16), Ribbon(8, 128), CuckooFilter(0.5)):
+        with pytest.raises(FormatError):
+            load(other, data)
+    for broken in (b"", b"QSF1", data[:20], data[:-1], b"x" + data):
+        with pytest.raises(FormatError):
+            load(f, broken)
+
+
+def test_cuckoo_counts_equal_keys_and_tells_when_it_is_full():
+    c = Cuckoo(64)
+    assert all(c.insert(7) for _ in range(8)) and not c.full
+    assert not c.insert(7) and c.full and c.contains(7)
+    assert [c.remove(7) for _ in range(10)] == [True] * 9 + [False] and not c.contains(7) and not c.full
+    d, h = Cuckoo.sized(20_000), np.random.default_rng(2).integers(0, 2**63, 18_000).astype(np.uint64)
+    d.insert_all(h[:9000])
+    assert d.insert_all(h[9000:]) == 9000 and d.contains_all(h).all() and 0.4 < d.load < 1
+
+
 def test_static_filter_arguments():
     for make in (lambda: Xor(7), lambda: Ribbon(8, 32), lambda: Ribbon(9), lambda: Cuckoo(3), lambda: Cuckoo(4, 9)):
         with pytest.raises(ValueError):
