@@ -143,12 +143,45 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(lean(_scan_batches), f"doc_id {id_type(docs, id_col)}, secrets array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
-def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+def op3_of(docs: DataFrame) -> DataFrame:
+    found = find_secrets(docs)
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(F.filter("secrets", lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_of(table(spark, sf_dir, "documents"))
+
+
+_SQL_KINDS = {
+    "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "len(regexp_extract(v, '[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8"),
+    "access": ("AKIA[A-Z0-9]+", "len(v) >= 16"),
+    "hex": ("[0-9a-f]{32,}", "true"),  # runs are maximal, so shorter ones are what would be dropped
+    "github": ("gh[pousr]_[A-Za-z0-9]{36,}", "len(v) = 40 AND check_ = v[35:40]"),
+    "npm": ("npm_[A-Za-z0-9]{36,}", "len(v) = 40 AND check_ = v[35:40]"),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "coalesce(json_valid(one) AND json_valid(two) AND json_type(one) = 'OBJECT' AND json_exists(one, '$.alg'), false)"),
+    "pem": (r"-----BEGIN (?:[A-Z]{1,16} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END (?:[A-Z]{1,16} ){0,3}PRIVATE KEY-----", "coalesce(octet_length(body) >= 32, false)"),
+}
+_SQL_LISTS = " UNION ALL ".join(
+    f"SELECT r, '{kind}' AS kind, {k} AS o, regexp_split_to_array(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m FROM d WHERE regexp_matches(t, '{pattern}')" for k, (kind, (pattern, _)) in enumerate(_SQL_KINDS.items())
+)
+_SQL_HOLDS = " ".join(f"WHEN '{kind}' THEN {holds}" for kind, (_, holds) in _SQL_KINDS.items())
+_SQL_B64 = "TRY(decode(from_base64(translate({0}, '-_', '+/') || repeat('=', ((4 - len({0}) % 4) % 4)::INT))))"
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({_SQL_LISTS}),
+u AS (SELECT r, kind, o, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i, g, m FROM k),
+s AS (SELECT r, kind, o, v, (list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))::BIGINT AS a FROM u),
+c AS (SELECT *, CASE WHEN kind IN ('github', 'npm') AND len(v) = 40 THEN xor(4294967295, list_reduce(list_transform(range(5, 35), lambda i: ord(v[i])::BIGINT), lambda c, b:
+  list_reduce(list_transform(range(0, 8), lambda j: j::BIGINT), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT)) END AS crc FROM s),
+f AS (SELECT *, array_to_string(list_transform(range(0, 6), lambda i: '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'[(crc // (62 ** (5 - i))::BIGINT % 62)::INT + 1]), '') AS check_,
+  CASE kind WHEN 'jwt' THEN {_SQL_B64.format("split_part(v, '.', 1)")} END AS one, CASE kind WHEN 'jwt' THEN {_SQL_B64.format("split_part(v, '.', 2)")} END AS two,
+  CASE kind WHEN 'pem' THEN TRY(from_base64(regexp_replace(regexp_replace(v, '^-----BEGIN[A-Z ]*-----|-----END[A-Z ]*-----$', '', 'g'), '[\x20\x09-\x0D]+', '', 'g'))) END AS body FROM c),
+h AS (SELECT r, kind, o, a, kind || ':' || a || ':' || (a + len(v)) AS x FROM f WHERE CASE kind {_SQL_HOLDS} END),
+n AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, string_agg(x, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(x, ',' ORDER BY a, o) AS spans FROM h GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (r)
+"""
+
 QUERIES = {"op3_secrets": op3_secrets}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_secrets": ORACLE}
