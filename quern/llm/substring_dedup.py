@@ -224,8 +224,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         each = cuts.select("doc_id", "th", F.explode(F.arrays_zip("anchor", "n", "k1", "k2", "at")).alias("s")).select("doc_id", "th", "s.*")
         same = ["anchor", "k1", "k2", "n"]
         # Anchors of one document go first: nearly all.
-        met = each.groupBy("anchor").agg(F.min(order).alias("x"), F.max(order).alias("y")).filter("x != y").select("anchor")
-        classes = written(each.join(met, "anchor").groupBy(*same).agg(F.min(order).alias("x"), F.max(order).alias("y")), "classes")
+        met = written(each.groupBy("anchor").agg(F.min(order).alias("x"), F.max(order).alias("y")).filter("x != y").select("anchor"), "anchors")
+        each = written(each.join(met, "anchor"), "met")
+        classes = written(each.groupBy(*same).agg(F.min(order).alias("x"), F.max(order).alias("y")), "classes")
         mixed = classes.groupBy("anchor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("words")).filter("lo != hi").select("anchor", "words")
         marked = classes.join(mixed, "anchor", "left").filter("x != y OR words IS NOT NULL")
         rows = written(each.join(marked.drop("y"), same).select("doc_id", "th", "anchor", "n", "at", "words", (order > F.col("x")).alias("later")).filter("later OR words IS NOT NULL"), "segments")
