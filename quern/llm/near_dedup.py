@@ -21,7 +21,7 @@ sets are one class and stand for all their documents. Classes meet in inverted l
   their full sets. A pair of class and hub is estimated first where the hub has no other class; where it has others, the
   full comparison also gives the shares by which those are ruled out. Links become components by alternating large and small stars.
 
-All classes of one hub are dealt over slices of at most about SLICE rows, so that no hub is one task's work.
+All classes of one hub are dealt over slices of at most about SLICE rows, and so are the rows of a list, so that neither is one task's work.
 Classes are known by 128 bits of their sets, so that different sets do not meet by chance on any corpus.
 
 Nothing but ids of a counted, bounded number goes to the driver or to all executors.
@@ -47,8 +47,8 @@ from quern.llm.common import LOWER, buffer, id_and_text, id_type, lean, ngrams,
 
 #: Retained values; the chance that a pair at the threshold shares fewer of them than is asked for.
 K, RISK = 48, 2e-6
-#: Rows of a hub in one task, about; a list of larger hubs is sent to all executors, a row for each HUBS rows at most.
-SLICE, HUBS = 200, 100_000
+#: Rows of a hub, or of a hub's list, in one task, about; the larger ones' names are sent to all executors, GROUPS rows at most.
+SLICE, GROUPS = 200, 100_000
 #: So many ids at most are sent to all executors; beyond that their texts are found by a shuffle.
 SENT = 200_000
 
@@ -151,25 +151,25 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     return both.mapInArrow(lean(_estimator(k, percent)), "a binary, b binary")
 
 
-class _Hubs:
-    """Deals the rows of large hubs over slices. rows: with the hub in column b."""
+class _Dealt:
+    """Deals the rows of large groups, by the columns ``on``, over slices."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows.count()
-        limit = max(SLICE, self.rows // HUBS)
-        self.large = rows.groupBy("b").count().filter(F.col("count") > limit).select("b", F.ceil(F.col("count") / limit).alias("_n"))
+    def __init__(self, rows: DataFrame, *on: str):
+        self.rows, self.on = rows.count(), list(on)
+        limit = max(SLICE, self.rows // GROUPS)
+        self.large = rows.groupBy(*on).count().filter(F.col("count") > limit).select(*on, F.ceil(F.col("count") / limit).alias("_n"))
 
     def dealt(self, rows: DataFrame, by: str) -> DataFrame:
-        out = rows.join(F.broadcast(self.large), "b", "left")
+        out = rows.join(F.broadcast(self.large), self.on, "left")
         return out.withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_n")), F.lit(0))).drop("_n")
 
-    def in_each_slice(self, hubs: DataFrame) -> DataFrame:
-        """hubs, a row for each, once for each slice."""
-        out = hubs.join(F.broadcast(self.large), "b", "left")
+    def in_each_slice(self, rows: DataFrame) -> DataFrame:
+        """rows, few for each group, once for each slice."""
+        out = rows.join(F.broadcast(self.large), self.on, "left")
         return out.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_n"), F.lit(1)) - 1))).drop("_n")
 
-    def join(self, rows: DataFrame, hubs: DataFrame, by: str = "key") -> DataFrame:
-        return self.dealt(rows, by).join(self.in_each_slice(hubs), ["b", "_s"]).drop("_s")
+    def join(self, rows: DataFrame, groups: DataFrame, by: str = "key") -> DataFrame:
+        return self.dealt(rows, by).join(self.in_each_slice(groups), [*self.on, "_s"]).drop("_s")
 
 
 def _compared(n: int):
@@ -211,7 +211,7 @@ def _compared(n: int):
 def _comparison(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int) -> DataFrame:
     """a, b, na, nb, both, outside for pairs a, b of keys. A text goes with each pair only on the side of a."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
-    hubs = _Hubs(pairs)
+    hubs = _Dealt(pairs, "b")
     few = 2 * hubs.rows <= SENT
     ends = F.broadcast(ends) if few else ends
     texts = given.join(ends, given["doc_id"].eqNullSafe(ends["doc_id"])).select("key", "text")
@@ -257,17 +257,18 @@ def _renamed(rows: DataFrame, changed: DataFrame) -> DataFrame:
     return now.withColumn("root", F.coalesce("_now", "root")).select(*names)
 
 
-def _across(rows: DataFrame, condition: str) -> DataFrame:
+def _across(rows: DataFrame, lists: _Dealt, condition: str) -> DataFrame:
     """x, y: rows (b, v, key, root, ...) of one list and of different components that meet the condition.
 
     Of each list the component with most rows is left out on one side, so a component never meets itself.
     """
     roots = rows.groupBy("b", "v", "root").agg(F.count(F.lit(1)).alias("many"))
     major = roots.groupBy("b", "v").agg(F.max_by("root", F.struct("many", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    held = rows.join(major, ["b", "v"])
+    held = lists.join(rows, major)
     names = ("key", "size", "both", "common", "root")
     other = held.select("b", "v", *[F.col(c).alias(f"{c}_y") for c in names])
-    return held.filter("root != major").join(other, ["b", "v"]).filter(f"root != root_y AND {condition}").select(F.col("key").alias("x"), F.col("key_y").alias("y"))
+    met = lists.dealt(other, "key_y").join(lists.in_each_slice(held.filter("root != major")), ["b", "v", "_s"])
+    return met.filter(f"root != root_y AND {condition}").select(F.col("key").alias("x"), F.col("key_y").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -290,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(tested.filter(linked).select("a", "b")), "roots")
 
     # Of hubs that some class is apart from: all classes, with what they share with the hub.
-    hubs = _Hubs(tested)
+    hubs = _Dealt(tested, "b")
     root = lambda x, name: roots.select(F.col("key").alias(x), F.col("root").alias(name))
     each = tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside").join(root("key", "root"), "key", "left")
     of_hubs = tested.select("b").distinct().join(root("b", "root_b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
@@ -307,7 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Again one class of each list against the others: the one whose values most others share may be a better hub.
     better = outside.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
-    second = outside.filter("apart").join(better, ["b", "v"]).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
+    lists = _Dealt(outside, "b", "v")
+    second = lists.join(outside.filter("apart"), better).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
     second = written(_estimated(second, classes, k, percent), "second")
     if not second.isEmpty():
         more = written(_comparison(second, classes, given, n).filter(linked).select("a", "b"), "links")
@@ -317,12 +319,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The few whose share with the hub may be enough by itself meet by their retained values.
     enough = facts.filter(F.col("both") >= total).join(classes.select("key", "sketch"), "key")
     enough = enough.select("b", "key", F.size("sketch").alias("size"), _need(F.size("sketch"), k, percent).alias("need"), F.explode("sketch").alias("v"))
-    enough = _rarest(enough, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy", "common").join(facts, ["b", "key"])
+    enough = written(_rarest(enough, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy", "common").join(facts, ["b", "key"]).withColumn("common", F.lit(0)), "enough")
     near = f"100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
     by_itself = f"{100 + percent} * least(both, both_y) >= {percent} * (size + size_y)"
     # Values that a class alone has are in no intersection, so the rest bounds it.
     most = f"{100 + percent} * (least(both, both_y) + least(common, common_y)) >= {percent} * (size + size_y)"
-    pairs = _apart(_across(outside, f"{near} AND {most}").union(_across(enough.withColumn("common", F.lit(0)), f"{near} AND {by_itself}")))
+    pairs = _apart(_across(outside, lists, f"{near} AND {most}").union(_across(enough, _Dealt(enough, "b", "v"), f"{near} AND {by_itself}")))
     met = stars.select(F.col("a").alias("x"), F.col("b").alias("y")).union(second.select("a", "b"))
     pairs = pairs.join(_apart(met), ["a", "b"], "left_anti")
     pairs = written(_estimated(pairs, classes, k, percent), "pairs")
