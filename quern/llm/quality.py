@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import id_and_text, id_type, lean, table
@@ -133,17 +133,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """At most rows texts of each class, none of a row that is held out; and how many labels each class has."""
     known = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
     # Ids first, then their texts: at most 2 * rows ids are sent to the scan of the texts.
-    ids = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    # Rank limits reach below the exchange, so a task sends rows of either class at most.
+    first = lambda d, *ties: d.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", *ties))).filter(F.col("n") <= rows)
+    ids = [(r["doc_id"], r["y"]) for r in first(known.filter(F.col("y").isin(0, 1))).collect()]
     totals = {r["y"]: r["count"] for r in known.filter(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
     if not ids:
         return [], totals
     chosen = docs.sparkSession.createDataFrame(ids, known.schema)
     given = id_and_text(docs, id_col, text_col).filter(F.octet_length("text") <= longest)
     found = given.join(F.broadcast(chosen), "doc_id").select("y", "doc_id", "text")
-    kept = []
-    for y in (0, 1):  # ids may repeat, so the bound is set again
-        kept += [(r["text"].encode(), y) for r in found.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()]
-    return kept, totals
+    # Ids may repeat, so the bound is set again.
+    return [(r["text"].encode(), r["y"]) for r in sorted(first(found, "text").collect(), key=lambda r: (r["y"], r["n"]))], totals
 
 
 def _score_batches(model: Model):
