@@ -27,7 +27,19 @@ def xxhash64(key: Column) -> Column:
     return F.xxhash64(key.cast("string")).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-POLICIES: dict[str, Callable[[Column], Column]] = {"md5_60": md5_60, "xxhash64": xxhash64}
+def xxh3(key: Column) -> Column:
+    """60 bits of XXH3, by Arrow batches: for values shared with programs that use it. Integers hash as their text."""
+    import pandas as pd
+    import xxhash
+
+    @F.pandas_udf("bigint")
+    def hashed(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: xxhash.xxh3_64_intdigest(x) & (1 << BITS) - 1, na_action="ignore")
+
+    return hashed(key.cast("string"))
+
+
+POLICIES: dict[str, Callable[[Column], Column]] = {"md5_60": md5_60, "xxhash64": xxhash64, "xxh3": xxh3}
 
 
 def resolve(policy: Policy) -> Callable[[Column], Column]:

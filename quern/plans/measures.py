@@ -375,12 +375,21 @@ def recommend_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sketch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: a saved and loaded state gives the estimate of the original."""
-    state = HLL.state(table(spark, d, "lineitem"), "l_partkey")
-    path = working.path(spark, "state")
-    states.save(state, path, "hll", {"precision": HLL.precision})
-    back = HLL.estimate(states.load(spark, path, "hll", {"precision": HLL.precision}), name="loaded")
-    return HLL.estimate(state).join(back).select("estimate", (F.col("estimate") == F.col("loaded")).alias("within_bound"))
+    """Bounded: rows of saved and loaded states, and whether they are those of the originals."""
+    lines, out = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice"), None
+    for name, sketch, state in (
+        ("bloom", ORDERS, ORDERS.bits(lines, "l_orderkey")),
+        ("hyperloglog", HLL, HLL.state(lines, "l_orderkey")),
+        ("count_min", CMS, CMS.state(lines, "l_partkey")),
+        ("dd_sketch", DD, DD.state(lines, "l_extendedprice")),
+    ):
+        path = working.path(spark, name)
+        states.save(state, path, name, {"spec": repr(sketch)})
+        back = states.load(spark, path, name, {"spec": repr(sketch)})
+        one = back.exceptAll(state).unionByName(state.exceptAll(back)).agg((F.count(F.lit(1)) == 0).alias("within_bound"))
+        one = back.agg(F.lit(name).alias("sketch"), F.count(F.lit(1)).alias("rows")).join(one)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 QUERIES = {
@@ -442,6 +451,12 @@ _SIM = f"SELECT s, sum(CASE WHEN t > 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT A
 _LAST = f"SELECT user_id, max(n)::BIGINT AS ticks, arg_max(x, n)::BIGINT AS exact, true AS within_bound FROM (SELECT user_id, row_number() OVER w AS n, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id"
 _PROFILE_Q = _dd("events", "value", [0.5, 0.95, 0.99], "event_type")
 
+_STATES = f"""SELECT sketch, n AS rows, true AS within_bound FROM (
+SELECT 'bloom' AS sketch, count(DISTINCT bit) AS n FROM ({sql_positions('lineitem', 'l_orderkey', ORDERS.k, ORDERS.m)})
+UNION ALL SELECT 'hyperloglog', count(DISTINCT {sql_hash('l_orderkey')} >> {_W}) FROM lineitem
+UNION ALL SELECT 'count_min', count(DISTINCT struct_pack(r := r, c := {_cells('l_partkey', CMS.depth, CMS.width)})) FROM (SELECT DISTINCT l_partkey FROM lineitem), (SELECT unnest(range(0, {CMS.depth})) AS r)
+UNION ALL SELECT 'dd_sketch', count(DISTINCT ceil(ln(l_extendedprice) / {math.log(DD.gamma)!r})) FROM lineitem)"""
+
 ORACLES = {
     "event_profile": f"""SELECT u.event_type, u.estimate AS users, p50, p95, p99, top_user FROM ({_hll('events', 'user_id', 'event_type')}) u
 JOIN (SELECT event_type, max(value) FILTER (q = 0.5) AS p50, max(value) FILTER (q = 0.95) AS p95, max(value) FILTER (q = 0.99) AS p99 FROM ({_PROFILE_Q}) GROUP BY event_type) q USING (event_type)
@@ -502,11 +517,7 @@ SELECT DISTINCT x.s AS a, y.s AS b, bit_count(xor(x.fingerprint, y.fingerprint))
     "reservoir_by_group": f"""SELECT event_id, event_type, priority FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY priority, event_id) AS n FROM (SELECT event_id, event_type, {sql_hash("event_id::VARCHAR || '#7'")} AS priority FROM events)) WHERE n <= {RESERVOIR.k}""",
     "eh_sliding_count": _LAST,
     "stream_eh": _LAST,
-    "partition_invariance": f"""SELECT sketch, n AS rows, true AS within_bound FROM (
-SELECT 'bloom' AS sketch, count(DISTINCT bit) AS n FROM ({sql_positions('lineitem', 'l_orderkey', ORDERS.k, ORDERS.m)})
-UNION ALL SELECT 'hyperloglog', count(DISTINCT {sql_hash('l_orderkey')} >> {_W}) FROM lineitem
-UNION ALL SELECT 'count_min', count(DISTINCT struct_pack(r := r, c := {_cells('l_partkey', CMS.depth, CMS.width)})) FROM (SELECT DISTINCT l_partkey FROM lineitem), (SELECT unnest(range(0, {CMS.depth})) AS r)
-UNION ALL SELECT 'dd_sketch', count(DISTINCT ceil(ln(l_extendedprice) / {math.log(DD.gamma)!r})) FROM lineitem)""",
+    "partition_invariance": _STATES,
     "stream_hll_windows": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events) " + _hll("e", "user_id", "day"),
     "stream_cms_windows": f"SELECT r::INT AS row, {_cells('event_type', CMS.depth, CMS.width)} AS cell, count(*) AS count FROM events, (SELECT unnest(range(0, {CMS.depth})) AS r) GROUP BY ALL",
     "stream_dd_windows": "SELECT day, median FROM (" + _dd("(SELECT strftime(ts, '%Y-%m-%d') AS day, value FROM events)", "value", [0.5], "day", "median") + ")",
@@ -518,5 +529,5 @@ pow(2, ceil(log2(greatest(64, ceil(-n * ln(fpr::DOUBLE) / (ln(2) * ln(2)))))))::
 c AS (SELECT n, fpr, budget, unnest([struct_pack(o := 1, s := 'BloomFilter', b := bloom, f := fpr), struct_pack(o := 2, s := 'CuckooFilter', b := cuckoo, f := cf::DOUBLE), struct_pack(o := 3, s := 'XorFilter', b := xor_, f := 1 / 256::DOUBLE), struct_pack(o := 4, s := 'RibbonFilter', b := ribbon, f := 1 / 256::DOUBLE)]) AS c FROM p),
 r AS (SELECT n, fpr, budget, c.s AS structure, c.b AS bytes, row_number() OVER (PARTITION BY n, fpr, budget ORDER BY (c.b > budget)::INT, CASE WHEN c.b <= budget THEN round(c.f, 9) ELSE 0 END, c.b, c.o) AS k FROM c)
 SELECT n, fpr, budget, structure, bytes FROM r WHERE k = 1""",
-    "sketch_roundtrip": "SELECT estimate, true AS within_bound FROM (" + _hll("lineitem", "l_partkey") + ")",
+    "sketch_roundtrip": _STATES,
 }

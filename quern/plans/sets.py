@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import bits as B
 from quern.functions.hashing import key_hash, row_hash
 from quern.operators import membership as M
 from quern.operators.static_filters import BinaryFuse, CuckooFilter, Ribbon, Sharded, Xor
@@ -34,6 +35,8 @@ LINES = M.Bloom.sized(20_000, 0.05, P)
 SCALABLE = M.Scalable(20, 0.01, policy=P)
 BLOCKED = M.Blocked.sized(1_500, 0.01, P)
 QUOTIENT = M.Quotient.sized(20_000, policy=P)
+#: Bits of the vectors.
+VECTOR = 4096
 
 
 def hash_policies(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +58,27 @@ def bloom_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+def bit_vector_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: ones of two packed vectors, one for each order status, of their bitwise or and and, and of the bits read back."""
+    orders = table(spark, d, "orders")
+    a, b = (B.packed(orders.filter(F.col("o_orderstatus") == s).select((key_hash("o_custkey", P) % VECTOR).alias("p")), "p") for s in "FO")
+    vectors = {"a": a, "b": b, "or": B.either(a, b), "and": B.both(a, b)}
+    out = None
+    for name, v in vectors.items():
+        one = B.count(v).select(F.lit(name).alias("vector"), "ones").join(B.positions(v).agg(F.count(F.lit(1)).alias("positions"), F.max("position").alias("last")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def counting_bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: orders that a counting filter of finished ones tells, and counters after those of urgent ones that it may hold were removed."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    state = M.counting(LINES, orders.filter("o_orderstatus = 'F'"), "o_orderkey")
+    rest, asked = M.counting_remove(LINES, state, orders.filter("o_orderpriority = '1-URGENT'"), "o_orderkey")
+    told = M.counting_maybe(LINES, orders, "o_orderkey", state).agg(F.sum(F.col("maybe").cast("long")).alias("told"))
+    return told.join(asked.agg(F.sum(F.col("removed").cast("long")).alias("removed"))).join(M.counting_stats(LINES, rest).select(F.col("used").alias("counters_left")))
+
+
 def bloom_union_intersect(spark: SparkSession, d: str) -> DataFrame:
     """Exact."""
     orders = table(spark, d, "orders")
@@ -154,7 +178,7 @@ def static_filter_fpr(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (hash_policies, bloom_state_bits, bloom_semi_join, bloom_union_intersect, bloom_fpr_check, counting_bloom_delete, scalable_bloom_stages, blocked_bloom_blocks, quotient_pairs, quotient_set_ops, learned_bloom_filter, cuckoo_delete, static_filter_fpr)}
+QUERIES = {f.__name__: f for f in (hash_policies, bit_vector_ops, bloom_state_bits, bloom_semi_join, bloom_union_intersect, bloom_fpr_check, counting_bloom_delete, counting_bloom_probe, scalable_bloom_stages, blocked_bloom_blocks, quotient_pairs, quotient_set_ops, learned_bloom_filter, cuckoo_delete, static_filter_fpr)}
 QUERIES |= {"cuckoo_semi_join": _static_join(CuckooFilter()), "fuse_semi_join": _static_join(BinaryFuse()), "xor_semi_join": _static_join(Xor()), "ribbon_semi_join": _static_join(Ribbon())}
 
 _SEMI = "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY l_returnflag"
@@ -182,6 +206,13 @@ ORACLES = {
     "bloom_state_bits": f"SELECT p_brand, count(*) AS bits_set, round(count(*) / {BRANDS.m}.0, 6) AS fill_ratio FROM (SELECT DISTINCT p_brand, bit FROM ({sql_positions('part', 'p_partkey', BRANDS.k, BRANDS.m, 'p_brand')})) GROUP BY p_brand",
     **dict.fromkeys(("bloom_semi_join", "cuckoo_semi_join", "fuse_semi_join", "xor_semi_join", "ribbon_semi_join"), _SEMI),
     "bloom_union_intersect": f"SELECT (SELECT count(*) FROM ({_customers('F')} UNION {_customers('O')})) AS union_bits, (SELECT count(*) FROM ({_customers('F')} INTERSECT {_customers('O')})) AS intersection_bits",
+    "bit_vector_ops": "WITH a AS ({a}), b AS ({b}) ".format(**{x: f"SELECT DISTINCT {sql_hash('o_custkey')} % {VECTOR} AS p FROM orders WHERE o_orderstatus = '{s}'" for x, s in (("a", "F"), ("b", "O"))})
+    + "SELECT vector, count(*) AS ones, count(*) AS positions, max(p) AS last FROM (SELECT 'a' AS vector, p FROM a UNION ALL SELECT 'b', p FROM b UNION ALL SELECT 'or', p FROM (FROM a UNION FROM b) UNION ALL SELECT 'and', p FROM (FROM a INTERSECT FROM b)) GROUP BY vector",
+    "counting_bloom_probe": f"""WITH s AS (SELECT bit, count(*) AS n FROM ({sql_positions("(SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F') f", 'o_orderkey', LINES.k, LINES.m)}) GROUP BY bit),
+q AS ({sql_positions('orders', 'o_orderkey', LINES.k, LINES.m, 'o_orderkey, o_orderpriority')}),
+t AS (SELECT o_orderkey, any_value(o_orderpriority) AS p, count(DISTINCT bit) = count(DISTINCT s.bit) AS hit FROM (SELECT q.*, s.bit AS found FROM q LEFT JOIN s USING (bit)) q LEFT JOIN s USING (bit) GROUP BY o_orderkey),
+g AS (SELECT bit, count(*) AS n FROM q JOIN t USING (o_orderkey) WHERE hit AND p = '1-URGENT' GROUP BY bit)
+SELECT (SELECT count(*) FROM t WHERE hit) AS told, (SELECT count(*) FROM t WHERE hit AND p = '1-URGENT') AS removed, (SELECT count(*) FROM s LEFT JOIN g USING (bit) WHERE s.n > coalesce(g.n, 0)) AS counters_left""",
     "bloom_fpr_check": "SELECT count(*)::BIGINT AS members, count(*)::BIGINT AS members_found, true AS within_bound FROM orders",
     "counting_bloom_delete": f"""WITH k AS (SELECT l_orderkey, count(*) AS up, count(*) FILTER (l_returnflag = 'R') AS down FROM lineitem GROUP BY l_orderkey),
 c AS (SELECT bit, sum(up) AS up, sum(down) AS down FROM ({sql_positions('k', 'l_orderkey', LINES.k, LINES.m, 'up, down')}) GROUP BY bit),

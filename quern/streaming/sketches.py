@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +14,13 @@ from quern.operators.cardinality import HyperLogLog
 from quern.operators.frequency import CountMin
 from quern.operators.quantiles import DDSketch
 from quern.operators.windowed import ExponentialHistogram
+from quern.sources.working import path
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """A Parquet file or folder as a stream."""
     # A stream's path must be a folder or a pattern; this pattern matches the path alone.
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(f"{folder[:-1]}[{folder[-1]}]")
 
 
 def windowed(df: DataFrame, time: str, length: str, late: str, slide: str | None = None) -> DataFrame:
@@ -61,8 +61,17 @@ def sliding_counts(df: DataFrame, key: str, bit: Column, order: list[str], windo
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is there now; its output as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs the stream over what is there now; its output as a table in the shared folder, never on the driver.
+
+    Each batch has a folder of its own, which a repeated batch writes anew. In complete mode the last one has all rows.
+    """
+    spark = stream.sparkSession
+    where = path(spark, "stream")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{where}/out/{batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = (query.lastProgress or {}).get("batchId", 0)
+    return spark.read.schema(stream.schema).parquet(f"{where}/out/{last}" if mode == "complete" else f"{where}/out/*")
