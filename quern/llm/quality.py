@@ -132,11 +132,17 @@ def held_out(doc_id) -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", rows: int = ROWS, longest: int = LONGEST) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
     """At most rows texts of each class, none of a row that is held out; and how many labels each class has."""
     known = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
-    # Ids first, then their texts: at most 2 * rows ids are sent to the scan of the texts.
-    # Rank limits reach below the exchange, so a task sends rows of either class at most.
-    first = lambda d, *ties: d.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", *ties))).filter(F.col("n") <= rows)
-    ids = [(r["doc_id"], r["y"]) for r in first(known.filter(F.col("y").isin(0, 1))).collect()]
     totals = {r["y"]: r["count"] for r in known.filter(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
+    # Ids first, then their texts: at most 2 * rows ids are sent to the scan of the texts. Hashes are even, so those that
+    # come first lie below a bound that leaves few more than are asked for, however many labels there are.
+    first = lambda d, *ties: d.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", *ties))).filter(F.col("n") <= rows)
+    below = F.lit(False)
+    for y, n in totals.items():
+        share = min(1.0, (rows + 8 * math.sqrt(rows) + 8) / n)
+        below = below | ((F.col("y") == y) & (F.xxhash64("doc_id") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))))
+    ids = [(r["doc_id"], r["y"]) for r in first(known.filter(below)).collect()]
+    if any(sum(y == k for _, y in ids) < min(rows, n) for k, n in totals.items()):  # many labels of one id can be uneven
+        ids = [(r["doc_id"], r["y"]) for r in first(known.filter(F.col("y").isin(0, 1))).collect()]
     if not ids:
         return [], totals
     chosen = docs.sparkSession.createDataFrame(ids, known.schema)
