@@ -35,6 +35,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Words of items in one automaton, about; it takes some hundred bytes for each place of a window.
 BLOCK_WORDS = 200_000
+#: Rows that are objects at a time where there is one automaton.
+ROWS = 512
 #: Bytes of text that pass through one automaton before the next is built.
 GATHERED = 64 << 20
 
@@ -147,9 +149,13 @@ class Blocks:
         held: list[pa.RecordBatch] = []
         size, one = 0, self.load(0) if self.count == 1 else None
         for batch in batches:
+            if one:  # a few rows at a time, so that no more than these are held as objects
+                for k in range(0, batch.num_rows, ROWS):
+                    yield from self._all([batch.slice(k, ROWS)], column, one)
+                continue
             held.append(batch)
             size += batch.nbytes
-            if one or size >= GATHERED:
+            if size >= GATHERED:
                 yield from self._all(held, column, one)
                 held, size = [], 0
         if held:
