@@ -39,6 +39,8 @@ from quern.llm.fm_index import FMIndex, matched_windows
 WIDTH, GRAM = 50, 8
 #: Words of one anchor's classes in a shard at most; words in a shard, about; windows in a segment at most.
 ANCHOR_WORDS, SHARD_WORDS, LONGEST = 250_000, 1_000_000, 2_000
+#: So many ids at most are sent to all executors.
+SENT = 200_000
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -214,11 +216,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     gone: list[DataFrame] = []
     finer = gram
 
-    def with_text(rows: DataFrame) -> DataFrame:
+    def with_text(rows: DataFrame, level: int) -> DataFrame:
+        texts = given
+        if level:  # rows of few documents: where their ids can be sent, only their texts move
+            ids = rows.select("doc_id").distinct()
+            if ids.count() <= SENT:
+                texts = given.join(F.broadcast(ids), given["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
         own = rows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "n", "at")).alias("segments"))
-        same = given["doc_id"].eqNullSafe(own["doc_id"]) & (given["th"] == own["th"])
-        return given.join(own, same).select(given["doc_id"], given["th"], "text", "segments")
+        same = texts["doc_id"].eqNullSafe(own["doc_id"]) & (texts["th"] == own["th"])
+        return texts.join(own, same).select(texts["doc_id"], texts["th"], "text", "segments")
 
+    level = 0
     while True:
         cuts = written(cuts, "cuts")
         each = cuts.select("doc_id", "th", F.explode(F.arrays_zip("anchor", "n", "k1", "k2", "at")).alias("s")).select("doc_id", "th", "s.*")
@@ -227,7 +235,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         met = written(each.groupBy("anchor").agg(F.min(order).alias("x"), F.max(order).alias("y")).filter("x != y").select("anchor"), "anchors")
         each = written(each.join(met, "anchor"), "met")
         classes = written(each.groupBy(*same).agg(F.min(order).alias("x"), F.max(order).alias("y")), "classes")
-        mixed = classes.groupBy("anchor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("words")).filter("lo != hi").select("anchor", "words")
+        mixed = written(classes.groupBy("anchor").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("words")).filter("lo != hi").select("anchor", "words"), "mixed")
         marked = classes.join(mixed, "anchor", "left").filter("x != y OR words IS NOT NULL")
         rows = written(each.join(marked.drop("y"), same).select("doc_id", "th", "anchor", "n", "at", "words", (order > F.col("x")).alias("later")).filter("later OR words IS NOT NULL"), "segments")
         gone.append(rows.filter("later").select("doc_id", "th", "n", F.explode("at").alias("a")).select("doc_id", "th", F.col("a").cast("long").alias("lo"), (F.col("a") + F.col("n")).cast("long").alias("hi")))
@@ -236,13 +244,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         total = first.agg(F.sum(F.when(calm, F.col("n"))).alias("calm"), F.sum(F.when(~calm, F.col("n"))).alias("large")).first()
         if total["calm"]:
             shards = max(1, -(-total["calm"] // shard_words))
-            dealt = with_text(first.filter(calm)).mapInArrow(lean(_cutter(arrow)), f"doc_id {kind}, th long, at array<int>, anchor long, words binary")
+            dealt = with_text(first.filter(calm), level).mapInArrow(lean(_cutter(arrow)), f"doc_id {kind}, th long, at array<int>, anchor long, words binary")
             dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
             gone.append(dealt.groupBy("shard").applyInArrow(_searcher(width, arrow), f"doc_id {kind}, th long, lo long, hi long"))
         if not total["large"]:
             break
-        finer = min(2 * finer, width)
-        cuts = with_text(first.filter(~calm)).mapInArrow(lean(_refiner(width, finer, longest, gram)), lists)
+        finer, level = min(2 * finer, width), level + 1
+        cuts = with_text(first.filter(~calm), level).mapInArrow(lean(_refiner(width, finer, longest, gram)), lists)
     found = functools.reduce(DataFrame.unionByName, gone)
     return given, found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
