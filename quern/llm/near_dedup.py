@@ -17,6 +17,10 @@ sets are one class and stand for all their documents. Classes meet in inverted l
   if that lesser share may be enough by itself: the few classes for which it may be meet in inverted lists of their
   retained values, ranked among themselves. Copies of one text with changes of their own share no values outside it, and pairs
   within a component are never formed, so a large group of copies never expands into its pairs.
+* Such a list may still hold many classes apart from each other, as when copies that are too different have one changed line in
+  common. x and y differ by exactly the values in which their differences from the hub differ, so each class keeps its difference
+  as BITS parities: bits that two classes have different are at most as many as the values they differ by. A pair with more of them than
+  the threshold allows is no link and never leaves the join of its list. This is a bound, not an estimate: no link is lost.
 * The sketch of the union of two sets estimates their similarity; pairs that may reach the threshold are compared on
   their full sets. A pair of class and hub is estimated first where the hub has no other class; where it has others, the
   full comparison also gives the shares by which those are ruled out. Links become components by alternating large and small stars.
@@ -49,6 +53,8 @@ from quern.llm.common import LOWER, buffer, id_and_text, id_type, lean, ngrams,
 K, RISK = 48, 2e-6
 #: Rows of a hub, or of a hub's list, in one task, about; the larger ones' names are sent to all executors, GROUPS rows at most.
 SLICE, GROUPS = 200, 100_000
+#: Parities of a class's difference from its hub; two classes that differ by many more values than these are left to the estimate.
+BITS = 1024
 #: So many ids at most are sent to all executors; beyond that their texts are found by a shuffle.
 SENT = 200_000
 
@@ -172,8 +178,20 @@ class _Dealt:
         return self.dealt(rows, by).join(self.in_each_slice(groups), [*self.on, "_s"]).drop("_s")
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """BITS / 64 words whose bits say which remainders an odd number of the values has."""
+    odd = np.bincount((values % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _differ(percent: int) -> str:
+    """Whether the parities of two rows, the other's columns named _y, leave room for a link: of two sets, and of their differences from a third, the symmetric difference is the same."""
+    bits = " + ".join(f"bit_count(get(odd, {i}) ^ get(odd_y, {i}))" for i in range(BITS // 64))
+    return f"{100 + percent} * ({bits}) <= {100 - percent} * (size + size_y)"
+
+
 def _compared(n: int):
-    """Full comparison: sizes, shared values, and the values of a that b has not."""
+    """Full comparison: sizes, shared values, the values of a that b has not, and parities of those that only one has."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -189,7 +207,7 @@ def _compared(n: int):
 
         for batch in batches:
             a, b, text_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_b")
-            right, rows, outside = [], [], []
+            right, rows, outside, odd = [], [], [], []
             for i, x in enumerate(sets(batch.column("text_a"))):
                 if b[i] != last[0]:
                     last = (b[i], next(sets(text_b.slice(i, 1))))
@@ -199,17 +217,20 @@ def _compared(n: int):
                 right.append(_key(x) == a[i] and _key(y) == b[i])
                 rows.append((len(x), len(y), len(x) - len(only)))
                 outside.append(only)
+                odd.append(parities(np.concatenate([only, np.setdiff1d(y, x, assume_unique=True)])))
             offsets = np.cumsum([0, *map(len, outside)]).astype(np.int32)
             flat = np.concatenate([*outside, np.zeros(0, np.uint64)]).view(np.int64)
             na, nb, both = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), na, nb, both, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["a", "b", "na", "nb", "both", "outside"])
+            every = pa.array(np.arange(len(odd) + 1, dtype=np.int32) * (BITS // 64))
+            odd = pa.ListArray.from_arrays(every, pa.array(np.concatenate([*odd, np.zeros(0, np.int64)])))
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), na, nb, both, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), odd], ["a", "b", "na", "nb", "both", "outside", "odd"])
             yield out.filter(pa.array(right, pa.bool_()))
 
     return compare
 
 
 def _comparison(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int) -> DataFrame:
-    """a, b, na, nb, both, outside for pairs a, b of keys. A text goes with each pair only on the side of a."""
+    """a, b, na, nb, both, outside, odd for pairs a, b of keys. A text goes with each pair only on the side of a."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
     hubs = _Dealt(pairs, "b")
     few = 2 * hubs.rows <= SENT
@@ -220,7 +241,7 @@ def _comparison(pairs: DataFrame, classes: DataFrame, given: DataFrame, n: int)
     text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
     # Rows of one hub come one after another, so its set is made once for each slice.
     both = hubs.join(pairs.join(text("a"), "a"), text("b"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_compared(n)), "a binary, b binary, na long, nb long, both long, outside array<long>").dropDuplicates(["a", "b"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_compared(n)), "a binary, b binary, na long, nb long, both long, outside array<long>, odd array<long>").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,7 +286,7 @@ def _across(rows: DataFrame, lists: _Dealt, condition: str) -> DataFrame:
     roots = rows.groupBy("b", "v", "root").agg(F.count(F.lit(1)).alias("many"))
     major = roots.groupBy("b", "v").agg(F.max_by("root", F.struct("many", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
     held = lists.join(rows, major)
-    names = ("key", "size", "both", "common", "root")
+    names = ("key", "size", "both", "common", "root", "odd")
     other = held.select("b", "v", *[F.col(c).alias(f"{c}_y") for c in names])
     met = lists.dealt(other, "key_y").join(lists.in_each_slice(held.filter("root != major")), ["b", "v", "_s"])
     return met.filter(f"root != root_y AND {condition}").select(F.col("key").alias("x"), F.col("key_y").alias("y"))
@@ -293,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Of hubs that some class is apart from: all classes, with what they share with the hub.
     hubs = _Dealt(tested, "b")
     root = lambda x, name: roots.select(F.col("key").alias(x), F.col("root").alias(name))
-    each = tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside").join(root("key", "root"), "key", "left")
+    each = tested.select("b", F.col("a").alias("key"), F.col("na").alias("size"), "both", "outside", "odd").join(root("key", "root"), "key", "left")
     of_hubs = tested.select("b").distinct().join(root("b", "root_b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
     placed = hubs.join(each.withColumn("root", F.coalesce("root", "key")), of_hubs).withColumn("apart", F.col("root") != F.col("root_b")).drop("root_b")
     placed = written(placed, "rooted")
@@ -320,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     enough = facts.filter(F.col("both") >= total).join(classes.select("key", "sketch"), "key")
     enough = enough.select("b", "key", F.size("sketch").alias("size"), _need(F.size("sketch"), k, percent).alias("need"), F.explode("sketch").alias("v"))
     enough = written(_rarest(enough, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy", "common").join(facts, ["b", "key"]).withColumn("common", F.lit(0)), "enough")
-    near = f"100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
+    near = f"100 * least(size, size_y) >= {percent} * greatest(size, size_y) AND {_differ(percent)}"
     by_itself = f"{100 + percent} * least(both, both_y) >= {percent} * (size + size_y)"
     # Values that a class alone has are in no intersection, so the rest bounds it.
     most = f"{100 + percent} * (least(both, both_y) + least(common, common_y)) >= {percent} * (size + size_y)"

@@ -566,6 +566,49 @@ def test_near_duplicates_equal_all_pairs(spark, n, percent):
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i, _ in texts}
 
 
+def test_parities_never_differ_in_more_bits_than_sets_in_values():
+    rng = np.random.default_rng(5)
+    hub = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    for own in (0, 1, 20, 3000):
+        sets = [np.union1d(rng.permutation(hub)[: 300 - own % 300], rng.integers(0, 1 << 64, own, dtype=np.uint64)) for _ in range(2)]
+        x, y = (near_dedup.parities(np.setxor1d(s, hub)) for s in sets)
+        bits = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        true = len(np.setxor1d(*sets))
+        assert bits <= true and bits % 2 == true % 2 and (true > 100 or bits >= 0.8 * true)
+
+
+def test_copies_apart_from_each_other_with_one_change_in_common_make_few_pairs(spark, monkeypatch):
+    random.seed(23)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(360):
+        w = list(base)
+        for _ in range(4 if i % 3 == 0 else 2):
+            w[random.randrange(8, 142)] = f"x{random.random()}"
+        if i % 3 == 0:
+            w[3] = "common"
+        texts.append((i, " ".join(w)))
+    made, across = [], near_dedup._across
+
+    def counted(*args):
+        out = across(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(texts, SCHEMA), n=3, percent=85).collect()}
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in texts)]
+    root = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if 100 * both >= 85 * (len(s) + len(sets[j]) - both) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 300
+    assert sum(made) <= 4 * len(texts), made
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.key: r.root for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
