@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import made, released, table, written
+from quern.llm.common import collected, made, released, table, written
 from quern.llm.decontaminate import drop_contaminated
 from quern.llm.exact_dedup import drop_exact_duplicates
 from quern.llm.near_dedup import drop_near_duplicates
@@ -22,7 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without labels, and without text, the score is that of the classifier's docstring; labels of unknown ids teach nothing.
     """
-    return drop_low_quality(docs, train(*sample(docs, table(spark, sf_dir, "labels"))))
+    model = train(*sample(docs, table(spark, sf_dir, "labels")))
+    collected(spark)  # the sample and what training took
+    return drop_low_quality(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

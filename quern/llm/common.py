@@ -10,6 +10,7 @@ import atexit
 import ctypes
 import ctypes.util
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -89,6 +90,23 @@ def _libc():
     return ctypes.CDLL(ctypes.util.find_library("c"))
 
 
+def _trimmed() -> None:
+    """Gives free memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def collected(spark: SparkSession) -> None:
+    """Between the steps of a long operator: what finished plans left on the driver goes, and so do their shuffle files and broadcast tables.
+
+    Without it the driver's heap grows to its limit before the JVM collects that.
+    """
+    gc.collect()
+    _trimmed()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """For mapInArrow: gives a task's memory back at its end, as workers are kept for later tasks of any kind."""
 
@@ -96,9 +114,7 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(_libc(), "malloc_trim"):
-                _libc().malloc_trim(0)
+            _trimmed()
 
     return run
 

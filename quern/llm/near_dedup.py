@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, buffer, id_and_text, id_type, lean, ngrams, pieces, table, text_pieces, word_hashes, words, written
+from quern.llm.common import LOWER, buffer, collected, id_and_text, id_type, lean, ngrams, pieces, table, text_pieces, word_hashes, words, written
 
 #: Retained values; the chance that a pair at the threshold shares fewer of them than is asked for.
 K, RISK = 48, 2e-6
@@ -163,7 +163,8 @@ class _Dealt:
     def __init__(self, rows: DataFrame, *on: str):
         self.rows, self.on = rows.count(), list(on)
         limit = max(SLICE, self.rows // GROUPS)
-        self.large = rows.groupBy(*on).count().filter(F.col("count") > limit).select(*on, F.ceil(F.col("count") / limit).alias("_n"))
+        # Written, so that the plans of its many uses only read it.
+        self.large = written(rows.groupBy(*on).count().filter(F.col("count") > limit).select(*on, F.ceil(F.col("count") / limit).alias("_n")), "large_groups")
 
     def dealt(self, rows: DataFrame, by: str) -> DataFrame:
         out = rows.join(F.broadcast(self.large), self.on, "left")
@@ -285,11 +286,12 @@ def _across(rows: DataFrame, lists: _Dealt, condition: str) -> DataFrame:
     """
     roots = rows.groupBy("b", "v", "root").agg(F.count(F.lit(1)).alias("many"))
     major = roots.groupBy("b", "v").agg(F.max_by("root", F.struct("many", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    held = lists.join(rows, major)
+    # Written in parts: a plan's share of the driver grows with the square of its size, as it is planned again after each of its stages.
+    held = written(lists.join(rows, written(major, "major")), "held")
     names = ("key", "size", "both", "common", "root", "odd")
     other = held.select("b", "v", *[F.col(c).alias(f"{c}_y") for c in names])
     met = lists.dealt(other, "key_y").join(lists.in_each_slice(held.filter("root != major")), ["b", "v", "_s"])
-    return met.filter(f"root != root_y AND {condition}").select(F.col("key").alias("x"), F.col("key_y").alias("y"))
+    return written(met.filter(f"root != root_y AND {condition}").select(F.col("key").alias("x"), F.col("key_y").alias("y")), "met")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -302,14 +304,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = written(_lists(grouped, k, percent), "lists")
     classes = written(grouped.join(lists.select("key").distinct(), "key", "left_semi"), "classes")
     linked = f"100 * both >= {percent} * (na + nb - both)"
+    collected(docs.sparkSession)
 
     first = lists.groupBy("v").agg(F.max_by("key", F.struct("heavy", "key")).alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("v", "b")
     stars = written(lists.join(first, "v").filter("key != b").select(F.col("key").alias("a"), "b").distinct(), "stars")
     # What a hub's only class has in common with it rules out no other, so there the estimate decides whether to compare.
     alone = stars.groupBy("b").agg(F.first("a").alias("a"), F.count(F.lit(1)).alias("many"))
+    alone = written(alone, "alone")
     others = stars.join(alone.filter("many > 1").select("b"), "b", "left_semi")
     tested = written(_comparison(written(_estimated(alone.filter("many = 1").select("a", "b"), classes, k, percent).union(others.select("a", "b")), "likely"), classes, given, n), "tested")
+    collected(docs.sparkSession)
     roots = written(components(tested.filter(linked).select("a", "b")), "roots")
+    collected(docs.sparkSession)
 
     # Of hubs that some class is apart from: all classes, with what they share with the hub.
     hubs = _Dealt(tested, "b")
@@ -327,16 +333,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = placed.select("b", "key", F.size("outside").alias("size"), F.greatest(F.lit(1), total - F.col("both")).alias("need"), F.explode("outside").alias("v"))
     outside = written(_rarest(outside, ["b", "key"], F.col("size") - F.col("need") + 1).drop("heavy").join(facts, ["b", "key"]), "outside")
 
+    collected(docs.sparkSession)
     # Again one class of each list against the others: the one whose values most others share may be a better hub.
-    better = outside.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h"))
+    better = written(outside.groupBy("b", "v").agg(F.max_by(F.struct("key", "root"), F.struct(F.col("both") + F.col("common"), F.col("key"))).alias("h")), "better")
     lists = _Dealt(outside, "b", "v")
     second = lists.join(outside.filter("apart"), better).filter("root != h.root").select(F.col("key").alias("a"), F.col("h.key").alias("b")).distinct()
-    second = written(_estimated(second, classes, k, percent), "second")
+    second = written(_estimated(written(second, "met"), classes, k, percent), "second")
     if not second.isEmpty():
         more = written(_comparison(second, classes, given, n).filter(linked).select("a", "b"), "links")
         roots, changed = _merged(roots, more)
         facts, outside = _renamed(facts, changed), _renamed(outside, changed)
 
+    collected(docs.sparkSession)
     # The few whose share with the hub may be enough by itself meet by their retained values.
     enough = facts.filter(F.col("both") >= total).join(classes.select("key", "sketch"), "key")
     enough = enough.select("b", "key", F.size("sketch").alias("size"), _need(F.size("sketch"), k, percent).alias("need"), F.explode("sketch").alias("v"))
@@ -347,12 +355,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = f"{100 + percent} * (least(both, both_y) + least(common, common_y)) >= {percent} * (size + size_y)"
     pairs = _apart(_across(outside, lists, f"{near} AND {most}").union(_across(enough, _Dealt(enough, "b", "v"), f"{near} AND {by_itself}")))
     met = stars.select(F.col("a").alias("x"), F.col("b").alias("y")).union(second.select("a", "b"))
-    pairs = pairs.join(_apart(met), ["a", "b"], "left_anti")
+    pairs = written(pairs.join(_apart(met), ["a", "b"], "left_anti"), "met")
+    collected(docs.sparkSession)
     pairs = written(_estimated(pairs, classes, k, percent), "pairs")
+    collected(docs.sparkSession)
     if not pairs.isEmpty():
         more = written(_comparison(pairs, classes, given, n).filter(linked).select("a", "b"), "links")
         roots, _ = _merged(roots, more)
 
+    collected(docs.sparkSession)
     # The least id of each component, by class.
     reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = reps.filter(F.col("root") != F.col("key")).select("root", "rep").union(reps.join(roots.select("root").distinct(), "root", "left_semi").select("root", "rep")).groupBy("root").agg(F.min("rep").alias("least"))

@@ -609,6 +609,23 @@ def test_copies_apart_from_each_other_with_one_change_in_common_make_few_pairs(s
     assert sum(made) <= 4 * len(texts), made
 
 
+def test_large_groups_are_found_once_and_read_by_all_plans_that_deal_them(spark):
+    rows = spark.range(1000).selectExpr("id % 2 AS b", "id AS key")
+    dealt = near_dedup._Dealt(rows, "b")
+    out = dealt.join(rows, spark.range(2).selectExpr("id AS b", "id + 7 AS h"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("parquet") >= 2
+    assert out.count() == 1000 and dealt.large.count() == 2
+
+
+def test_near_duplicates_collect_the_drivers_garbage_between_steps(spark):
+    bean = spark._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(g.getCollectionCount() for g in bean.getGarbageCollectorMXBeans() if "Old" in g.getName() or "MarkSweep" in g.getName())
+    before = full()
+    near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], SCHEMA)).collect()
+    assert full() >= before + 5
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.key: r.root for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
