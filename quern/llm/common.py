@@ -11,6 +11,7 @@ import ctypes
 import ctypes.util
 import functools
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -178,22 +179,6 @@ def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base, and of its inverse, from the power 0 on: n of them at least."""
-    if len(_POWERS[0]) < n:
-        n = max(n, PIECE + 1)
-        for k, b in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -201,19 +186,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_ORDER = np.uint64(0xA0761D6478BD642F)
+#: By the number of a word's bytes from a place on, which of eight bytes count.
+_COUNTED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words, in bytes, are digested one by one.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each word: a polynomial over random byte values, from running sums."""
+    """A 64-bit value for each word, eight bytes at a time; words of over 64 bytes take theirs from BLAKE2b.
+
+    No step is linear in the bytes, so words made for sums or polynomials to agree differ here as any others do: two
+    words have one value with a chance of 2^-64.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    sums = np.cumsum(_RANDOM[kinds[data]] * up[: len(data)], dtype=np.uint64)
-    value = sums[ends - 1].copy()
-    later = starts > 0
-    value[later] -= sums[starts[later] - 1]
-    return mix(value * down[starts] + (ends - starts).astype(np.uint64))
-
-
-_ORDER = np.uint64(0xA0761D6478BD642F)
+    letters = np.zeros(len(data) // 8 * 8 + 16, np.uint8)
+    letters[: len(data)] = (kinds - 1).astype(np.uint8)[data]
+    eight = letters.view("<u8")
+
+    def read(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        shift, at = (at & 7).astype(np.uint64) * np.uint64(8), at >> 3
+        return (eight[at] >> shift | eight[at + 1] << np.uint64(63) - shift << np.uint64(1)) & _COUNTED[np.minimum(n, 8)]
+
+    n = ends - starts
+    value = mix(read(starts, n) ^ n.astype(np.uint64) * _ORDER)
+    done, left = 8, np.flatnonzero((n > 8) & (n <= LONG_WORD))
+    while len(left):
+        part = read(starts[left] + done, n[left] - done)
+        value[left] = mix(value[left] ^ part) + part * _ORDER
+        done += 8
+        left = left[n[left] > done]
+    view = memoryview(letters)
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        value[k] = int.from_bytes(hashlib.blake2b(view[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return mix(value ^ np.uint64(0x9E3779B97F4A7C15))
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:

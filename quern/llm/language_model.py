@@ -308,6 +308,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     blocks, narrowest = max(1, -(-size // block)), max(1, -(-size // shard))
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)), F.lit(0)).cast("int")
     pieces = given.select("doc_id", "text", fold.alias("fold")).mapInArrow(lean(_packer(blocks, arrow, packed)), f"block long, ids array<{kind}>, folds array<int>, sizes array<long>, blob binary")
+    # Written, since both what is sent and what the answers meet must be the same blocks, whatever order a recomputed input comes in.
+    pieces = written(pieces, "pieces")
     ranges = min(fan, narrowest)
     sent = pieces.groupBy("block").applyInArrow(_sender(ranges), _SENT_SQL)
     answers = exchange(sent, ranges, narrowest, fan).withColumnRenamed("src", "block")

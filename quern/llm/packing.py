@@ -95,9 +95,10 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     lengths = tuple(sorted(set(lengths)))
     longest, groups = lengths[-1], max(1, -(-docs.count() // group))
     sizes = token_counts(docs, id_col, text_col, tokenizer_path)
+    # The number of the input partition parts rows that agree in id, length and part, and is the same if a task runs again.
     # Each document's parts are full but for the last; a long one has few of them next to its text.
     parts = sizes.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {longest}"))).alias("part"))
-    parts = parts.select("doc_id", "part", F.least(F.lit(longest), F.col("n_tokens") - F.col("part") * longest).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "n_tokens", "part"), F.lit(groups)).alias("grp"))
+    parts = parts.select("doc_id", "part", F.least(F.lit(longest), F.col("n_tokens") - F.col("part") * longest).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "n_tokens", "part", F.spark_partition_id()), F.lit(groups)).alias("grp"))
     return parts.groupBy("grp").applyInArrow(_packer(lengths), f"doc_id {id_type(docs, id_col)}, part long, n_tokens long, bin_id long, bin_length long, bin_offset long")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import PLAIN, id_and_text, id_type, lean, mix, ngrams, powers, table, text_pieces, word_hashes, written
+from quern.llm.common import PLAIN, id_and_text, id_type, lean, mix, ngrams, table, text_pieces, word_hashes, written
 from quern.llm.fm_index import FMIndex, matched_windows
 
 WIDTH, GRAM = 50, 8
@@ -74,19 +74,46 @@ def segments(h: np.ndarray, begins: np.ndarray, width: int, gram: int, longest:
     return doc[at], window[at], window[end], anchor[at]
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(values))[0][: len(values)], dtype=np.uint64)])
+#: The prime 2^61 - 1, and two fixed bases of polynomials modulo it.
+PRIME = np.uint64((1 << 61) - 1)
+BASES = (0x0B2D3A9F4C6E8157, 0x15F1C7A3528D6E4B)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def contents(h: np.ndarray, first: np.ndarray, n: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit values of the n words from each first on: polynomials over words, and over runs of gram words."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it, from halves of 31 bits, since 2^61 is 1."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """Powers of a base modulo PRIME from the power 0 on: n of them at least."""
+    out = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), int(PRIME))))])
+    _POWERS[base] = out
+    return out
+
+
+def contents(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two values of the n words from each first on: polynomials over their values modulo a prime of 61 bits, with two bases."""
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    down = powers(len(h))[1][first]
-    words, runs = _sums(h), _sums(ngrams(h, gram))
-    one = (words[first + n] - words[first]) * down
-    two = (runs[first + n - gram + 1] - runs[first]) * down
-    return mix(one + n.astype(np.uint64)), mix(two ^ n.astype(np.uint64))
+    out, h, half = [], _reduced(h), np.uint64(31)
+    for base in BASES:
+        terms = times(h, powers(base, len(h))[: len(h)])
+        low, high = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (terms & np.uint64((1 << 31) - 1), terms >> half))
+        low, high = low[first + n] - low[first], high[first + n] - high[first]
+        total = _reduced(_reduced(low) + times(_reduced(high), np.uint64(1 << 31)))
+        out.append(mix(times(total, powers(pow(base, -1, int(PRIME)), len(h))[first]) ^ n.astype(np.uint64) << np.uint64(40)))
+    return out[0], out[1]
 
 
 _LISTS = "anchor array<long>, n array<int>, k1 array<long>, k2 array<long>, at array<array<int>>"
@@ -114,7 +141,7 @@ def _finder(width: int, gram: int, longest: int):
                 h = word_hashes(data, starts, ends, PLAIN)
                 doc, a, b, anchor = segments(h, begins, width, gram, longest)
                 n = b - a + width
-                lists = _grouped(doc, a, n, anchor, *contents(h, begins[doc] + a, n, gram), len(begins) - 1)
+                lists = _grouped(doc, a, n, anchor, *contents(h, begins[doc] + a, n), len(begins) - 1)
                 own = batch.slice(lo, len(begins) - 1)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), *lists], _NAMES)
 
@@ -141,7 +168,7 @@ def _refiner(width: int, gram: int, longest: int, least: int):
                 part, a, b, anchor = segments(own, at, width, gram, longest)
                 n = b - a + width
                 doc = np.array(doc_of, np.int64)[part]
-                lists = _grouped(doc, np.array(firsts, np.int64)[part] + a, n, anchor, *contents(own, at[part] + a, n, least), len(begins) - 1)
+                lists = _grouped(doc, np.array(firsts, np.int64)[part] + a, n, anchor, *contents(own, at[part] + a, n), len(begins) - 1)
                 rows = batch.slice(lo, len(begins) - 1)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), *lists], _NAMES)
 

@@ -316,6 +316,64 @@ def test_encoder_takes_other_tokenizers():
     assert not e.by_word and e.ids("Hello  world") == e.tokenizer.encode("Hello  world", add_special_tokens=False).ids
 
 
+def alternating(n, letters="ab"):
+    """The Thue-Morse word: with its complement it makes polynomials with odd bases agree modulo powers of two."""
+    return [letters[bin(i).count("1") & 1] for i in range(n)]
+
+
+TWINS = [("".join(alternating(n)), "".join(alternating(n, "ba"))) for n in (8, 16, 64, 65, 1024, 2048, 4096)]
+
+
+def test_words_made_to_agree_have_values_of_their_own():
+    from quern.llm.common import LOWER, PLAIN, word_hashes, words
+
+    every = [w for pair in TWINS for w in pair] + ["a" * k for k in range(1, 200)] + ["x" * 8 * k + "y" for k in range(20)] + [c * 3 for c in "äöü日本"]
+    data = np.frombuffer(" ".join(every).encode(), np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(data)]), PLAIN)
+    assert len(starts) == len(every) == len(set(word_hashes(data, starts, ends, PLAIN).tolist()))
+    for k in (0, 1, 5, 8):  # wherever a word stands, and in either case
+        moved = np.frombuffer((" " * k + " ".join(every).upper()).encode(), np.uint8)
+        a, b, _ = words(moved, np.array([0, len(moved)]), LOWER)
+        assert word_hashes(moved, a, b, LOWER)[: 2 * len(TWINS)].tolist() == word_hashes(data, starts, ends, PLAIN)[: 2 * len(TWINS)].tolist()
+
+
+def test_crafted_words_are_told_apart_by_every_operator(spark):
+    e = encoder()
+    texts = [f"{a} {b}" for a, b in TWINS]
+    got = [x.tolist() for ids, n in e.encoded(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    docs, plain = [], {}
+    for k, pair in enumerate(TWINS):
+        for own in pair:
+            plain[len(docs)] = len(e.tokenizer.encode(own, add_special_tokens=False).ids) + 1
+            docs.append((len(docs), own))
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()} == plain
+    assert [r.component_id for r in near_dedup.near_duplicates(df).orderBy("doc_id").collect()] == list(range(len(docs)))
+    around = [(i, " ".join([*(f"w{i // 2}x{j}" for j in range(30)), own, *(f"v{i // 2}x{j}" for j in range(30))])) for i, own in docs]
+    assert not sum(r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(around, SCHEMA)).collect())
+    twice = [(i, f"{own} {own}") for i, own in docs]
+    train = {w for i, t in twice if zlib.crc32(str(i).encode()) % 10 for w in t.split()}
+    known = {r.doc_id: r.n_known for r in language_model.scores(spark.createDataFrame(twice, SCHEMA)).collect()}
+    assert known == {i: 2 * (t.split()[0] in train) + 1 for i, t in twice}
+
+
+def test_segments_of_words_made_to_agree_have_values_of_their_own():
+    from quern.llm.common import PLAIN, word_hashes
+
+    pair = word_hashes(np.frombuffer(b"aa bb", np.uint8), np.array([0, 3]), np.array([2, 5]), PLAIN)
+    h = np.concatenate([pair[[int(x) for x in alternating(2048, "01")]], pair[[int(x) for x in alternating(2048, "10")]]])
+    for n in (64, 128, 1024, 2048):
+        for values in substring_dedup.contents(h, np.array([0, 2048]), np.array([n, n])):
+            assert values[0] != values[1]
+    p = int(substring_dedup.PRIME)
+    a, b = (np.random.default_rng(k).integers(0, p, 1000, dtype=np.uint64) for k in (1, 2))
+    assert substring_dedup.times(a, b).tolist() == [x * y % p for x, y in zip(a.tolist(), b.tolist())]
+    again = np.concatenate([h[:700], h[:100], h[:700]])
+    one, two = substring_dedup.contents(again, np.array([5, 805]), np.array([600, 600]))
+    assert one[0] == one[1] and two[0] == two[1] and one[0] != two[0]
+
+
 # Language model.
 
 
