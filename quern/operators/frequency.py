@@ -7,15 +7,18 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import params
 from quern.functions.hashing import Policy, column, row_hash
 from quern.functions.sizing import cms_params, power_of_two
+from quern.sources.working import written
 
 
 def _counted(df: DataFrame, key: Column | str, weight: Column | str | None, group: list[str]) -> DataFrame:
@@ -102,6 +105,50 @@ class CountMinLog:
         cells = CountMin(self.width, self.depth, self.policy)._cells(_counted(df, key, weight, []))
         return cells.groupBy("row", "cell").agg(F.max("_w").alias("_w")).select("row", "cell", self.encode(F.col("_w")).alias("level"))
 
+    def stream_state(self, df: DataFrame, key: Column | str, weight: Column | str | None = None, seed: int = 0) -> DataFrame:
+        """row, cell, level, by conservative update in the order of the rows, as for a stream that is too large to count first.
+
+        A task keeps levels alone. Of a key's cells those at its least level rise, each unit with probability base^-level; a batch's
+        equal keys come together. Tasks' levels are decoded, added and encoded, so where several tasks have a cell it is an upper bound for each key.
+        """
+        places = F.array(*[row_hash(column(key), i, self.policy) % self.width for i in range(self.depth)])
+        w = F.lit(1) if weight is None else column(weight)
+        given = df.filter(column(key).isNotNull()).select(places.alias("cells"), w.cast("long").alias("w"), F.spark_partition_id().alias("p")).filter("w > 0")
+        spec = self
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            levels, rows, random = np.zeros((spec.depth, spec.width), np.uint8), np.arange(spec.depth), None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                random = random or np.random.default_rng([seed, int(batch["p"].iloc[0])])
+                cells = np.stack(batch["cells"].to_list())
+                keys, inverse = np.unique(cells, axis=0, return_inverse=True)
+                for at, c in zip(keys, np.bincount(inverse.ravel(), batch["w"].to_numpy()).astype(np.int64).tolist()):
+                    level = spec.raised(int(levels[rows, at].min()), c, random)
+                    levels[rows, at] = np.maximum(levels[rows, at], level)
+            r, x = np.nonzero(levels)
+            yield pd.DataFrame({"row": r.astype(np.int32), "cell": x, "level": levels[r, x].astype(np.int32)})
+
+        parts = written(given.mapInPandas(run, "row int, cell long, level int"), "count_min_log")
+        sums = parts.groupBy("row", "cell").agg(F.sum(self.decode(F.col("level"))).alias("_w"))
+        tagged = params.tagged(F.col("cell"), "cell", CountMin(self.width, self.depth, self.policy))
+        return sums.select("row", tagged, self.encode(F.col("_w")).alias("level"))
+
+    def raised(self, level: int, count: int, random: np.random.Generator) -> int:
+        """The level after so many more units."""
+        while count > 0 and level < self.levels:
+            units = int(random.geometric(self.base**-level))  # until the level rises
+            if units > count:
+                break
+            count, level = count - units, level + 1
+        return level
+
+    @property
+    def deviation(self) -> float:
+        """Of an estimate of one task, as a share of the count, but for collisions."""
+        return math.sqrt((self.base - 1) / 2)
+
     def merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """An upper bound: where the parts' different keys share a cell, the level is that of the sum of their counts."""
         params.same([a, b], "cell")
@@ -127,12 +174,7 @@ class CountMinLogSketch:
 
     def insert(self, key: str, count: int = 1) -> None:
         at = self._at(key)
-        level = int(self.levels[at].min())
-        while count > 0 and level < self.spec.levels:
-            units = int(self.random.geometric(self.spec.base**-level))  # until the level rises
-            if units > count:
-                break
-            count, level = count - units, level + 1
+        level = self.spec.raised(int(self.levels[at].min()), count, self.random)
         self.levels[at] = np.maximum(self.levels[at], level)
 
     def estimate(self, key: str) -> int:

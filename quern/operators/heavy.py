@@ -20,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import column
+from quern.sources.working import written
 
+#: Candidates that are sent to all executors at most.
+SENT_ITEMS = 100_000
 SUMMARY = "item string, count long, error long, seen long"
 
 
@@ -97,8 +100,8 @@ class MisraGries:
                 off += cut
             yield pd.DataFrame([(None, 0, off, seen), *((i, c, off, 0) for i, c in counters.items())], columns=["item", "count", "error", "seen"])
 
-        parts = _items(df, key, weight).mapInPandas(partial, SUMMARY)
-        return self.merge(parts)
+        # Written, as merging reads them several times: bounds and counts must be of one run.
+        return self.merge(written(_items(df, key, weight).mapInPandas(partial, SUMMARY), "misra_gries"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:
         """Counts add up; more than k - 1 are cut down to it. A row without item has the totals."""
@@ -124,13 +127,15 @@ class MisraGries:
 
     def heavy_hitters(self, df: DataFrame, key: str, weight: Column | str | None = None) -> DataFrame:
         """item and exact count of all items that are more than one in k: candidates, then a second pass."""
-        found = self.summary(df, key, weight)
-        return exact(df, key, found.filter("item IS NOT NULL"), weight).join(F.broadcast(found.filter("item IS NULL").select("seen"))).filter(F.col("count") * self.k > F.col("seen")).select("item", "count")
+        found = written(self.summary(df, key, weight), "summary")
+        seen = found.filter("item IS NULL").first()["seen"]
+        return exact(df, key, found.filter("item IS NOT NULL"), weight).filter(F.col("count") * self.k > seen)
 
 
 def exact(df: DataFrame, key: str, candidates: DataFrame, weight: Column | str | None = None) -> DataFrame:
-    """True counts of the candidates, which are as few as the summary's counters."""
-    return _items(df, key, weight).join(F.broadcast(candidates.select("item")), "item", "left_semi").groupBy("item").agg(F.sum("count").alias("count"))
+    """True counts of the candidates. They are sent to all executors only where they are few; Spark decides beyond that."""
+    few = F.broadcast if candidates.limit(SENT_ITEMS + 1).count() <= SENT_ITEMS else lambda df: df
+    return _items(df, key, weight).join(few(candidates.select("item")), "item", "left_semi").groupBy("item").agg(F.sum("count").alias("count"))
 
 
 class SpaceSavingSketch:
@@ -201,7 +206,7 @@ class SpaceSaving:
                     sketch.insert(item, int(c))
             yield pd.DataFrame([(None, 0, sketch.least, sketch.seen), *((i, c, e, 0) for i, c, e in sketch.top(k))], columns=["item", "count", "error", "seen"])
 
-        return self.merge(_items(df, key, weight).mapInPandas(partial, SUMMARY))
+        return self.merge(written(_items(df, key, weight).mapInPandas(partial, SUMMARY), "space_saving"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:
         """An item that a part does not hold may have had that part's least count there: it counts in full and as error."""
@@ -301,7 +306,7 @@ class LossyCounting:
             # An item that is not held may have had as many as there were full windows.
             yield pd.DataFrame([(None, 0, counter.seen // counter.window, counter.seen), *((i, c, e, 0) for i, (c, e) in counter.held.items())], columns=["item", "count", "error", "seen"])
 
-        return self.merge(_items(df, key, None).mapInPandas(partial, SUMMARY))
+        return self.merge(written(_items(df, key, None).mapInPandas(partial, SUMMARY), "lossy_counting"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:
         """Counts add up; an item that a part doesn't hold may have had as many there as that part had full windows."""
@@ -321,10 +326,10 @@ class LossyCounting:
         """item and exact count of all items with at least support of the rows."""
         if support < self.epsilon:
             raise ValueError("support must not be below epsilon")
-        found = self.summary(df, key)
-        head = F.broadcast(found.filter("item IS NULL").select(F.col("seen").alias("all"), F.col("error").alias("off")))
-        maybe = found.filter("item IS NOT NULL").join(head).filter(F.col("count") + F.col("off") >= support * F.col("all"))
-        return exact(df, key, maybe).join(head).filter(F.col("count") >= support * F.col("all")).select("item", "count")
+        found = written(self.summary(df, key), "summary")
+        head = found.filter("item IS NULL").first()
+        maybe = found.filter("item IS NOT NULL").filter(F.col("count") + head["error"] >= support * head["seen"])
+        return exact(df, key, maybe).filter(F.col("count") >= support * head["seen"])
 
 
 class HeavyKeeperSketch:
@@ -400,7 +405,7 @@ class HeavyKeeper:
             held = [(i, r, x, own, 0) for i in sketch.top for own, cells in [sketch._cells(i)] for r, x in enumerate(cells)]
             yield pd.DataFrame(held, columns=["item", "row", "cell", "print", "count"])
 
-        return self.merge(_items(df, key, None).mapInPandas(partial, _KEEPER))
+        return self.merge(written(_items(df, key, None).mapInPandas(partial, _KEEPER), "heavy_keeper"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:
         """In each cell counts of one print add up; of different prints the largest stays, less the next one."""
@@ -408,8 +413,10 @@ class HeavyKeeper:
         for p in parts[1:]:
             rows = rows.unionByName(p)
         sums = rows.filter("item IS NULL").groupBy("row", "cell", "print").agg(F.sum("count").alias("count"))
-        ranked = sums.groupBy("row", "cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "print")), False), 1, 2).alias("x"))  # as many as parts
-        cells = ranked.select(F.lit(None).cast("string").alias("item"), "row", "cell", F.col("x")[0]["print"].alias("print"), (F.col("x")[0]["count"] - F.coalesce(F.get("x", F.lit(1))["count"], F.lit(0))).alias("count"))
+        first = sums.groupBy("row", "cell").agg(F.max(F.struct("count", "print")).alias("x"), F.count(F.lit(1)).alias("prints"))
+        second = sums.join(first.filter("prints > 1").select("row", "cell", F.col("x.print").alias("_own")), ["row", "cell"]).filter("print != _own").groupBy("row", "cell").agg(F.max("count").alias("next"))
+        ranked = first.join(second, ["row", "cell"], "left")
+        cells = ranked.select(F.lit(None).cast("string").alias("item"), "row", "cell", F.col("x.print").alias("print"), (F.col("x.count") - F.coalesce("next", F.lit(0))).alias("count"))
         return cells.unionByName(rows.filter("item IS NOT NULL").distinct())
 
     def entries(self, state: DataFrame) -> DataFrame:

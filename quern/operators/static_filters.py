@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.hashing import Policy, key_hash
 from quern.functions.sizing import cuckoo_params, fuse_params, power_of_two
+from quern.sources.working import written
 
 #: Keys for each shard, about; bytes of all shards that are sent to all executors.
 SHARD_KEYS, SENT_BYTES = 50_000, 64 << 20
@@ -431,7 +432,8 @@ class Sharded:
             state = filter_.build(np.sort(h[~gone]), np.sort(h[gone])) if gone.any() else filter_.build(np.sort(h))
             return pd.DataFrame([(rows["shard"].iloc[0], dump(filter_, state), state["n"])], columns=["shard", "blob", "n"])
 
-        return keys.groupBy("shard").applyInPandas(build, "shard int, blob binary, n long")
+        # Written, so that each shard is built once however often the state is read.
+        return written(keys.groupBy("shard").applyInPandas(build, "shard int, blob binary, n long"), "filter")
 
     def maybe(self, df: DataFrame, key: str, state: DataFrame, flag: str = "maybe") -> DataFrame:
         filter_ = self.filter

@@ -1,4 +1,4 @@
-"""Counts over a sliding window of ticks: exponential histograms, one small state for each key."""
+"""Counts over a sliding window of ticks: exponential histograms of ranges of each key's ticks, side by side."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import params
+from quern.sources.working import written
+
 
 class ExponentialHistogram:
     """Ones among the last ``window`` ticks with a relative error of at most epsilon.
@@ -84,36 +87,69 @@ class ExponentialHistogram:
         return sum(inside) if whole or inside[0] == 1 else sum(inside[1:]) + inside[0] // 2
 
 
-def sliding_counts(df: DataFrame, key: str, bit: str, order: list[str], window: int, epsilon: float, last: list[int] | None = None) -> DataFrame:
-    """key, ticks, estimate after the last row of each key. Rows pass in order; only the current key's state is held.
+def histograms(df: DataFrame, key: str, bit: str, order: list[str], window: int, epsilon: float, ranges: int | None = None) -> DataFrame:
+    """State: key, part, ticks, sizes, ends. Rows are dealt over ranges of key and order, so a key's ticks lie in as many tasks as they need.
 
-    last: numbers of ticks, window at most; then there is a row for each of them, with n besides.
+    A range has the histogram of its own ticks: sizes of buckets, oldest first, and the place of the newest one of each. As a bucket
+    is large only where its own range has many newer ones, histograms side by side keep the error of a single one.
     """
-    kind, asked = dict(df.dtypes)[key], last or [window]
-    if not all(0 < n <= window for n in asked):
-        raise ValueError("n must lie in 1..window")
-    names = ["k", "ticks", "n", "estimate"]
-
-    def rows_of(k, state: ExponentialHistogram) -> list[tuple]:
-        return [(k, state.clock, n, state.estimate(n)) for n in asked]
+    ExponentialHistogram(window, epsilon)
+    kind, count = dict(df.dtypes)[key], ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["k", "part", "ticks", "sizes", "ends"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, part = None, None, 0
+        row = lambda: (current, part, state.clock, state.sizes, state.ticks)
         for batch in batches:
             done: list[tuple] = []
             keys, bits = batch["k"].to_numpy(), batch["b"].to_numpy(bool)
+            part = int(batch["p"].iloc[0]) if len(batch) else part
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
             for a, b in zip(first, [*first[1:], len(keys)]):
                 if state is None or keys[a] != current:
                     if state is not None:
-                        done += rows_of(current, state)
+                        done.append(row())
                     current, state = keys[a], ExponentialHistogram(window, epsilon)
                 state.update_all(bits[a:b])
             yield pd.DataFrame(done, columns=names)
         if state is not None:
-            yield pd.DataFrame(rows_of(current, state), columns=names)
+            yield pd.DataFrame([row()], columns=names)
+
+    places = [f"o{i}" for i in range(len(order))]
+    given = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(bit), F.lit(False)).alias("b"), *[F.col(c).alias(o) for c, o in zip(order, places)])
+    rows = given.repartitionByRange(count, "k", *places).sortWithinPartitions("k", *places).select("k", "b", F.spark_partition_id().alias("p"))
+    parts = written(rows.mapInPandas(run, f"k {kind}, part int, ticks long, sizes array<long>, ends array<long>"), "histograms")
+    return parts.select(F.col("k").alias(key), params.tagged(F.col("part"), "part", (window, epsilon)), "ticks", "sizes", "ends")
+
+
+def followed(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """The state of a stream whose first part has the one state and whose rest the other; raises MismatchError where window or error differ."""
+    params.same([earlier, later], "part")
+    last = earlier.agg(F.coalesce(F.max("part") + 1, F.lit(0)).alias("_more"))
+    names = earlier.columns
+    moved = later.crossJoin(last).withColumn("_part", F.col("part") + F.col("_more")).drop("part", "_more").withColumnRenamed("_part", "part")
+    return earlier.unionByName(moved.select(*names))
 
-    given = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(bit), F.lit(False)).alias("b"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    rows = given.repartition("k").sortWithinPartitions("k", *[f"o{i}" for i in range(len(order))]).select("k", "b")
-    out = rows.mapInPandas(run, f"k {kind}, ticks long, n long, estimate long").withColumnRenamed("k", key)
+
+def estimates(state: DataFrame, key: str, last: list[int]) -> DataFrame:
+    """key, ticks, n, estimate: ones among the last n ticks; half of the bucket that reaches over the edge."""
+    order = Window.partitionBy(key).orderBy("part")  # a row for each range that has the key
+    later = F.coalesce(F.sum("ticks").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    placed = state.withColumn("_after", later).withColumn("_clock", F.sum("ticks").over(Window.partitionBy(key)))
+    # Age of a bucket's newest one, and what the age of its oldest one is at most.
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("ends", i - 1))
+    ages = F.transform("sizes", lambda size, i: F.named_struct(F.lit("size"), size, F.lit("newest"), F.col("_after") + F.col("ticks") - F.get("ends", i), F.lit("oldest"), F.col("_after") + F.col("ticks") - before(i) - 1))
+    each = placed.select(key, "_clock", F.explode(F.array(*[F.lit(n).cast("long") for n in last])).alias("n"), ages.alias("_b"))
+    ones = lambda n: F.aggregate(F.filter("_b", lambda b: b["newest"] < n), F.lit(0).cast("long"), lambda t, b: t + F.when((b["oldest"] >= n) & (b["size"] > 1), F.floor(b["size"] / 2)).otherwise(b["size"]))
+    return each.groupBy(key, F.col("_clock").alias("ticks"), "n").agg(F.sum(ones(F.col("n"))).alias("estimate"))
+
+
+def sliding_counts(df: DataFrame, key: str, bit: str, order: list[str], window: int, epsilon: float, last: list[int] | None = None) -> DataFrame:
+    """key, ticks, estimate after the last row of each key.
+
+    last: numbers of ticks, window at most; then there is a row for each of them, with n besides.
+    """
+    if last is not None and not all(0 < n <= window for n in last):
+        raise ValueError("n must lie in 1..window")
+    out = estimates(histograms(df, key, bit, order, window, epsilon), key, last or [window])
     return out if last else out.drop("n")

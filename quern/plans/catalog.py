@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import measures, sets
+from quern.plans import measures, sets, updates
 
-QUERIES = sets.QUERIES | measures.QUERIES
-ORACLES = sets.ORACLES | measures.ORACLES
+QUERIES = sets.QUERIES | measures.QUERIES | updates.QUERIES
+ORACLES = sets.ORACLES | measures.ORACLES | updates.ORACLES

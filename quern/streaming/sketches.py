@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from quern.functions.hashing import column
 from quern.operators.cardinality import HyperLogLog
@@ -60,18 +61,37 @@ def sliding_counts(df: DataFrame, key: str, bit: Column, order: list[str], windo
     return given.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ticks long, estimate long", "clock long, sizes array<long>, ticks array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+def sessions(df: DataFrame, keys: list[str], time: str, gap: str, late: str) -> DataFrame:
+    """df grouped by keys and by sessions: rows of a key that follow each other within the gap. For aggregates of any kind, sketches too."""
+    given = df.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late)
+    return given.groupBy(*keys, F.session_window("_time", gap).alias("session"))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, mode: str, where: str | None = None, rocksdb: bool = False) -> DataFrame:
     """Runs the stream over what is there now; its output as a table in the shared folder, never on the driver.
 
     Each batch has a folder of its own, which a repeated batch writes anew. In complete mode the last one has all rows.
+    where: a folder of the caller's; with the same one a later call goes on where the former ended. rocksdb: the state store that
+    ``quern.streaming.stateful`` needs.
     """
     spark = stream.sparkSession
-    where = path(spark, "stream")
+    where = where or path(spark, "stream")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{where}/out/{batch}")
-
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start()
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{where}/out/{batch}")
+
+    try:
+        if rocksdb:
+            spark.conf.set(name, ROCKSDB)
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
     last = (query.lastProgress or {}).get("batchId", 0)
-    return spark.read.schema(stream.schema).parquet(f"{where}/out/{last}" if mode == "complete" else f"{where}/out/*")
+    out = spark.read.schema(stream.schema.add("_batch", IntegerType())).parquet(f"{where}/out/{last}" if mode == "complete" else f"{where}/out/*")
+    return out if where and rocksdb else out.drop("_batch")
