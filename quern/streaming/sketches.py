@@ -83,7 +83,7 @@ def drain(stream: DataFrame, mode: str, where: str | None = None, rocksdb: bool
     before = spark.conf.get(name)
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{where}/out/{batch}")
+        rows.withColumn("_batch", F.lit(batch).cast("int")).write.mode("overwrite").parquet(f"{where}/out/{batch}")
 
     try:
         if rocksdb:
