@@ -3,8 +3,8 @@
 1. Texts become pieces at punctuation and line ends, pieces words, and the 1 to max_n words from each word on rows, counted within a task first.
    An n-gram that holds a rarer n-gram than ``least`` can neither be a candidate nor part of one, so level by level
    only those rows are made whose parts are frequent: words, then pairs, then all longer ones are counted by 64-bit values, and
-   what is frequent goes to the tasks as a bit filter whose size is bounded. A filter may let more through, at the cost of rows
-   alone: the last pass counts the n-grams themselves, by their text.
+   what is frequent goes to the tasks as a bit filter whose size is bounded. A filter may let more through, at the cost of rows alone.
+   Each row also names a text that has the n-gram; the last pass reads the n-grams' words from the texts so named, about once for each.
 2. Each candidate joins the counts of what stands before and behind each of its cuts; scores are integer quotients in Decimal.
 3. Extensions by one word that keep ``percent`` of the occurrences take a candidate out by an anti join. Longer extensions need no look:
    what they hold between occurs at least as often.
@@ -34,29 +34,35 @@ KINDS = byte_table(ENDS + BLANKS, lower=True)
 _ENDS = np.isin(np.arange(256), list(ENDS))
 #: Different n-grams that a task counts before it sends them on; bits of a filter at most, and for each key.
 HELD, FILTER_BITS, BITS = 1 << 20, 1 << 29, 16
+#: Where a value's bits of six begin that name its places in a word.
+PLACES = (0, 6, 12, 18)
 #: Slices of a language that are ranked on their own.
 SLICES = 64
 
 
 @dataclass(frozen=True)
 class Filter:
-    """Values that may be in a set: bits of them, which have none of those missing that are."""
+    """Values that may be in a set: 64-bit words, in each of which a value has four bits, so none is missing that was put in."""
 
-    bits: np.ndarray
+    words: np.ndarray
 
     @classmethod
     def of(cls, values: DataFrame) -> Filter:
         """From rows k. At most FILTER_BITS / 64 words come to the driver."""
-        m = min(FILTER_BITS, power_of_two(max(64, BITS * values.count())))
-        place = F.col("k").bitwiseAND(F.lit(m - 1))
-        got = values.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast((k & {m - 1}L) % 64 as int)))").alias("value")).toArrow()
-        out = np.zeros(m // 64, np.int64)
+        size = min(FILTER_BITS, power_of_two(max(64, BITS * values.count()))) // 64
+        bits = " | ".join(f"shiftleft(1L, cast(shiftright(k, {at}) & 63L as int))" for at in PLACES)
+        word = F.shiftrightunsigned("k", 6 * len(PLACES)).bitwiseAND(F.lit(size - 1))
+        got = values.groupBy(word.alias("word")).agg(F.expr(f"bit_or({bits})").alias("value")).toArrow()
+        out = np.zeros(size, np.int64)
         out[got.column("word").to_numpy()] = got.column("value").to_numpy()
         return cls(out.view(np.uint64))
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        place = values & np.uint64(64 * len(self.bits) - 1)
-        return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        word = self.words[((values >> np.uint64(6 * len(PLACES))) & np.uint64(len(self.words) - 1)).astype(np.int64)]
+        out = np.ones(len(values), bool)
+        for at in PLACES:
+            out &= (word >> ((values >> np.uint64(at)) & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
 
 def _language(name: str) -> np.uint64:
@@ -81,9 +87,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterator
 
 
 class Grams:
-    """The words of some texts, and of each run of n words a value that also depends on the language."""
+    """The words of some texts, and of each run of n words a value that also depends on the language. names: 32 bits of each text."""
 
-    def __init__(self, data: np.ndarray, lo: int, hi: int, offsets: np.ndarray, languages: np.ndarray):
+    def __init__(self, data: np.ndarray, lo: int, hi: int, offsets: np.ndarray, languages: np.ndarray, names: np.ndarray):
         self.data = data[lo:hi]
         inner = offsets[(offsets > lo) & (offsets < hi)]
         bounds = np.concatenate([[lo], inner, [hi]]) - lo
@@ -96,7 +102,7 @@ class Grams:
             new[1:] = ended[self.starts[1:]] != ended[self.starts[:-1]]
             new[begins[:-1][begins[:-1] < len(new)]] = True
         self.piece = np.cumsum(new)
-        self.language = languages[self.text]
+        self.language, self.name = languages[self.text], names[self.text]
 
     def values(self, n: int) -> np.ndarray:
         return mix(ngrams(self.h, n) ^ self.language[: len(self.h) - n + 1] + np.uint64(n)) if len(self.h) >= n else np.zeros(0, np.uint64)
@@ -127,84 +133,80 @@ _LOWER = (KINDS - 1).astype(np.uint8)
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Grams, list[str]]]:
     for batch in batches:
         data, offsets = buffer(batch.column("text"))
-        names = batch.column("lang").to_pylist()
-        languages = np.array([_language(x) for x in names], np.uint64)
+        langs = batch.column("lang").to_pylist()
+        languages = np.array([_language(x) for x in langs], np.uint64)
+        names = batch.column("name").to_numpy(zero_copy_only=False)
         for lo, hi in _cuts(data, offsets):
-            yield Grams(data, lo, hi, offsets, languages), names
+            yield Grams(data, lo, hi, offsets, languages, names), langs
+
+
+def _named(values: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Values of n-grams of one text each."""
+    names = names.view(np.uint32).astype(np.uint64)
+    return values ^ names ^ (names << np.uint64(32))
 
 
 def _counter(sizes: tuple[int, ...], filters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows k, c: values of the n-grams of these sizes, and how often they come."""
+    """Rows k, c, name: values of the n-grams of these sizes, how often they come, and a text that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, c = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            k, c, name = (np.concatenate([*(p[i] for p in parts), np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
             order = np.argsort(k)
-            k, c = k[order], c[order]
+            k, c, name = k[order], c[order], name[order]
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            return k[at], np.add.reduceat(c, at) if len(at) else c
+            return (k[at], np.add.reduceat(c, at), np.minimum.reduceat(name, at)) if len(at) else (k, c, name)
 
-        def sent(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + (1 << 16)].view(np.int64)), pa.array(c[lo : lo + (1 << 16)])], ["k", "c"])
+        def sent(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(rows[0]), 1 << 16):
+                k, c, name = (x[lo : lo + (1 << 16)] for x in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), pa.array(name)], ["k", "c", "name"])
 
-        known = filters.value if filters else []
+        known = filters.value
         for grams, _ in _read(batches):
             for n in sizes:
-                values = grams.values(n)
-                k, c = np.unique(values[grams.frequent(n, known)] if known else values, return_counts=True)
-                keys.append(k)
-                counts.append(c)
+                at = np.flatnonzero(grams.frequent(n, known))
+                k, first, c = np.unique(grams.values(n)[at], return_index=True, return_counts=True)
+                parts.append((k, c, grams.name[at[first]]))
                 held += len(k)
             if held > 2 * HELD:
-                k, c = merged()
-                keys, counts, held = [k], [c], len(k)
+                parts[:] = [merged()]
+                held = len(parts[0][0])
                 if held > HELD:
-                    yield from sent(k, c)
-                    keys, counts, held = [], [], 0
-        yield from sent(*merged())
+                    yield from sent(parts.pop())
+                    held = 0
+        yield from sent(merged())
 
     return run
 
 
-def _teller(max_n: int, filters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows lang, n, phrase, c of all n-grams that may be frequent; n is 0 for all words of a language."""
+def _teller(max_n: int, filters, texts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows k, lang, n, phrase of the n-grams in the texts that were named for them; and n 0 with the number of all words, c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
-        out: tuple[list, ...] = ([], [], [], [])
-        known = filters.value
-        total: dict[str, int] = {}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(out[0]), 1 << 14):
-                part = [x[lo : lo + (1 << 14)] for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.string()), pa.array(part[3], pa.int64())], ["lang", "n", "phrase", "c"])
-
-        for grams, names in _read(batches):
+        known, named, total, told = filters.value, texts.value, {}, set()
+        for grams, langs in _read(batches):
             for text, c in zip(*(x.tolist() for x in np.unique(grams.text, return_counts=True))):
-                total[names[text]] = total.get(names[text], 0) + c
+                total[langs[text]] = total.get(langs[text], 0) + c
+            out: tuple[list, ...] = ([], [], [], [])
             for n in range(1, max_n + 1):
                 at = np.flatnonzero(grams.frequent(n, known))
-                values, first, counts = np.unique(grams.values(n)[at], return_index=True, return_counts=True)
-                for value, i, c in zip(values.tolist(), at[first].tolist(), counts.tolist()):
-                    k = held.get(value)
-                    if k is None:
-                        held[value] = len(out[0])
-                        for x, y in zip(out, (names[grams.text[i]], n, grams.phrase(i, n), c)):
+                values = grams.values(n)[at]
+                mine = named.has(_named(values, grams.name[at]))
+                values, first = np.unique(values[mine], return_index=True)
+                for value, i in zip(values.view(np.int64).tolist(), at[mine][first].tolist()):
+                    if value not in told:
+                        told.add(value)
+                        for x, y in zip(out, (value, langs[grams.text[i]], n, grams.phrase(i, n))):
                             x.append(y)
-                    else:
-                        out[3][k] += c
-            if len(held) > HELD // 2:
-                yield from sent()
-                held.clear()
-                out = ([], [], [], [])
-        for name, c in total.items():
-            for x, y in zip(out, (name, 0, "", c)):
-                x.append(y)
-        yield from sent()
+            if len(told) > HELD:
+                told.clear()
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.nulls(len(out[0]), pa.int64())], ["k", "lang", "n", "phrase", "c"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["k", "lang", "n", "phrase", "c"])
 
     return run
 
@@ -212,14 +214,21 @@ def _teller(max_n: int, filters) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def counted(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: int = 4, least: int = 30) -> DataFrame:
     """lang, n, phrase, f of all phrases of up to max_n words that come least times or more; n is 0 for the number of words of a language."""
     context = docs.sparkSession.sparkContext
-    given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"), F.hash(text).alias("name"))
     filters: list[Filter] = []
+    frequent = None
     for sizes in [s for s in ((1,), (2,), tuple(range(3, max_n + 1))) if s and s[0] <= max_n]:
-        sent = context.broadcast(filters)
-        rows = given.mapInArrow(lean(_counter(sizes, sent)), "k long, c long")
-        filters = [*filters, Filter.of(written(rows.groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("k"), "frequent"))]
-    rows = given.mapInArrow(lean(_teller(max_n, context.broadcast(filters))), "lang string, n int, phrase string, c long")
-    return rows.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f")).filter((F.col("n") == 0) | (F.col("f") >= least))
+        rows = given.mapInArrow(lean(_counter(sizes, context.broadcast(filters))), "k long, c long, name int")
+        level = written(rows.groupBy("k").agg(F.sum("c").alias("f"), F.min("name").alias("name")).filter(F.col("f") >= least), "frequent")
+        filters = [*filters, Filter.of(level.select("k"))]
+        frequent = level if frequent is None else frequent.unionByName(level)
+    name = F.col("name").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    texts = Filter.of(frequent.select(F.col("k").bitwiseXOR(name).bitwiseXOR(F.shiftleft(name, 32)).alias("k")))
+    told = written(given.mapInArrow(lean(_teller(max_n, context.broadcast(filters), context.broadcast(texts))), "k long, lang string, n int, phrase string, c long"), "told")
+    phrases = told.filter("n > 0").groupBy("k").agg(F.min(F.struct("lang", "n", "phrase")).alias("x"))
+    phrases = phrases.join(frequent.select("k", "f"), "k").select("x.lang", "x.n", "x.phrase", "f")
+    return phrases.unionByName(told.filter("n = 0").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f")))
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: int = 4, least: int = 30, percent: int = 80, top: int = 2000, scale: int = 2_000_000) -> DataFrame:
