@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import measures, sets, streams, updates
+from quern.plans import measures, searches, sets, streams, updates
 
-QUERIES = sets.QUERIES | measures.QUERIES | updates.QUERIES | streams.QUERIES
-ORACLES = sets.ORACLES | measures.ORACLES | updates.ORACLES | streams.ORACLES
+QUERIES = sets.QUERIES | measures.QUERIES | updates.QUERIES | streams.QUERIES | searches.QUERIES
+ORACLES = sets.ORACLES | measures.ORACLES | updates.ORACLES | streams.ORACLES | searches.ORACLES

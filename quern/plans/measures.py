@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from quern.functions import sizing
 from quern.functions.hashing import key_hash
-from quern.operators import heavy
+from quern.operators import heavy, membership
 from quern.operators.cardinality import HyperLogLog, native_distinct
+from quern.operators.cuckoo import IncrementalCuckoo
 from quern.operators.frequency import AMS, CountMin, CountMinLog, CountSketch
 from quern.operators.frequency import merge as merge_counts
-from quern.operators.quantiles import DDSketch, TDigest, cdf, kll_quantiles, quantile
+from quern.operators.kll import KLL
+from quern.operators.quantiles import DDSketch, TDigest, cdf, kll_quantiles, kll_state, quantile
+from quern.operators.quotient import QuotientFilter
 from quern.operators.sampling import Reservoir
 from quern.operators.similarity import PRIME, BBitMinHash, MinHash, OddSketch, SimHash, WeightedMinHash, banded, beside, coefficients, met
-from quern.operators.windowed import sliding_counts
+from quern.operators.static_filters import BinaryFuse, CuckooFilter, Ribbon, Sharded, Xor
+from quern.operators.windowed import histograms, sliding_counts
 from quern.plans.sets import ORDERS, P, sql_hash, sql_positions
 from quern.sources import state as states
 from quern.sources import working
@@ -318,9 +322,9 @@ def stream_hll_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_cms_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: cells of the type counts of each week."""
+    """Exact: cells of the users' counts of all weeks."""
     stream = S.windowed(S.read_files(spark, f"{d}/events.parquet"), "ts", "7 days", "1 hour")
-    state = S.drain(S.count_min_state(stream, CMS, "event_type"), "complete")
+    state = S.drain(S.count_min_state(stream, CMS, "user_id"), "complete")
     return state.groupBy("row", "cell").agg(F.sum("count").alias("count"))
 
 
@@ -340,9 +344,9 @@ def stream_eh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partition_invariance(spark: SparkSession, d: str) -> DataFrame:
-    """Bounded: rows of each state, and whether that built by many parallel tasks equals that of one task, row by row."""
+    """Bounded: rows of each state, and whether those of two ways to deal rows over tasks, at random and by ranges, are equal row by row."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
-    spread, alone = lines.repartition(16), lines.coalesce(1)
+    spread, ranged = lines.repartition(16), lines.repartitionByRange(5, "l_extendedprice", "l_orderkey")
     builds = {
         "bloom": lambda df: ORDERS.bits(df, "l_orderkey"),
         "hyperloglog": lambda df: HLL.state(df, "l_orderkey"),
@@ -351,27 +355,34 @@ def partition_invariance(spark: SparkSession, d: str) -> DataFrame:
     }
     out = None
     for name, build in builds.items():
-        a, b = build(spread), build(alone)
+        a, b = build(spread), build(ranged)
         one = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(name).alias("sketch"), (F.count(F.lit(1)) == 0).alias("within_bound"))
         one = one.join(a.agg(F.count(F.lit(1)).alias("rows"))).select("sketch", "rows", "within_bound")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-GRID = [(1_000, 0.01), (10_000, 0.01), (10_000, 0.05), (1_000_000, 0.001)]
-BUDGETS = [(10_000, 0.01, 20_000), (10_000, 0.05, 9_000), (100_000, 0.001, 50_000_000), (100_000, 0.001, 10)]
+#: Tables whose rows are the keys to size for, with a rate; and with a rate and a budget in bytes, so many for each key and so many besides.
+GRID = [("customer", 0.01), ("part", 0.01), ("part", 0.05), ("lineitem", 0.001)]
+BUDGETS = [("part", 0.01, 2, 0), ("orders", 0.05, 0.9, 0), ("lineitem", 0.001, 500, 0), ("lineitem", 0.001, 0, 10)]
+
+
+def _rows_of(spark: SparkSession, d: str, names: set[str]) -> dict[str, int]:
+    return {name: table(spark, d, name).count() for name in sorted(names)}
 
 
 def sizing_params(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: bits, hashes and bytes of Bloom and cuckoo filters over a grid."""
-    rows = [(n, p, (b := sizing.bloom_params(n, p)).m, b.k, b.memory_bytes, (c := sizing.cuckoo_params(n, p)).capacity, c.fingerprint_bits) for n, p in GRID]
-    return spark.createDataFrame(rows, "n long, fpr double, bloom_m long, bloom_k long, bloom_bytes long, cuckoo_capacity long, cuckoo_bits long")
+    """Exact: bits, hashes and bytes of Bloom and cuckoo filters for the rows of some tables."""
+    count = _rows_of(spark, d, {t for t, _ in GRID})
+    rows = [(t, n := count[t], p, (b := sizing.bloom_params(n, p)).m, b.k, b.memory_bytes, (c := sizing.cuckoo_params(n, p)).capacity, c.fingerprint_bits) for t, p in GRID]
+    return spark.createDataFrame(rows, "source string, n long, fpr double, bloom_m long, bloom_k long, bloom_bytes long, cuckoo_capacity long, cuckoo_bits long")
 
 
 def recommend_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: the filter with the fewest false positives within a budget."""
-    rows = [(n, p, b, (r := sizing.recommend(n, p, b)).structure, r.memory_bytes) for n, p, b in BUDGETS]
-    return spark.createDataFrame(rows, "n long, fpr double, budget long, structure string, bytes long")
+    """Exact: the filter with the fewest false positives within a budget, for the rows of some tables."""
+    count = _rows_of(spark, d, {t for t, *_ in BUDGETS})
+    rows = [(t, n := count[t], p, budget := math.floor(each * n) + more, (r := sizing.recommend(n, p, budget)).structure, r.memory_bytes) for t, p, each, more in BUDGETS]
+    return spark.createDataFrame(rows, "source string, n long, fpr double, budget long, structure string, bytes long")
 
 
 def sketch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -392,6 +403,69 @@ def sketch_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _states(spark: SparkSession, d: str) -> list[tuple[str, object, DataFrame]]:
+    """A state of every kind with its sketch."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", (F.col("event_type") == "purchase").alias("bit"))
+    parts, n = _supplier_parts(spark, d), max(1, customers.count())
+    bloom, blocked, pairs = membership.Bloom.sized(n, 0.01, P), membership.Blocked.sized(n, 0.01, P), membership.Quotient.sized(n, policy=P)
+    slots, batches = QuotientFilter.sized(n, policy=P), IncrementalCuckoo.sized(n, policy=P)
+    filters = [(f"static_{type(f).__name__.lower()}{b}", s := Sharded.over(f, n, P), s.state(customers, "c_custkey")) for f, b in ((Xor(), 8), (BinaryFuse(16), 16), (Ribbon(8, 128), 8), (CuckooFilter(), ""))]
+    scalable, keeper, odd = membership.Scalable(200, 0.01, policy=P), heavy.HeavyKeeper(4, 256, 20), OddSketch(1024, P)
+    kll, weighted = KLL(200, 7), WeightedMinHash(16, P)
+    return [
+        *filters,
+        ("bloom", bloom, bloom.bits(customers, "c_custkey")),
+        ("bloom_words", bloom, bloom.words(bloom.bits(customers, "c_custkey"))),
+        ("counting_bloom", bloom, membership.counting(bloom, orders, "o_custkey")),
+        ("scalable_bloom", scalable, scalable.bits(customers, "c_custkey", [F.col("c_custkey")])),
+        ("blocked_bloom", blocked, blocked.state(customers, "c_custkey")),
+        ("quotient_pairs", pairs, pairs.state(customers, "c_custkey")),
+        ("quotient_slots", slots, slots.state(customers, "c_custkey")),
+        ("cuckoo_batches", batches, batches.insert(batches.empty(customers), customers, "c_custkey")),
+        ("hyperloglog", HLL, HLL.state(events, "user_id", ["event_type"])),
+        ("count_min", CMS, CMS.state(events, "user_id")),
+        ("count_min_log", CML, CML.state(events, "user_id")),
+        ("count_sketch", COUNT_SKETCH, COUNT_SKETCH.state(orders, "o_custkey", F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1))),
+        ("ams", AMS_, AMS_.state(orders, "o_custkey")),
+        ("misra_gries", heavy.MisraGries(50), heavy.MisraGries(50).summary(events, "user_id")),
+        ("space_saving", heavy.SpaceSaving(50), heavy.SpaceSaving(50).summary(events, "user_id")),
+        ("lossy_counting", heavy.LossyCounting(0.01), heavy.LossyCounting(0.01).summary(events, "user_id")),
+        ("heavy_keeper", keeper, keeper.state(events, "user_id")),
+        ("dd_sketch", DD, DD.state(customers, "c_acctbal")),
+        ("tdigest", DIGEST, DIGEST.state(events, "value", "event_type")),
+        ("kll_compactors", kll, kll.state(events, "value", ["event_type"])),
+        ("kll_native", "kll 200", kll_state(events, "value", ["event_type"])),
+        ("minhash", MINHASH, MINHASH.state(parts, "s", "l_partkey")),
+        ("bbit_minhash", BBIT, BBIT.state(parts, "s", "l_partkey")),
+        ("weighted_minhash", weighted, weighted.state(parts, "s", "l_partkey", "l_quantity")),
+        ("odd_sketch", odd, odd.state(parts, "s", "l_partkey")),
+        ("simhash", SIM, SIM.state(parts, "s", "l_partkey")),
+        ("reservoir", RESERVOIR, RESERVOIR.sample(events.select("event_id"), "event_id")),
+        ("exponential_histogram", (WINDOW, EPSILON), histograms(events, "user_id", "bit", ["ts", "event_id"], WINDOW, EPSILON)),
+    ]
+
+
+def all_states_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded: a state of every kind saved and loaded: whether its rows and the parameters in its columns are the same."""
+    rows = []
+    for name, sketch, state in _states(spark, d):
+        state, path = working.written(state, name), working.path(spark, f"saved_{name}")
+        states.save(state, path, name, {"spec": repr(sketch)})
+        back = states.load(spark, path, name, {"spec": repr(sketch)})
+        alike = {f.name: f.metadata.get("quern") for f in back.schema} == {f.name: f.metadata.get("quern") for f in state.schema}
+        told = [df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*state.columns).cast("decimal(38,0)"))).first() for df in (state, back)]
+        rows.append((name, alike and told[0] == told[1] and told[0][0] > 0))
+    return spark.createDataFrame(rows, "sketch string, within_bound boolean")
+
+
+#: The names that _states gives.
+KINDS = (
+    "static_xor8 static_binaryfuse16 static_ribbon8 static_cuckoofilter bloom bloom_words counting_bloom scalable_bloom blocked_bloom quotient_pairs quotient_slots cuckoo_batches hyperloglog count_min count_min_log count_sketch ams "
+    "misra_gries space_saving lossy_counting heavy_keeper dd_sketch tdigest kll_compactors kll_native minhash bbit_minhash weighted_minhash odd_sketch simhash reservoir exponential_histogram"
+).split()
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -399,7 +473,7 @@ QUERIES = {
         count_sketch_estimates, ams_f2, mg_heavy_hitters, lossy_heavy_hitters, space_saving_topk, space_saving_bounds, heavy_keeper_topk, approx_top_k_native,
         dd_quantiles, dd_state_merge, kll_quantiles_bound, tdigest_quantiles, tdigest_cdf, minhash_signatures, minhash_jaccard, bbit_minhash_jaccard,
         weighted_minhash_jaccard, odd_symmetric_difference, simhash_fingerprints, simhash_similarity, minhash_lsh_search, simhash_band_search, reservoir_sample, reservoir_by_group, eh_sliding_count,
-        stream_hll_windows, stream_cms_windows, stream_dd_windows, stream_eh, partition_invariance, sizing_params, recommend_filter, sketch_roundtrip,
+        stream_hll_windows, stream_cms_windows, stream_dd_windows, stream_eh, partition_invariance, sizing_params, recommend_filter, sketch_roundtrip, all_states_roundtrip,
     )
 }
 
@@ -519,15 +593,17 @@ SELECT DISTINCT x.s AS a, y.s AS b, bit_count(xor(x.fingerprint, y.fingerprint))
     "stream_eh": _LAST,
     "partition_invariance": _STATES,
     "stream_hll_windows": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events) " + _hll("e", "user_id", "day"),
-    "stream_cms_windows": f"SELECT r::INT AS row, {_cells('event_type', CMS.depth, CMS.width)} AS cell, count(*) AS count FROM events, (SELECT unnest(range(0, {CMS.depth})) AS r) GROUP BY ALL",
+    "stream_cms_windows": f"SELECT r::INT AS row, {_cells('user_id', CMS.depth, CMS.width)} AS cell, count(*) AS count FROM events, (SELECT unnest(range(0, {CMS.depth})) AS r) GROUP BY ALL",
     "stream_dd_windows": "SELECT day, median FROM (" + _dd("(SELECT strftime(ts, '%Y-%m-%d') AS day, value FROM events)", "value", [0.5], "day", "median") + ")",
-    "sizing_params": "SELECT n::BIGINT AS n, fpr::DOUBLE AS fpr, m AS bloom_m, greatest(1, round(m::DOUBLE / n * ln(2)))::BIGINT AS bloom_k, m // 8 AS bloom_bytes, 4 * pow(2, ceil(log2(greatest(2, ceil(n / 4.0)))))::BIGINT AS cuckoo_capacity, least(8, greatest(1, ceil(log2(8 / fpr::DOUBLE))))::BIGINT AS cuckoo_bits FROM (SELECT n, fpr, pow(2, ceil(log2(greatest(64, ceil(-n * ln(fpr::DOUBLE) / (ln(2) * ln(2)))))))::BIGINT AS m FROM (VALUES "
-    + ", ".join(map(str, GRID)) + ") g(n, fpr))",
-    "recommend_filter": "WITH g(n, fpr, budget) AS (VALUES " + ", ".join(map(str, BUDGETS)) + """), p AS (SELECT n::BIGINT AS n, fpr::DOUBLE AS fpr, budget::BIGINT AS budget,
-pow(2, ceil(log2(greatest(64, ceil(-n * ln(fpr::DOUBLE) / (ln(2) * ln(2)))))))::BIGINT // 8 AS bloom, 4 * pow(2, ceil(log2(greatest(2, ceil(n / 4.0)))))::BIGINT AS cuckoo,
-3 * greatest(32, pow(2, ceil(log2(ceil(0.41 * n)))))::BIGINT AS xor_, pow(2, ceil(log2(ceil(1.08 * n))))::BIGINT AS ribbon, 8 / pow(2, least(8, greatest(1, ceil(log2(8 / fpr::DOUBLE))))) AS cf FROM g),
-c AS (SELECT n, fpr, budget, unnest([struct_pack(o := 1, s := 'BloomFilter', b := bloom, f := fpr), struct_pack(o := 2, s := 'CuckooFilter', b := cuckoo, f := cf::DOUBLE), struct_pack(o := 3, s := 'XorFilter', b := xor_, f := 1 / 256::DOUBLE), struct_pack(o := 4, s := 'RibbonFilter', b := ribbon, f := 1 / 256::DOUBLE)]) AS c FROM p),
-r AS (SELECT n, fpr, budget, c.s AS structure, c.b AS bytes, row_number() OVER (PARTITION BY n, fpr, budget ORDER BY (c.b > budget)::INT, CASE WHEN c.b <= budget THEN round(c.f, 9) ELSE 0 END, c.b, c.o) AS k FROM c)
-SELECT n, fpr, budget, structure, bytes FROM r WHERE k = 1""",
+    "sizing_params": f"""SELECT source, n::BIGINT AS n, fpr::DOUBLE AS fpr, m AS bloom_m, greatest(1, round(m::DOUBLE / n * ln(2)))::BIGINT AS bloom_k, m // 8 AS bloom_bytes, 4 * pow(2, ceil(log2(greatest(2, ceil(n / 4.0)))))::BIGINT AS cuckoo_capacity, least(8, greatest(1, ceil(log2(8 / fpr::DOUBLE))))::BIGINT AS cuckoo_bits
+FROM (SELECT source, n, fpr, pow(2, ceil(log2(greatest(64, ceil(-n * ln(fpr::DOUBLE) / (ln(2) * ln(2)))))))::BIGINT AS m FROM ({" UNION ALL ".join(f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS n, {p} AS fpr" for t, p in GRID)}))""",
+    "recommend_filter": f"""WITH g AS ({" UNION ALL ".join(f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS n, {p}::DOUBLE AS fpr, floor({e} * (SELECT count(*) FROM {t}))::BIGINT + {more} AS budget" for t, p, e, more in BUDGETS)}),
+p AS (SELECT source, n::BIGINT AS n, fpr, budget,
+pow(2, ceil(log2(greatest(64, ceil(-n * ln(fpr) / (ln(2) * ln(2)))))))::BIGINT // 8 AS bloom, 4 * pow(2, ceil(log2(greatest(2, ceil(n / 4.0)))))::BIGINT AS cuckoo,
+3 * greatest(32, pow(2, ceil(log2(ceil(0.41 * n)))))::BIGINT AS xor_, pow(2, ceil(log2(ceil(1.08 * n))))::BIGINT AS ribbon, 8 / pow(2, least(8, greatest(1, ceil(log2(8 / fpr))))) AS cf FROM g),
+c AS (SELECT source, n, fpr, budget, unnest([struct_pack(o := 1, s := 'BloomFilter', b := bloom, f := fpr), struct_pack(o := 2, s := 'CuckooFilter', b := cuckoo, f := cf::DOUBLE), struct_pack(o := 3, s := 'XorFilter', b := xor_, f := 1 / 256::DOUBLE), struct_pack(o := 4, s := 'RibbonFilter', b := ribbon, f := 1 / 256::DOUBLE)]) AS c FROM p),
+r AS (SELECT source, n, fpr, budget, c.s AS structure, c.b AS bytes, row_number() OVER (PARTITION BY source, n, fpr, budget ORDER BY (c.b > budget)::INT, CASE WHEN c.b <= budget THEN round(c.f, 9) ELSE 0 END, c.b, c.o) AS k FROM c)
+SELECT source, n, fpr, budget, structure, bytes FROM r WHERE k = 1""",
     "sketch_roundtrip": _STATES,
+    "all_states_roundtrip": f"SELECT unnest({KINDS}) AS sketch, true AS within_bound FROM (SELECT count(*) FROM customer)",
 }

@@ -14,6 +14,7 @@ from quern.functions.hashing import key_hash, row_hash
 from quern.operators import membership as M
 from quern.operators.static_filters import BinaryFuse, CuckooFilter, Ribbon, Sharded, Xor
 from quern.sources.tables import table
+from quern.sources.working import written
 
 P = "md5_60"
 
@@ -28,13 +29,24 @@ def sql_positions(source: str, key: str, k: int, m: int, keep: str = "") -> str:
     return f"SELECT {keep}((h % 1073741824) + i * ((h >> 30) | 1)) % {m} AS bit FROM (SELECT {keep}{sql_hash(key)} AS h FROM {source}) hashed, (SELECT unnest(range(0, {k})) AS i) steps"
 
 
+def sql_sized(n: str, fpr: float) -> str:
+    """The row z of a Bloom filter's m and k for n keys."""
+    return f"z AS MATERIALIZED (SELECT m, greatest(1, round(m::DOUBLE / n * ln(2)))::BIGINT AS k FROM (SELECT n, pow(2, ceil(log2(greatest(64, ceil(-n * ln({fpr}::DOUBLE) / (ln(2) * ln(2)))))))::BIGINT AS m FROM (SELECT greatest(1, ({n})) AS n)))"
+
+
+def sql_placed(source: str, key: str, keep: str = "") -> str:
+    """As sql_positions, with the size of the row z."""
+    keep = keep and keep + ", "
+    return f"SELECT {keep}((h % 1073741824) + i * ((h >> 30) | 1)) % m AS bit FROM (SELECT {keep}m, h, unnest(range(0, k)) AS i FROM (SELECT {keep}{sql_hash(key)} AS h FROM {source}) hashed, z)"
+
+
 BRANDS = M.Bloom.sized(200, 0.01, P)
 ORDERS = M.Bloom.sized(20_000, 0.01, P)
 CUSTOMERS = M.Bloom.sized(2_000, 0.01, P)
-LINES = M.Bloom.sized(20_000, 0.05, P)
+#: Rates of the filters that are sized from their data.
+RATE, COUNTING_RATE = 0.01, 0.05
 SCALABLE = M.Scalable(20, 0.01, policy=P)
 BLOCKED = M.Blocked.sized(1_500, 0.01, P)
-QUOTIENT = M.Quotient.sized(20_000, policy=P)
 #: Bits of the vectors.
 VECTOR = 4096
 
@@ -52,10 +64,15 @@ def bloom_state_bits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bloom_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    """Verified."""
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    rows = ORDERS.semi_join(table(spark, d, "lineitem"), "l_orderkey", urgent, "o_orderkey")
-    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    """Verified; and whether of the lines of other orders no more passed the filter, sized from the orders, than two and a half times its rate, or 10."""
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
+    size = M.Bloom.sized(max(1, urgent.count()), RATE, P)
+    told = size.maybe(lines, "l_orderkey", size.bits(urgent, "o_orderkey")).groupBy("l_orderkey", "l_returnflag", "maybe").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    both = told.join(urgent.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("member")), "l_orderkey", "left")
+    member = F.coalesce("member", F.lit(False))
+    out = both.groupBy("l_returnflag").agg(F.sum(F.when(member & F.col("maybe"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(member & F.col("maybe"), F.col("quantity")).otherwise(0.0)).alias("quantity"), F.sum(F.when(~member, F.col("n")).otherwise(0)).alias("_others"), F.sum(F.when(~member & F.col("maybe"), F.col("n")).otherwise(0)).alias("_passed"))
+    return out.select("l_returnflag", "n", "quantity", (F.col("_passed") <= F.greatest(F.lit(10.0), 2.5 * RATE * F.col("_others"))).alias("within_bound"))
 
 
 def bit_vector_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -73,10 +90,12 @@ def bit_vector_ops(spark: SparkSession, d: str) -> DataFrame:
 def counting_bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """Exact: orders that a counting filter of finished ones tells, and counters after those of urgent ones that it may hold were removed."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    state = M.counting(LINES, orders.filter("o_orderstatus = 'F'"), "o_orderkey")
-    rest, asked = M.counting_remove(LINES, state, orders.filter("o_orderpriority = '1-URGENT'"), "o_orderkey")
-    told = M.counting_maybe(LINES, orders, "o_orderkey", state).agg(F.sum(F.col("maybe").cast("long")).alias("told"))
-    return told.join(asked.agg(F.sum(F.col("removed").cast("long")).alias("removed"))).join(M.counting_stats(LINES, rest).select(F.col("used").alias("counters_left")))
+    finished = orders.filter("o_orderstatus = 'F'")
+    size = M.Bloom.sized(max(1, finished.count()), COUNTING_RATE, P)
+    state = written(M.counting(size, finished, "o_orderkey"), "counting")
+    rest, asked = M.counting_remove(size, state, orders.filter("o_orderpriority = '1-URGENT'"), "o_orderkey")
+    told = M.counting_maybe(size, orders, "o_orderkey", state).agg(F.sum(F.col("maybe").cast("long")).alias("told"))
+    return told.join(asked.agg(F.sum(F.col("removed").cast("long")).alias("removed"))).join(M.counting_stats(size, rest).select(F.col("used").alias("counters_left")))
 
 
 def bloom_union_intersect(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +125,8 @@ def counting_bloom_delete(spark: SparkSession, d: str) -> DataFrame:
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     lines = table(spark, d, "lineitem")
     both = lines.select("l_orderkey", F.lit(1).alias("s")).unionByName(lines.filter(sign < 0).select("l_orderkey", F.lit(-1).alias("s")))
-    state = M.counting(LINES, both, "l_orderkey", sign=F.col("s"))
+    size = M.Bloom.sized(max(1, table(spark, d, "orders").count()), COUNTING_RATE, P)
+    state = M.counting(size, both, "l_orderkey", sign=F.col("s"))
     return state.agg(F.count(F.lit(1)).alias("used"), F.sum("count").cast("long").alias("total"), F.max("count").cast("long").alias("largest"))
 
 
@@ -122,16 +142,18 @@ def blocked_bloom_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quotient_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Exact: pairs, and how full the table is."""
-    state = QUOTIENT.state(table(spark, d, "lineitem"), "l_orderkey")
-    return state.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("q").alias("quotients"), F.round(F.count(F.lit(1)) / QUOTIENT.slots, 6).alias("load"))
+    """Exact: pairs, and how full a table sized from the orders is."""
+    quotient = M.Quotient.sized(max(1, table(spark, d, "orders").count()), policy=P)
+    state = quotient.state(table(spark, d, "lineitem"), "l_orderkey")
+    return state.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("q").alias("quotients"), F.round(F.count(F.lit(1)) / quotient.slots, 6).alias("load"))
 
 
 def quotient_set_ops(spark: SparkSession, d: str) -> DataFrame:
     """Exact: union and intersection of two filters, and one after deletion of the other's keys."""
     orders = table(spark, d, "orders")
-    a, b = (QUOTIENT.state(orders.filter(F.col("o_orderstatus") == s), "o_custkey") for s in "FO")
-    rest = QUOTIENT.remove(a, orders.filter("o_orderstatus = 'O'"), "o_custkey")
+    quotient = M.Quotient.sized(max(1, table(spark, d, "customer").count()), policy=P)
+    a, b = (quotient.state(orders.filter(F.col("o_orderstatus") == s), "o_custkey") for s in "FO")
+    rest = quotient.remove(a, orders.filter("o_orderstatus = 'O'"), "o_custkey")
     out = M.union(a, b).agg(F.count(F.lit(1)).alias("union_pairs")).join(M.intersection(a, b).agg(F.count(F.lit(1)).alias("intersection_pairs")))
     return out.join(rest.agg(F.count(F.lit(1)).alias("rest_pairs")))
 
@@ -141,8 +163,10 @@ def learned_bloom_filter(spark: SparkSession, d: str) -> DataFrame:
     returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct()
     parts = table(spark, d, "part")
     dear = F.col("p_retailprice") > 1500
-    bits = M.learned_state(parts.join(returned, "p_partkey", "left_semi"), "p_partkey", dear, ORDERS)
-    rest = M.learned_maybe(parts, "p_partkey", dear, ORDERS, bits).filter("maybe").join(returned, "p_partkey", "left_semi")
+    members = parts.join(returned, "p_partkey", "left_semi")
+    backup = M.Bloom.sized(max(1, members.filter(~dear).count()), RATE, P)
+    bits = M.learned_state(members, "p_partkey", dear, backup)
+    rest = M.learned_maybe(parts, "p_partkey", dear, backup, bits).filter("maybe").join(returned, "p_partkey", "left_semi")
     return rest.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -189,7 +213,12 @@ def _customers(status: str) -> str:
 
 
 def _pairs(source: str, key: str) -> str:
-    return f"SELECT DISTINCT (h >> {QUOTIENT.r}) % {QUOTIENT.slots} AS q, h % {1 << QUOTIENT.r} AS r FROM (SELECT {sql_hash(key)} AS h FROM {source})"
+    return f"SELECT DISTINCT (h >> 13) % slots AS q, h % 8192 AS r, slots FROM (SELECT {sql_hash(key)} AS h FROM {source}), s"
+
+
+def _slots(n: str) -> str:
+    """The row s of a quotient filter's slots for n keys."""
+    return f"s AS MATERIALIZED (SELECT greatest(8, pow(2, ceil(log2(ceil(greatest(1, ({n})) / 0.75)))))::BIGINT AS slots)"
 
 
 def _stages() -> str:
@@ -204,18 +233,20 @@ def _stages() -> str:
 ORACLES = {
     "hash_policies": f"SELECT p_brand, {sql_hash('p_brand')} AS h, " + ", ".join(f"""{sql_hash(f"p_brand || '#{i}'")} AS h{i}""" for i in range(3)) + " FROM (SELECT DISTINCT p_brand FROM part)",
     "bloom_state_bits": f"SELECT p_brand, count(*) AS bits_set, round(count(*) / {BRANDS.m}.0, 6) AS fill_ratio FROM (SELECT DISTINCT p_brand, bit FROM ({sql_positions('part', 'p_partkey', BRANDS.k, BRANDS.m, 'p_brand')})) GROUP BY p_brand",
-    **dict.fromkeys(("bloom_semi_join", "cuckoo_semi_join", "fuse_semi_join", "xor_semi_join", "ribbon_semi_join"), _SEMI),
+    "bloom_semi_join": _SEMI.replace("AS quantity FROM", "AS quantity, true AS within_bound FROM"),
+    **dict.fromkeys(("cuckoo_semi_join", "fuse_semi_join", "xor_semi_join", "ribbon_semi_join"), _SEMI),
     "bloom_union_intersect": f"SELECT (SELECT count(*) FROM ({_customers('F')} UNION {_customers('O')})) AS union_bits, (SELECT count(*) FROM ({_customers('F')} INTERSECT {_customers('O')})) AS intersection_bits",
     "bit_vector_ops": "WITH a AS ({a}), b AS ({b}) ".format(**{x: f"SELECT DISTINCT {sql_hash('o_custkey')} % {VECTOR} AS p FROM orders WHERE o_orderstatus = '{s}'" for x, s in (("a", "F"), ("b", "O"))})
     + "SELECT vector, count(*) AS ones, count(*) AS positions, max(p) AS last FROM (SELECT 'a' AS vector, p FROM a UNION ALL SELECT 'b', p FROM b UNION ALL SELECT 'or', p FROM (FROM a UNION FROM b) UNION ALL SELECT 'and', p FROM (FROM a INTERSECT FROM b)) GROUP BY vector",
-    "counting_bloom_probe": f"""WITH s AS (SELECT bit, count(*) AS n FROM ({sql_positions("(SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F') f", 'o_orderkey', LINES.k, LINES.m)}) GROUP BY bit),
-q AS ({sql_positions('orders', 'o_orderkey', LINES.k, LINES.m, 'o_orderkey, o_orderpriority')}),
+    "counting_bloom_probe": f"""WITH {sql_sized("SELECT count(*) FROM orders WHERE o_orderstatus = 'F'", COUNTING_RATE)},
+s AS (SELECT bit, count(*) AS n FROM ({sql_placed("(SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F') f", 'o_orderkey')}) GROUP BY bit),
+q AS ({sql_placed('orders', 'o_orderkey', 'o_orderkey, o_orderpriority')}),
 t AS (SELECT o_orderkey, any_value(o_orderpriority) AS p, count(DISTINCT bit) = count(DISTINCT s.bit) AS hit FROM (SELECT q.*, s.bit AS found FROM q LEFT JOIN s USING (bit)) q LEFT JOIN s USING (bit) GROUP BY o_orderkey),
 g AS (SELECT bit, count(*) AS n FROM q JOIN t USING (o_orderkey) WHERE hit AND p = '1-URGENT' GROUP BY bit)
 SELECT (SELECT count(*) FROM t WHERE hit) AS told, (SELECT count(*) FROM t WHERE hit AND p = '1-URGENT') AS removed, (SELECT count(*) FROM s LEFT JOIN g USING (bit) WHERE s.n > coalesce(g.n, 0)) AS counters_left""",
     "bloom_fpr_check": "SELECT count(*)::BIGINT AS members, count(*)::BIGINT AS members_found, true AS within_bound FROM orders",
-    "counting_bloom_delete": f"""WITH k AS (SELECT l_orderkey, count(*) AS up, count(*) FILTER (l_returnflag = 'R') AS down FROM lineitem GROUP BY l_orderkey),
-c AS (SELECT bit, sum(up) AS up, sum(down) AS down FROM ({sql_positions('k', 'l_orderkey', LINES.k, LINES.m, 'up, down')}) GROUP BY bit),
+    "counting_bloom_delete": f"""WITH {sql_sized('SELECT count(*) FROM orders', COUNTING_RATE)}, o AS (SELECT l_orderkey, count(*) AS up, count(*) FILTER (l_returnflag = 'R') AS down FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT bit, sum(up) AS up, sum(down) AS down FROM ({sql_placed('o', 'l_orderkey', 'up, down')}) GROUP BY bit),
 v AS (SELECT CASE WHEN up >= 255 THEN 255 ELSE greatest(up - down, 0) END AS n FROM c)
 SELECT count(*)::BIGINT AS used, sum(n)::BIGINT AS total, max(n)::BIGINT AS largest FROM v WHERE n > 0""",
     "scalable_bloom_stages": f"""WITH s(stage, lo, hi, m, k) AS (VALUES {_stages()}),
@@ -224,8 +255,8 @@ p AS (SELECT stage, m, k, {sql_hash('user_id')} AS h FROM u JOIN s ON n > lo AND
 SELECT stage, count(DISTINCT bit) AS bits_set FROM (SELECT stage, ((h % 1073741824) + i * ((h >> 30) | 1)) % m AS bit FROM (SELECT *, unnest(range(0, k)) AS i FROM p)) GROUP BY stage""",
     "blocked_bloom_blocks": f"""SELECT block, count(DISTINCT bit) AS bits_set FROM (SELECT (h % 1073741824) % {BLOCKED.blocks} AS block, ((h % 1073741824) // {BLOCKED.blocks} + i * ((h >> 30) | 1)) % 512 AS bit
 FROM (SELECT {sql_hash('c_custkey')} AS h FROM customer), (SELECT unnest(range(0, {BLOCKED.k})) AS i)) GROUP BY block""",
-    "quotient_pairs": f"SELECT count(*) AS pairs, count(DISTINCT q) AS quotients, round(count(*) / {QUOTIENT.slots}.0, 6) AS load FROM ({_pairs('lineitem', 'l_orderkey')})",
-    "quotient_set_ops": "WITH a AS ({a}), b AS ({b}) SELECT (SELECT count(*) FROM (FROM a UNION FROM b)) AS union_pairs, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS intersection_pairs, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS rest_pairs".format(
+    "quotient_pairs": f"WITH {_slots('SELECT count(*) FROM orders')} SELECT count(*) AS pairs, count(DISTINCT q) AS quotients, round(count(*) / any_value(slots)::DOUBLE, 6) AS load FROM ({_pairs('lineitem', 'l_orderkey')})",
+    "quotient_set_ops": f"WITH {_slots('SELECT count(*) FROM customer')}, " + "a AS ({a}), b AS ({b}) SELECT (SELECT count(*) FROM (FROM a UNION FROM b)) AS union_pairs, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS intersection_pairs, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS rest_pairs".format(
         a=_pairs("orders WHERE o_orderstatus = 'F'", "o_custkey"), b=_pairs("orders WHERE o_orderstatus = 'O'", "o_custkey")
     ),
     "learned_bloom_filter": "SELECT p_brand, count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY p_brand",
