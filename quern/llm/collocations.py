@@ -18,53 +18,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.sizing import power_of_two
-from quern.llm.common import PIECE, buffer, byte_table, lean, mix, ngrams, table, word_hashes, words, written
+from quern.llm.common import PIECE, Filter, buffer, byte_table, lean, mix, ngrams, table, word_hashes, words, written
 
 #: Bytes that end a piece, and those between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 KINDS = byte_table(ENDS + BLANKS, lower=True)
 _ENDS = np.isin(np.arange(256), list(ENDS))
-#: Different n-grams that a task counts before it sends them on; bits of a filter at most, and for each key.
-HELD, FILTER_BITS, BITS = 1 << 20, 1 << 29, 16
-#: Where a value's bits of six begin that name its places in a word.
-PLACES = (0, 6, 12, 18)
+#: Different n-grams that a task counts before it sends them on.
+HELD = 1 << 20
 #: Slices of a language that are ranked on their own.
 SLICES = 64
 
 
-@dataclass(frozen=True)
-class Filter:
-    """Values that may be in a set: 64-bit words, in each of which a value has four bits, so none is missing that was put in."""
-
-    words: np.ndarray
-
-    @classmethod
-    def of(cls, values: DataFrame) -> Filter:
-        """From rows k. At most FILTER_BITS / 64 words come to the driver."""
-        size = min(FILTER_BITS, power_of_two(max(64, BITS * values.count()))) // 64
-        bits = " | ".join(f"shiftleft(1L, cast(shiftright(k, {at}) & 63L as int))" for at in PLACES)
-        word = F.shiftrightunsigned("k", 6 * len(PLACES)).bitwiseAND(F.lit(size - 1))
-        got = values.groupBy(word.alias("word")).agg(F.expr(f"bit_or({bits})").alias("value")).toArrow()
-        out = np.zeros(size, np.int64)
-        out[got.column("word").to_numpy()] = got.column("value").to_numpy()
-        return cls(out.view(np.uint64))
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        word = self.words[((values >> np.uint64(6 * len(PLACES))) & np.uint64(len(self.words) - 1)).astype(np.int64)]
-        out = np.ones(len(values), bool)
-        for at in PLACES:
-            out &= (word >> ((values >> np.uint64(at)) & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
 def _language(name: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
 

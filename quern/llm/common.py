@@ -6,16 +6,14 @@ UTF-8 bytes of a whole group of documents and ``word_hashes`` gives each word a
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import ctypes.util
 import functools
 import gc
 import hashlib
-import tempfile
-import uuid
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,69 +21,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that are turned into arrays at a time in a Python worker.
-PIECE = 1 << 19
+from quern.functions.sizing import power_of_two
+from quern.sources.working import made, release, released, shared_dir, written
+from quern.sources.working import path as working_path
 
-_MADE: list[tuple[SparkSession, str]] = []
+__all__ = ["made", "release", "released", "shared_dir", "working_path", "written"]
 
+#: Bytes of text that are turned into arrays at a time in a Python worker.
+PIECE = 1 << 19
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset the context's checkpoint folder, on a cluster the warehouse, else a folder of this session's own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            return given.get()
-        if spark.sparkContext.master.split("[")[0] == "local":
-            base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-            spark.sparkContext.setCheckpointDir(base)
-        else:  # a folder of one machine would not do
-            base = spark.conf.get("spark.sql.warehouse.dir")
-    return base.rstrip("/")
-
-
-def working_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}/{name}"
-    if not _MADE:
-        atexit.register(release)
-    _MADE.append((spark, path))
-    return path
-
-
-def made() -> int:
-    """How many working tables there are."""
-    return len(_MADE)
-
-
-def released(since: int, keep: int = 0) -> None:
-    """Deletes the working tables made after the first ``since`` ones, but for the last ``keep``; results that still read them must be written before."""
-    gone = _MADE[since : len(_MADE) - keep]
-    del _MADE[since : len(_MADE) - keep]
-    for spark, path in gone:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def release() -> None:
-    """Deletes all working tables written so far, as happens at exit; a long session may call it between results."""
-    try:
-        released(0)
-    except Exception:  # the session has ended; its folder goes with the cluster's own clean-up
-        _MADE.clear()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = working_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @functools.cache
 def _libc():
     return ctypes.CDLL(ctypes.util.find_library("c"))
@@ -239,3 +187,32 @@ def text_pieces(batch: pa.RecordBatch, kinds: np.ndarray, limit: int = PIECE):
     for lo, hi in pieces(offsets, limit):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         yield lo, part, *words(part, at, kinds)
+
+
+#: Bits of a filter at most, and for each key; where a value's bits of six begin that name its places in a word.
+FILTER_BITS, BITS, PLACES = 1 << 29, 16, (0, 6, 12, 18)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Values that may be in a set: 64-bit words, in each of which a value has four bits, so none is missing that was put in."""
+
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, values: DataFrame, bits_each: int = BITS) -> Filter:
+        """From rows k. At most FILTER_BITS / 64 words come to the driver."""
+        size = min(FILTER_BITS, power_of_two(max(64, bits_each * values.count()))) // 64
+        bits = " | ".join(f"shiftleft(1L, cast(shiftright(k, {at}) & 63L as int))" for at in PLACES)
+        word = F.shiftrightunsigned("k", 6 * len(PLACES)).bitwiseAND(F.lit(size - 1))
+        got = values.groupBy(word.alias("word")).agg(F.expr(f"bit_or({bits})").alias("value")).toArrow()
+        out = np.zeros(size, np.int64)
+        out[got.column("word").to_numpy()] = got.column("value").to_numpy()
+        return cls(out.view(np.uint64))
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        word = self.words[((values >> np.uint64(6 * len(PLACES))) & np.uint64(len(self.words) - 1)).astype(np.int64)]
+        out = np.ones(len(values), bool)
+        for at in PLACES:
+            out &= (word >> ((values >> np.uint64(at)) & np.uint64(63))) & np.uint64(1) == 1
+        return out

@@ -5,10 +5,10 @@ Items and documents are lower-cased (A-Z) and cut into words; an item's patterns
 sequence once; matched word ranges are mapped back to offsets in the document as it came.
 
 Items are written to the shared folder in blocks of about ``block_words`` words; an item with more is cut into parts that
-overlap by one word less than a window, so that no window is lost. Each task reads the blocks from there and builds their
-automatons one after another: it never holds more than one, and neither the driver nor a closure holds any. There is
-one automaton for all items unless they have more words than a block; where there are several, a task gathers
-``GATHERED`` bytes of text and takes them through all automatons in turn. Either way documents are read once and nothing is shuffled.
+overlap by one word less than a window, so that no window is lost. A task holds one automaton at a time, and neither the driver nor a
+closure holds any. There is one automaton for all items unless they have more words than a block. Where there are several, each is
+built once and saved beside its items, and a bit filter of all blocks' windows, of a bounded size, tells which texts may hold any: a task
+gathers ``GATHERED`` bytes of these and takes them through the automatons in turn. Documents are read once and nothing of them is shuffled.
 
 Defined cases: null text has no words, an item without words has no pattern, a null item id is the
 empty string in the digest and counts as an item, repeated rows are judged each on their own, very long texts and items are read whole,
@@ -17,22 +17,28 @@ an empty table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_type, lean, table, working_path
+from quern.llm.common import Filter, buffer, byte_table, id_type, lean, mix, ngrams, pieces, table, word_hashes, words, working_path, written
 
 #: Words of a text as it came: A-Z belong to them.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A-Z to a-z, what separates words to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: The same for words in arrays of bytes.
+KINDS = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()), lower=True)
+#: Bits of the filter for each window.
+WINDOW_BITS = 48
 #: Words of items in one automaton, about; it takes some hundred bytes for each place of a window.
 BLOCK_WORDS = 200_000
 #: Rows that are objects at a time where there is one automaton.
@@ -115,6 +121,29 @@ def _parter(window: int, limit: int):
     return cut
 
 
+def window_values(h: np.ndarray, n: int) -> np.ndarray:
+    """A value for each run of n words."""
+    return mix(ngrams(h, n) + np.uint64(n))
+
+
+def _windows(window: int):
+    """Rows n, k of the patterns of items' words: their length and value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffer(batch.column("words"))
+            lengths, values = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            starts, ends, begins = words(data, offsets, KINDS)
+            h = word_hashes(data, starts, ends, KINDS)
+            for a, b in zip(begins[:-1], begins[1:]):
+                if b > a:
+                    values.append(window_values(h[a:b], min(window, b - a)))
+                    lengths.append(np.full(len(values[-1]), min(window, b - a), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lengths)), pa.array(np.concatenate(values).view(np.int64))], ["n", "k"])
+
+    return run
+
+
 class Blocks:
     """The benchmark in the shared folder, and how a task reads it."""
 
@@ -127,12 +156,42 @@ class Blocks:
         self.folder, self.window = working_path(benchmark.sparkSession, "items"), window
         parts = parts.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(self.count)).cast("int").alias("block"))
         parts.repartition(self.count, "block").write.partitionBy("block").parquet(self.folder)
+        self.built, self.sent, self.lengths = "", None, []
+        if self.count > 1:
+            self._prepare(benchmark.sparkSession)
+
+    def _prepare(self, spark: SparkSession) -> None:
+        """Builds the automaton of each block once, in tasks of its own, and the filter of all windows."""
+        load = self._from_items
+
+        def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(load(k), 5)], pa.binary())], ["block", "data"])
+
+        built = working_path(spark, "automata")
+        spark.range(0, self.count, 1, self.count).mapInArrow(lean(save), "block int, data binary").write.partitionBy("block").parquet(built)
+        items = spark.read.parquet(self.folder).select("words")
+        values = written(items.mapInArrow(lean(_windows(self.window)), "n int, k long").distinct(), "windows")
+        self.lengths = sorted(r["n"] for r in values.select("n").distinct().collect())  # as many as a window has words at most
+        self.sent = spark.sparkContext.broadcast(Filter.of(values.select("k"), WINDOW_BITS))
+        self.built = built
 
     def __getstate__(self) -> dict:
-        return {"count": self.count, "folder": self.folder, "window": self.window}
+        return {"count": self.count, "folder": self.folder, "window": self.window, "built": self.built, "sent": self.sent, "lengths": self.lengths}
 
     def load(self, block: int) -> tuple[list[str], dict[bytes, int], ahocorasick.Automaton | None]:
         """Names of the block's items, word numbers, and its automaton."""
+        if not self.built:
+            return self._from_items(block)
+        fs, base = pafs.FileSystem.from_uri(self.built)
+        for f in fs.get_file_info(pafs.FileSelector(f"{base}/block={block}")):
+            if f.is_file and f.path.endswith(".parquet"):
+                with fs.open_input_file(f.path) as source:
+                    return pickle.loads(pq.ParquetFile(source).read(columns=["data"]).column("data")[0].as_buffer())
+        raise FileNotFoundError(f"{self.built}: block {block}")
+
+    def _from_items(self, block: int) -> tuple[list[str], dict[bytes, int], ahocorasick.Automaton | None]:
         fs, base = pafs.FileSystem.from_uri(self.folder)
         found = fs.get_file_info(pafs.FileSelector(f"{base}/block={block}", allow_not_found=True))
         files = sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet"))
@@ -146,20 +205,47 @@ class Blocks:
 
     def search(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, list[tuple[int, int]], list[str]]]]]:
         """Each batch, and for each of its texts (in that column): the text, its number of words, ranges inside matches, items."""
+        if self.count == 1:
+            one = self.load(0)
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):  # a few rows at a time, so that no more than these are held as objects
+                    yield from self._all([batch.slice(k, ROWS)], column, one)
+            return
         held: list[pa.RecordBatch] = []
-        size, one = 0, self.load(0) if self.count == 1 else None
+        size = 0
         for batch in batches:
-            if one:  # a few rows at a time, so that no more than these are held as objects
-                for k in range(0, batch.num_rows, ROWS):
-                    yield from self._all([batch.slice(k, ROWS)], column, one)
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size >= GATHERED:
-                yield from self._all(held, column, one)
-                held, size = [], 0
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                count, maybe = self._maybe(part.column(column))
+                if not maybe.any():
+                    yield part, [(b"", n, [], []) for n in count.tolist()]
+                    continue
+                # What surely holds no window is done; the rest waits for the automatons.
+                clean = np.flatnonzero(~maybe)
+                if len(clean):
+                    yield part.take(pa.array(clean)), [(b"", n, [], []) for n in count[clean].tolist()]
+                held.append(part.take(pa.array(np.flatnonzero(maybe))))
+                size += held[-1].nbytes
+                if size >= GATHERED:
+                    yield from self._all(held, column, None)
+                    held, size = [], 0
         if held:
-            yield from self._all(held, column, one)
+            yield from self._all(held, column, None)
+
+    def _maybe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the number of words, and whether some window's value may be in the filter."""
+        data, offsets = buffer(texts)
+        count, maybe = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for lo, hi in pieces(offsets):
+            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            starts, ends, begins = words(part, at, KINDS)
+            h = word_hashes(part, starts, ends, KINDS)
+            count[lo:hi] = np.diff(begins)
+            for n in self.lengths:
+                found = np.flatnonzero(self.sent.value.has(window_values(h, n)))
+                row = np.searchsorted(begins, found, "right") - 1
+                maybe[lo + row[found + n <= begins[row + 1]]] = True
+        return count, maybe
 
     def _all(self, held: list[pa.RecordBatch], column: int, one):
         texts = [[x.as_py() or b"" for x in batch.column(column).cast(pa.binary())] for batch in held]

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm import collocations, cover_tree, embedding_dedup, vector_codes
+from quern.llm import collocations, common, cover_tree, embedding_dedup, vector_codes
 
 # Phrase collocations.
 
@@ -92,8 +92,8 @@ def test_long_texts_are_cut_only_where_a_piece_ends():
 def test_a_filter_lets_all_its_values_through(spark, monkeypatch):
     keys = [random.Random(5).randrange(-(2**63), 2**63) for _ in range(3000)]
     for bits in (1 << 29, 256):  # also where it is full, as beyond its largest size
-        monkeypatch.setattr(collocations, "FILTER_BITS", bits)
-        filter_ = collocations.Filter.of(spark.createDataFrame([(k,) for k in keys], "k long"))
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        filter_ = common.Filter.of(spark.createDataFrame([(k,) for k in keys], "k long"))
         assert filter_.has(np.array(keys).view(np.uint64)).all()
         others = np.random.default_rng(6).integers(0, 1 << 63, 3000, dtype=np.uint64)
         assert bits == 256 or filter_.has(others).mean() < 0.02
