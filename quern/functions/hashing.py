@@ -28,13 +28,16 @@ def xxhash64(key: Column) -> Column:
 
 
 def xxh3(key: Column) -> Column:
-    """60 bits of XXH3, by Arrow batches: for values shared with programs that use it. Integers hash as their text."""
+    """60 bits of XXH3, by Arrow batches, once for each different value of a batch: for values shared with programs that use it. Integers hash as their text."""
+    import numpy as np
     import pandas as pd
     import xxhash
 
     @F.pandas_udf("bigint")
     def hashed(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: xxhash.xxh3_64_intdigest(x) & (1 << BITS) - 1, na_action="ignore")
+        codes, values = pd.factorize(text)  # -1 for nulls
+        hashes = np.array([*(xxhash.xxh3_64_intdigest(x) & (1 << BITS) - 1 for x in values), 0], np.int64)
+        return pd.Series(pd.arrays.IntegerArray(hashes[codes], codes < 0))
 
     return hashed(key.cast("string"))
 

@@ -125,7 +125,7 @@ class BBitMinHash:
 
 @dataclass(frozen=True)
 class WeightedMinHash:
-    """Consistent weighted sampling: state set, slot, item, t. Slots agree with the probability of the weighted Jaccard."""
+    """Consistent weighted sampling: state set, slot, item (its hash), t. Slots agree with the probability of the weighted Jaccard."""
 
     k: int = 128
     policy: Policy = "xxhash64"
@@ -136,9 +136,9 @@ class WeightedMinHash:
     def state(self, df: DataFrame, set_col: str, item: str, weight: str) -> DataFrame:
         """Numbers of an item's slots are drawn once in a batch of rows; of each set only the least of each slot leave a task."""
         given = df.filter(F.col(item).isNotNull() & (F.col(weight) > 0)).groupBy(set_col, item).agg(F.sum(F.col(weight).cast("double")).alias("_w"))
-        rows = given.select(F.col(set_col).alias("set"), F.col(item).cast("string").alias("item"), key_hash(item, self.policy).alias("h"), F.log("_w").alias("w"))
+        rows = given.select(F.col(set_col).alias("set"), key_hash(item, self.policy).alias("h"), F.log("_w").alias("w"))
         kind = dict(df.dtypes)[set_col]
-        parts = rows.mapInArrow(_least_samples(self.k), f"set {kind}, slot array<int>, a array<double>, item array<string>, t array<long>")
+        parts = rows.mapInArrow(_least_samples(self.k), f"set {kind}, slot array<int>, a array<double>, item array<long>, t array<long>")
         each = parts.select("set", F.explode(F.arrays_zip("slot", "a", "item", "t")).alias("x")).select(F.col("set").alias(set_col), "x.*")
         least = each.groupBy(set_col, "slot").agg(F.min(F.struct("a", "item", "t")).alias("_m"))
         return least.select(set_col, params.tagged(F.col("slot"), "slot", self), "_m.a", "_m.item", "_m.t")
@@ -173,15 +173,16 @@ def _least_samples(k: int):
             sets, best = list(held), list(held.values())
             held.clear()
             columns = [pa.array(sets, kind), pa.array([list(range(k))] * len(sets), pa.list_(pa.int32()))]
-            columns += [pa.array([x[i].tolist() for x in best], pa.list_(t)) for i, t in enumerate((pa.float64(), pa.string(), pa.int64()))]
+            columns += [pa.array([x[i].tolist() for x in best], pa.list_(t)) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, ["set", "slot", "a", "item", "t"])
 
         for batch in batches:
             kind = batch.schema.field("set").type
-            h, place = np.unique(batch.column("h").to_numpy(zero_copy_only=False).astype(_U), return_inverse=True)
+            items = batch.column("h").to_numpy(zero_copy_only=False)
+            h, place = np.unique(items.astype(_U), return_inverse=True)
             r = -np.log(_uniform(h, k, 1) * _uniform(h, k, 2))
             c, b = np.log(-np.log(_uniform(h, k, 3) * _uniform(h, k, 4))), _uniform(h, k, 5)
-            w, items = batch.column("w").to_numpy(zero_copy_only=False), np.array(batch.column("item").to_pylist(), object)
+            w = batch.column("w").to_numpy(zero_copy_only=False)
             codes = batch.column("set").dictionary_encode()
             names, code = codes.dictionary.to_pylist(), codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
             order = np.argsort(code, kind="stable")
@@ -263,9 +264,11 @@ class SimHash:
         w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
         items = df.filter(F.col(item).isNotNull()).groupBy(set_col, item).agg(F.sum(w).alias("_w")).withColumn("_h", key_hash(item, self.policy))
         sums = [F.sum(F.when(F.shiftright("_h", i).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("_w")).otherwise(-F.col("_w"))).alias(f"_{i}") for i in range(self.bits)]
-        return items.groupBy(set_col).agg(*sums).select(set_col, F.array(*[f"_{i}" for i in range(self.bits)]).alias("sums"))
+        return items.groupBy(set_col).agg(*sums).select(set_col, params.tagged(F.array(*[f"_{i}" for i in range(self.bits)]), "sums", self))
 
     def merge(self, a: DataFrame, b: DataFrame, set_col: str) -> DataFrame:
+        """Raises MismatchError where the states differ in bits or policy."""
+        params.same([a, b], "sums", self)
         both = a.unionByName(b)
         return both.groupBy(set_col).agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"_{i}") for i in range(self.bits)]).select(set_col, F.array(*[f"_{i}" for i in range(self.bits)]).alias("sums"))
 

@@ -232,7 +232,7 @@ def weighted_minhash_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Bounded: suppliers divisible by 20 against all others, exact weighted similarity, and whether the estimate is within 0.15 of it."""
     rows = _supplier_parts(spark, d)
     pairs, sketch = _searched(rows), WeightedMinHash(256)
-    got = sketch.jaccard(sketch.state(rows, "s", "l_partkey", "l_quantity"), pairs, "s")
+    got = sketch.jaccard(working.written(sketch.state(rows, "s", "l_partkey", "l_quantity"), "weighted"), pairs, "s")
     w = rows.groupBy("s", "l_partkey").agg(F.sum("l_quantity").alias("w"))
     sides = [w.select(F.col("s").alias(x), "l_partkey", F.col("w").alias(f"w{x}")) for x in "ab"]
     common = sides[0].filter("a % 20 = 0").join(sides[1], "l_partkey").filter("a != b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("m"))

@@ -94,4 +94,4 @@ def drain(stream: DataFrame, mode: str, where: str | None = None, rocksdb: bool
     query.awaitTermination()
     last = (query.lastProgress or {}).get("batchId", 0)
     out = spark.read.schema(stream.schema.add("_batch", IntegerType())).parquet(f"{where}/out/{last}" if mode == "complete" else f"{where}/out/*")
-    return out if where and rocksdb else out.drop("_batch")
+    return out if rocksdb else out.drop("_batch")
