@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import column
+from quern.functions.sizing import power_of_two
 from quern.sources.working import written
 
 #: Candidates that are sent to all executors at most.
@@ -341,6 +342,7 @@ class HeavyKeeperSketch:
         self.depth, self.width, self.k = depth, width, k
         self.prints, self.counts = np.zeros((depth, width), np.int64), np.zeros((depth, width), np.int64)
         self.random, self.top = np.random.default_rng(seed), {}
+        self.low = 0  # the least count of top is no smaller
 
     def _cells(self, item: str) -> tuple[int, list[int]]:
         raw = item.encode()
@@ -371,9 +373,11 @@ class HeavyKeeperSketch:
             self.top[item] = max(self.top[item], best)
         elif len(self.top) < self.k:
             self.top[item] = best
-        elif best > (low := min(self.top.values())):
-            del self.top[next(i for i, x in self.top.items() if x == low)]
-            self.top[item] = best
+        elif best > self.low:
+            self.low = min(self.top.values())
+            if best > self.low:
+                del self.top[next(i for i, x in self.top.items() if x == self.low)]
+                self.top[item] = best
 
     def estimate(self, item: str) -> int:
         own, cells = self._cells(item)
@@ -391,6 +395,11 @@ class HeavyKeeper:
     width: int = 1024
     k: int = 100
 
+    @classmethod
+    def sized(cls, items: int, k: int = 100, depth: int = 4) -> HeavyKeeper:
+        """Two cells in a row for each different item, so that counts that differ little keep their order."""
+        return cls(depth, power_of_two(max(1024, 2 * items)), k)
+
     def state(self, df: DataFrame, key: Column | str) -> DataFrame:
         """The partitions' sketches, merged."""
         given = self
@@ -401,11 +410,13 @@ class HeavyKeeper:
                 for item, c in batch.groupby("item")["count"].sum().items():
                     sketch.insert(item, int(c))
             r, x = np.nonzero(sketch.counts)
-            yield pd.DataFrame({"item": [None] * len(r), "row": r, "cell": x, "print": sketch.prints[r, x], "count": sketch.counts[r, x]})
+            none = pd.Series([None] * len(r), dtype=object)  # of this type without rows as well
+            yield pd.DataFrame({"item": none, "row": r, "cell": x, "print": sketch.prints[r, x], "count": sketch.counts[r, x]})
             held = [(i, r, x, own, 0) for i in sketch.top for own, cells in [sketch._cells(i)] for r, x in enumerate(cells)]
             yield pd.DataFrame(held, columns=["item", "row", "cell", "print", "count"])
 
-        return self.merge(written(_items(df, key, None).mapInPandas(partial, _KEEPER), "heavy_keeper"))
+        # Rows of an item come to one task, so that its summary tells of all of them.
+        return self.merge(written(_items(df, key, None).repartition("item").mapInPandas(partial, _KEEPER), "heavy_keeper"))
 
     def merge(self, *parts: DataFrame) -> DataFrame:
         """In each cell counts of one print add up; of different prints the largest stays, less the next one."""

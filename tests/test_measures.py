@@ -472,3 +472,26 @@ def test_protocols():
 
     assert all(isinstance(x, MergeableSketch) for x in (HyperLogLog(), DDSketch(), MinHash(), OddSketch(), SimHash(), TDigest(), WeightedMinHash()))
     assert all(isinstance(x, Sketch) for x in (CountMin(64, 2), CountSketch(64, 2), AMS(2, 64)))
+
+
+def test_histogram_keeps_its_error_at_every_bucket():
+    h = ExponentialHistogram(50, 0.1)
+    h.update_all(np.ones(50, bool))
+    assert all(abs(h.estimate(n) - n) <= max(1, 0.1 * n) for n in range(1, 51))
+    few = ExponentialHistogram(50, 0.1)
+    few.update_all(np.ones(35, bool))  # a bucket of four with fifteen newer ones was wrong by two of nineteen
+    assert all(abs(few.estimate(n) - n) <= max(1, 0.1 * n) for n in range(1, 36))
+
+
+def test_heavy_keeper_with_empty_partitions_and_many_items(spark):
+    few = spark.createDataFrame([(i % 3,) for i in range(10)], "k long").repartition(8)
+    assert {(r.item, r["count"]) for r in heavy.HeavyKeeper(4, 64, 5).candidates(few, "k").collect()} == {("0", 4), ("1", 3), ("2", 3)}
+    # Many nearly equal items: those with most rows are found only in a sketch that is sized for them.
+    many = spark.range(6000).select("id", F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 600 == 0, 40).otherwise(20)))).select("id").repartition(6)
+    sketch = heavy.HeavyKeeper.sized(6000, 100)
+    assert sketch.width >= 6000
+    assert {str(i) for i in range(0, 6000, 600)} <= {r.item for r in sketch.candidates(many, "id").collect()}
+
+
+def test_count_min_log_is_sized_for_its_keys():
+    assert CountMinLog.for_keys(1500, 4).width == 2048 and CountMinLog.for_keys(90_000, 8).width >= 90_000
