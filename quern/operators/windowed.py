@@ -18,14 +18,16 @@ from quern.sources.working import written
 class ExponentialHistogram:
     """Ones among the last ``window`` ticks with a relative error of at most epsilon.
 
-    Buckets hold powers of two of ones and the tick of their newest; of each size at most a bounded number.
+    Buckets hold powers of two of ones and the tick of their newest; of each size at most a bounded number. Single ones are twice as
+    many, so that a bucket of size s that reaches over the edge, wrong by s / 2 at most, has s / (2 * epsilon) newer ones behind it.
     """
 
     def __init__(self, window: int, epsilon: float, clock: int = 0, sizes: list[int] | None = None, ticks: list[int] | None = None):
         if window < 1 or not 0 < epsilon <= 1:
             raise ValueError("window must be positive, epsilon in (0, 1]")
         self.window, self.epsilon, self.clock = window, epsilon, clock
-        self.most = max(2, math.ceil(1 / epsilon) // 2 + 1)
+        self.most = max(2, math.ceil(math.ceil(1 / epsilon) / 2) + 1)
+        self.singles = max(2, math.ceil(1 / epsilon) + 1)
         self.levels: list[deque[int]] = []  # of each size 2^i the buckets' ticks, oldest first; larger buckets are older
         for size, tick in zip(sizes or [], ticks or []):
             self._level(size.bit_length() - 1).append(tick)
@@ -60,7 +62,7 @@ class ExponentialHistogram:
         if bit:
             self._level(0).append(self.clock)
             i = 0
-            while len(self.levels[i]) > self.most:
+            while len(self.levels[i]) > (self.most if i else self.singles):
                 self.levels[i].popleft()
                 self._level(i + 1).append(self.levels[i].popleft())  # the two oldest, by the tick of the newer one
                 i += 1
