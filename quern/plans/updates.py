@@ -135,7 +135,7 @@ def cml_stream_bound(spark: SparkSession, d: str) -> DataFrame:
     exact, out = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), None
     total = events.agg(F.count(F.lit(1)).alias("all"))
     for bits, share in ((4, 0.35), (8, 0.1)):
-        sketch = CountMinLog(2048, 5, 2.0 if bits == 4 else 1.082, (1 << bits) - 1, P)
+        sketch = CountMinLog.for_keys(users, bits, policy=P)
         got = sketch.estimate(events, "user_id", sketch.stream_state(events, "user_id", seed=bits)).join(exact, "user_id").join(F.broadcast(total))
         error = 4 * sketch.deviation * F.col("n") + 2 + F.col("all") * math.e / sketch.width
         one = got.agg(F.count(F.lit(1)).alias("keys"), (F.sum((F.abs(F.col("estimate") - F.col("n")) > error).cast("long")) <= F.greatest(F.lit(3.0), 0.03 * F.count(F.lit(1)))).alias("within_bound"), (F.abs(F.sum("estimate") - F.sum("n")) <= share * F.sum("n") + 2 * F.count(F.lit(1))).alias("together"))
