@@ -48,10 +48,10 @@ class Slots:
     shifted: np.ndarray
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray, q: int, r: int) -> Slots:
-        """From different fingerprints in order, as many as fit; raises FullError where they do not."""
+    def of(cls, fingerprints: np.ndarray, q: int, r: int, most: int | None = None) -> Slots:
+        """From different fingerprints in order, as many as fit; raises FullError where they do not. most: how many may, below the number of slots."""
         size = 1 << q
-        if len(fingerprints) > FULLEST * size:
+        if len(fingerprints) > (FULLEST * size if most is None else min(most, size - 1)):
             raise FullError(f"{len(fingerprints)} fingerprints for {size} slots")
         home = (fingerprints >> r).astype(np.int64)
         n = np.arange(len(home))
@@ -142,17 +142,23 @@ class Slots:
 
 @dataclass(frozen=True)
 class QuotientFilter:
-    """Shards of tables with 2^q slots and remainders of r bits, when they begin. State: shard, blob, n, refused (since it was begun)."""
+    """Shards of tables with 2^q slots and remainders of r bits, when they begin. State: shard, blob, n, refused (since it was begun).
+
+    ranges: shards are ranges of the quotients of one large table, a power of two of them, so they hold its fingerprints and together take as many.
+    """
 
     q: int
     r: int = 13
     shards: int = 1
     policy: Policy = "xxhash64"
     grows: bool = False
+    ranges: bool = False
 
     def __post_init__(self) -> None:
         if not 3 <= self.q <= 26 or not 1 <= self.r <= 32 or self.q + self.r > 40 or self.shards < 1:
             raise ValueError("q must lie in 3..26, r in 1..32, both together be at most 40, shards positive")
+        if self.ranges and (self.shards & self.shards - 1 or self.q + self.r + self.shards.bit_length() - 1 > 60):
+            raise ValueError("shards by ranges must be a power of two, with quotients and remainders of 60 bits at most")
 
     @classmethod
     def sized(cls, n: int, fpr: float = 2.0**-13, policy: Policy = "xxhash64", grows: bool = False, shard_keys: int = SHARD_KEYS) -> QuotientFilter:
@@ -167,6 +173,16 @@ class QuotientFilter:
         """Fingerprints of a table at most."""
         return math.floor(FULLEST * (1 << self.q))
 
+    def _most(self, shard: int, q: int) -> int:
+        """Fingerprints of a shard's table with 2^q slots at most; those of ranges add up to what one table of all their slots takes."""
+        if not self.ranges:
+            return math.floor(FULLEST * (1 << q))
+        whole = math.floor(FULLEST * (self.shards << q))
+        return (shard + 1) * whole // self.shards - shard * whole // self.shards
+
+    def _shard(self, h: Column) -> Column:
+        return F.pmod(F.shiftright(h, self.q + self.r if self.ranges else 40), F.lit(self.shards)).cast("int")
+
     @property
     def kind(self) -> QuotientFilter:
         """What tables must have in common to be merged, doubled or not."""
@@ -176,14 +192,14 @@ class QuotientFilter:
         """shard, f of the keys that are not null, each once."""
         h = key_hash(column(key), self.policy)
         rows = df.filter(column(key).isNotNull()).select(h.alias("_h"))
-        return rows.select(F.pmod(F.shiftright("_h", 40), F.lit(self.shards)).cast("int").alias("shard"), F.col("_h").bitwiseAND(F.lit((1 << self.q + self.r) - 1)).alias("f")).distinct()
+        return rows.select(self._shard(F.col("_h")).alias("shard"), F.col("_h").bitwiseAND(F.lit((1 << self.q + self.r) - 1)).alias("f")).distinct()
 
-    def _laid(self, f: np.ndarray, q: int, r: int) -> tuple[Slots, int]:
+    def _laid(self, shard: int, f: np.ndarray, q: int, r: int) -> tuple[Slots, int]:
         """A table of sorted fingerprints, and how many it refused: the largest ones."""
         while self.grows and len(f) > FULLEST * (1 << q) and r > 1:
             q, r = q + 1, r - 1
-        most = math.floor(FULLEST * (1 << q))
-        return Slots.of(f[:most], q, r), max(0, len(f) - most)
+        most = self._most(shard, q)
+        return Slots.of(f[:most], q, r, most), max(0, len(f) - most)
 
     def _row(self, shard: int, table: Slots, refused: int) -> pd.DataFrame:
         return pd.DataFrame([(shard, dump(self.kind, table.state()), table.n, refused)], columns=["shard", "blob", "n", "refused"])
@@ -196,18 +212,19 @@ class QuotientFilter:
 
     def state(self, df: DataFrame, key: Column | str) -> DataFrame:
         def build(rows: pd.DataFrame) -> pd.DataFrame:
-            return self._row(int(rows["shard"].iloc[0]), *self._laid(np.sort(rows["f"].to_numpy(np.int64).view(np.uint64)), self.q, self.r))
+            shard = int(rows["shard"].iloc[0])
+            return self._row(shard, *self._laid(shard, np.sort(rows["f"].to_numpy(np.int64).view(np.uint64)), self.q, self.r))
 
         return self._tagged(self.placed(df, key).groupBy("shard").applyInPandas(build, STATE))
 
-    def _changed(self, state: DataFrame, keys: DataFrame, change: Callable[[Slots, np.ndarray], np.ndarray]) -> DataFrame:
+    def _changed(self, state: DataFrame, keys: DataFrame, change: Callable[[int, Slots, np.ndarray], np.ndarray]) -> DataFrame:
         """Each shard's table after a change of its fingerprints by new ones."""
         params.same([state], "shard", self.kind)
 
         def merged(shard: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             table = self._read(old["blob"].iloc[0]) if len(old) else Slots.of(np.zeros(0, np.uint64), self.q, self.r)
-            f = change(table, np.sort(new["f"].to_numpy(np.int64).view(np.uint64)))
-            after, refused = self._laid(f, table.q, table.r)
+            f = change(int(shard[0]), table, np.sort(new["f"].to_numpy(np.int64).view(np.uint64)))
+            after, refused = self._laid(int(shard[0]), f, table.q, table.r)
             return self._row(int(shard[0]), after, refused + (int(old["refused"].iloc[0]) if len(old) else 0))
 
         return self._tagged(state.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(merged, STATE))
@@ -215,9 +232,9 @@ class QuotientFilter:
     def insert(self, state: DataFrame, df: DataFrame, key: Column | str) -> DataFrame:
         """With the keys of df besides; those in the table stay where not all fit."""
 
-        def change(table: Slots, new: np.ndarray) -> np.ndarray:
+        def change(shard: int, table: Slots, new: np.ndarray) -> np.ndarray:
             held = table.fingerprints()
-            room = len(held) + len(new) if self.grows else math.floor(FULLEST * (1 << table.q))
+            room = len(held) + len(new) if self.grows else self._most(shard, table.q)
             new = np.setdiff1d(new, held, assume_unique=True)
             fit = new[: max(0, room - len(held))]
             # Refused ones go behind all others, so that the layout leaves them out and counts them.
@@ -227,7 +244,7 @@ class QuotientFilter:
 
     def remove(self, state: DataFrame, df: DataFrame, key: Column | str) -> DataFrame:
         """Without the fingerprints of df's keys; those that it lacks change nothing."""
-        return self._changed(state, self.placed(df, key), lambda table, gone: np.setdiff1d(table.fingerprints(), gone, assume_unique=True))
+        return self._changed(state, self.placed(df, key), lambda shard, table, gone: np.setdiff1d(table.fingerprints(), gone, assume_unique=True))
 
     def _both(self, a: DataFrame, b: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
         params.same([a, b], "shard", self.kind)
@@ -236,7 +253,7 @@ class QuotientFilter:
             tables = [self._read(t["blob"].iloc[0]) for t in (x, y) if len(t)]
             f = [t.fingerprints() for t in tables] + [np.zeros(0, np.uint64)] * (2 - len(tables))
             q = max(t.q for t in tables)
-            return self._row(int(shard[0]), *self._laid(how(*f), q, tables[0].q + tables[0].r - q))
+            return self._row(int(shard[0]), *self._laid(int(shard[0]), how(*f), q, tables[0].q + tables[0].r - q))
 
         return self._tagged(a.groupBy("shard").cogroup(b.groupBy("shard")).applyInPandas(merged, STATE))
 
@@ -250,7 +267,7 @@ class QuotientFilter:
         """df with a flag: False only for keys that were surely not inserted, or refused; null keys are False."""
         params.same([state], "shard", self.kind)
         h = key_hash(F.col(key), self.policy)
-        rows = df.withColumn("_shard", F.pmod(F.shiftright(h, 40), F.lit(self.shards)).cast("int")).withColumn("_f", h.bitwiseAND(F.lit((1 << self.q + self.r) - 1)))
+        rows = df.withColumn("_shard", self._shard(h)).withColumn("_f", h.bitwiseAND(F.lit((1 << self.q + self.r) - 1)))
         size = state.agg(F.sum(F.length("blob"))).first()[0] or 0
         read = self._read
         if size <= SENT_BYTES:

@@ -23,6 +23,8 @@ from quern.sources.working import written
 
 #: Keys of a shard, small so that small tables have several.
 SHARD = 4_000
+#: Slots of a table of ``quotient_refusal`` are 2^INNER at most when it begins.
+INNER = 18
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 LASTS = [10, 25, 50]
 LONG_LASTS = [50, 200, 500, 1_000]
@@ -62,11 +64,12 @@ def quotient_refusal(spark: SparkSession, d: str) -> DataFrame:
     """Exact: what a table with too few slots holds, refuses and tells, and what one that grows does."""
     orders = table(spark, d, "orders").select("o_orderkey")
     q, out = _small_q(orders.count()), None
+    inner = min(q, INNER)  # tables of bounded size, side by side as ranges of one
     for name, grows in (("fixed", False), ("grows", True)):
-        filter_ = QuotientFilter(q, 20, 1, P, grows)
+        filter_ = QuotientFilter(inner, 20, 1 << q - inner, P, grows, ranges=True)
         half = filter_.state(orders.filter("o_orderkey % 2 = 0"), "o_orderkey")
         state = filter_.insert(half, orders, "o_orderkey")
-        held = filter_.stats(state).select(F.lit(name).alias("filter"), F.col("n").alias("held"), (F.col("refused") > 0).alias("refuses"), F.col("slots"), (F.col("load") <= FULLEST).alias("within_bound"))
+        held = filter_.stats(state).groupBy(F.lit(name).alias("filter")).agg(F.sum("n").alias("held"), (F.sum("refused") > 0).alias("refuses"), (F.sum("n") <= FULLEST * F.sum("slots")).alias("within_bound"))
         told = filter_.maybe(orders, "o_orderkey", state).agg(F.sum(F.col("maybe").cast("long")).alias("told"))
         # What is told is held, but for fingerprints that several keys share.
         one = held.join(told).select("filter", "held", "refuses", (F.col("within_bound") & (F.col("told") >= F.col("held"))).alias("within_bound"))
@@ -133,7 +136,7 @@ def cml_stream_bound(spark: SparkSession, d: str) -> DataFrame:
     """Bounded: conservative updates in stream order with 4 and 8 bits a cell; all but 3 % of the users' estimates within four deviations and the collisions to expect, their sum within a share."""
     events = table(spark, d, "events").select("user_id")
     exact, out = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), None
-    total = events.agg(F.count(F.lit(1)).alias("all"))
+    total, users = events.agg(F.count(F.lit(1)).alias("all")), exact.count()
     for bits, share in ((4, 0.35), (8, 0.1)):
         sketch = CountMinLog.for_keys(users, bits, policy=P)
         got = sketch.estimate(events, "user_id", sketch.stream_state(events, "user_id", seed=bits)).join(exact, "user_id").join(F.broadcast(total))

@@ -297,3 +297,18 @@ def test_summaries_are_evaluated_once(spark):
     rest = filter_.semi_join(df, "u", df.filter("u % 2 = 0").distinct(), "u")
     assert rest.count() == df.filter("u % 2 = 0").count() and seen.value == 3
     assert Sharded(BinaryFuse()).stats(Sharded(BinaryFuse()).state(df, "u")).first().shards == 1
+
+
+@pytest.mark.parametrize("shards", [1, 8])
+def test_ranges_take_what_one_large_table_takes(spark, shards):
+    n = 3000
+    few = QuotientFilter(10 - shards.bit_length() + 1, 20, shards, ranges=True)
+    state = few.insert(few.state(keys(spark, 0, n // 2), "k"), keys(spark, 0, n), "k")
+    row = few.stats(state).agg(F.sum("n").alias("n"), F.sum("refused").alias("refused"), F.sum("slots").alias("slots")).first()
+    assert (row.n, row.slots) == (int(0.95 * 1024), 1024) and row.refused > 0
+    more = QuotientFilter(few.q, 20, shards, grows=True, ranges=True)
+    assert more.stats(more.state(keys(spark, 0, n), "k")).agg(F.sum("n")).first()[0] == n
+    with pytest.raises(ValueError):
+        QuotientFilter(4, 4, 3, ranges=True)
+    # 2^22 slots with remainders of 20 bits, as for nine million keys, were refused as parameters.
+    assert QuotientFilter(18, 20, 1 << 6, ranges=True).shards == 64
