@@ -18,6 +18,8 @@ from quern.streaming import stateful as T
 RESERVOIR = Reservoir(20, 7, P)
 EPSILON, SUPPORT = 0.002, 0.008
 WEEK, TOP = 7 * 86_400, 5
+#: Users of a shard of a week's sketch, about: half of the cells in one of its rows.
+USERS = 512
 #: Minutes between two events of a session, and by how much rows may be late.
 GAP, LATE = 360, "1 hour"
 
@@ -47,7 +49,9 @@ def stream_reservoir(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_heavy_weeks(spark: SparkSession, d: str) -> DataFrame:
     """Bounded: of each week that ended before the last event's lateness the five users with most events, counted exactly, and whether the week's timer put out three of them at least."""
-    out = S.drain(T.heavy_periods(_events(spark, d), "user_id", "ts", WEEK, LATE), "append", rocksdb=True).select("period", "item", F.lit(1).alias("hit")).distinct()
+    users = table(spark, d, "events").select("user_id").distinct().count()
+    shards = max(T.SHARDS, -(-users // USERS))
+    out = S.drain(T.heavy_periods(_events(spark, d), "user_id", "ts", WEEK, LATE, shards=shards), "append", rocksdb=True).select("period", "item", F.lit(1).alias("hit")).distinct()
     events = table(spark, d, "events").select((F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / WEEK) * WEEK).alias("period"), F.col("user_id").cast("string").alias("item"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
     closed = events.agg((F.max("t") - 3600).alias("mark"))
     counts = events.groupBy("period", "item").count().join(closed).filter(F.col("period") + WEEK <= F.col("mark"))

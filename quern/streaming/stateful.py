@@ -11,6 +11,7 @@ import heapq
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,24 +106,24 @@ class _Keeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "row int, cell int", "print long, count long")
+        self.cells = handle.getMapState("cells", "row int", "prints binary, counts binary")  # a row's arrays, each read and written at once
         self.top = handle.getMapState("top", "item string", "count long")
 
     def _read(self) -> HeavyKeeperSketch:
         sketch = HeavyKeeperSketch(self.depth, self.width, self.k)
-        for (row, cell), (own, count) in self.cells.iterator():
-            sketch.prints[row, cell], sketch.counts[row, cell] = own, count
+        for (row,), (prints, counts) in self.cells.iterator():
+            sketch.prints[row], sketch.counts[row] = np.frombuffer(prints, np.int64), np.frombuffer(counts, np.int64)
         sketch.top = {k[0]: v[0] for k, v in self.top.iterator()}
         return sketch
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         sketch = self._read()
-        prints, counts, held = sketch.prints.copy(), sketch.counts.copy(), set(sketch.top)
+        held = set(sketch.top)
         for batch in rows:
             for item, c in batch["item"].value_counts(sort=False).items():
                 sketch.insert(item, int(c))
-        for row, cell in zip(*((prints != sketch.prints) | (counts != sketch.counts)).nonzero()):
-            self.cells.updateValue((int(row), int(cell)), (int(sketch.prints[row, cell]), int(sketch.counts[row, cell])))
+        for row in range(self.depth):
+            self.cells.updateValue((row,), (sketch.prints[row].tobytes(), sketch.counts[row].tobytes()))
         for item in held - sketch.top.keys():
             self.top.removeKey((item,))
         for item, c in sketch.top.items():
