@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quern.operators import similarity
 from quern.operators.search import least_similarity, neighbours, recall, within
+from quern.sources import working
 
 
 @pytest.mark.parametrize("distance,hot", [(0, 1000), (1, 5), (3, 1000), (3, 2), (3, 0)])
@@ -41,3 +44,30 @@ def test_recall_of_what_was_found(spark):
     assert tuple(recall(pairs((1, 2), (1, 3), (2, 3)), pairs((1, 2), (1, 2), (5, 6))).first()) == (3, 1, 1 / 3)
     assert recall(pairs(), pairs((1, 2))).first().recall == 1.0
     assert abs(1 - (1 - least_similarity(4, 16, 0.9) ** 4) ** 16 - 0.9) < 1e-9
+
+
+@pytest.mark.parametrize("block", [5, 1_024])
+def test_every_pair_by_blocks_equals_pairs_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity.every_pair, "__defaults__", (None, None, block))
+    rows = spark.range(24).select(F.col("id").alias("s"), F.explode(F.sequence(F.col("id") % 7, F.col("id") % 7 + 9)).alias("i")).withColumn("w", F.lit(2))
+    asked, sets = "s % 4 = 0", rows.select("s").distinct()
+    pairs = sets.filter(asked).select(F.col("s").alias("a")).crossJoin(sets.select(F.col("s").alias("b"))).filter("a != b")
+    same = lambda x, y: x.count() == y.count() == 6 * 23 and x.exceptAll(y).isEmpty()
+    for sketch in (similarity.MinHash(300), similarity.BBitMinHash(32, 4)):
+        state = sketch.state(rows, "s", "i")
+        assert same(sketch.search(state, asked, "s"), sketch.jaccard(state, pairs, "s"))
+    odd = similarity.OddSketch(256)
+    state = odd.state(rows, "s", "i")
+    assert same(odd.search(state, asked, "s"), odd.difference(state, pairs, "s"))
+    weighted = similarity.WeightedMinHash(256)
+    state = working.written(weighted.state(rows, "s", "i", "w"), "weighted")
+    sides = [rows.select(F.col("s").alias(x), "i", F.col("w").alias(f"w{x}")) for x in "ab"]
+    common = sides[0].filter("a % 4 = 0").join(sides[1], "i").filter("a != b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("m"))
+    got = weighted.search(state, asked, "s", rows.groupBy("s").agg(F.sum("w").alias("w")), common)
+    assert same(got.select("a", "b", "jaccard"), weighted.jaccard(state, pairs, "s"))
+    exact = {(r.a, r.b): r.exact for r in got.collect()}
+    assert exact[0, 7] == 1.0 and exact[0, 1] == pytest.approx(9 / 11)
+    prints = similarity.SimHash().fingerprint(similarity.SimHash().state(rows, "s", "i"))
+    near = {(r.a, r.b) for r in similarity.SimHash().search(prints, asked, "s", most=0).collect()}
+    assert {(0, 7), (0, 14), (0, 21)} <= near and all(a != b for a, b in near)
