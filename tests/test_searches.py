@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,8 @@ def test_every_pair_by_blocks_equals_pairs_one_by_one(spark, monkeypatch, block)
     prints = similarity.SimHash().fingerprint(similarity.SimHash().state(rows, "s", "i"))
     near = {(r.a, r.b) for r in similarity.SimHash().search(prints, asked, "s", most=0).collect()}
     assert {(0, 7), (0, 14), (0, 21)} <= near and all(a != b for a, b in near)
+
+
+def test_differing_bits_with_the_sign():
+    x, y = np.array([0, -1], np.int32), np.array([[-1, -(1 << 31), 0], [-1, 5, 0]], np.int32)
+    assert similarity.differing_bits(x, y).tolist() == [32, 31, 32]
