@@ -2,7 +2,7 @@
 
 ``within``: all pairs of fingerprints that differ in few bits, by the pigeonhole: of distance + 1 blocks of bits one has to agree. Values that
 very many fingerprints have in a block are met by a second block of the remaining bits, so none is left out and no hot value meets in full.
-``neighbours``: all sets with a Jaccard similarity of at least a threshold, from the rarest items of each, which near sets must share.
+``neighbours``: all sets with a Jaccard similarity of at least a threshold, from the rarest items of each, which near sets must share, in blocks of queries.
 Both take distinct fingerprints and sets: copies are counted by those who ask.
 """
 
@@ -13,6 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.near_sets import near_sets
+from quern.sources.working import written
+
 #: Fingerprints with one value of a block beyond which further blocks decide.
 HOT = 1_000
 
@@ -62,22 +65,12 @@ def within(queries: DataFrame, prints: DataFrame, distance: int, bits: int = 60,
 def neighbours(queries: DataFrame, sets: DataFrame, set_col: str, item: str, threshold: float) -> DataFrame:
     """a, b, jaccard: all pairs of a query and another set with at least that similarity. Rows (set, item), each once; queries are some of the sets.
 
-    A set shares one of its n - ceil(threshold * n) + 1 rarest items with each such neighbour, so frequent items bring no candidates.
+    Items are known by 64 bits; sets are compared in blocks (``near_sets``), so neither candidates nor their items become rows.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must lie in (0, 1]")
-    often = sets.groupBy(item).agg(F.count(F.lit(1)).alias("_often"))
-    size = sets.groupBy(set_col).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = sets.join(often, item).join(size, set_col).withColumn("_place", F.expr(f"row_number() OVER (PARTITION BY `{set_col}` ORDER BY _often, `{item}`)"))
-    first = ranked.filter(F.col("_place") <= F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1).select(F.col(set_col).alias("b"), F.col(item).alias("_i"), F.col("_n").alias("nb"))
-    asked = queries.select(F.col(set_col).alias("a")).distinct()
-    mine = first.select(F.col("b").alias("a"), "_i", F.col("nb").alias("na")).join(asked, "a", "left_semi")
-    near = (F.col("a") != F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    maybe = mine.join(first, "_i").filter(near).select("a", "b", "na", "nb").distinct()
-    items = lambda x: sets.select(F.col(set_col).alias(x), F.col(item).alias("_i"))
-    common = maybe.join(items("a"), "a").join(items("b"), ["b", "_i"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("_c"))
-    jaccard = F.col("_c") / (F.col("na") + F.col("nb") - F.col("_c"))
-    return common.filter(jaccard >= threshold - 1e-12).select("a", "b", jaccard.alias("jaccard"))
+    whole = written(sets.groupBy(set_col).agg(F.array_distinct(F.collect_list(F.xxhash64(item))).alias("_x")), "sets")
+    asked = whole.join(queries.select(set_col).distinct(), set_col, "left_semi").withColumnRenamed(set_col, "a")
+    near = near_sets(asked, whole.withColumnRenamed(set_col, "b"), threshold)
+    return near.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
