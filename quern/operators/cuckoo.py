@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import params
 from quern.functions.hashing import Policy, key_hash
-from quern.operators.static_filters import SENT_BYTES, SHARD_KEYS, Cuckoo, dump, load
+from quern.operators.static_filters import SENT_BYTES, SHARD_KEYS, Cuckoo, Stack, cuckoo_told, dump, load
 from quern.sources.working import written
 
 U = np.uint64
@@ -123,6 +123,10 @@ class IncrementalCuckoo:
         h = key_hash(F.col(key), self.policy)
         return df.select(h.alias("_h")).filter("_h IS NOT NULL").select(F.pmod(F.shiftright("_h", 40), F.lit(self.shards)).cast("int").alias("shard"), "_h")
 
+    @staticmethod
+    def told(state: dict, h: np.ndarray) -> np.ndarray:
+        return cuckoo_told(state, h)
+
     def empty(self, df: DataFrame) -> DataFrame:
         """The state without keys, of df's session."""
         return df.sparkSession.createDataFrame([], STATE).select(params.tagged(F.col("shard"), "shard", self), "blob", "n", "inserted", "removed", "missing", "depth")
@@ -168,14 +172,9 @@ class IncrementalCuckoo:
 
             @F.pandas_udf("boolean")
             def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-                trees = {k: CuckooTree.read(load(given, x)) for k, x in sent.value.items()}  # once for each task
+                stack = Stack(given, {k: load(given, x) for k, x in sent.value.items()})  # once for each task
                 for h, shard in batches:
-                    out = np.zeros(len(h), bool)
-                    for k in shard.dropna().unique().tolist():
-                        if k in trees:
-                            at = np.flatnonzero(shard == k)
-                            out[at] = trees[k].contains_all(h.to_numpy()[at].astype(np.int64).view(U))
-                    yield pd.Series(out)
+                    yield pd.Series(stack.probe(shard.fillna(-1).to_numpy().astype(np.int64), h.fillna(0).to_numpy()))
 
             return rows.withColumn(flag, probe("_h", "_shard")).drop("_h", "_shard")
         keys = rows.select("_shard", "_h").filter("_h IS NOT NULL").distinct()
