@@ -2,22 +2,31 @@
 
 ``within``: all pairs of fingerprints that differ in few bits, by the pigeonhole: of distance + 1 blocks of bits one has to agree. Values that
 very many fingerprints have in a block are met by a second block of the remaining bits, so none is left out and no hot value meets in full.
+``every_within``: the same pairs from comparing every query with every fingerprint, to measure the former by.
 ``neighbours``: all sets with a Jaccard similarity of at least a threshold, from the rarest items of each, which near sets must share, in blocks of queries.
-Both take distinct fingerprints and sets: copies are counted by those who ask.
+They take distinct fingerprints and sets: copies are counted by those who ask.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.near_sets import near_sets
+from quern.sources.working import path as working_path
 from quern.sources.working import written
 
 #: Fingerprints with one value of a block beyond which further blocks decide.
 HOT = 1_000
+#: Fingerprints that a task of ``every_within`` lays beside the queries at a time, queries it reads at a time, and pairs that leave it together.
+LAID, READ, SENT = 1 << 14, 1 << 18, 1 << 16
 
 
 def _block(name: str, lo: int, width: int) -> Column:
@@ -62,6 +71,55 @@ def within(queries: DataFrame, prints: DataFrame, distance: int, bits: int = 60,
     return both.filter(apart <= distance).select("q", "f").distinct().withColumn("distance", apart)
 
 
+def _queries(folder: str) -> Iterator[np.ndarray]:
+    fs, base = pafs.FileSystem.from_uri(folder)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path):
+        if f.is_file and f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=READ, columns=["q"]):
+                    yield batch.column("q").to_numpy()
+
+
+def compared(folder: str, distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """q, f of the queries in a folder and a task's fingerprints."""
+    held: list[np.ndarray] = []
+
+    def laid() -> Iterator[pa.RecordBatch]:
+        f = np.concatenate(held)
+        q, found, count = [], [], 0
+        for queries in _queries(folder):
+            for x in queries:
+                near = np.flatnonzero(np.bitwise_count((f ^ x).view(np.uint64)) <= distance)
+                if len(near):
+                    q.append(np.full(len(near), x))
+                    found.append(f[near])
+                    count += len(near)
+                    if count >= SENT:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q, found)], ["q", "f"])
+                        q, found, count = [], [], 0
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q, found)], ["q", "f"])
+
+    for batch in batches:
+        given = batch.column("f").drop_null().to_numpy()
+        for lo in range(0, len(given), LAID):
+            held.append(given[lo : lo + LAID])
+            if sum(map(len, held)) >= LAID:
+                yield from laid()
+                held.clear()
+    if held:
+        yield from laid()
+
+
+def every_within(queries: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
+    """q, f: the pairs of ``within``, from comparing every query with every fingerprint: fingerprints move once, queries are read from the shared folder, and only near pairs leave a task."""
+    folder = working_path(queries.sparkSession, "asked")
+    queries.select(F.col("q").cast("long").alias("q")).filter("q IS NOT NULL").distinct().write.parquet(folder)
+    held = prints.select(F.col("f").cast("long").alias("f")).distinct()
+    dealt = held.repartition(max(1, -(-held.count() // LAID)), "f")
+    return dealt.mapInArrow(lambda batches: compared(folder, distance, batches), "q long, f long")
+
+
 def neighbours(queries: DataFrame, sets: DataFrame, set_col: str, item: str, threshold: float) -> DataFrame:
     """a, b, jaccard: all pairs of a query and another set with at least that similarity. Rows (set, item), each once; queries are some of the sets.
 
