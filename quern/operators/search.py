@@ -19,6 +19,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import column
 from quern.operators.near_sets import near_sets
 from quern.sources.working import path as working_path
 from quern.sources.working import written
@@ -29,7 +30,7 @@ HOT = 1_000
 LAID, READ, SENT = 1 << 14, 1 << 18, 1 << 16
 
 
-def _block(name: str, lo: int, width: int) -> Column:
+def _block(name: str | Column, lo: int, width: int) -> Column:
     return F.shiftright(name, lo).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
@@ -39,14 +40,18 @@ def _edges(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def _second(name: str, band: int, bits: int, parts: int) -> Column:
-    """Sub-blocks of the bits besides a block, as structs (sub, own)."""
+def _rest(name: str | Column, band: int, bits: int, parts: int) -> list[Column]:
+    """Sub-blocks of the bits besides a block."""
     lo, width = _edges(bits, parts)[band]
     # The bits behind the block move down over it, so the rest lies side by side.
     rest = F.shiftright(name, lo + width)
-    rest = F.shiftleft(rest, lo).bitwiseOR(F.col(name).bitwiseAND(F.lit((1 << lo) - 1).cast("bigint")))
-    each = [rest_block for rest_block in (F.shiftright(rest, a).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) for a, w in _edges(bits - width, parts))]
-    return F.array(*[F.struct(F.lit(i).alias("sub"), x.alias("own")) for i, x in enumerate(each)])
+    rest = F.shiftleft(rest, lo).bitwiseOR(column(name).bitwiseAND(F.lit((1 << lo) - 1).cast("bigint")))
+    return [F.shiftright(rest, a).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) for a, w in _edges(bits - width, parts)]
+
+
+def _second(name: str, band: int, bits: int, parts: int) -> Column:
+    """The same as structs (sub, own)."""
+    return F.array(*[F.struct(F.lit(i).alias("sub"), x.alias("own")) for i, x in enumerate(_rest(name, band, bits, parts))])
 
 
 def within(queries: DataFrame, prints: DataFrame, distance: int, bits: int = 60, hot: int = HOT) -> DataFrame:
@@ -68,7 +73,13 @@ def within(queries: DataFrame, prints: DataFrame, distance: int, bits: int = 60,
     keyed = lambda df, name: flagged(df).select(name, "band", "bucket", F.explode(F.when(F.col("crowded"), finer(name)).otherwise(F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("own"))))).alias("x")).select(name, "band", "bucket", "x.*")
     both = keyed(asked, "q").join(keyed(held, "f"), ["band", "bucket", "sub", "own"])
     apart = F.bit_count(F.col("q").bitwiseXOR(F.col("f")))
-    return both.filter(apart <= distance).select("q", "f").distinct().withColumn("distance", apart)
+    # A near pair counts in the first block that agrees, and there in the first finer one, so each is one row without moving them.
+    differ = F.col("q").bitwiseXOR(F.col("f"))
+    first = lambda blocks: F.coalesce(*[F.when(x == 0, F.lit(i)) for i, x in enumerate(blocks)])
+    inner = [first(_rest(differ, b, bits, parts)) for b in range(parts)]
+    own = F.element_at(F.array(*inner), F.col("band") + 1)
+    once = (F.col("band") == first([_block(differ, lo, w) for lo, w in _edges(bits, parts)])) & ((F.col("sub") == -1) | (F.col("sub") == own))
+    return both.filter((apart <= distance) & once).select("q", "f").withColumn("distance", apart)
 
 
 def _queries(folder: str) -> Iterator[np.ndarray]:

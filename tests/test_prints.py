@@ -19,6 +19,9 @@ def test_every_fingerprint_is_compared_in_blocks(spark, tmp_path, monkeypatch):
     want = sorted((q, f) for q in prints[::4] for f in prints if (q ^ f).bit_count() <= 3)
     got = search.every_within(asked, df, 3)
     assert sorted((r.q, r.f) for r in got.collect()) == want == sorted((r.q, r.f) for r in within(asked, df, 3).collect())
+    for hot in (0, 2, 20):  # each pair is one row, though blocks agree several times
+        assert sorted((r.q, r.f) for r in within(asked, df, 3, hot=hot).collect()) == want
+    assert "keys=[q" not in within(asked, df, 3)._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
     asked.repartition(3).write.parquet(f"file://{tmp_path}/asked")
     for name in ("LAID", "READ", "SENT"):
         monkeypatch.setattr(search, name, 7)
